@@ -3,17 +3,38 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lodestrata.llm.decontaminate import decontaminate
 from lodestrata.llm.exact_dedup import exact_dedup
+from lodestrata.llm.licenses import scan_licenses
+from lodestrata.llm.mixing import mix_sources
 from lodestrata.llm.warc import warc_round_trip
 
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+#: Target weights of the mix; the other sources share the rest in proportion.
+MIX = {"src0": 0.15, "src1": 0.10, "src2": 0.02}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(_table(spark, sf_dir, "documents"), MIX)
+    return mixed.select("doc_id", "source", "copy_no", F.round("rate", 6).alias("rate"), "mix_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -22,9 +43,38 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).drop("origin")
 
 
-QUERIES = {"op8_warc": op8_warc, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {
+    "op5_decontaminate": op5_decontaminate,
+    "op6_mix_sources": op6_mix_sources,
+    "op7_license_scan": op7_license_scan,
+    "op8_warc": op8_warc,
+    "op10_exact_dedup": op10_exact_dedup,
+}
 
 ORACLES = {
+    "op5_decontaminate": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWERED}'), '{WORD}') AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWERED}'), '{WORD}') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s:s + least(len(w), 10) - 1], ' ') AS g
+       FROM i, LATERAL (SELECT unnest(range(1, len(w) - least(len(w), 10) + 2)) AS s) WHERE len(w) > 0),
+dw AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS g
+       FROM d, (SELECT DISTINCT n FROM iw), LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS s)),
+m AS (SELECT doc_id, item_id, s, iw.n FROM dw JOIN iw USING (n, g)),
+p AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM m, LATERAL (SELECT unnest(range(s, s + n)) AS q) GROUP BY doc_id),
+x AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN x USING (doc_id)""",
+    "op6_mix_sources": f"""
+WITH t AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in MIX.items())}) AS v(source, target)),
+c AS (SELECT source, count(*) AS n, any_value(target) AS target FROM documents LEFT JOIN t USING (source) GROUP BY source),
+r AS (SELECT source, coalesce(target, {1.0 - sum(MIX.values())}::DOUBLE * n / sum(CASE WHEN target IS NULL THEN n END) OVER ()) * 1.0::DOUBLE * sum(n) OVER () / n AS rate FROM c),
+k AS (SELECT source, rate, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf FROM r, range(0, 120) AS g(k)),
+u AS (SELECT doc_id, source, md5(coalesce(text, '')) AS text_md5,
+             CAST('0x' || substr(md5('mix|' || doc_id || '|1'), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496 AS u FROM documents),
+n AS (SELECT doc_id, u.source, text_md5, rate, count(*) AS n FROM u JOIN k ON u.source IS NOT DISTINCT FROM k.source AND u.u >= k.cdf GROUP BY ALL)
+SELECT doc_id, source, CAST(c AS INTEGER) AS copy_no, round(rate, 6) AS rate, md5('mix|place|' || doc_id || '|' || c) AS mix_key, text_md5
+FROM n, LATERAL (SELECT unnest(range(1, n + 1)) AS c)""",
     "op10_exact_dedup": f"""
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWERED}') AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
