@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.llm import quality, toxicity
 from lodestrata.llm.decontaminate import decontaminate
 from lodestrata.llm.exact_dedup import exact_dedup
 from lodestrata.llm.licenses import scan_licenses
 from lodestrata.llm.mixing import mix_sources
+from lodestrata.llm.near_dedup import near_dedup
 from lodestrata.llm.warc import warc_round_trip
 
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -22,6 +24,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_key")
 
@@ -39,15 +49,22 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).drop("origin")
 
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
+    "op4_quality": op4_quality,
     "op5_decontaminate": op5_decontaminate,
     "op6_mix_sources": op6_mix_sources,
     "op7_license_scan": op7_license_scan,
     "op8_warc": op8_warc,
+    "op9_near_dedup": op9_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
