@@ -98,7 +98,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups and their bounds, from batches sorted by ``keys``."""
+    """Tables of whole groups and where each group starts, from batches sorted by ``keys``."""
     rest = None
     for b in batches:
         t = pa.Table.from_batches([b])
@@ -109,10 +109,10 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple
         cols = [t[k].to_numpy() for k in keys]
         change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
         if len(change):
-            yield t.slice(0, int(change[-1])), np.concatenate([[0], change])
+            yield t.slice(0, int(change[-1])), np.concatenate([[0], change[:-1]])
         rest = t.slice(int(change[-1]) if len(change) else 0)
     if rest is not None and rest.num_rows:
-        yield rest, np.array([0, rest.num_rows])
+        yield rest, np.array([0])
 
 
 class Forest:

@@ -11,6 +11,7 @@ from lodestrata.llm.exact_dedup import exact_dedup
 from lodestrata.llm.licenses import scan_licenses
 from lodestrata.llm.mixing import mix_sources
 from lodestrata.llm.near_dedup import near_dedup
+from lodestrata.llm.tokens import training_order
 from lodestrata.llm.warc import warc_round_trip
 
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -24,6 +25,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order(_table(spark, sf_dir, "documents")).drop("file")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -58,6 +63,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_training_order": op2_training_order,
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
     "op5_decontaminate": op5_decontaminate,
