@@ -11,6 +11,7 @@ from lodestrata.llm.exact_dedup import exact_dedup
 from lodestrata.llm.licenses import scan_licenses
 from lodestrata.llm.mixing import mix_sources
 from lodestrata.llm.near_dedup import near_dedup
+from lodestrata.llm.suffix_dedup import suffix_dedup
 from lodestrata.llm.tokens import training_order
 from lodestrata.llm.warc import warc_round_trip
 
@@ -25,6 +26,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order(_table(spark, sf_dir, "documents")).drop("file")
 
@@ -63,6 +68,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_training_order": op2_training_order,
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
