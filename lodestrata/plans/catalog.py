@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from lodestrata.plans import cloud_queries, telemetry_queries
+
+QUERIES: dict = {**cloud_queries.Q, **telemetry_queries.Q}
+ORACLES: dict[str, str] = {**cloud_queries.O, **telemetry_queries.O}
