@@ -43,11 +43,10 @@ def filter_bands(df: DataFrame, bands: int, column: str = "f_rest", stored: int
     return df.withColumn(column, F.concat(*parts))
 
 
-def _block_plan(df: DataFrame, blocks: Column, block_records: int) -> DataFrame:
-    """First record, length and number of each block, by scene."""
+def _block_plan(df: DataFrame, blocks: Column, per_block: Column) -> DataFrame:
+    """First record, length and number of each block, by scene; both columns may use the scene's rows ``n``."""
     n = df.groupBy("scene_id").agg((F.max("record_no") + 1).alias("n"))
-    n = n.withColumn("blocks", F.greatest(F.lit(1), F.least(blocks, F.ceil(F.col("n") / block_records))).cast("long"))
-    n = n.withColumn("per_block", F.least(F.lit(block_records), F.col("n")))
+    n = n.withColumn("blocks", blocks.cast("long")).withColumn("per_block", F.least(per_block, F.col("n")).cast("long"))
     n = n.select("scene_id", "n", "blocks", "per_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     return n.withColumn("begin", F.floor(F.col("block") / F.col("blocks") * F.greatest(F.lit(0), F.col("n") - F.col("per_block"))))
 
@@ -64,17 +63,14 @@ def _in_blocks(df: DataFrame, plan: DataFrame, block_records: int) -> DataFrame:
 
 def block_sample(df: DataFrame, blocks: int = 2048, block_records: int = 1024) -> DataFrame:
     """Evenly spread blocks of consecutive records with finite positions; a row in two blocks counts twice."""
-    return filter_finite(_in_blocks(df, _block_plan(df, F.lit(blocks), block_records), block_records), POSITION)
+    count = F.greatest(F.lit(1), F.least(F.lit(blocks), F.ceil(F.col("n") / block_records)))
+    return filter_finite(_in_blocks(df, _block_plan(df, count, F.lit(block_records)), block_records), POSITION)
 
 
 def preview_sample(df: DataFrame, target: int = 400_000) -> DataFrame:
     """The first ``target`` visible rows of about three times as many, with byte colours."""
     blocks = F.least(F.lit(1024), F.greatest(F.lit(16), F.ceil(F.col("n") / 50_000)))
-    plan = _block_plan(df, blocks, 1 << 62)
-    plan = plan.withColumn("per_block", F.least(F.col("n"), F.ceil(F.lit(3 * target) / F.col("blocks"))))
-    plan = plan.drop("block", "begin").distinct()
-    plan = plan.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    plan = plan.withColumn("begin", F.floor(F.col("block") / F.col("blocks") * F.greatest(F.lit(0), F.col("n") - F.col("per_block"))))
+    plan = _block_plan(df, blocks, F.ceil(F.lit(3 * target) / F.col("blocks")))
     width = max(1, -(-3 * target // 1024))
     rows = filter_finite(_in_blocks(df, plan, width), POSITION).where(S.decode_opacity(F.col("opacity")) >= 0.35)
     rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy("scene_id").orderBy("block", "record_no"))).where(F.col("__r") <= target).drop("__r")
@@ -240,7 +236,8 @@ def transform_positions(df: DataFrame, scenes: DataFrame) -> DataFrame:
 def transform_splats(df: DataFrame, scenes: DataFrame) -> DataFrame:
     """Positions and quaternions (rot_0 is the real part) rotated, then positions moved."""
     h = math.pi / 360
-    q = scenes.select("scene_id", *((f(F.get("rotation", i) * h)).alias(f"__{n}{i}") for i in range(3) for n, f in (("s", F.sin), ("c", F.cos))))
+    angle = lambda i: F.when(finite(F.get("rotation", i)), F.get("rotation", i)).otherwise(0.0)
+    q = scenes.select("scene_id", *((f(angle(i) * h)).alias(f"__{n}{i}") for i in range(3) for n, f in (("s", F.sin), ("c", F.cos))))
     sx, cx, sy, cy, sz, cz = (F.col(f"__{n}{i}") for i in range(3) for n in "sc")
     x, y, z, w = sx * cy * cz - cx * sy * sz, cx * sy * cz + sx * cy * sz, cx * cy * sz - sx * sy * cz, cx * cy * cz + sx * sy * sz
     # times the half turn about z, (0, 0, 0, 1) as (w, x, y, z)

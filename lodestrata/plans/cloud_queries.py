@@ -1,2 +1,522 @@
+"""Queries of clouds, levels, audits and sources over the driver's tables, with their oracles."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestrata.operators import audit, cloud, folds, lod
+from lodestrata.plans.views import SPLATS, load, splats
+from lodestrata.sources import logs, ply
+from lodestrata.sources.tables import persisted
+
 Q: dict = {}
 O: dict[str, str] = {}
+AXES = ("x", "y", "z")
+SPLAT_SQL = SPLATS.strip()
+#: Rows of a tile in the queries, depth that the unrolled oracle of the k-d plan covers.
+TILE_ROWS, ORACLE_DEPTH = 4_000, 4
+
+
+def query(f):
+    Q[f.__name__] = f
+    return f
+
+
+def _r(c: str, digits: int = 6):
+    return F.round(c, digits).alias(c)
+
+
+def _bad(spark: SparkSession, d: str) -> DataFrame:
+    x = F.when(F.col("suppkey") % 97 == 0, float("nan")).when(F.col("suppkey") % 89 == 0, float("inf")).otherwise(F.col("x"))
+    return splats(spark, d).withColumn("x", x)
+
+
+@query
+def filter_finite(spark: SparkSession, d: str) -> DataFrame:
+    return cloud.filter_finite(cloud.keep_splat_columns(_bad(spark, d))).groupBy("scene_id").agg(F.count("*").alias("n"), F.min("record_no").alias("first"), F.sum("record_no").alias("records"), F.round(F.sum("x"), 3).alias("x"))
+
+
+O["filter_finite"] = f"SELECT scene_id, count(*) AS n, min(record_no) AS first, CAST(sum(record_no) AS BIGINT) AS records, round(sum(x), 3) AS x FROM ({SPLAT_SQL}) WHERE suppkey % 97 <> 0 AND suppkey % 89 <> 0 GROUP BY 1"
+
+
+@query
+def filter_bands(spark: SparkSession, d: str) -> DataFrame:
+    e = load(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 45).alias("f_rest"))
+    return cloud.filter_bands(e, 2).select("vec_id", F.size("f_rest").alias("size"), *(F.round(F.get("f_rest", i).cast("double"), 6).alias(f"c{i}") for i in (0, 7, 8, 16, 23)))
+
+
+O["filter_bands"] = "SELECT vec_id, 24 AS size, " + ", ".join(f"round(embedding[{j}]::DOUBLE, 6) AS c{i}" for i, j in ((0, 1), (7, 8), (8, 16), (16, 31), (23, 38))) + " FROM embeddings"
+
+_N = f"(SELECT scene_id, max(record_no) + 1 AS n FROM ({SPLAT_SQL}) GROUP BY 1)"
+SAMPLE = f"""
+SELECT s.*, block FROM ({SPLAT_SQL}) s JOIN (
+  SELECT scene_id, block, CAST(floor(block / b::DOUBLE * greatest(0, n - p)) AS BIGINT) AS st, p FROM (
+    SELECT *, unnest(range(0, b)) AS block FROM (SELECT scene_id, n, CAST(greatest(1, least(64, ceil(n / 256.0))) AS BIGINT) AS b, least(256, n) AS p FROM {_N}))) k
+ON s.scene_id = k.scene_id AND s.record_no >= st AND s.record_no < st + p"""
+
+
+@query
+def block_sample(spark: SparkSession, d: str) -> DataFrame:
+    return cloud.block_sample(splats(spark, d), 64, 256).select("scene_id", "record_no", "block")
+
+
+O["block_sample"] = f"SELECT scene_id, record_no, block FROM ({SAMPLE})"
+
+
+@query
+def preview_sample(spark: SparkSession, d: str) -> DataFrame:
+    return cloud.preview_sample(_bad(spark, d), 3_000).select("scene_id", "record_no", "r", "g", "b")
+
+
+_BYTE = "CAST(least(255, greatest(0, floor((0.5::DOUBLE + 0.28209479::DOUBLE * f_dc_{}) * 255 + 0.5))) AS INT)"
+O["preview_sample"] = f"""
+WITH k AS (SELECT scene_id, block, CAST(floor(block / b::DOUBLE * greatest(0, n - p)) AS BIGINT) AS st, p FROM (
+    SELECT *, unnest(range(0, b)) AS block FROM (SELECT *, CAST(least(n, ceil(9000 / b::DOUBLE)) AS BIGINT) AS p FROM (SELECT scene_id, n, CAST(least(1024, greatest(16, ceil(n / 50000.0))) AS BIGINT) AS b FROM {_N})))),
+v AS (SELECT s.*, row_number() OVER (PARTITION BY s.scene_id ORDER BY block, record_no) AS r FROM ({SPLAT_SQL}) s JOIN k ON s.scene_id = k.scene_id AND record_no >= st AND record_no < st + p
+      WHERE suppkey % 97 <> 0 AND suppkey % 89 <> 0 AND 1 / (1 + exp(-opacity)) >= 0.35)
+SELECT scene_id, record_no, {", ".join(f"{_BYTE.format(i)} AS {c}" for i, c in enumerate("rgb"))} FROM v WHERE r <= 3000"""
+
+
+@query
+def strided_sample(spark: SparkSession, d: str) -> DataFrame:
+    s = cloud.strided_sample(splats(spark, d), 500)
+    ground = cloud.quantile_at(s, "y", 0.02).withColumnRenamed("value", "ground")
+    return s.groupBy("scene_id").agg(F.count("*").alias("n"), *(f(a).alias(f"{k}_{a}") for a in AXES for k, f in (("min", F.min), ("max", F.max)))).join(ground, "scene_id")
+
+
+_STRIDED = f"SELECT s.* FROM ({SPLAT_SQL}) s JOIN {_N} k ON s.scene_id = k.scene_id WHERE record_no % greatest(1, n // 500) = 0"
+O["strided_sample"] = f"""
+WITH s AS ({_STRIDED}), q AS (SELECT scene_id, y, row_number() OVER (PARTITION BY scene_id ORDER BY y) AS r, count(*) OVER (PARTITION BY scene_id) AS n FROM s)
+SELECT s.scene_id, count(*) AS n, {", ".join(f"{k}(s.{a}) AS {k}_{a}" for a in AXES for k in ("min", "max"))}, any_value(g.y) AS ground
+FROM s JOIN q g ON g.scene_id = s.scene_id AND g.r = CAST(floor(0.02 * (g.n - 1)) AS BIGINT) + 1 GROUP BY 1"""
+
+
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    s = splats(spark, d)
+    sample = cloud.block_sample(s, 64, 64)
+    return persisted(cloud.plan_kd_tiles(sample, s.groupBy("scene_id").agg(F.count("*").alias("n")), TILE_ROWS), "kd")
+
+
+@query
+def plan_kd_tiles(spark: SparkSession, d: str) -> DataFrame:
+    return _nodes(spark, d).select("scene_id", "path", "axis", _r("split"), "ties_left", "tile", "est")
+
+
+def _kd_sql() -> str:
+    """Unrolled levels of the plan: points p<i>, nodes n<i>."""
+    parts = [
+        f"s AS ({SPLAT_SQL})", f"t AS (SELECT scene_id, count(*) AS n FROM s GROUP BY 1)",
+        f"""p0 AS (SELECT s.scene_id, x, y, z, '' AS path FROM s JOIN (SELECT scene_id, CAST(floor(block / b::DOUBLE * greatest(0, n - p)) AS BIGINT) AS st, p FROM (
+          SELECT *, unnest(range(0, b)) AS block FROM (SELECT scene_id, n, CAST(greatest(1, least(64, ceil(n / 64.0))) AS BIGINT) AS b, least(64, n) AS p FROM t))) k
+          ON s.scene_id = k.scene_id AND record_no >= st AND record_no < st + p)""",
+        "f AS (SELECT p0.scene_id, any_value(n) / count(*)::DOUBLE AS scale FROM p0 JOIN t USING (scene_id) GROUP BY 1)",
+    ]
+    for i in range(ORACLE_DEPTH + 1):
+        parts += [
+            f"""a{i} AS (SELECT scene_id, path, count(*) AS c, max(x) - min(x) AS ex, max(y) - min(y) AS ey, max(z) - min(z) AS ez FROM p{i} GROUP BY ALL)""",
+            f"""b{i} AS (SELECT a.scene_id, path, c, c * scale AS est, CASE WHEN c * scale <= {TILE_ROWS} OR c < 2 OR greatest(ex, ey, ez) <= 0 THEN -1 WHEN ex >= ey AND ex >= ez THEN 0 WHEN ey >= ez THEN 1 ELSE 2 END AS axis FROM a{i} a JOIN f USING (scene_id))""",
+            f"""v{i} AS (SELECT p.*, axis, c, CASE axis WHEN 0 THEN x WHEN 1 THEN y ELSE z END AS v FROM p{i} p JOIN b{i} b USING (scene_id, path) WHERE axis >= 0)""",
+            f"""r{i} AS (SELECT scene_id, path, v AS split FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, path ORDER BY v) AS r FROM v{i}) WHERE r = c // 2 + 1)""",
+            f"""l{i} AS (SELECT scene_id, path, any_value(split) AS split, count(*) FILTER (v < split) AS less, count(*) FILTER (v <= split) AS upto FROM v{i} JOIN r{i} USING (scene_id, path) GROUP BY ALL)""",
+            f"""n{i} AS (SELECT b.scene_id, path, CASE WHEN axis >= 0 AND less = 0 AND upto = c THEN -1 ELSE axis END AS axis, CASE WHEN axis >= 0 AND NOT (less = 0 AND upto = c) THEN split END AS split,
+              CASE WHEN axis >= 0 AND NOT (less = 0 AND upto = c) THEN less = 0 END AS ties_left, CAST(floor(est + 0.5) AS BIGINT) AS est FROM b{i} b LEFT JOIN l{i} USING (scene_id, path))""",
+            f"""p{i + 1} AS (SELECT p.scene_id, x, y, z, path || CASE WHEN (CASE axis WHEN 0 THEN x WHEN 1 THEN y ELSE z END) < split OR (ties_left AND (CASE axis WHEN 0 THEN x WHEN 1 THEN y ELSE z END) = split) THEN 'L' ELSE 'R' END AS path
+              FROM p{i} p JOIN n{i} n USING (scene_id, path) WHERE axis >= 0)""",
+        ]
+    every = " UNION ALL ".join(f"SELECT * FROM n{i}" for i in range(ORACLE_DEPTH + 1))
+    parts.append(f"kd AS (SELECT *, CASE WHEN axis < 0 THEN row_number() OVER (PARTITION BY scene_id, axis < 0 ORDER BY path) - 1 END AS tile FROM ({every}))")
+    # rows to tiles: one step per level
+    parts.append("w0 AS (SELECT *, '' AS path FROM s)")
+    for i in range(ORACLE_DEPTH):
+        parts.append(f"""w{i + 1} AS (SELECT w.* EXCLUDE (path), w.path || CASE WHEN coalesce(axis, -1) < 0 THEN '' WHEN (CASE axis WHEN 0 THEN x WHEN 1 THEN y ELSE z END) < split OR (ties_left AND (CASE axis WHEN 0 THEN x WHEN 1 THEN y ELSE z END) = split) THEN 'L' ELSE 'R' END AS path
+          FROM w{i} w LEFT JOIN kd ON kd.scene_id = w.scene_id AND kd.path = w.path AND length(w.path) = {i})""")
+    parts.append(f"g AS (SELECT w.*, tile FROM w{ORACLE_DEPTH} w JOIN kd USING (scene_id, path) WHERE axis < 0)")
+    return "WITH " + ",\n".join(parts)
+
+
+KD = _kd_sql()
+O["plan_kd_tiles"] = f"{KD} SELECT scene_id, path, axis, round(split, 6) AS split, ties_left, CAST(tile AS INT) AS tile, est FROM kd"
+
+
+def _tiled(spark: SparkSession, d: str) -> DataFrame:
+    return cloud.assign_tile(splats(spark, d), _nodes(spark, d))
+
+
+@query
+def assign_tile(spark: SparkSession, d: str) -> DataFrame:
+    return _tiled(spark, d).select("scene_id", "record_no", "tile")
+
+
+O["assign_tile"] = f"{KD} SELECT scene_id, record_no, CAST(tile AS INT) AS tile FROM g"
+
+
+def _spread_sql(v: str) -> str:
+    for shift, mask in ((16, 0x030000FF), (8, 0x0300F00F), (4, 0x030C30C3), (2, 0x09249249)):
+        v = f"(({v} | ({v} << {shift})) & {mask})" if shift == 16 else f"(({v} | ({v} << {shift})) & {mask})"
+    return v
+
+
+def _morton_sql(source: str, by: str = "scene_id, tile") -> str:
+    """A chain of subqueries, so that each step of the bit spreading is written once."""
+    cells = ", ".join(f"CASE WHEN max({a}) OVER w > min({a}) OVER w THEN CAST(floor(({a} - min({a}) OVER w) * 1023.999::DOUBLE / (max({a}) OVER w - min({a}) OVER w)) AS BIGINT) ELSE 0 END AS i{a}" for a in AXES)
+    sql = f"SELECT *, {cells} FROM ({source}) WINDOW w AS (PARTITION BY {by})"
+    for shift, mask in ((16, 0x030000FF), (8, 0x0300F00F), (4, 0x030C30C3), (2, 0x09249249)):
+        sql = f"SELECT * REPLACE ({', '.join(f'((i{a} | (i{a} << {shift})) & {mask}) AS i{a}' for a in AXES)}) FROM ({sql})"
+    return f"SELECT * EXCLUDE (ix, iy, iz), CAST(ix | (iy << 1) | (iz << 2) AS INT) AS code FROM ({sql})"
+
+
+@query
+def morton_code(spark: SparkSession, d: str) -> DataFrame:
+    return cloud.morton_code(_tiled(spark, d)).select("scene_id", "tile", "record_no", "code")
+
+
+MORTON = _morton_sql("SELECT * EXCLUDE (path) FROM g")
+O["morton_code"] = f"{KD} SELECT scene_id, CAST(tile AS INT) AS tile, record_no, code FROM ({MORTON})"
+
+
+@query
+def zorder_first_rows(spark: SparkSession, d: str) -> DataFrame:
+    return cloud.zorder_rows(cloud.morton_code(_tiled(spark, d))).where("rank < 50").select("scene_id", "tile", "record_no", "rank")
+
+
+RANKED = f"SELECT *, row_number() OVER (PARTITION BY scene_id, tile ORDER BY code, record_no) - 1 AS rank, count(*) OVER (PARTITION BY scene_id, tile) AS n FROM ({MORTON})"
+O["zorder_first_rows"] = f"{KD} SELECT scene_id, CAST(tile AS INT) AS tile, record_no, rank FROM ({RANKED}) WHERE rank < 50"
+
+_W = "(1 / (1 + exp(-opacity))) * exp(scale_0 + scale_1 + scale_2)"
+_MERGED = f"""{KD}, m AS (SELECT *, {_W} AS w, {{grp}} AS grp FROM ({RANKED}))
+SELECT scene_id, CAST(tile AS INT) AS tile, grp AS record_no, count(*) AS merged, {", ".join(f"round(sum(w * {a}) / sum(w) + 1e-7, 4) AS {a}" for a in AXES)} FROM m GROUP BY scene_id, tile, grp"""
+
+
+@query
+def decimate_uniform(spark: SparkSession, d: str) -> DataFrame:
+    return lod.decimate(_tiled(spark, d)).select("scene_id", "tile", "record_no", "merged", *(F.round(F.col(a) + 1e-7, 4).alias(a) for a in AXES))
+
+
+O["decimate_uniform"] = _MERGED.format(grp="rank * greatest(1, CAST(floor(n * 0.5 + 0.5) AS BIGINT)) // n")
+
+
+@query
+def decimate_adaptive(spark: SparkSession, d: str) -> DataFrame:
+    t = _tiled(spark, d)
+    n = t.groupBy("scene_id", "tile").agg(F.count("*").alias("before"))
+    return lod.decimate(t, 0.5, "adaptive").groupBy("scene_id", "tile").agg(F.count("*").alias("after"), F.sum("merged").alias("merged")).join(n, ["scene_id", "tile"])
+
+
+O["decimate_adaptive"] = f"{KD} SELECT scene_id, CAST(tile AS INT) AS tile, greatest(1, CAST(floor(count(*) * 0.5 + 0.5) AS BIGINT)) AS after, count(*) AS merged, count(*) AS before FROM g GROUP BY ALL"
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    return lod.build_levels(_tiled(spark, d), 3)
+
+
+@query
+def level_counts(spark: SparkSession, d: str) -> DataFrame:
+    c = lod.level_counts(_levels(spark, d))
+    return c.select("scene_id", "lod", "tile", "n", *(F.round(f"{k}_{a}", 3).alias(f"{k}_{a}") for a in AXES for k in ("min", "max")))
+
+
+_NAMES = [*AXES, *lod.MEANS]
+_STEP = f"""SELECT scene_id, tile, CAST(grp AS BIGINT) AS record_no, {", ".join(f"sum(w * {c}) / sum(w) AS {c}" for c in _NAMES)}, sum(w) AS sw FROM (
+  SELECT *, {_W} AS w, rank * greatest(1, CAST(floor(n * 0.5 + 0.5) AS BIGINT)) // n AS grp FROM ({{ranked}})) GROUP BY scene_id, tile, grp"""
+_OPAQUE = "SELECT * EXCLUDE (sw), ln(p / (1 - p)) AS opacity FROM (SELECT *, least(1 - 1e-6, greatest(1e-6, sw / exp(scale_0 + scale_1 + scale_2))) AS p FROM ({step}))"
+
+
+def _rank_sql(source: str) -> str:
+    return f"SELECT *, row_number() OVER (PARTITION BY scene_id, tile ORDER BY code, record_no) - 1 AS rank, count(*) OVER (PARTITION BY scene_id, tile) AS n FROM ({_morton_sql(source)})"
+
+
+_BOUNDS = ", ".join(f"round({k}({a}), 3) AS {k}_{a}" for a in AXES for k in ("min", "max"))
+_LEVELS = f"{KD}, lod1 AS ({_OPAQUE.format(step=_STEP.format(ranked=RANKED))}), lod2 AS ({_OPAQUE.format(step=_STEP.format(ranked=_rank_sql('SELECT * EXCLUDE (p) FROM lod1')))})"
+O["level_counts"] = _LEVELS + " UNION ALL ".join(f" SELECT scene_id, {i} AS lod, CAST(tile AS INT) AS tile, count(*) AS n, {_BOUNDS} FROM {t} GROUP BY scene_id, tile" for i, t in enumerate(("g", "lod1", "lod2")))
+
+
+def _leaves(spark: SparkSession, d: str) -> DataFrame:
+    leaves = lod.lod_leaves(_levels(spark, d), 8.0, 60)
+    leaf = F.format_string("%012.3f/%08d/%08d/%08d", "edge", "cx", "cy", "cz")
+    return persisted(leaves.withColumn("leaf", leaf), "leaves")
+
+
+@query
+def lod_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """Leaves of the first level (edge, cell, rows), which the other levels' positions do not disturb."""
+    leaves = lod.lod_leaves(lod.build_levels(_tiled(spark, d), 1), 8.0, 60)
+    return leaves.select("scene_id", "tile", "edge", "cx", "cy", "cz", "n")
+
+
+def _leaves_sql() -> str:
+    parts = ["c0 AS (SELECT scene_id, tile, " + ", ".join(f"CAST(floor({a} / 8) AS BIGINT) AS c{a}" for a in AXES) + ", count(*) AS n FROM g GROUP BY ALL)"]
+    for i in range(12):
+        up = "0" if i == 11 else "CAST(floor(c{} / 2.0) AS BIGINT)"
+        parts.append(f"c{i + 1} AS (SELECT scene_id, tile, {', '.join((f'CAST(0 AS BIGINT)' if i == 11 else up.format(a)) + f' AS c{a}' for a in AXES)}, CAST(sum(n) AS BIGINT) AS n FROM c{i} WHERE n < 60 GROUP BY ALL)")
+    body = " UNION ALL ".join(f"SELECT scene_id, CAST(tile AS INT) AS tile, {8.0 * 2**i}::DOUBLE AS edge, cx, cy, cz, n FROM c{i}" + (" WHERE n >= 60" if i < 12 else "") for i in range(13))
+    return f"{KD}, {', '.join(parts)} {body}"
+
+
+O["lod_leaves"] = _leaves_sql()
+
+
+@query
+def pack_units(spark: SparkSession, d: str) -> DataFrame:
+    o = load(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("scene_id"), F.lit(0).alias("tile"), F.lit(0).alias("lod"), F.col("o_orderkey").alias("leaf"), (F.col("o_orderkey") % 100 + 1).alias("n"))
+    return lod.pack_units(o, 256).select("scene_id", "leaf", "unit", "offset")
+
+
+O["pack_units"] = """
+WITH RECURSIVE h AS (SELECT o_custkey AS s, o_orderkey AS leaf, o_orderkey % 100 + 1 AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+f AS (SELECT s, leaf, n, i, 0 AS unit, CAST(0 AS BIGINT) AS off FROM h WHERE i = 1
+  UNION ALL SELECT h.s, h.leaf, h.n, h.i, CASE WHEN f.off + f.n + h.n > 256 THEN f.unit + 1 ELSE f.unit END, CASE WHEN f.off + f.n + h.n > 256 THEN 0 ELSE f.off + f.n END FROM f JOIN h ON h.s = f.s AND h.i = f.i + 1)
+SELECT CAST(s AS VARCHAR) AS scene_id, leaf, CAST(unit AS BIGINT) AS unit, off AS offset FROM f"""
+
+
+@query
+def pack_groups(spark: SparkSession, d: str) -> DataFrame:
+    li = load(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("w"))
+    return folds.pack_groups(li, ["l_suppkey"], ["l_partkey"], "w", 7).groupBy("l_suppkey", "group_no").agg(F.sum("w").alias("w"), F.count("*").alias("items"))
+
+
+O["pack_groups"] = """
+WITH RECURSIVE k AS (SELECT l_suppkey, l_partkey, count(*) AS w FROM lineitem GROUP BY ALL), h AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS i FROM k),
+f AS (SELECT l_suppkey, i, w, CAST(0 AS BIGINT) AS g, w AS t FROM h WHERE i = 1
+  UNION ALL SELECT h.l_suppkey, h.i, h.w, CASE WHEN t + h.w > 7 THEN g + 1 ELSE g END, CASE WHEN t + h.w > 7 THEN h.w ELSE t + h.w END FROM f JOIN h ON h.l_suppkey = f.l_suppkey AND h.i = f.i + 1)
+SELECT l_suppkey, g AS group_no, CAST(sum(w) AS BIGINT) AS w, count(*) AS items FROM f GROUP BY ALL"""
+
+
+@query
+def renumber_units(spark: SparkSession, d: str) -> DataFrame:
+    li = load(spark, d, "lineitem").select(F.col("l_returnflag").alias("scene_id"), (F.col("l_suppkey") % 5).alias("tile"), (F.col("l_linenumber") % 3).alias("lod"), (F.col("l_partkey") % 7).alias("unit"), F.lit(1).alias("n"))
+    return lod.renumber_units(li)
+
+
+O["renumber_units"] = """
+WITH u AS (SELECT l_returnflag AS scene_id, l_suppkey % 5 AS tile, l_linenumber % 3 AS lod, l_partkey % 7 AS unit, count(*) AS rows FROM lineitem GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY scene_id, lod ORDER BY tile, unit) - 1 AS unit_no, row_number() OVER (PARTITION BY scene_id ORDER BY tile, lod, unit) - 1 AS file_index FROM u"""
+
+
+@query
+def rollup_bounds(spark: SparkSession, d: str) -> DataFrame:
+    nodes = _nodes(spark, d)
+    tiles = lod.level_counts(cloud.assign_tile(splats(spark, d), nodes).withColumn("lod", F.lit(0)))
+    return lod.rollup_bounds(tiles, nodes)
+
+
+O["rollup_bounds"] = f"""{KD},
+b AS (SELECT scene_id, path, count(*) AS n, {", ".join(f"{k}({a}) AS {k}_{a}" for a in AXES for k in ("min", "max"))} FROM g GROUP BY ALL),
+e AS (SELECT *, unnest(range(0, length(path) + 1)) AS depth FROM b)
+SELECT scene_id, substr(path, 1, depth) AS node, CAST(sum(n) AS BIGINT) AS n, max(depth = length(path)) AS leaf, {", ".join(f"{k}({k}_{a}) AS {k}_{a}" for a in AXES for k in ("min", "max"))}
+FROM e GROUP BY 1, 2 HAVING max(depth = length(path)) OR count(DISTINCT substr(path, depth + 1, 1)) = 2"""
+
+
+@query
+def quantize_positions(spark: SparkSession, d: str) -> DataFrame:
+    return lod.quantize(splats(spark, d), ["scene_id"]).select("scene_id", "record_no", *(f"{a}_{k}" for a in AXES for k in ("low", "high")))
+
+
+_LOGS = ", ".join(f"sign({a}) * ln(1 + abs({a})) AS l{a}" for a in AXES)
+_STEPS = ", ".join(f"CAST(floor((l{a} - min(l{a}) OVER w) / (max(l{a}) OVER w - min(l{a}) OVER w) * 65535 + 0.5) AS INT) AS q{a}" for a in AXES)
+O["quantize_positions"] = f"""SELECT scene_id, record_no, {", ".join(f"q{a} & 255 AS {a}_low, q{a} >> 8 AS {a}_high" for a in AXES)}
+FROM (SELECT scene_id, record_no, {_STEPS} FROM (SELECT *, {_LOGS} FROM ({SPLAT_SQL})) WINDOW w AS (PARTITION BY scene_id))"""
+
+
+@query
+def dequantize_error(spark: SparkSession, d: str) -> DataFrame:
+    return lod.quality(lod.dequantize(lod.quantize(splats(spark, d), ["scene_id"]))).select("scene_id", _r("rmse", 5), _r("span", 3), _r("psnr", 2))
+
+
+_BACK = ", ".join(f"lo{a} + q{a} / 65535::DOUBLE * (hi{a} - lo{a}) AS back_{a}" for a in AXES)
+_ENDS = ", ".join(f"min(l{a}) OVER w AS lo{a}, max(l{a}) OVER w AS hi{a}" for a in AXES)
+O["dequantize_error"] = f"""
+WITH q AS (SELECT *, {_STEPS}, {_ENDS} FROM (SELECT *, {_LOGS} FROM ({SPLAT_SQL})) WINDOW w AS (PARTITION BY scene_id)), b AS (SELECT *, {_BACK} FROM q),
+e AS (SELECT scene_id, sqrt(avg({" + ".join(f"pow(sign(back_{a}) * (exp(abs(back_{a})) - 1) - {a}, 2)" for a in AXES)})) AS rmse, greatest({", ".join(f"max({a}) - min({a})" for a in AXES)}) AS span FROM b GROUP BY 1)
+SELECT scene_id, round(rmse, 5) AS rmse, round(span, 3) AS span, round(20 * log10(span / rmse), 2) AS psnr FROM e"""
+
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    s = load(spark, d, "lineitem").select(F.col("l_returnflag").alias("scene_id")).distinct()
+    angle = F.ascii("scene_id") % 7 * 15.0
+    return s.select("scene_id", F.array(angle, F.lit(30.0), F.when(F.col("scene_id") == "N", float("nan")).otherwise(-20.0)).alias("rotation"), F.array(F.lit(1.0), F.lit(-2.0), F.lit(0.5)).alias("translation"))
+
+
+@query
+def transform_positions(spark: SparkSession, d: str) -> DataFrame:
+    return cloud.transform_splats(splats(spark, d), _turns(spark, d)).select("scene_id", "record_no", *(_r(a, 5) for a in AXES), *(_r(f"rot_{i}", 5) for i in range(4)))
+
+
+_TURNED = f"""
+a AS (SELECT *, radians(ascii(scene_id) % 7 * 15.0::DOUBLE) / 2 AS hx, radians(30.0::DOUBLE) / 2 AS hy, radians(CASE WHEN scene_id = 'N' THEN 0.0::DOUBLE ELSE -20.0::DOUBLE END) / 2 AS hz FROM ({SPLAT_SQL})),
+q AS (SELECT *, sin(hx) * cos(hy) * cos(hz) - cos(hx) * sin(hy) * sin(hz) AS qx, cos(hx) * sin(hy) * cos(hz) + sin(hx) * cos(hy) * sin(hz) AS qy,
+             cos(hx) * cos(hy) * sin(hz) - sin(hx) * sin(hy) * cos(hz) AS qz, cos(hx) * cos(hy) * cos(hz) + sin(hx) * sin(hy) * sin(hz) AS qw FROM a),
+t AS (SELECT scene_id, record_no, -qz AS rot_0, qy AS rot_1, -qx AS rot_2, qw AS rot_3,
+   -(1 - 2 * (qy * qy + qz * qz)) * x - 2 * (qx * qy - qz * qw) * y + 2 * (qx * qz + qy * qw) * z AS x,
+   -2 * (qx * qy + qz * qw) * x - (1 - 2 * (qx * qx + qz * qz)) * y + 2 * (qy * qz - qx * qw) * z AS y,
+   -2 * (qx * qz - qy * qw) * x - 2 * (qy * qz + qx * qw) * y + (1 - 2 * (qx * qx + qy * qy)) * z AS z FROM q)"""
+O["transform_positions"] = f"WITH {_TURNED} SELECT scene_id, record_no, round(x + 1, 5) AS x, round(y - 2, 5) AS y, round(z + 0.5, 5) AS z, {', '.join(f'round(rot_{i}, 5) AS rot_{i}' for i in range(4))} FROM t"
+
+
+@query
+def covariance3(spark: SparkSession, d: str) -> DataFrame:
+    c = cloud.covariance3(splats(spark, d))
+    return c.select("scene_id", "n", *(F.round(x, 2).alias(x) for x in c.columns[2:]))
+
+
+_E = {"x": "(-x)", "y": "(-y)", "z": "z"}
+O["covariance3"] = f"SELECT scene_id, count(*) AS n, {', '.join(f'round(avg({_E[a]}), 2) AS mean_{a}' for a in AXES)}, {', '.join(f'round(covar_pop({_E[a]}, {_E[b]}) * count(*), 2) AS c_{a}{b}' for a, b in ('xx', 'xy', 'xz', 'yy', 'yz', 'zz'))} FROM ({SPLAT_SQL}) GROUP BY 1"
+
+
+@query
+def quantile_at(spark: SparkSession, d: str) -> DataFrame:
+    s = splats(spark, d)
+    return cloud.quantile_at(s, "x", 0.98).withColumn("axis", F.lit("x")).unionByName(cloud.quantile_at(s, "z", 0.5).withColumn("axis", F.lit("z")))
+
+
+def _quantile_sql(source: str, column: str, q: float) -> str:
+    return f"SELECT scene_id, {column} AS value FROM (SELECT scene_id, {column}, row_number() OVER (PARTITION BY scene_id ORDER BY {column}) AS r, count(*) OVER (PARTITION BY scene_id) AS n FROM ({source})) WHERE r = CAST(floor({q}::DOUBLE * (n - 1)) AS BIGINT) + 1"
+
+
+O["quantile_at"] = f"SELECT *, 'x' AS axis FROM ({_quantile_sql(SPLAT_SQL, 'x', 0.98)}) UNION ALL SELECT *, 'z' AS axis FROM ({_quantile_sql(SPLAT_SQL, 'z', 0.5)})"
+
+
+@query
+def histogram_peak(spark: SparkSession, d: str) -> DataFrame:
+    return cloud.histogram_peak(splats(spark, d), "x").select("scene_id", "peak", "left", "right")
+
+
+O["histogram_peak"] = f"""
+WITH e AS (SELECT a.scene_id, a.value AS lo, (b.value - a.value) / 200 AS w FROM ({_quantile_sql(SPLAT_SQL, "x", 0.005)}) a JOIN ({_quantile_sql(SPLAT_SQL, "x", 0.995)}) b USING (scene_id)),
+h AS (SELECT s.scene_id, CAST(floor((x - lo) / w) AS BIGINT) AS bin, count(*) AS h FROM ({SPLAT_SQL}) s JOIN e USING (scene_id) GROUP BY ALL),
+g AS (SELECT scene_id, unnest(range(0, 200)) AS bin FROM e),
+m AS (SELECT g.scene_id, g.bin, avg(coalesce(h, 0)) OVER (PARTITION BY g.scene_id ORDER BY g.bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM g LEFT JOIN h ON h.scene_id = g.scene_id AND h.bin = g.bin),
+p AS (SELECT scene_id, bin AS peak, s AS height FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY s DESC, bin) AS r FROM m) WHERE r = 1)
+SELECT m.scene_id, peak, coalesce(max(bin) FILTER (s <= 0.1 * height AND bin < peak), 0) AS left, coalesce(min(bin) FILTER (s <= 0.1 * height AND bin > peak), 199) AS right FROM m JOIN p USING (scene_id) GROUP BY m.scene_id, peak"""
+
+
+@query
+def centre_translation(spark: SparkSession, d: str) -> DataFrame:
+    return cloud.centre_translation(splats(spark, d), _turns(spark, d))
+
+
+O["centre_translation"] = f"WITH {_TURNED}" + " SELECT scene_id, " + ", ".join(f"floor(-t{a}.value * 1000 + 0.5) / 1000 AS t{a}" for a in AXES) + f" FROM ({_quantile_sql('SELECT * FROM t', 'x', 0.5)}) tx JOIN ({_quantile_sql('SELECT * FROM t', 'y', 0.01)}) ty USING (scene_id) JOIN ({_quantile_sql('SELECT * FROM t', 'z', 0.5)}) tz USING (scene_id)"
+
+
+@query
+def auto_orient(spark: SparkSession, d: str) -> DataFrame:
+    return cloud.auto_orient(cloud.block_sample(splats(spark, d), 64, 256))
+
+
+@query
+def merge_moments(spark: SparkSession, d: str) -> DataFrame:
+    t = _tiled(spark, d)
+    ranked = lod._uniform(lod._ranked(t), 0.5)
+    merged = lod.merge_moments(lod.merge_groups(ranked, ["scene_id", "tile", "grp"]))
+    return merged.groupBy("scene_id", "tile").agg(F.count("*").alias("n"), *(F.round(F.avg(f"scale_{i}"), 4).alias(f"scale_{i}") for i in range(3)))
+
+
+@query
+def kmeans_step(spark: SparkSession, d: str) -> DataFrame:
+    labels, _ = lod.kmeans_palette(load(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "v", 8, 0, "vec_id")
+    return labels.groupBy("label").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
+
+
+O["kmeans_step"] = """
+WITH c AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS lab, embedding::DOUBLE[] AS c FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 8)),
+d AS (SELECT vec_id, lab, list_sum(list_transform(list_zip(embedding::DOUBLE[], c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM embeddings, c)
+SELECT CAST(label AS INT) AS label, count(*) AS n, min(vec_id) AS first FROM (SELECT vec_id, arg_min(lab, (d, lab)) AS label FROM d GROUP BY 1) GROUP BY 1"""
+
+
+@query
+def kmeans_palette(spark: SparkSession, d: str) -> DataFrame:
+    return lod.kmeans_palette(load(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "v", 8, 5, "vec_id")[1].select("label", "n", F.round(F.get("v", 0), 5).alias("first"))
+
+
+def _manifest(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """A manifest of line items (scene: return flag, level: line number), and one fault per scene."""
+    li = load(spark, d, "lineitem").where("l_linenumber <= 3").withColumn("lod", F.col("l_linenumber") - 1)
+    file = F.format_string("%d_%d", "lod", F.col("l_suppkey") % 3)
+    leaves = li.groupBy(F.col("l_returnflag").alias("scene_id"), "lod", file.alias("file"), (F.col("l_partkey") % 11).alias("leaf")).agg((F.count("*") * F.pow(F.lit(4), 2 - F.col("lod"))).cast("long").alias("n"))
+    from pyspark.sql import Window
+
+    offset = F.sum("n").over(Window.partitionBy("scene_id", "file").orderBy("leaf").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    leaves = persisted(leaves.withColumn("offset", offset), "manifest")
+    units = leaves.groupBy("scene_id", "file").agg(F.sum("n").alias("rows")).withColumn("files", F.array(F.lit("meta.json"), F.lit("means_l.webp")))
+    entries = units.select("scene_id", F.explode(F.transform("files", lambda f: F.concat("file", F.lit("/"), f))).alias("name"), F.col("rows").alias("size"))
+    entries = entries.unionByName(units.select("scene_id").distinct().select("scene_id", F.lit("lod-meta.json").alias("name"), F.lit(1).cast("long").alias("size")))
+    counts = leaves.groupBy("scene_id", "lod").agg(F.sum("n").alias("n")).groupBy("scene_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("lod", "n"))), lambda x: x["n"]).alias("counts"))
+    total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)
+    manifest = counts.select("scene_id", F.lit(1).alias("version"), total.alias("count"), "counts", F.size("counts").alias("lod_levels"))
+    # faults
+    entries = entries.where("NOT (scene_id = 'A' AND name = '0_1/meta.json')").unionByName(entries.where("scene_id = 'N' AND name = 'lod-meta.json'").withColumn("name", F.lit("stray.txt")))
+    units = units.withColumn("rows", F.when((F.col("scene_id") == "R") & (F.col("file") == "1_2"), F.col("rows") + 1).otherwise(F.col("rows"))).where("NOT (scene_id = 'A' AND file = '2_0')")
+    leaves = leaves.withColumn("offset", F.when((F.col("scene_id") == "N") & (F.col("file") == "2_1") & (F.col("leaf") == 5), F.col("offset") + 3).otherwise(F.col("offset")))
+    manifest = manifest.withColumn("version", F.when(F.col("scene_id") == "R", 2).otherwise(1)).withColumn("count", F.when(F.col("scene_id") == "A", F.col("count") - 1).otherwise(F.col("count")))
+    return manifest, leaves, units, entries
+
+
+@query
+def audit_rules(spark: SparkSession, d: str) -> DataFrame:
+    return audit.audit_manifest(*_manifest(spark, d)).select("scene_id", "level", "rule", "subject")
+
+
+O["audit_rules"] = """
+SELECT * FROM (VALUES ('A', 'error', 'V11', '0_1/meta.json'), ('A', 'error', 'V10', '2_0'), ('A', 'error', 'V5', 'count'), ('N', 'error', 'V1', 'stray.txt'), ('N', 'error', 'V12', '2_1'), ('R', 'error', 'V13', '1_2'), ('R', 'error', 'V3', 'version')) AS f(scene_id, level, rule, subject)
+WHERE scene_id IN (SELECT l_returnflag FROM lineitem)"""
+
+
+@query
+def running_offsets(spark: SparkSession, d: str) -> DataFrame:
+    p = load(spark, d, "pages").select((F.col("page_id") % 7).alias("path"), F.col("page_id").alias("seq"), F.concat(F.lit("d/"), (F.col("page_id") % 90).cast("string"), F.when(F.col("page_id") % 50 == 0, "/../x").otherwise(".txt")).alias("name"), F.length("html").cast("long").alias("size"))
+    return audit.running_offsets(p)
+
+
+O["running_offsets"] = """
+WITH p AS (SELECT page_id % 7 AS path, page_id AS seq, 'd/' || (page_id % 90) || CASE WHEN page_id % 50 = 0 THEN '/../x' ELSE '.txt' END AS name, length(html) AS size FROM pages)
+SELECT *, CAST(sum(30 + length(name) + size) OVER (PARTITION BY path ORDER BY seq) - (30 + length(name) + size) AS BIGINT) AS "offset", count(*) OVER (PARTITION BY path, name) > 1 AS duplicate, name LIKE '%/../%' AS bad_name, false AS zip64 FROM p"""
+
+
+@query
+def safe_members(spark: SparkSession, d: str) -> DataFrame:
+    p = load(spark, d, "pages")
+    name = F.when(F.col("page_id") % 4 == 0, F.format_string("reports/R-20240101-%04d.json", "page_id")).when(F.col("page_id") % 4 == 1, "reports.jsonl").when(F.col("page_id") % 4 == 2, "events-2024-01-01.json").otherwise(F.concat(F.lit("../"), F.col("url")))
+    entries = p.select(name.alias("name"), (F.length("html") * 1000).cast("long").alias("size"))
+    return logs.safe_members(entries).groupBy("kept").agg(F.count("*").alias("n"))
+
+
+O["safe_members"] = """SELECT CASE page_id % 4 WHEN 0 THEN length(html) * 1000 <= 3145728 WHEN 1 THEN length(html) * 1000 <= 268435456 WHEN 2 THEN length(html) * 1000 <= 4194304 ELSE false END AS kept, count(*) AS n FROM pages GROUP BY 1"""
+
+
+@query
+def compare_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    s = splats(spark, d)
+    moved = s.withColumn("x", F.col("x") + F.when(F.col("scene_id") == "A", 5.0).otherwise(0.001))
+    return audit.compare_quantiles(s, moved, [0.1, 0.9], 0.01, ("x",)).select("scene_id", "axis", "q", _r("a"), _r("b"), "equal")
+
+
+_PAIR = " UNION ALL ".join(f"SELECT scene_id, 'x' AS axis, {q}::DOUBLE AS q, value AS a, value + CASE WHEN scene_id = 'A' THEN 5.0::DOUBLE ELSE 0.001::DOUBLE END AS b FROM ({_quantile_sql(SPLAT_SQL, 'x', q)})" for q in (0.1, 0.9))
+O["compare_quantiles"] = f"SELECT scene_id, axis, q, round(a, 6) AS a, round(b, 6) AS b, scene_id <> 'A' AS equal FROM ({_PAIR})"
+
+
+@query
+def compare_manifests(spark: SparkSession, d: str) -> DataFrame:
+    p = load(spark, d, "pages").select(F.col("url").alias("name"), F.crc32(F.col("html").cast("binary")).alias("crc"), "page_id").dropDuplicates(["name"])
+    b = p.where("length(name) % 10 <> 4").withColumn("crc", F.when(F.length("name") % 7 == 0, F.col("crc") + 1).otherwise(F.col("crc")))
+    return audit.compare_manifests(p.where("length(name) % 10 <> 3"), b)
+
+
+O["compare_manifests"] = """SELECT DISTINCT url AS name, CASE WHEN length(url) % 10 = 3 THEN 'added' WHEN length(url) % 10 = 4 THEN 'gone' ELSE 'changed' END AS change FROM pages WHERE length(url) % 10 IN (3, 4) OR length(url) % 7 = 0"""
+
+
+@query
+def ply_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The splat view written as PLY parts, triaged and read back; counts and sums must agree with the view."""
+    import tempfile
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    folder = base.removeprefix("file://").rstrip("/") + "/ply-" + tempfile.mktemp(dir="").strip("/")
+    rows = cloud.keep_splat_columns(splats(spark, d)).repartition(4, "record_no")
+    paths = [r["path"] for r in ply.write_ply_parts(rows, folder).collect()]  # a row per file
+    spark.dataSource.register(ply.SplatPly)
+    back = spark.read.format("splat_ply").option("path", folder + "/*.ply").option("records_per_split", 20_000).load()
+    checked = ply.triage_inputs(spark, paths).agg(F.count_if("ok").alias("files"), F.sum("n").alias("declared"))
+    return back.agg(F.count("*").alias("n"), F.round(F.sum(F.col("y").cast("double")), 1).alias("y"), F.round(F.sum(F.col("z").cast("double")), 1).alias("z")).crossJoin(checked)
+
+
+O["ply_round_trip"] = "SELECT count(*) AS n, round(sum(l_quantity), 1) AS y, round(sum(l_partkey % 1000)::DOUBLE, 1) AS z, CAST(4 AS BIGINT) AS files, count(*) AS declared FROM lineitem"
