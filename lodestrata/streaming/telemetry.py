@@ -16,6 +16,15 @@ from lodestrata.sources.logs import append_jsonl, write_daily_totals
 LATE = "2 days"
 
 
+def _timed(rows: DataFrame) -> DataFrame:
+    """Rows with an event time from ``at`` (seconds), so that state ends when the watermark passes it."""
+    return rows.withColumn("ts", F.timestamp_seconds("at")).withWatermark("ts", LATE)
+
+
+def _until(state: GroupState, seconds: float) -> None:
+    state.setTimeoutTimestamp(max(int(seconds * 1000), state.getCurrentWatermarkMs() + 1))
+
+
 def clean_events(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stateless: as in batch."""
     return telemetry.clean_events(raw)
@@ -56,10 +65,10 @@ def dedup_errors(reports: DataFrame, seconds: float = 86_400.0) -> DataFrame:
             else:
                 out.append((int(own), first[1]))
         state.update(first)
-        state.setTimeoutDuration(int(seconds * 1000))
+        _until(state, first[0] + seconds)
         yield pd.DataFrame(out, columns=["id", "repeat_of"]).astype({"repeat_of": "Int64"})
 
-    return reports.groupBy("key").applyInPandasWithState(fold, "id long, repeat_of long", "at double, first long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return _timed(reports).groupBy("key").applyInPandasWithState(fold, "id long, repeat_of long", "at double, first long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def rate_limit(hits: DataFrame, limit: int, window: float) -> DataFrame:
@@ -81,10 +90,10 @@ def rate_limit(hits: DataFrame, limit: int, window: float) -> DataFrame:
             now = (begin, count + int(allowed), before)
             out.append((int(own), allowed))
         state.update(now)
-        state.setTimeoutDuration(int(2000 * window))
+        _until(state, now[0] + 2 * window)
         yield pd.DataFrame(out, columns=["id", "allowed"])
 
-    return hits.groupBy("key").applyInPandasWithState(fold, "id long, allowed boolean", "begin double, count long, before long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return _timed(hits).groupBy("key").applyInPandasWithState(fold, "id long, allowed boolean", "begin double, count long, before long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def consent_gate(events: DataFrame) -> DataFrame:

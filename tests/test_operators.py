@@ -179,7 +179,7 @@ def _run(out, name, tmp_path):
 
 
 def test_streams_equal_batches(spark, tmp_path):
-    rows = spark.range(300).select(F.concat(F.lit("k"), (F.col("id") % 5).cast("string")).alias("key"), F.col("id"), (F.col("id") * 700).cast("double").alias("at"))
+    rows = spark.range(300).select(F.concat(F.lit("k"), (F.col("id") % 5).cast("string")).alias("key"), F.col("id"), (F.col("id") * 700 + 1_700_000_000).cast("double").alias("at"))
     src = _stream(spark, rows.orderBy("at").coalesce(1), str(tmp_path / "in"), 1)
     _run(streams.dedup_errors(src, 20_000), "dedup", tmp_path)
     want = {r["id"]: r["repeat_of"] for r in folds.dedup_window(rows, ["key"], 20_000).collect()}
