@@ -43,6 +43,10 @@ def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def _all_grams(text: Column, n: int) -> Column:
+    return let(_hashes(words(text)), lambda h: F.when(F.size(h) >= n, _grams(h, n)))
+
+
 def _fingerprints(words: Column) -> Column:
     """The packed fingerprints of a text's words; null under ``SPAN`` words."""
     return let(_hashes(words), lambda h: F.when(F.size(h) >= SPAN, let(_packed(h), _kept)))
@@ -67,8 +71,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = [_unpacked(base, "doc_id", "text_key").join(prints, "key")]
     for n in lengths:
         short = tagged.where(F.size("words") == n).select("item_id", "item_key", F.get(_grams(_hashes(F.col("words")), n), 0).alias("key"), F.lit(0).alias("item_at"))
-        grams = let(_hashes(words(F.col("text"))), lambda h, n=n: F.when(F.size(h) >= n, _grams(h, n)))
-        rows = texts.select("doc_id", "text_key", F.posexplode_outer(grams).alias("at", "key"))
+        rows = texts.select("doc_id", "text_key", F.posexplode_outer(_all_grams(F.col("text"), n)).alias("at", "key"))
         pairs.append(rows.join(materialise(short, "prints"), "key"))
     found = None
     for p in pairs:

@@ -157,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), flat], ["doc_id", "label", "x"])
 
     got = texts.mapInArrow(measured, "doc_id long, label int, x array<float>").toPandas().sort_values("doc_id", kind="stable")
-    x = np.array(got["x"].tolist(), dtype=np.float32).reshape(len(got), -1)
+    x = np.array(got["x"].tolist(), dtype=np.float32) if len(got) else np.zeros((0, 1), np.float32)
     return fit(x, got["label"].to_numpy().astype(float))
 
 
