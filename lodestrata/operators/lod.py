@@ -250,3 +250,41 @@ def kmeans_palette(df: DataFrame, vec: str, k: int, iterations: int = 10, row: s
     table = df.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], f"label int, {vec} array<double>")
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     return labels.select(row, "label"), table.join(sizes, "label", "left").fillna(0, "n")
+
+
+BYTES = ["scale_0", "scale_1", "scale_2", "f_dc_0", "f_dc_1", "f_dc_2", "opacity"]
+QUATERNION = [f"rot_{i}" for i in range(4)]
+
+
+def quantize_attributes(df: DataFrame, by: list[str]) -> DataFrame:
+    """Scale, colour and opacity of a unit as bytes of 255 equal steps (b_<name>, bounds lo_/hi_<name>), and the quaternion
+    as its three smaller parts in bytes (b_rot_0..2, in order) and the index of the greatest (b_rot_at)."""
+    names = [c for c in BYTES if c in df.columns]
+    bounds = df.groupBy(*by).agg(*(f(c).alias(f"{k}_{c}") for c in names for k, f in (("lo", F.min), ("hi", F.max))))
+    out = df.join(bounds, by)
+    for c in names:
+        extent = F.col(f"hi_{c}") - F.col(f"lo_{c}")
+        out = out.withColumn(f"b_{c}", F.when(extent > 0, S.nearest((F.col(c) - F.col(f"lo_{c}")) / extent * 255)).otherwise(0).cast("int"))
+    size = F.sqrt(sum((F.col(q) * F.col(q) for q in QUATERNION[1:]), F.col("rot_0") * F.col("rot_0")))
+    parts = F.array(*(F.col(q) / size for q in QUATERNION))
+    at = F.array_position(F.transform(parts, F.abs), F.array_max(F.transform(parts, F.abs))).cast("int") - 1
+    out = out.withColumn("__q", parts).withColumn("b_rot_at", at)
+    rest = F.filter("__q", lambda _, i: i != F.col("b_rot_at"))
+    sign = F.when(F.get("__q", "b_rot_at") < 0, -1.0).otherwise(1.0)
+    for i in range(3):
+        out = out.withColumn(f"b_rot_{i}", S.nearest((F.get(rest, i) * sign * F.lit(2**0.5) + 1) / 2 * 255).cast("int"))
+    return out.drop("__q")
+
+
+def dequantize_attributes(df: DataFrame) -> DataFrame:
+    """d_<name> for each quantised attribute, within half a step; quaternions of unit length with the greatest part positive."""
+    out = df
+    for c in (c for c in BYTES if f"b_{c}" in df.columns):
+        out = out.withColumn(f"d_{c}", F.col(f"lo_{c}") + F.col(f"b_{c}") / 255 * (F.col(f"hi_{c}") - F.col(f"lo_{c}")))
+    small = [(F.col(f"b_rot_{i}") / 255 * 2 - 1) / F.lit(2**0.5) for i in range(3)]
+    great = F.sqrt(F.greatest(F.lit(0.0), 1 - sum((v * v for v in small[1:]), small[0] * small[0])))
+    for i in range(4):
+        before = small[i - 1] if i else F.lit(None).cast("double")
+        after = small[i] if i < 3 else F.lit(None).cast("double")
+        out = out.withColumn(f"d_rot_{i}", F.when(F.col("b_rot_at") == i, great).when(F.col("b_rot_at") < i, before).otherwise(after))
+    return out

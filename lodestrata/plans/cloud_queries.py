@@ -331,6 +331,21 @@ e AS (SELECT scene_id, sqrt(avg({" + ".join(f"pow(sign(back_{a}) * (exp(abs(back
 SELECT scene_id, round(rmse, 5) AS rmse, round(span, 3) AS span, round(20 * log10(span / rmse), 2) AS psnr FROM e"""
 
 
+@query
+def quantize_attributes(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes of attributes and of turned quaternions, and how far the inverse is off in steps."""
+    turned = cloud.transform_splats(splats(spark, d), _turns(spark, d))
+    back = lod.dequantize_attributes(lod.quantize_attributes(turned, ["scene_id"]))
+    off = F.greatest(*(F.abs(F.col(f"d_{c}") - F.col(c)) for c in ("scale_0", "scale_2", "f_dc_0", "f_dc_2")))
+    dot = F.abs(sum((F.col(f"d_rot_{i}") * F.col(f"rot_{i}") for i in range(4)), F.lit(0.0)))
+    return back.select("scene_id", "record_no", "b_scale_0", "b_f_dc_2", "b_rot_at", (off < 0.01).alias("near"), (dot > 0.999).alias("same_turn"))
+
+
+_BYTE_OF = "CAST(floor(({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) * 255 + 0.5) AS INT)"
+O["quantize_attributes"] = f"""SELECT scene_id, record_no, {_BYTE_OF.format(c="scale_0")} AS b_scale_0, {_BYTE_OF.format(c="f_dc_2")} AS b_f_dc_2, 3 AS b_rot_at, true AS near, true AS same_turn
+FROM ({SPLAT_SQL}) WINDOW w AS (PARTITION BY scene_id)"""
+
+
 def _turns(spark: SparkSession, d: str) -> DataFrame:
     s = load(spark, d, "lineitem").select(F.col("l_returnflag").alias("scene_id")).distinct()
     angle = F.ascii("scene_id") % 7 * 15.0
