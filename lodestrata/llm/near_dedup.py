@@ -248,7 +248,8 @@ def near_links(docs: DataFrame, signed: DataFrame, classes: DataFrame) -> DataFr
     size = cluster.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     members = materialise(cluster.join(size, "label").join(classes.select("cid", "rep", "set_key"), "cid"), "clusters")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(members, texts["doc_id"].eqNullSafe(members["rep"])).select("label", "n", "cid", "set_key", "text")
+    # members grow with the corpus, so they are never broadcast, whatever their size here
+    texts = texts.join(members.hint("merge"), texts["doc_id"].eqNullSafe(members["rep"])).select("label", "n", "cid", "set_key", "text")
     texts = _in_blocks(texts, "n", SET_BLOCK).drop("n").repartition("label", "left", "right").sortWithinPartitions("label", "left", "right")
     return materialise(texts.mapInArrow(_confirm, EDGES), "links")
 
