@@ -8,8 +8,9 @@ Ranks are given to positions, at growing lengths, and only positions whose rank
    depends on the string alone, so equal strings have equal anchors at equal offsets. An anchor's first rank names
    its 16 bytes. Ranks that no other document has are dropped.
 2. The second rank of an anchor names the context of all strings it stands for (50 to 84 bytes). The least document
-   of each context is its leader; in all others every string of the context is repeated. Anchors whose first rank
-   has one context only are finished.
+   of each context is its leader; in all others every string of the context is repeated. Length doubles on the way:
+   a string reaches 17 bytes beyond its anchor on one side at least, so leaders go on only if another context of
+   their first rank agrees with them in the 33 bytes to the right or to the left.
 3. The strings of the remaining leaders get ranks of SPAN bytes each: those with a smaller document are repeated.
 
 Texts are packed once into chunks in the shared folder. Each round is a sort of (rank, document) pairs by Spark: a
@@ -40,6 +41,8 @@ from lodestrata.llm.storage import materialise, shared_dir
 
 #: Length of the strings that count, and of an anchor.
 SPAN, GRAM = 50, 16
+#: Of the bytes of a string that are not its anchor's, at least this many lie on one side.
+REACH = (SPAN - GRAM) // 2
 #: Bytes of text in a chunk (a longer document is a chunk of its own); ranks that a bucket gets on average.
 CHUNK_BYTES, BUCKET_RANKS = 2_000_000, 1_500_000
 #: Anchors for each byte of random text: two for SPAN - GRAM + 2 places.
@@ -73,9 +76,10 @@ class Chunk:
 
 @dataclass
 class Anchors:
-    """By anchor: document id, first and last string start, first rank, second rank; ``prefix`` hashes the chunk."""
+    """By anchor: document id, place, first and last string start, first and second rank; ``prefix`` hashes the chunk."""
 
     doc: np.ndarray
+    at: np.ndarray
     low: np.ndarray
     high: np.ndarray
     rank: np.ndarray
@@ -101,7 +105,22 @@ def anchors(chunk: Chunk) -> Anchors:
     low, high, at = start[first], start[last], at[first]
     rank = tb.span_hash(prefix, at, at + GRAM)
     context = tb.mix(tb.span_hash(prefix, low, high + SPAN) ^ rank * tb.U64(3))
-    return Anchors(chunk.ids[doc[first]], low, high, rank, context, prefix)
+    return Anchors(chunk.ids[doc[first]], at, low, high, rank, context, prefix)
+
+
+def sides(a: Anchors, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit ranks of the anchor with the REACH bytes after it and before it; 0 where no string of it reaches so far."""
+    at, low, end = a.at[some], a.low[some], a.high[some] + SPAN
+    right, left = at + GRAM + REACH <= end, at - REACH >= low
+    after = tb.span_hash(a.prefix, np.where(right, at, 0), np.where(right, at + GRAM + REACH, 0)) >> tb.U64(32) | tb.U64(1)
+    before = tb.span_hash(a.prefix, np.where(left, at - REACH, 0), np.where(left, at + GRAM, 0)) >> tb.U64(32) | tb.U64(1)
+    return np.where(right, after, 0).astype("<u4"), np.where(left, before, 0).astype("<u4")
+
+
+def _shared(group: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Which contexts share a side with another context of their group."""
+    _, inverse, count = np.unique(group.astype(np.uint64) << tb.U64(32) | side, return_inverse=True, return_counts=True)
+    return (count[inverse] > 1) & (side > 0)
 
 
 def _least(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -211,25 +230,27 @@ class _Job:
             context, where = np.unique(a.context[hit], return_index=True)
             _, doc, _ = _least(a.context[hit], a.doc[hit])
             rank = a.rank[hit][where]
+            after, before = sides(a, hit[where])
             out = ([], [], [])
             for bucket, some in _split(self.bucket(rank)):
                 some = some[np.argsort(doc[some], kind="stable")]
-                for i, x in enumerate((bucket, chunk, _pack(rank=rank[some], context=context[some], doc=doc[some]))):
+                for i, x in enumerate((bucket, chunk, _pack(rank=rank[some], context=context[some], doc=doc[some], after=after[some], before=before[some]))):
                     out[i].append(x)
             yield _rows(*out)
 
     def share_contexts(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, part in _parts(batches, "bucket"):
-            got = [_unpack(x, "<u8", "<u8", "<i8") for x in part["body"].to_pylist()]
-            rank, context, doc = (np.concatenate(x) for x in zip(*got, strict=True))
+            got = [_unpack(x, "<u8", "<u8", "<i8", "<u4", "<u4") for x in part["body"].to_pylist()]
+            rank, context, doc, after, before = (np.concatenate(x) for x in zip(*got, strict=True))
             source = np.repeat(np.arange(len(got)), [len(x[0]) for x in got])
             order = np.lexsort([doc, context, rank])
             rank, context, doc, source = rank[order], context[order], doc[order], source[order]
             run, group = _runs(context), _runs(rank)
             head = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1])
             follows = doc > doc[head][run]
-            kinds = np.bincount(group[head])[group] > 1
-            status = follows.astype(np.uint8) | kinds.astype(np.uint8) << np.uint8(1)
+            some = order[head]
+            kin = (_shared(group[head], after[some]) | _shared(group[head], before[some]))[run]
+            status = follows.astype(np.uint8) | kin.astype(np.uint8) << np.uint8(1)
             chunks, out = part["chunk"].to_pylist(), ([], [], [])
             for s, some in _split(source):
                 some = some[status[some] > 0]
