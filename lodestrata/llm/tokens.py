@@ -1,15 +1,21 @@
 """Token-ID output in training order.
 
 Texts are tokenised and cut into sequences of at most ``LENGTH`` tokens (each document ends with an end mark). A
-keyed Feistel permutation with cycle-walking sends the number of a sequence, (doc_id - least id) * most pieces +
-piece, to a place in a space known before any text is tokenised, so one pass over the texts and one shuffle are
-enough. Ranges of places are the shards: a task sorts its shard by place and writes it as fixed-stride records of
-LENGTH little-endian 16-bit ids, padded. A sequence's slot is its shard's first slot (a running sum over the shard
+keyed Feistel permutation with cycle-walking sends the number of a sequence, ((doc_id - least id) * most rows of an
+id + occurrence) * most pieces + piece, to a place in a space known before any text is tokenised, so one pass over the
+texts and one shuffle are enough. Ranges of places are the shards: a task sorts its shard by place and writes it as
+fixed-stride records of LENGTH little-endian 16-bit ids, padded. A sequence's slot is its shard's first slot (a running sum over the shard
 table) plus its position, so a reader can seek to any slot and go on from there.
 
+The rows of one doc_id are numbered by occurrence, so repeated documents are spread like any others. Spark counts
+the rows of each id by partition; running sums over the partitions give the first occurrence of a partition, and its
+task counts on from there. Only ids with several rows are looked up, in the task's own part of that table. Both
+passes must see the same partitions: an input that comes out of a shuffle is written down first.
+
 Shard files get names of their own under the shared folder; only those in the manifest that Spark commits count.
-Defined results: null and empty texts are one sequence with the end mark only; rows that repeat a doc_id get the
-same places, ordered by their tokens; a null doc_id counts as the least id; an empty table gives no sequences;
+Defined results: null and empty texts are one sequence with the end mark only; rows that
+repeat a doc_id get places of their own (equal rows the same ones however they are stored; rows of one id with unlike
+texts are numbered as they are stored); a null doc_id counts as the least id; an empty table gives no sequences;
 extra columns are ignored.
 """
 
@@ -24,6 +30,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,35 +82,85 @@ def load_ranks(path: str = RANKS) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+class Occurrences:
+    """Occurrence numbers for the rows of one partition, given in order: from a table's part, (doc_id, first, n)."""
+
+    def __init__(self, table: str, partition: int):
+        fs, path = pafs.FileSystem.from_uri(f"{table}/part={partition}")
+        found = [f.path for f in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".parquet")]
+        parts = []
+        for name in found:
+            with fs.open_input_file(name) as file:
+                parts.append(pq.ParquetFile(file).read(columns=["doc_id", "first", "n"]))
+        ids, first, n = (np.concatenate([np.zeros(0, np.int64), *(x[c].to_numpy() for x in parts)]) for c in ("doc_id", "first", "n"))
+        order = np.argsort(ids)
+        self.ids, self.next, self.end = ids[order], first[order], (first + n)[order]
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(ids), dtype=np.int64)
+        if not len(self.ids):
+            return out
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        hit = np.flatnonzero(self.ids[at] == ids)
+        hit = hit[np.argsort(at[hit], kind="stable")]
+        kind, start, count = np.unique(at[hit], return_index=True, return_counts=True)
+        out[hit] = self.next[at[hit]] + np.arange(len(hit)) - np.repeat(start, count)
+        self.next[kind] += count
+        return out
+
+    def finish(self) -> None:
+        if (self.next != self.end).any():
+            raise RuntimeError("the input gave other partitions on its second reading; write it as a table first")
+
+
+def occurrences(rows: DataFrame) -> tuple[str, int]:
+    """Where the table of first occurrences by partition is, ids with several rows only; and the most rows of an id."""
+    counts = rows.groupBy(F.spark_partition_id().alias("part"), "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    one = Window.partitionBy("doc_id")  # a row per partition at most
+    counts = counts.withColumn("total", F.sum("n").over(one)).where("total > 1").withColumn("first", F.sum("n").over(one.orderBy("part")) - F.col("n"))
+    path = shared_dir(rows.sparkSession, "occurrences")
+    counts.repartition("part").write.partitionBy("part").parquet(path)
+    schema = "doc_id long, n long, total long, first long, part int"
+    return path, rows.sparkSession.read.schema(schema).parquet(path).agg(F.max("total")).first()[0] or 1
+
+
 def write_training_order(docs: DataFrame, folder: str, ranks: dict[bytes, int], key: bytes = b"order", length: int = LENGTH) -> DataFrame:
     """Write shards under ``folder``; returns the manifest: MANIFEST's columns and slot."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(None)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        rows = materialise(rows, "documents")
     facts = rows.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text")), F.sum(F.octet_length("text").cast("long")), F.count(F.lit(1))).first()
     low, high, longest, total, n = (x or 0 for x in facts)
+    rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(low)))
+    firsts, most = occurrences(rows)
     pieces = (longest + 1 + length - 1) // length  # a token has a byte at least
-    wide = (high - low + 1) * pieces > 1 << 62
-    domain = 1 << 62 if wide else max(1, (high - low + 1) * pieces)
+    wide = (high - low + 1) * most * pieces > 1 << 62
+    domain = 1 << 62 if wide else max(1, (high - low + 1) * most * pieces)
     shards = max(1, min(-(-int(2 * (DENSITY * total + n * length / 2)) // SHARD_BYTES), domain))
     width = -(-domain // shards)
 
-    def place(ids: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    def place(ids: np.ndarray, occurrence: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        inner = occurrence.astype(np.uint64) * np.uint64(pieces) + piece.astype(np.uint64)
         if wide:  # ids too far apart to number: hashed, equal places are ties
-            number = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ piece.astype(np.uint64)) >> np.uint64(2)
+            number = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            number = ((number ^ (number >> np.uint64(29)) ^ inner) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(2)
         else:
-            number = (ids - low).astype(np.uint64) * np.uint64(pieces) + piece.astype(np.uint64)
+            number = (ids - low).astype(np.uint64) * np.uint64(most * pieces) + inner
         return feistel(number, domain, key)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, pack = _encoder(ranks).encode_ordinary, zstandard.ZstdCompressor(level=3).compress
+        seen = Occurrences(firsts, TaskContext.get().partitionId())
         for b in batches:
-            ids = b.column(0).fill_null(low).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            occurrence = seen.of(ids)
             lists = [np.array([*encode(x), END], dtype="<u2") for x in b.column(1).to_pylist()]
             size = np.array([len(x) for x in lists], dtype=np.int64)
             count = -(-size // length)
             doc = np.repeat(np.arange(len(lists)), count)
             piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
             held = np.minimum(size[doc] - piece * length, length)
-            at = place(ids[doc], piece)
+            at = place(ids[doc], occurrence[doc], piece)
             shard = (at // np.uint64(width)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             found = {"shard": [], "head": [], "body": []}
@@ -114,6 +172,7 @@ def write_training_order(docs: DataFrame, folder: str, ranks: dict[bytes, int],
                 found["head"].append(pack(head.astype("<i8").tobytes()))
                 found["body"].append(pack(body.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(found["shard"], pa.int64()), pa.array(found["head"], pa.binary()), pa.array(found["body"], pa.binary())], ["shard", "head", "body"])
+        seen.finish()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress

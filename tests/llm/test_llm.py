@@ -259,6 +259,32 @@ def test_training_order_round_trip(docs, rows, empty):
     assert tokens.training_order(empty).count() == 0
 
 
+@pytest.mark.parametrize("stored", [True, False])
+def test_training_order_spreads_repeated_documents(spark, tmp_path, monkeypatch, stored):
+    monkeypatch.setattr(tokens, "SHARD_BYTES", 20_000)
+    made = [(i, f"t{i}") for i in range(300)] + [(7, "hot")] * 150 + [(None, "")] * 40
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(6)
+    if stored:
+        docs.write.parquet(f"{tmp_path}/docs")
+        docs = spark.read.parquet(f"{tmp_path}/docs")
+    out = tokens.write_training_order(docs, shared_dir(spark, "shards"), tokens.load_ranks()).orderBy("slot").toPandas()
+    assert len(out) == len(made) and list(out["slot"]) == list(range(len(made)))
+    assert out["place"].is_unique
+    hot, held = out[out.doc_id == 7], out.groupby("shard").size()
+    assert len(hot) == 151 and hot["shard"].nunique() == len(held) > 5 and held.max() < 3 * len(made) / len(held)
+    assert (np.diff(hot["slot"]) == 1).mean() < 0.6
+    again = tokens.write_training_order(docs.repartition(3), shared_dir(spark, "shards"), tokens.load_ranks(), length=512)
+    first = lambda o: sorted(zip(o["place"], o["sha256"]))
+    got = again.where("doc_id not in (0, 7)").toPandas()
+    assert first(got) == first(out[~out.doc_id.isin([0, 7])])
+
+
+def test_training_order_of_ids_far_apart(spark):
+    made = [(-(1 << 62), "a"), (1 << 62, "b")] + [(5, "c")] * 50
+    out = tokens.write_training_order(spark.createDataFrame(made, "doc_id long, text string"), shared_dir(spark, "shards"), tokens.load_ranks()).toPandas()
+    assert len(out) == len(made) and out["place"].is_unique
+
+
 @pytest.mark.parametrize(("module", "column"), [(quality, "quality"), (toxicity, "toxic")])
 def test_classifiers(spark, docs, rows, empty, module, column):
     labels = spark.read.parquet(f"{SF}/../sf0.01/labels.parquet")
