@@ -7,7 +7,8 @@ word by word on its diagonal, which removes chance collisions. Items under 10 wo
 found by n-grams of their own length.
 
 Defined results: null or empty texts have no words and no hits; of repeated rows each is reported; an item_id that
-occurs twice counts once; an empty table gives an empty result; extra columns are ignored.
+occurs twice counts once; null item_ids count as one item, which hits like any other but adds no name to items_sha256;
+an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -85,7 +86,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hit_texts = hit_texts.select("doc_id", "text_key", words(F.col("text")).alias("words"))
     both = found.join(hit_texts, same(found, hit_texts)).select(found["*"], hit_texts["words"].alias("dw"))
     item_words = tagged.select(F.col("item_id").alias("__item"), F.col("item_key").alias("__key"), F.col("words").alias("iw"))
-    both = both.join(item_words, (both["item_id"] == item_words["__item"]) & (both["item_key"] == item_words["__key"]))
+    both = both.join(item_words, both["item_id"].eqNullSafe(item_words["__item"]) & (both["item_key"] == item_words["__key"]))
     first = F.greatest(F.lit(0), -F.col("shift"))  # the part of the item that lies inside the document
     count = F.least(F.size("iw"), F.size("dw") - F.col("shift")) - first
     both = both.select("doc_id", "text_key", "item_id", (F.col("shift") + first).alias("start"), F.least(F.size("iw"), F.lit(SPAN)).alias("n"), F.slice("dw", F.col("shift") + first + 1, count).alias("d"), F.slice("iw", first + 1, count).alias("i"))
@@ -100,14 +101,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     runs = materialise(runs.select("doc_id", "text_key", "item_id", places.alias("places")), "runs")
 
     hit = runs.select("doc_id", "text_key", F.explode_outer("places").alias("place")).distinct().groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n_hit"))
-    named = runs.select("doc_id", "text_key", "item_id").distinct().groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
+    named = runs.select("doc_id", "text_key", "item_id").distinct().groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n_items"), F.sort_array(F.collect_list("item_id")).alias("items"))
     hit = hit.select(F.col("doc_id").alias("hid"), F.col("text_key").alias("hkey"), "n_hit")
-    named = named.select(F.col("doc_id").alias("nid"), F.col("text_key").alias("nkey"), "items")
+    named = named.select(F.col("doc_id").alias("nid"), F.col("text_key").alias("nkey"), "n_items", "items")
     base = base.select("doc_id", "text_key", "n_words")
     out = base.join(hit, F.col("doc_id").eqNullSafe(F.col("hid")) & (F.col("text_key") == F.col("hkey")), "left")
     out = out.join(named, F.col("doc_id").eqNullSafe(F.col("nid")) & (F.col("text_key") == F.col("nkey")), "left")
     return out.select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), "text_key",
     )
 

@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -190,6 +191,20 @@ def test_decontaminate(spark, docs, rows, empty):
     assert decontaminate.decontaminate(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_decontaminate_counts_items_without_id(spark, tmp_path):
+    long = " ".join(f"v{i}" for i in range(14))
+    made = [(1, "x " + ITEM + " y"), (2, "say one two three"), (3, long + " " + ITEM), (4, "nothing here")]
+    spark.createDataFrame(made, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(None, ITEM), (None, "one two three"), (7, long), (8, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    same(queries.op5_decontaminate(spark, str(tmp_path)), queries.ORACLES["op5_decontaminate"], con)
+    read = lambda t: spark.read.parquet(f"{tmp_path}/{t}.parquet")
+    assert [r["doc_id"] for r in decontaminate.clean(read("documents"), read("benchmark")).collect()] == [4]
+
+
 def test_mixing(spark, docs, empty):
     out = mixing.mix_sources(docs, {"s": 0.9}, epochs=3.0)
     assert out.columns[: len(docs.columns)] == docs.columns and out.count() > 0
