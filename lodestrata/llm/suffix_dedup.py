@@ -14,11 +14,13 @@ Ranks are given to positions, at growing lengths, and only positions whose rank
 3. The strings of the remaining leaders get ranks of SPAN bytes each: those with a smaller document are repeated.
 
 Texts are packed once into chunks in the shared folder. Each round is a sort of (rank, document) pairs by Spark: a
-chunk sends its distinct ranks, dealt by rank into buckets of bounded size, and gets back which of them are shared;
-a rank that a third of all documents hold is one pair per chunk. Ranks are 64-bit names.
+chunk sends its distinct ranks, dealt by rank into buckets of bounded size, and gets back which of them are shared.
+Contexts, their sides and strings are dealt by names of their own, not by the 16 bytes they grew from, so whatever a
+third of all documents hold is one entry per chunk, and what differs around it spreads over all buckets. Ranks are
+64-bit names.
 
 Defined results: null and empty texts are zero bytes; rows with equal doc_ids do not repeat each other; a null doc_id
-counts as greater than any other; an empty table gives an empty result; extra columns are ignored.
+counts as greater than any other; an empty table gives an empty result; extra columns are ignored; a text of MOST_BYTES or more is rejected by name.
 """
 
 from __future__ import annotations
@@ -47,9 +49,13 @@ REACH = (SPAN - GRAM) // 2
 CHUNK_BYTES, BUCKET_RANKS = 2_000_000, 1_500_000
 #: Anchors for each byte of random text: two for SPAN - GRAM + 2 places.
 DENSITY = 2 / (SPAN - GRAM + 2)
-_PLACE = tb.U64((1 << 28) - 1)
+#: Places of anchors have 28 bits.
+MOST_BYTES = 1 << 28
+_PLACE = tb.U64(MOST_BYTES - 1)
 _LAST = np.iinfo(np.int64).max
 PAIRS = "bucket long, chunk long, body binary"
+#: First byte of a body: what it tells of.
+CONTEXTS, SIDES = b"c", b"s"
 
 
 @dataclass
@@ -117,10 +123,31 @@ def sides(a: Anchors, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(right, after, 0).astype("<u4"), np.where(left, before, 0).astype("<u4")
 
 
-def _shared(group: np.ndarray, side: np.ndarray) -> np.ndarray:
-    """Which contexts share a side with another context of their group."""
-    _, inverse, count = np.unique(group.astype(np.uint64) << tb.U64(32) | side, return_inverse=True, return_counts=True)
-    return (count[inverse] > 1) & (side > 0)
+def side_ranks(a: Anchors, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit names of (first rank, side) of some anchors, after and before, and which of them exist."""
+    both = np.stack(sides(a, some))
+    which = np.array([[1], [2]], dtype=np.uint64)
+    return tb.mix(a.rank[some] ^ tb.mix(both.astype(np.uint64) << tb.U64(2) | which)), both > 0
+
+
+def _extremes(keys: np.ndarray, low: np.ndarray, many: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, their least value, whether they have several, and the sum of their weights."""
+    order = np.argsort(keys, kind="stable")
+    k, v = keys[order], low[order]
+    cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    if not len(cut):
+        return k, v, many, weight
+    least = np.minimum.reduceat(v, cut)
+    several = (least < np.maximum.reduceat(v, cut)) | (np.add.reduceat(many[order].astype(np.int64), cut) > 0)
+    return k[cut], least, several, np.add.reduceat(weight[order], cut)
+
+
+def _held(names: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which names are among the others."""
+    if not len(among):
+        return np.zeros(names.shape, dtype=bool)
+    among = np.sort(among)
+    return among[np.minimum(np.searchsorted(among, names), len(among) - 1)] == names
 
 
 def _least(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,11 +160,6 @@ def _least(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return k[cut], np.minimum.reduceat(d, cut), np.maximum.reduceat(d, cut)
 
 
-def _runs(keys: np.ndarray) -> np.ndarray:
-    """Number of each sorted key's run."""
-    return np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-
-
 def _pack(**columns: np.ndarray) -> bytes:
     n = len(next(iter(columns.values())))
     return n.to_bytes(8, "little") + b"".join(np.ascontiguousarray(c).tobytes() for c in columns.values())
@@ -229,46 +251,57 @@ class _Job:
             hit = np.flatnonzero((at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == mine)) if len(shared) else np.zeros(0, np.int64)
             context, where = np.unique(a.context[hit], return_index=True)
             _, doc, _ = _least(a.context[hit], a.doc[hit])
-            rank = a.rank[hit][where]
-            after, before = sides(a, hit[where])
+            name, real = side_ranks(a, hit[where])
+            weight = (a.high - a.low + 1)[hit[where]].astype(np.int64)
+            both = np.concatenate([np.flatnonzero(r) for r in real])
+            name, low, many, weight = _extremes(name[real], context[both], np.zeros(len(both), bool), weight[both])
             out = ([], [], [])
-            for bucket, some in _split(self.bucket(rank)):
+            for bucket, some in _split(self.bucket(context)):
                 some = some[np.argsort(doc[some], kind="stable")]
-                for i, x in enumerate((bucket, chunk, _pack(rank=rank[some], context=context[some], doc=doc[some], after=after[some], before=before[some]))):
+                for i, x in enumerate((bucket, chunk, CONTEXTS + _pack(context=context[some], doc=doc[some]))):
+                    out[i].append(x)
+            for bucket, some in _split(self.bucket(name)):
+                for i, x in enumerate((bucket, chunk, SIDES + _pack(name=name[some], low=low[some], many=many[some], weight=weight[some].astype("<u4")))):
                     out[i].append(x)
             yield _rows(*out)
 
     def share_contexts(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Contexts of a chunk that follow another document's, and its sides that several contexts have.
+
+        ``weight`` is at least the number of strings that the sides open.
+        """
         for bucket, part in _parts(batches, "bucket"):
-            got = [_unpack(x, "<u8", "<u8", "<i8", "<u4", "<u4") for x in part["body"].to_pylist()]
-            rank, context, doc, after, before = (np.concatenate(x) for x in zip(*got, strict=True))
-            source = np.repeat(np.arange(len(got)), [len(x[0]) for x in got])
-            order = np.lexsort([doc, context, rank])
-            rank, context, doc, source = rank[order], context[order], doc[order], source[order]
-            run, group = _runs(context), _runs(rank)
-            head = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1])
-            follows = doc > doc[head][run]
-            some = order[head]
-            kin = (_shared(group[head], after[some]) | _shared(group[head], before[some]))[run]
-            status = follows.astype(np.uint8) | kin.astype(np.uint8) << np.uint8(1)
-            chunks, out = part["chunk"].to_pylist(), ([], [], [])
-            for s, some in _split(source):
-                some = some[status[some] > 0]
-                for i, x in enumerate((bucket, chunks[s], _pack(context=context[some], status=status[some]))):
-                    out[i].append(x)
-            yield _rows(*out)
+            told, out, opened = list(zip(part["chunk"].to_pylist(), part["body"].to_pylist(), strict=True)), ([], [], []), []
+            got = [(c, *_unpack(x[1:], "<u8", "<i8")) for c, x in told if x[:1] == CONTEXTS]
+            if got:
+                keys, least, _ = _least(np.concatenate([x[1] for x in got]), np.concatenate([x[2] for x in got]))
+            for chunk, name, doc in got:
+                later = name[doc > least[np.searchsorted(keys, name)]]
+                if len(later):
+                    opened.append(0)
+                    for i, x in enumerate((bucket, chunk, CONTEXTS + later.tobytes())):
+                        out[i].append(x)
+            got = [(c, *_unpack(x[1:], "<u8", "<u8", "?", "<u4")) for c, x in told if x[:1] == SIDES]
+            if got:
+                keys, _, several, _ = _extremes(*(np.concatenate(x) for x in list(zip(*got, strict=True))[1:]))
+            for chunk, name, _, _, weight in got:
+                shared = several[np.searchsorted(keys, name)]
+                if shared.any():
+                    opened.append(int(weight[shared].sum(dtype=np.int64)))
+                    for i, x in enumerate((bucket, chunk, SIDES + name[shared].tobytes())):
+                        out[i].append(x)
+            yield _rows(*out).append_column("weight", pa.array(opened, pa.int64()))
 
     def _status(self, a: Anchors, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """By anchor: all its strings are repeated; its strings need ranks of their own."""
-        got = [_unpack(x, "<u8", "u1") for x in bodies]
-        context, status = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.uint64), np.zeros(0, np.uint8))
-        order = np.argsort(context)
-        context, status = context[order], status[order]
-        at = np.minimum(np.searchsorted(context, a.context), max(0, len(context) - 1))
-        own = np.where(context[at] == a.context, status[at], 0) if len(context) else np.zeros(len(a.doc), np.uint8)
+        told = lambda kind: np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, "<u8", offset=1) for x in bodies if x[:1] == kind)])
         keys, least, _ = _least(a.context, a.doc)
-        repeated = (own & 1 > 0) | (a.doc > least[np.searchsorted(keys, a.context)] if len(keys) else np.zeros(0, bool))
-        return repeated, (own & 2 > 0) & ~repeated
+        repeated = _held(a.context, told(CONTEXTS)) | (a.doc > least[np.searchsorted(keys, a.context)] if len(keys) else np.zeros(0, bool))
+        some = np.flatnonzero(~repeated)
+        name, real = side_ranks(a, some)
+        open_ = np.zeros(len(a.doc), dtype=bool)
+        open_[some] = (_held(name, told(SIDES)) & real).any(axis=0)
+        return repeated, open_
 
     def _strings(self, a: Anchors, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Anchor, start and rank of all strings of some anchors."""
@@ -286,7 +319,7 @@ class _Job:
             name, where = np.unique(rank, return_index=True)
             _, doc, _ = _least(rank, a.doc[of])
             out = ([], [], [])
-            for bucket, some in _split(self.bucket(a.rank[of][where])):
+            for bucket, some in _split(self.bucket(name)):
                 some = some[np.argsort(doc[some], kind="stable")]
                 for i, x in enumerate((bucket, chunk, _pack(name=name[some], doc=doc[some]))):
                     out[i].append(x)
@@ -343,6 +376,8 @@ def _store(docs: DataFrame, folder: str) -> DataFrame:
             ids = b.column(0).fill_null(_LAST).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offsets = tb.flat(b.column(1))
             names, sizes = [], []
+            for i in np.flatnonzero(np.diff(offsets) >= MOST_BYTES):
+                raise ValueError(f"the text of doc_id {None if ids[i] == _LAST else ids[i]} has {offsets[i + 1] - offsets[i]} bytes; {MOST_BYTES} are too many")
             for lo, hi in tb.slices(offsets, CHUNK_BYTES):
                 names.append(uuid.uuid4().int >> 65)
                 sizes.append(int(offsets[hi] - offsets[lo]))
@@ -362,9 +397,9 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     job = _Job(folder, max(1, -(-int(size * DENSITY) // BUCKET_RANKS)))
     tasks = max(1, min(count, 2 * spark.sparkContext.defaultParallelism), -(-count // 16))
 
-    def dealt(rows: DataFrame, key: str, step: Callable) -> DataFrame:
-        n = job.buckets if key == "bucket" else tasks
-        return rows.repartition(n, key).sortWithinPartitions(key).mapInArrow(step, PAIRS)
+    def dealt(rows: DataFrame, key: str, step: Callable, schema: str = PAIRS) -> DataFrame:
+        n = step.__self__.buckets if key == "bucket" else tasks
+        return rows.repartition(n, key).sortWithinPartitions(key).mapInArrow(step, schema)
 
     # A row without ranks for every chunk, so that each is seen in every round.
     every = chunks.select(F.lit(0).cast("long").alias("bucket"), "chunk", F.unhex(F.lit("")).alias("body"))
@@ -372,8 +407,11 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     first = chunks.select("chunk").repartition(tasks, "chunk").mapInArrow(job.first_ranks, PAIRS)
     shared = dealt(first, "bucket", job.share_first)
     context = dealt(shared.unionByName(every), "chunk", job.contexts)
-    status = materialise(dealt(context, "bucket", job.share_contexts), "contexts").unionByName(none)
-    strings = dealt(dealt(status, "chunk", job.strings), "bucket", job.share_strings)
+    status = materialise(dealt(context, "bucket", job.share_contexts, PAIRS + ", weight long"), "contexts")
+    weight = status.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    status = status.drop("weight").unionByName(none)
+    last = _Job(folder, max(job.buckets, -(-int(weight) // BUCKET_RANKS)))
+    strings = dealt(dealt(status, "chunk", last.strings), "bucket", last.share_strings)
     facts = status.withColumn("kind", F.lit(2)).unionByName(strings.withColumn("kind", F.lit(3)))
     facts = facts.select("chunk", "kind", "body").repartition(tasks, "chunk").sortWithinPartitions("chunk")
     return facts.mapInArrow(job.removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

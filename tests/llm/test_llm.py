@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +92,45 @@ def test_suffix_dedup_random_overlaps(spark):
     assert sorted(map(tuple, got.collect()), key=str) == brute_suffix(made)
 
 
+def test_suffix_dedup_spreads_what_surrounds_a_common_line(tmp_path):
+    rng = np.random.default_rng(4)
+    line, made = "All of this is from the daily news desk.", []
+    for i in range(3000):
+        made.append((bytes(rng.integers(97, 123, 60, dtype=np.uint8)).decode() + line + bytes(rng.integers(97, 123, 60, dtype=np.uint8)).decode()).encode())
+    job = suffix_dedup._Job(f"file://{tmp_path}", 8)
+    fs, base = suffix_dedup.pafs.FileSystem.from_uri(job.folder)
+    for k in range(6):
+        part = made[k::6]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in part])])
+        suffix_dedup.Chunk(np.arange(k, 3000, 6), offsets, np.frombuffer(b"".join(part), np.uint8)).save(fs, f"{base}/{k:016x}.chunk")
+    table = lambda batches, key: pa.Table.from_batches(list(batches)).sort_by(key).to_batches()
+
+    def even(rows):
+        held = pa.Table.from_batches(rows).to_pandas().assign(size=lambda t: t.body.str.len()).groupby("bucket")["size"].sum()
+        assert held.max() < 2 * held.sum() / 8 and held.sum() > 50_000
+
+    first = table(job.first_ranks(iter([pa.RecordBatch.from_pydict({"chunk": list(range(6))})])), "bucket")
+    contexts = table(job.contexts(iter(table(job.share_first(iter(first)), "chunk"))), "bucket")
+    even(contexts)
+    status = pa.Table.from_batches(list(job.share_contexts(iter(contexts)))).select(["bucket", "chunk", "body"]).sort_by("chunk").to_batches()
+    even(table(job.strings(iter(status)), "bucket"))
+
+
+def test_suffix_dedup_common_line(spark):
+    rng = np.random.default_rng(5)
+    word = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    made = [(i, word(40) + "All of this is from the daily news desk." + word(9 if i % 3 else 40)) for i in range(200)]
+    made += [(900 + i, "zz" + made[i][1][20:95] + "yy") for i in range(40)]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(made, "doc_id long, text string").repartition(5))
+    assert sorted(map(tuple, got.collect()), key=str) == brute_suffix(made)
+
+
+def test_suffix_dedup_rejects_texts_beyond_its_places(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MOST_BYTES", 100)
+    with pytest.raises(Exception, match="doc_id 77"):
+        suffix_dedup.suffix_dedup(spark.createDataFrame([(1, "a" * 99), (77, "b" * 100)], "doc_id long, text string"))
+
+
 def test_exact_dedup(docs, rows, empty):
     group = defaultdict(list)
     for r in rows:
