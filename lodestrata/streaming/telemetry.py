@@ -1,4 +1,8 @@
-"""Streaming forms of the telemetry operators; each gives the batch operator's result on the same rows."""
+"""Streaming forms of the telemetry operators; they give the batch operator's result on the same rows.
+
+Not so yet: ``count_events`` and ``store_totals`` give the totals by day and event only, without counts by value, their
+cap and 'other'.
+"""
 
 from __future__ import annotations
 
