@@ -7,7 +7,8 @@ keyed hash and sorted by it, which is a global shuffle.
 
 Sources without a target share what the targets leave, in proportion to their rows; a null source is a source of
 its own. Rows of equal doc_id draw the same number; a null doc_id draws as the text "null". An empty table gives
-an empty result; a target for a source without rows is ignored, its weight is not handed on. Other columns pass.
+an empty result; a target for a source without rows is ignored, its weight is not handed on. Other columns pass;
+where one of them has the name of a column that is added, the added one's name ends in an underscore.
 """
 
 from __future__ import annotations
@@ -15,8 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.frames import every, unused
+from lodestrata.llm.storage import materialise
+
 #: A mean above this is drawn as a sum of independent parts, so exp(-mean) never underflows.
 PART = 32.0
+#: Tasks that the rows of a source are dealt to where the rates are too many to broadcast.
+SALTS = 32
+#: Rows of a task of the global shuffle on average, and tasks at most.
+TASK_ROWS, MOST_TASKS = 10_000, 100_000
 
 
 def uniform(*key: Column) -> Column:
@@ -38,7 +46,7 @@ def poisson(u: Column, mean: Column) -> Column:
 
 
 def rates(docs: DataFrame, targets: dict[str, float], epochs: float) -> DataFrame:
-    """Mean repetitions by source: source, rate."""
+    """Rows and mean repetitions by source: source, n, rate."""
     if min(targets.values(), default=0) < 0 or sum(targets.values()) > 1 + 1e-9:
         raise ValueError("targets must be weights that sum to 1 at most")
     counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
@@ -50,17 +58,31 @@ def rates(docs: DataFrame, targets: dict[str, float], epochs: float) -> DataFram
     sums = joined.agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("target").isNull(), F.col("n"))).alias("free"))
     left = max(0.0, 1.0 - sum(targets.values()))
     weight = F.coalesce(F.col("target"), F.lit(left) * F.col("n") / F.col("free"))
-    return joined.crossJoin(F.broadcast(sums)).select("source", (weight * F.lit(float(epochs)) * F.col("rows") / F.col("n")).alias("rate"))
+    return joined.crossJoin(F.broadcast(sums)).select("source", "n", (weight * F.lit(float(epochs)) * F.col("rows") / F.col("n")).alias("rate"))
 
 
 def mix_sources(docs: DataFrame, targets: dict[str, float], epochs: float = 1.0, seed: str = "mix") -> DataFrame:
-    """``docs`` with each row repeated by its draw, in shuffled order, and columns rate, copy_no (from 1) and mix_key."""
-    named = rates(docs, targets, epochs).select(F.col("source").alias("__source"), "rate")
-    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int")
-    out = docs.join(named, docs["source"].eqNullSafe(named["__source"])).drop("__source").withColumn("__parts", parts)
-    draw = lambda part: poisson(uniform(F.lit(seed), F.col("doc_id"), part), F.col("rate") / F.col("__parts"))
-    many = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda n, part: n + draw(part))
-    out = out.withColumn("__n", F.when(F.col("__parts") == 1, draw(F.lit(1))).otherwise(many)).where("__n > 0")
-    out = out.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("place"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy_no").cast("string")))
-    return out.drop("__n", "__parts").withColumn("mix_key", key).repartition("mix_key").sortWithinPartitions("mix_key")
+    """``docs`` with each row repeated by its draw, in shuffled order, and then rate, copy_no (from 1) and mix_key."""
+    names = {n: unused(docs, n) for n in ("__source", "__salt", "__row", "__parts", "__n", "rate", "copy_no", "mix_key")}
+    source, salt, row, parts, n, rate, copy, key = names.values()
+    table = materialise(rates(docs, targets, epochs), "rates")
+    rows = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # Written down, so that Spark knows its size when it plans: small, it is broadcast and the documents stay where
+    # they are; large, the salt deals the rows of a source to SALTS tasks.
+    named = table.select(F.col("source").alias(source), F.col("rate").alias(rate), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
+    named = materialise(named, "salted-rates")
+    out = docs.withColumn(row, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    out = out.join(named, out["source"].eqNullSafe(named[source]) & (out[row] == named[salt])).drop(source, salt, row)
+    out = out.withColumn(parts, F.greatest(F.lit(1), F.ceil(F.col(rate) / PART)).cast("int"))
+    draw = lambda part: poisson(uniform(F.lit(seed), F.col("doc_id"), part), F.col(rate) / F.col(parts))
+    many = F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), lambda total, part: total + draw(part))
+    out = out.withColumn(n, F.when(F.col(parts) == 1, draw(F.lit(1))).otherwise(many)).where(F.col(n) > 0)
+    out = out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n))))
+    place = F.md5(F.concat_ws("|", F.lit(seed), F.lit("place"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col(copy).cast("string")))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, rows // TASK_ROWS + 1))
+    return out.drop(n, parts).withColumn(key, place).repartition(tasks, key).sortWithinPartitions(key)
+
+
+def repeated(docs: DataFrame, targets: dict[str, float], epochs: float = 1.0, seed: str = "mix") -> DataFrame:
+    """The same rows in the same order with the columns of ``docs`` only."""
+    return mix_sources(docs, targets, epochs, seed).select(*every(docs))

@@ -47,7 +47,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(_table(spark, sf_dir, "documents"), MIX)
+    mixed = mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), MIX)
     return mixed.select("doc_id", "source", "copy_no", F.round("rate", 6).alias("rate"), "mix_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
 
 
