@@ -6,7 +6,7 @@ tree has the children 2i + 1 and 2i + 2, so scoring is one vectorised step per l
 
 Defined results: null and empty texts are scored from all-zero statistics; each repeated row is scored alike;
 without labels of both kinds every score is the share of ones (0.5 without any); an empty table gives an empty
-result; extra columns are ignored.
+result; extra columns pass or are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import textbatch as tb
+from lodestrata.llm.frames import unused
 from lodestrata.llm.labelled import remainder, sample
 
 #: Labelled rows that a model learns from at most; folds of doc_id, and the one that is held out.
@@ -146,7 +147,7 @@ def _batches(b: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndar
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
-    """Fit on at most ``rows`` labelled documents that are not held out."""
+    """Fit on at most ``rows`` labelled documents that are not held out; of rows that share a doc_id one counts."""
     chosen = sample(labels, "quality", FOLDS, HELD_OUT, rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
 
@@ -156,33 +157,38 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), flat], ["doc_id", "label", "x"])
 
-    got = texts.mapInArrow(measured, "doc_id long, label int, x array<float>").toPandas().sort_values("doc_id", kind="stable")
+    one = texts.mapInArrow(measured, "doc_id long, label int, x array<float>").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("x").alias("x"))
+    got = one.toPandas().sort_values("doc_id", kind="stable")
     x = np.array(got["x"].tolist(), dtype=np.float32) if len(got) else np.zeros((0, 1), np.float32)
     return fit(x, got["label"].to_numpy().astype(float))
 
 
-def score(docs: DataFrame, model: Trees) -> DataFrame:
-    """``docs`` with a column quality_score; all rows and columns stay."""
-    names = docs.columns
-    rows = docs.withColumn("__text", F.col("text").cast("string"))
-    schema = docs.withColumn("quality_score", F.lit(0.0)).schema
+def score(docs: DataFrame, model: Trees, name: str = "quality_score") -> DataFrame:
+    """``docs`` with a column ``name`` after its own; all rows and columns stay. ``docs`` must not have that column yet."""
+    if unused(docs, name) != name:
+        raise ValueError(f"there is a column {name} already")
+    text = unused(docs, "__text")
+    rows = docs.withColumn(text, F.col("text").cast("string"))
+    rows = rows.toDF(*(f"c{i}" for i in range(len(rows.columns))))  # names with dots do not reach Python workers otherwise
+    schema = rows.withColumn(rows.columns[-1], F.lit(0.0)).schema
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts = [model.score(x) for _, _, x in _batches(b, b.num_columns - 1)]
             p = np.round(np.concatenate(parts), 6) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p, pa.float64())], [*names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p, pa.float64())], schema.names)
 
-    return rows.mapInArrow(scored, schema)
+    return rows.mapInArrow(scored, schema).toDF(*docs.columns, name)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
-    scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels))
+    scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels), "score")
     held = remainder(F.col("doc_id"), FOLDS) == HELD_OUT
-    return scored.select("doc_id", held.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are predicted to be of quality, with all their columns."""
-    return score(docs, train(docs, labels)).where(F.col("quality_score") >= THRESHOLD).drop("quality_score")
+    """The rows of ``docs`` that are predicted to be of quality, with all their columns and no other."""
+    name = unused(docs, "quality_score")
+    return score(docs, train(docs, labels), name).where(F.col(name) >= THRESHOLD).drop(name)
