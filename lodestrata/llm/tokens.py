@@ -1,11 +1,13 @@
 """Token-ID output in training order.
 
-Texts are tokenised and cut into sequences of at most ``LENGTH`` tokens (each document ends with an end mark). A
-keyed Feistel permutation with cycle-walking sends the number of a sequence, ((doc_id - least id) * most rows of an
-id + occurrence) * most pieces + piece, to a place in a space known before any text is tokenised, so one pass over the
-texts and one shuffle are enough. Ranges of places are the shards: a task sorts its shard by place and writes it as
-fixed-stride records of LENGTH little-endian 16-bit ids, padded. A sequence's slot is its shard's first slot (a running sum over the shard
-table) plus its position, so a reader can seek to any slot and go on from there.
+Texts are tokenised and cut into sequences of at most ``LENGTH`` tokens (each document ends with an end mark). The
+number of a sequence has two parts of up to 64 bits: doc_id - least id, and occurrence * most pieces of a text + piece.
+A keyed Feistel permutation with cycle-walking sends it to a place of the same two parts, in a space known before any
+text is tokenised, so one pass over the texts and one shuffle are enough. It permutes all numbers of the space
+whatever the ids are, so no two sequences share a place. Ranges of places are the shards: a task sorts its shard by
+place and writes it as fixed-stride records of LENGTH little-endian 16-bit ids, padded. A sequence's slot is its
+shard's first slot (a running sum over the shard table) plus its position, so a reader can seek to any slot and go on
+from there.
 
 The rows of one doc_id are numbered by occurrence, so repeated documents are spread like any others. Spark counts
 the rows of each id by partition; running sums over the partitions give the first occurrence of a partition, and its
@@ -45,29 +47,42 @@ END, PAD = 50256, 50257
 #: Tokens of a sequence; bytes of a shard that are aimed at; tokens that a byte of text is taken to give.
 LENGTH, SHARD_BYTES, DENSITY = 512, 32_000_000, 0.5
 ROUNDS = 6
-MANIFEST = "shard long, pos long, doc_id long, piece int, n_tokens int, place long, sha256 string, file string"
-
-
-def feistel(x: np.ndarray, domain: int, key: bytes) -> np.ndarray:
-    """A keyed permutation of [0, domain): a balanced Feistel network, walked along its cycles until inside."""
-    half = max(1, -(-max(1, (domain - 1).bit_length()) // 2))
-    mask = np.uint64((1 << half) - 1)
-    keys = [np.uint64(int.from_bytes(hashlib.blake2b(bytes([r]), key=key, digest_size=8).digest(), "little")) for r in range(ROUNDS)]
-
-    def once(v: np.ndarray) -> np.ndarray:
-        left, right = v >> np.uint64(half), v & mask
+MANIFEST = "shard long, pos long, doc_id long, piece int, n_tokens int, place_high long, place_low long, sha256 string, file string"
+#: Tasks that write shards at most; beyond it a task writes several, one after another.
+MOST_TASKS = 100_000
+
+
+def feistel(high: np.ndarray, low: np.ndarray, highs: int, lows: int, key: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A keyed permutation of the pairs (high, low) below (highs, lows): a balanced Feistel network over the bits of both
+    parts, walked along its cycles until both are inside. highs <= 2**64, lows <= 2**62."""
+    top = max(1, (highs - 1).bit_length())
+    bits = max(1, (lows - 1).bit_length())
+    bits += (top + bits) % 2
+    half = (top + bits) // 2
+    u, word = np.uint64, (1 << 64) - 1
+    mask, low_mask = u((1 << half) - 1 & word), u((1 << bits) - 1 & word)
+    keys = [u(int.from_bytes(hashlib.blake2b(bytes([r]), key=key, digest_size=8).digest(), "little")) for r in range(ROUNDS)]
+
+    def once(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if bits <= half:
+            left, right = a >> u(half - bits), (a << u(bits) | b) & mask
+        else:
+            left, right = a << u(bits - half) | b >> u(half), b & mask
         for k in keys:
-            f = (right ^ k) * np.uint64(0x9E3779B97F4A7C15)
-            f = (f ^ (f >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            left, right = right, left ^ (f >> np.uint64(64 - half))
-        return left << np.uint64(half) | right
-
-    out = once(x.astype(np.uint64))
-    outside = np.flatnonzero(out >= np.uint64(domain))
+            f = (right ^ k) * u(0x9E3779B97F4A7C15)
+            f = (f ^ (f >> u(29))) * u(0xBF58476D1CE4E5B9)
+            left, right = right, left ^ (f >> u(64 - half))
+        if bits <= half:
+            return left << u(half - bits) | right >> u(bits) if bits < 64 else left, right & low_mask
+        return left >> u(bits - half), (left << u(half) | right) & low_mask
+
+    high, low = once(high.astype(u), low.astype(u))
+    beyond = lambda a, b: (a > u(highs - 1)) | (b > u(lows - 1))
+    outside = np.flatnonzero(beyond(high, low))
     while len(outside):
-        out[outside] = once(out[outside])
-        outside = outside[out[outside] >= np.uint64(domain)]
-    return out
+        high[outside], low[outside] = once(high[outside], low[outside])
+        outside = outside[beyond(high[outside], low[outside])]
+    return high, low
 
 
 def _encoder(ranks: dict[bytes, int]):
@@ -134,19 +149,14 @@ def write_training_order(docs: DataFrame, folder: str, ranks: dict[bytes, int],
     rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(low)))
     firsts, most = occurrences(rows)
     pieces = (longest + 1 + length - 1) // length  # a token has a byte at least
-    wide = (high - low + 1) * most * pieces > 1 << 62
-    domain = 1 << 62 if wide else max(1, (high - low + 1) * most * pieces)
-    shards = max(1, min(-(-int(2 * (DENSITY * total + n * length / 2)) // SHARD_BYTES), domain))
-    width = -(-domain // shards)
-
-    def place(ids: np.ndarray, occurrence: np.ndarray, piece: np.ndarray) -> np.ndarray:
-        inner = occurrence.astype(np.uint64) * np.uint64(pieces) + piece.astype(np.uint64)
-        if wide:  # ids too far apart to number: hashed, equal places are ties
-            number = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            number = ((number ^ (number >> np.uint64(29)) ^ inner) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(2)
-        else:
-            number = (ids - low).astype(np.uint64) * np.uint64(most * pieces) + inner
-        return feistel(number, domain, key)
+    highs, lows = high - low + 1, most * pieces
+    shards = max(1, min(-(-int(2 * (DENSITY * total + n * length / 2)) // SHARD_BYTES), highs * lows))
+
+    def place(ids: np.ndarray, occurrence: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both parts of the places, and their shards: the share of the space below a place, which never falls as places grow."""
+        at = feistel(ids.astype(np.int64).view(np.uint64) - np.uint64(low % (1 << 64)), occurrence * pieces + piece, highs, lows, key)
+        share = (at[0].astype(float) + at[1].astype(float) / lows) / highs
+        return *at, np.minimum((share * shards).astype(np.int64), shards - 1)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, pack = _encoder(ranks).encode_ordinary, zstandard.ZstdCompressor(level=3).compress
@@ -160,13 +170,12 @@ def write_training_order(docs: DataFrame, folder: str, ranks: dict[bytes, int],
             doc = np.repeat(np.arange(len(lists)), count)
             piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
             held = np.minimum(size[doc] - piece * length, length)
-            at = place(ids[doc], occurrence[doc], piece)
-            shard = (at // np.uint64(width)).astype(np.int64)
+            above, below, shard = place(ids[doc], occurrence[doc], piece)
             order = np.argsort(shard, kind="stable")
             found = {"shard": [], "head": [], "body": []}
             cuts = np.flatnonzero(np.diff(shard[order])) + 1
             for part in np.split(order, cuts) if len(order) else []:
-                head = np.stack([at[part].astype(np.int64), ids[doc[part]], piece[part], held[part]])
+                head = np.stack([above[part].view(np.int64), below[part].view(np.int64), ids[doc[part]], piece[part], held[part]])
                 body = np.concatenate([lists[doc[i]][piece[i] * length : piece[i] * length + held[i]] for i in part])
                 found["shard"].append(int(shard[part[0]]))
                 found["head"].append(pack(head.astype("<i8").tobytes()))
@@ -181,25 +190,27 @@ def write_training_order(docs: DataFrame, folder: str, ranks: dict[bytes, int],
         for table, bounds in groups(batches, ["shard"]):
             for lo, hi in zip(bounds, [*bounds[1:], table.num_rows], strict=True):
                 part = table.slice(int(lo), int(hi - lo))
-                head = np.concatenate([np.frombuffer(unpack(x), "<i8").reshape(4, -1) for x in part["head"].to_pylist()], axis=1)
+                head = np.concatenate([np.frombuffer(unpack(x), "<i8").reshape(5, -1) for x in part["head"].to_pylist()], axis=1)
                 body = np.concatenate([np.frombuffer(unpack(x), "<u2") for x in part["body"].to_pylist()])
-                held = head[3]
+                held = head[4]
                 fixed = np.full((len(held), length), PAD, dtype="<u2")
                 row = np.repeat(np.arange(len(held)), held)
                 fixed[row, np.arange(len(body)) - np.repeat(np.cumsum(held) - held, held)] = body
                 digest = np.array([hashlib.sha256(fixed[i, : held[i]].tobytes()).hexdigest() for i in range(len(held))])
-                order = np.lexsort([digest, head[2], head[1], head[0]])
+                order = np.lexsort([head[1].view(np.uint64), head[0].view(np.uint64)])
                 name = f"shard-{part['shard'][0].as_py():08d}-{uuid.uuid4().hex}.bin"
                 with fs.open_output_stream(f"{base}/{name}") as out:
                     out.write(memoryview(np.ascontiguousarray(fixed[order])).cast("B"))
                 many = len(order)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(many, part["shard"][0].as_py())), pa.array(np.arange(many)), pa.array(head[1][order]), pa.array(head[2][order].astype(np.int32)),
-                    pa.array(held[order].astype(np.int32)), pa.array(head[0][order]), pa.array(digest[order].tolist(), pa.string()), pa.array([f"{folder}/{name}"] * many, pa.string()),
-                ], names=["shard", "pos", "doc_id", "piece", "n_tokens", "place", "sha256", "file"])
+                    pa.array(np.full(many, part["shard"][0].as_py())), pa.array(np.arange(many)), pa.array(head[2][order]), pa.array(head[3][order].astype(np.int32)),
+                    pa.array(held[order].astype(np.int32)), pa.array(head[0][order]), pa.array(head[1][order]), pa.array(digest[order].tolist(), pa.string()), pa.array([f"{folder}/{name}"] * many, pa.string()),
+                ], names=["shard", "pos", "doc_id", "piece", "n_tokens", "place_high", "place_low", "sha256", "file"])
 
     blobs = rows.mapInArrow(cut, "shard long, head binary, body binary")
-    manifest = materialise(blobs.repartition("shard").sortWithinPartitions("shard").mapInArrow(write, MANIFEST), "training-order")
+    tasks = min(shards, MOST_TASKS)
+    dealt = blobs.repartitionById(tasks, F.expr(f"CAST(shard DIV {-(-shards // tasks)} AS INT)"))  # a range of shards each
+    manifest = materialise(dealt.sortWithinPartitions("shard").mapInArrow(write, MANIFEST), "training-order")
     starts = manifest.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))  # one row per shard: a small table
     starts = starts.select(F.col("shard").alias("__shard"), (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("__first"))
     return manifest.join(starts, F.col("shard") == F.col("__shard")).withColumn("slot", F.col("__first") + F.col("pos")).drop("__shard", "__first")
@@ -215,4 +226,4 @@ def read_sequence(file: str, pos: int, count: int = 1, length: int = LENGTH) ->
 
 def training_order(docs: DataFrame, ranks_path: str = RANKS) -> DataFrame:
     """Write ``docs`` in training order in the shared folder: slot, shard, pos, doc_id, piece, n_tokens, sha256, file."""
-    return write_training_order(docs, shared_dir(docs.sparkSession, "shards"), load_ranks(ranks_path)).drop("place")
+    return write_training_order(docs, shared_dir(docs.sparkSession, "shards"), load_ranks(ranks_path)).drop("place_high", "place_low")
