@@ -1,4 +1,9 @@
-"""From raw documents to training shards: five stages, each written as Parquet and read again by the next."""
+"""From raw documents to training shards: five stages, each written as Parquet and read again by the next.
+
+Defined results of every stage: an empty table gives an empty result; null and empty texts are scored, kept, mixed and
+tokenised like others and are no copies of each other; columns beyond those of documents pass, whatever they are
+called (the last stage returns its own columns only).
+"""
 
 from __future__ import annotations
 
@@ -14,27 +19,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier (op 4) accepts."""
+    """Documents that the quality classifier (op 4) accepts; a null or repeated doc_id changes nothing."""
     return quality.accepted(docs, _table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (op 9)."""
+    """One row of each group of near copies (op 9), the one of the least doc_id; repeated rows are copies."""
     return near_dedup.deduplicated(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage (op 5)."""
+    """Rows without a benchmark passage (op 5); rows of one doc_id are told apart by their texts."""
     return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to the target weights of their sources (op 6), shuffled."""
-    return mixing.mix_sources(docs, MIX).select(*docs.columns)
+    """Rows repeated to the target weights of their sources (op 6), shuffled; a null source is a source of its own."""
+    return mixing.repeated(docs, MIX)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shards in training order (op 2); one row per sequence."""
+    """Shards in training order (op 2); one row per sequence, also for rows that repeat a doc_id."""
     return tokens.training_order(docs).select("slot", "shard", "pos", "doc_id", "piece", "n_tokens", "sha256")
 
 
