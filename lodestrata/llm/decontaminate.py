@@ -4,7 +4,8 @@ Of every window of consecutive k-gram hashes the least is kept with its place, o
 document and an item that is at least as long as window + k - 1 = 10 words has a window of hashes in common, so
 both sides keep the same fingerprint in it: joining fingerprints misses none. Every joined pair is then extended
 word by word on its diagonal, which removes chance collisions. Items under 10 words are one window each and are
-found by n-grams of their own length.
+found by n-grams of their own length: the same pass over the texts keeps those that start with a word whose bit is set
+in a table of ``FILTER_BITS`` bits, one for each first word of such items, so common texts give few of them.
 
 Defined results: null or empty texts have no words and no hits; of repeated rows each is reported; an item_id that
 occurs twice counts once; null item_ids count as one item, which hits like any other but adds no name to items_sha256;
@@ -13,6 +14,8 @@ an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,8 @@ from lodestrata.llm.storage import materialise
 SPAN, GRAM = 10, 5
 #: A fingerprint is 36 bits of hash and 28 bits of place, packed so that the least one is the leftmost of equal hashes.
 PLACE = (1 << 28) - 1
+#: Bits of the table of first words; it is broadcast and has this size whatever the items are.
+FILTER_BITS = 1 << 18
 
 
 def _grams(h: Column, n: int) -> Column:
@@ -30,9 +35,8 @@ def _grams(h: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(n))))
 
 
-def _packed(h: Column) -> Column:
-    pack = lambda g, i: F.shiftrightunsigned(g, 1).bitwiseAND(F.lit((1 << 63) - 1 - PLACE)).bitwiseOR(i.cast("long"))
-    return F.transform(_grams(h, GRAM), pack)
+def _pack(g: Column, i: Column) -> Column:
+    return F.shiftrightunsigned(g, 1).bitwiseAND(F.lit((1 << 63) - 1 - PLACE)).bitwiseOR(i.cast("long"))
 
 
 def _kept(g: Column) -> Column:
@@ -44,17 +48,36 @@ def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _all_grams(text: Column, n: int) -> Column:
-    return let(_hashes(words(text)), lambda h: F.when(F.size(h) >= n, _grams(h, n)))
+def _fingerprints(h: Column) -> Column:
+    """The packed fingerprints of a text's word hashes; null under ``SPAN`` words."""
+    return F.when(F.size(h) >= SPAN, let(F.transform(_grams(h, GRAM), _pack), _kept))
+
+
+def _short_grams(h: Column, lengths: list[int], bits: Column) -> Column:
+    """Packed n-grams of these lengths that start with a word of the table."""
+    bit = lambda w: w.bitwiseAND(F.lit(FILTER_BITS - 1))
+    known = lambda w: F.getbit(F.get(bits, F.shiftright(bit(w), 6).cast("int")), bit(w).bitwiseAND(F.lit(63)).cast("int")) == 1
+    starts = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: known(F.get(h, i)))
+
+    def grams(p: Column, n: int) -> Column:
+        fit = F.filter(p, lambda i: i <= F.size(h) - n)
+        return F.transform(fit, lambda i: _pack(F.xxhash64(*(F.get(h, i + j) for j in range(n))), i))
+
+    some = lambda p: F.concat(*(grams(p, n) for n in lengths))
+    return F.when(F.size(h) > 0, let(starts, some))
 
 
-def _fingerprints(words: Column) -> Column:
-    """The packed fingerprints of a text's words; null under ``SPAN`` words."""
-    return let(_hashes(words), lambda h: F.when(F.size(h) >= SPAN, let(_packed(h), _kept)))
+def _first_words(items: DataFrame) -> DataFrame:
+    """One row: ``bits``, the table of first words as 64-bit words."""
+    bit = F.xxhash64(F.get("words", F.lit(0))).bitwiseAND(F.lit(FILTER_BITS - 1))
+    some = items.select(F.shiftright(bit, 6).cast("int").alias("at"), bit.bitwiseAND(F.lit(63)).cast("int").alias("bit")).distinct()
+    some = some.groupBy("at").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("word"))
+    table = some.agg(F.map_from_entries(F.collect_list(F.struct("at", "word"))).alias("m"))  # FILTER_BITS / 64 entries at most
+    return table.select(F.transform(F.sequence(F.lit(0), F.lit(FILTER_BITS // 64 - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast("long"))).alias("bits"))
 
 
 def _unpacked(rows: DataFrame, *keep: str) -> DataFrame:
-    rows = rows.select(*keep, F.explode_outer("f").alias("f"))
+    rows = rows.select(*keep, F.explode("f").alias("f"))
     return rows.select(*keep, F.shiftright("f", 28).alias("key"), F.col("f").bitwiseAND(F.lit(PLACE)).cast("int").alias("at"))
 
 
@@ -65,19 +88,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = materialise(items.dropDuplicates(), "items")
     lengths = [r[0] for r in items.where(F.size("words") < SPAN).select(F.size("words")).distinct().collect()]  # nine at most
 
-    both = let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _fingerprints(w).alias("f")))
-    base = materialise(texts.select("doc_id", "text_key", both.alias("x")).select("doc_id", "text_key", "x.n_words", "x.f"), "fingerprints")
+    parts = lambda h: F.coalesce(_fingerprints(h), F.array().cast("array<long>"))
+    rows = texts
+    if lengths:
+        rows = texts.crossJoin(F.broadcast(materialise(_first_words(items.where(F.size("words") < SPAN)), "first-words")))
+        parts = lambda h: F.concat(F.coalesce(_fingerprints(h), F.array().cast("array<long>")), F.coalesce(_short_grams(h, lengths, F.col("bits")), F.array().cast("array<long>")))
+    both = let(_hashes(words(F.col("text"))), lambda h: F.struct(F.size(h).cast("long").alias("n_words"), parts(h).alias("f")))
+    base = materialise(rows.select("doc_id", "text_key", both.alias("x")).select("doc_id", "text_key", "x.n_words", "x.f"), "fingerprints")
     tagged = items.select("item_id", F.xxhash64("words").alias("item_key"), "words")
-    prints = materialise(_unpacked(tagged.select("item_id", "item_key", _fingerprints(F.col("words")).alias("f")), "item_id", "item_key").where("key IS NOT NULL").withColumnRenamed("at", "item_at"), "prints")
-    pairs = [_unpacked(base, "doc_id", "text_key").join(prints, "key")]
-    for n in lengths:
-        short = tagged.where(F.size("words") == n).select("item_id", "item_key", F.get(_grams(_hashes(F.col("words")), n), 0).alias("key"), F.lit(0).alias("item_at"))
-        rows = texts.select("doc_id", "text_key", F.posexplode_outer(_all_grams(F.col("text"), n)).alias("at", "key"))
-        pairs.append(rows.join(materialise(short, "prints"), "key"))
-    found = None
-    for p in pairs:
-        p = p.select("doc_id", "text_key", "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("shift"))
-        found = p if found is None else found.unionByName(p)
+    own = F.transform(F.array(F.lit(0)), lambda i: _pack(reduce(lambda out, n: F.when(F.size("words") == n, F.xxhash64(*(F.get("h", F.lit(j)) for j in range(n)))).otherwise(out), lengths, F.lit(None).cast("long")), i))
+    hashed = tagged.withColumn("h", _hashes(F.col("words")))
+    prints = hashed.select("item_id", "item_key", F.coalesce(_fingerprints(F.col("h")), own).alias("f"))
+    prints = materialise(_unpacked(prints, "item_id", "item_key").withColumnRenamed("at", "item_at"), "prints")
+    found = _unpacked(base, "doc_id", "text_key").join(prints, "key").select("doc_id", "text_key", "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("shift"))
     found = materialise(found.distinct(), "candidates")
 
     wanted = found.select("doc_id", "text_key").distinct()
