@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm import quality, toxicity
 from lodestrata.llm.decontaminate import decontaminate
 from lodestrata.llm.exact_dedup import exact_dedup
-from lodestrata.llm.licenses import scan_licenses
+from lodestrata.llm.licenses import AGREE, BASE, INDEX_WORDS, SLACK, TEMPLATES, scan_licenses
 from lodestrata.llm.mixing import mix_sources
 from lodestrata.llm.near_dedup import near_dedup
 from lodestrata.llm.suffix_dedup import suffix_dedup
@@ -16,6 +16,7 @@ from lodestrata.llm.tokens import training_order
 from lodestrata.llm.warc import warc_round_trip
 
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SPACED = r"[^\x20\x09-\x0D]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Target weights of the mix; the other sources share the rest in proportion.
@@ -80,7 +81,68 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+
+def _license_sql() -> str:
+    texts = ", ".join(f"({t}, '{label}', string_split('{wording}', ' '), {phrases!r})" for t, (label, wording, phrases) in enumerate(TEMPLATES))
+    base = ", ".join(f"('{p}', '{label}', '{p.split()[0]}', {len(p.split())})" for p, label in BASE.items())
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWERED}'), '{WORD}') AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+b AS (SELECT doc_id, label, pos FROM x JOIN (VALUES {base}) AS p(phrase, label, head, n) ON word = head JOIN d USING (doc_id) WHERE array_to_string(w[pos + 1:pos + n], ' ') = phrase),
+t(template, label, wording, phrases) AS (VALUES {texts}),
+v AS (SELECT template, unnest(wording) AS word, unnest(range(len(wording))) AS place FROM t),
+df AS (SELECT word, count(DISTINCT doc_id) AS df FROM x WHERE word IN (SELECT word FROM v) GROUP BY word),
+q AS (SELECT template, phrase, unnest(string_split(phrase, ' ')) AS word FROM (SELECT template, unnest(phrases) AS phrase FROM t)),
+dead AS (SELECT template FROM q LEFT JOIN df USING (word) WHERE df IS NULL),
+rare AS (SELECT DISTINCT template, word FROM (SELECT template, word, row_number() OVER (PARTITION BY template, phrase ORDER BY df, -len(word), word) AS r FROM q JOIN df USING (word)) WHERE r = 1),
+c AS (SELECT template, word FROM (
+        SELECT v.template, v.word, row_number() OVER (PARTITION BY v.template ORDER BY rare.word IS NULL, df, -len(v.word), v.word) AS r
+        FROM (SELECT DISTINCT template, word FROM v) AS v JOIN df USING (word) LEFT JOIN rare ON v.template = rare.template AND v.word = rare.word)
+      WHERE r <= {INDEX_WORDS} AND template NOT IN (SELECT template FROM dead)),
+need AS (SELECT template, least({AGREE}, count(*)) AS need FROM c GROUP BY template),
+h AS (SELECT doc_id, template, pos - place AS s FROM x JOIN c USING (word) JOIN v USING (template, word) JOIN t USING (template) JOIN need USING (template)
+      WHERE pos - place + len(wording) > 0 GROUP BY doc_id, template, s, need HAVING count(DISTINCT word) >= need),
+m AS (SELECT doc_id, label, wording, w[greatest(s, 0) + 1:greatest(s, 0) + len(wording)] AS exact
+      FROM h JOIN t USING (template) JOIN d USING (doc_id)
+      WHERE len(list_filter(phrases, lambda p: contains(' ' || array_to_string(w[greatest(s - {SLACK}, 0) + 1:s + len(wording) + {SLACK}], ' ') || ' ', ' ' || p || ' '))) = len(phrases)),
+k AS (SELECT doc_id, label, len(list_filter(range(1, len(wording) + 1), lambda i: wording[i] = exact[i])) / len(wording) AS score FROM m),
+g AS (SELECT doc_id, count(*) AS n, min(pos) AS lo, max(pos) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS names FROM b GROUP BY doc_id),
+a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS names, max(score) AS best FROM (SELECT doc_id, label, 1.0::DOUBLE AS score FROM b UNION ALL SELECT doc_id, label, score FROM k) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(g.names, '') AS base_labels, coalesce(a.names, '') AS labels, round(coalesce(best, 0.0::DOUBLE), 6) AS score
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN a USING (doc_id)"""
+
+
 ORACLES = {
+    "op7_license_scan": _license_sql(),
+    "op8_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, body, sha1(body) AS hex, max(page_id) OVER (PARTITION BY body) AS best FROM p)
+SELECT page_id, strlen(body) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + ((CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS INTEGER) >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)), '') AS payload_digest,
+       CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to
+FROM h""",
+    "op9_near_dedup": f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWERED}'), '{SPACED}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s AS x JOIN s AS y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2) AS p
+      JOIN n AS na ON p.a = na.doc_id JOIN n AS nb ON p.b = nb.doc_id WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, ways.b FROM r JOIN ways ON r.b = ways.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, d.doc_id = c AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS c FROM r GROUP BY a) USING (doc_id)""",
+    "op1_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, 128 * i AS low, substr(h, 256 * i + 1, 256 + 98) AS h FROM d, LATERAL (SELECT unnest(range(0, len(h) // 256 + 1)) AS i)),
+s AS (SELECT doc_id, low + p AS p, substr(h, 2 * p + 1, 100) AS g FROM c, LATERAL (SELECT unnest(range(0, least(128, len(h) // 2 - 49))) AS p)),
+f AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY g) AS first FROM s) WHERE doc_id > first),
+m AS (SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 OR lag(p) OVER (PARTITION BY doc_id ORDER BY p) IS NULL THEN 1 ELSE 0 END AS new FROM f),
+r AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM m) GROUP BY doc_id, run),
+k AS (SELECT doc_id, h, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM r JOIN d USING (doc_id)),
+o AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM k GROUP BY doc_id)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN o USING (doc_id)""",
     "op5_decontaminate": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWERED}'), '{WORD}') AS w FROM documents),
 i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWERED}'), '{WORD}') AS w FROM benchmark),

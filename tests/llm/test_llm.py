@@ -231,6 +231,17 @@ def test_decontaminate(spark, docs, rows, empty):
     assert decontaminate.decontaminate(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_decontaminate_counts_short_items_of_every_length(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    word = lambda n: " ".join(f"q{int(x)}" for x in rng.integers(0, 12, n))
+    spark.createDataFrame([(i, word(int(rng.integers(0, 80)))) for i in range(60)] + [(60, None), (61, "q1")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(f"i{n}", word(n)) for n in (1, 2, 2, 3, 4, 5, 6, 7, 8, 9, 9, 10, 11, 14)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    same(queries.op5_decontaminate(spark, str(tmp_path)), queries.ORACLES["op5_decontaminate"], con)
+
+
 def test_decontaminate_counts_items_without_id(spark, tmp_path):
     long = " ".join(f"v{i}" for i in range(14))
     made = [(1, "x " + ITEM + " y"), (2, "say one two three"), (3, long + " " + ITEM), (4, "nothing here")]
@@ -369,6 +380,18 @@ def test_licenses(docs, rows, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_licenses_tell_rows_of_one_id_apart(spark):
+    made = [(1, "plain words"), (1, "Licensed under the Apache License, Version 2.0"), (None, "x"), (None, "released under the MIT license"), (None, "released under the MIT license")]
+    got = licenses.scan_licenses(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["labels"]) for r in got) == [("1", 2, ""), ("1", 8, "apache-2.0"), ("None", 1, ""), ("None", 5, "mit"), ("None", 5, "mit")]
+
+
+def test_licenses_find_wording_that_all_files_shorten(spark):
+    text = "Permission is hereby granted, free of charge, to any person obtaining a copy of this program."
+    got = licenses.scan_licenses(spark.createDataFrame([(i, text) for i in range(5)], "doc_id long, text string")).collect()
+    assert {r["labels"] for r in got} == {"mit"}
+
+
 def test_warc(spark, empty):
     pages = spark.createDataFrame([(1, "http://a/\r\nb", "same"), (2, None, "same"), (2, None, "same"), (3, "ü", None), (4, "u", ""), (None, "u", "lone"), (7, "u", LONG)], "page_id long, url string, html string")
     got = sorted((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.warc_round_trip(pages).where("page_id IS NOT NULL").collect())
@@ -380,6 +403,15 @@ def test_warc(spark, empty):
     assert back[7] == LONG and back[2] == "same"
 
 
+def test_warc_matches_sql_where_payloads_are_equal(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    made = [(i, f"http://a/{i}", [None, "", "same", "Same", "é" * 9, "x" * 3000, f"own {i}"][int(rng.integers(0, 7))]) for i in range(200)]
+    spark.createDataFrame(made, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    same(queries.op8_warc(spark, str(tmp_path)), queries.ORACLES["op8_warc"], con)
+
+
 def test_warc_rejects_damage():
     raw = warc.encode_record(1, "u", b"hello", None)
     assert warc.decode_record(raw)["payload"] == b"hello"
