@@ -13,14 +13,20 @@ Ranks are given to positions, at growing lengths, and only positions whose rank
    their first rank agrees with them in the 33 bytes to the right or to the left.
 3. The strings of the remaining leaders get ranks of SPAN bytes each: those with a smaller document are repeated.
 
-Texts are packed once into chunks in the shared folder. Each round is a sort of (rank, document) pairs by Spark: a
-chunk sends its distinct ranks, dealt by rank into buckets of bounded size, and gets back which of them are shared.
-Contexts, their sides and strings are dealt by names of their own, not by the 16 bytes they grew from, so whatever a
-third of all documents hold is one entry per chunk, and what differs around it spreads over all buckets. Ranks are
-64-bit names.
+Texts are packed once into chunks in the shared folder; a text longer than a chunk is cut into pieces that overlap by
+SPAN - 1 bytes, so every string lies in one piece, and the last step runs over its pieces in order. Each round is a
+sort of (rank, document) pairs by Spark: a chunk sends its distinct ranks, dealt by rank into buckets of bounded size,
+and gets back which of them are shared. Contexts, their sides and strings are dealt by names of their own, not by the
+16 bytes they grew from, so whatever a third of all documents hold is one entry per chunk, and what differs around it
+spreads over all buckets.
+
+Contexts and strings go by names of 128 bits, from two independent hashes, and names that are equal are taken as equal
+bytes: among 10**14 names (more than 100 TB of text have) any two that are unlike are equal with a chance under 1e-10.
+The 16-byte ranks and the sides only spare work: equal ones are looked at further.
 
 Defined results: null and empty texts are zero bytes; rows with equal doc_ids do not repeat each other; a null doc_id
-counts as greater than any other; an empty table gives an empty result; extra columns are ignored; a text of MOST_BYTES or more is rejected by name.
+counts as greater than any other; an empty table gives an empty result; extra columns are ignored; a text may be of any
+length.
 """
 
 from __future__ import annotations
@@ -45,44 +51,47 @@ from lodestrata.llm.storage import materialise, shared_dir
 SPAN, GRAM = 50, 16
 #: Of the bytes of a string that are not its anchor's, at least this many lie on one side.
 REACH = (SPAN - GRAM) // 2
-#: Bytes of text in a chunk (a longer document is a chunk of its own); ranks that a bucket gets on average.
+#: Bytes of text in a chunk or piece; ranks that a bucket gets on average.
 CHUNK_BYTES, BUCKET_RANKS = 2_000_000, 1_500_000
 #: Anchors for each byte of random text: two for SPAN - GRAM + 2 places.
 DENSITY = 2 / (SPAN - GRAM + 2)
-#: Places of anchors have 28 bits.
-MOST_BYTES = 1 << 28
-_PLACE = tb.U64(MOST_BYTES - 1)
+#: Places of anchors have 28 bits, which is more than a chunk has bytes.
+_PLACE = tb.U64((1 << 28) - 1)
 _LAST = np.iinfo(np.int64).max
-PAIRS = "bucket long, chunk long, body binary"
+PAIRS = "bucket long, chunk long, piece int, body binary"
 #: First byte of a body: what it tells of.
 CONTEXTS, SIDES = b"c", b"s"
 
 
 @dataclass
 class Chunk:
-    """Documents of a chunk: ids (null as the greatest), byte offsets, bytes."""
+    """Documents of a chunk: ids (null as the greatest), byte offsets, bytes. ``own`` bytes belong to it, those after them to
+    the next piece of the same text."""
 
     ids: np.ndarray
     offsets: np.ndarray
     data: np.ndarray
+    own: int
 
     def save(self, fs: pafs.FileSystem, path: str) -> None:
         body = zstandard.ZstdCompressor(level=3).compress(self.data.tobytes())
         with fs.open_output_stream(path) as out:
-            out.write(len(self.ids).to_bytes(8, "little") + self.ids.astype("<i8").tobytes() + self.offsets.astype("<i8").tobytes() + body)
+            out.write(np.array([len(self.ids), self.own], "<i8").tobytes() + self.ids.astype("<i8").tobytes() + self.offsets.astype("<i8").tobytes() + body)
 
     @staticmethod
     def load(fs: pafs.FileSystem, path: str) -> Chunk:
         with fs.open_input_stream(path) as stream:
             raw = stream.read()
-        n = int.from_bytes(raw[:8], "little")
-        ids, offsets = np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, "<i8", n + 1, 8 + 8 * n)
-        return Chunk(ids, offsets, np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[16 + 16 * n :]), np.uint8))
+        n, own = (int(x) for x in np.frombuffer(raw, "<i8", 2))
+        ids, offsets = np.frombuffer(raw, "<i8", n, 16), np.frombuffer(raw, "<i8", n + 1, 16 + 8 * n)
+        return Chunk(ids, offsets, np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[24 + 16 * n :]), np.uint8), own)
 
 
 @dataclass
 class Anchors:
-    """By anchor: document id, place, first and last string start, first and second rank; ``prefix`` hashes the chunk."""
+    """By anchor: document id, place, first and last string start, first rank, both halves of the context's name.
+
+    ``prefix`` and ``second`` hash the chunk."""
 
     doc: np.ndarray
     at: np.ndarray
@@ -90,7 +99,9 @@ class Anchors:
     high: np.ndarray
     rank: np.ndarray
     context: np.ndarray
+    check: np.ndarray
     prefix: np.ndarray
+    second: np.ndarray
 
 
 def anchors(chunk: Chunk) -> Anchors:
@@ -111,7 +122,9 @@ def anchors(chunk: Chunk) -> Anchors:
     low, high, at = start[first], start[last], at[first]
     rank = tb.span_hash(prefix, at, at + GRAM)
     context = tb.mix(tb.span_hash(prefix, low, high + SPAN) ^ rank * tb.U64(3))
-    return Anchors(chunk.ids[doc[first]], at, low, high, rank, context, prefix)
+    second = tb.prefix_hash(chunk.data, 1)
+    check = tb.span_hash(second, low, high + SPAN, 1)
+    return Anchors(chunk.ids[doc[first]], at, low, high, rank, context, check, prefix, second)
 
 
 def sides(a: Anchors, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,6 +173,33 @@ def _least(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return k[cut], np.minimum.reduceat(d, cut), np.maximum.reduceat(d, cut)
 
 
+def _runs(name: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal names of both halves lie together, and where each of them begins."""
+    order = np.argsort(name, kind="stable")
+    n, c = name[order], check[order]
+    if ((n[1:] == n[:-1]) & (c[1:] != c[:-1])).any():
+        order = np.lexsort([check, name])
+        n, c = name[order], check[order]
+    return order, np.flatnonzero(np.concatenate([[True], (n[1:] != n[:-1]) | (c[1:] != c[:-1])])) if len(n) else np.zeros(0, np.int64)
+
+
+def _by_name(name: np.ndarray, check: np.ndarray, values: np.ndarray, ufunc: np.ufunc = np.minimum) -> np.ndarray:
+    """For each entry, the least value (or another reduction) among the entries of its name."""
+    order, cut = _runs(name, check)
+    out = np.empty_like(values)
+    if len(cut):
+        out[order] = np.repeat(ufunc.reduceat(values[order], cut), np.diff(np.append(cut, len(order))))
+    return out
+
+
+def _distinct(name: np.ndarray, check: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One entry of each name, the least document of each, and for each entry the number of its name."""
+    order, cut = _runs(name, check)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(order))))
+    return order[cut], np.minimum.reduceat(doc[order], cut) if len(cut) else doc[:0], number
+
+
 def _pack(**columns: np.ndarray) -> bytes:
     n = len(next(iter(columns.values())))
     return n.to_bytes(8, "little") + b"".join(np.ascontiguousarray(c).tobytes() for c in columns.values())
@@ -184,14 +224,34 @@ def _long(body: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _rows(bucket: list[int], chunk: list[int], body: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(chunk, pa.int64()), pa.array(body, pa.binary())], ["bucket", "chunk", "body"])
+class _Out:
+    """Rows of PAIRS to be."""
 
+    def __init__(self) -> None:
+        self.bucket: list[int] = []
+        self.chunk: list[int] = []
+        self.piece: list[int] = []
+        self.body: list[bytes] = []
 
-def _parts(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
-    for table, first in groups(batches, [key]):
+    def add(self, bucket: int, key: tuple[int, int], body: bytes) -> None:
+        self.bucket.append(bucket)
+        self.chunk.append(key[0])
+        self.piece.append(key[1])
+        self.body.append(body)
+
+    def batch(self) -> pa.RecordBatch:
+        columns = [pa.array(self.bucket, pa.int64()), pa.array(self.chunk, pa.int64()), pa.array(self.piece, pa.int32()), pa.array(self.body, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "chunk", "piece", "body"])
+
+
+def _parts(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, pa.Table]]:
+    for table, first in groups(batches, list(keys)):
         for lo, hi in zip(first, [*first[1:], table.num_rows], strict=True):
-            yield table[key][int(lo)].as_py(), table.slice(int(lo), int(hi - lo))
+            yield tuple(table[k][int(lo)].as_py() for k in keys), table.slice(int(lo), int(hi - lo))
+
+
+def _senders(part: pa.Table) -> list[tuple[int, int]]:
+    return list(zip(part["chunk"].to_pylist(), part["piece"].to_pylist(), strict=True))
 
 
 def _split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -206,9 +266,9 @@ class _Job:
     def __init__(self, folder: str, buckets: int):
         self.folder, self.buckets = folder, buckets
 
-    def load(self, chunk: int) -> Chunk:
+    def load(self, key: tuple[int, int]) -> Chunk:
         fs, base = pafs.FileSystem.from_uri(self.folder)
-        return Chunk.load(fs, f"{base}/{chunk:016x}.chunk")
+        return Chunk.load(fs, f"{base}/{key[0]:016x}-{key[1]}.chunk")
 
     def bucket(self, rank: np.ndarray) -> np.ndarray:
         return ((rank & tb.U64(0xFFFFFF)) % tb.U64(self.buckets)).astype(np.int64)
@@ -216,19 +276,17 @@ class _Job:
     # Round 1: which ranks of 16 bytes are shared.
     def first_ranks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk in b.column(0).to_pylist():
-                a = anchors(self.load(chunk))
+            for key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                a, out = anchors(self.load(key)), _Out()
                 rank, low, high = _least(a.rank, a.doc)
-                out = ([], [], [])
                 for bucket, part in _split(self.bucket(rank)):
                     many = low[part] < high[part]
-                    for i, x in enumerate((bucket, chunk, np.packbits(many).tobytes() + _short(rank[part]).tobytes() + len(part).to_bytes(8, "little"))):
-                        out[i].append(x)
-                yield _rows(*out)
+                    out.add(bucket, key, np.packbits(many).tobytes() + _short(rank[part]).tobytes() + len(part).to_bytes(8, "little"))
+                yield out.batch()
 
     def share_first(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, part in _parts(batches, "bucket"):
-            names, flags = [], []
+        for (bucket,), part in _parts(batches, "bucket"):
+            names, flags, out = [], [], _Out()
             for body in part["body"].to_pylist():
                 n = int.from_bytes(body[-8:], "little")
                 flags.append(np.unpackbits(np.frombuffer(body, np.uint8, -(-n // 8)))[:n].astype(bool))
@@ -238,136 +296,159 @@ class _Job:
             _, inverse, count = np.unique(name, return_inverse=True, return_counts=True)
             many = many | (np.bincount(inverse, many)[inverse] > 0) | (count[inverse] > 1)
             cuts = np.cumsum(sizes)[:-1]
-            got = [x[m] for x, m in zip(np.split(name, cuts), np.split(many, cuts), strict=True)]
-            yield _rows([bucket] * len(got), part["chunk"].to_pylist(), [_short(x << tb.U64(24)).tobytes() for x in got])
+            for key, x, m in zip(_senders(part), np.split(name, cuts), np.split(many, cuts), strict=True):
+                out.add(bucket, key, _short(x[m] << tb.U64(24)).tobytes())
+            yield out.batch()
 
     # Round 2: leaders of contexts.
     def contexts(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, part in _parts(batches, "chunk"):
-            a = anchors(self.load(chunk))
+        for key, part in _parts(batches, "chunk", "piece"):
+            a, out = anchors(self.load(key)), _Out()
             shared = np.sort(np.concatenate([_long(x) | tb.U64(k) << tb.U64(40) for k, x in zip(part["bucket"].to_pylist(), part["body"].to_pylist(), strict=True)]))
             mine = (a.rank >> tb.U64(24)) | self.bucket(a.rank).astype(np.uint64) << tb.U64(40)
             at = np.searchsorted(shared, mine)
             hit = np.flatnonzero((at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == mine)) if len(shared) else np.zeros(0, np.int64)
-            context, where = np.unique(a.context[hit], return_index=True)
-            _, doc, _ = _least(a.context[hit], a.doc[hit])
+            where, doc, _ = _distinct(a.context[hit], a.check[hit], a.doc[hit])
+            context, check = a.context[hit[where]], a.check[hit[where]]
             name, real = side_ranks(a, hit[where])
             weight = (a.high - a.low + 1)[hit[where]].astype(np.int64)
             both = np.concatenate([np.flatnonzero(r) for r in real])
             name, low, many, weight = _extremes(name[real], context[both], np.zeros(len(both), bool), weight[both])
-            out = ([], [], [])
             for bucket, some in _split(self.bucket(context)):
                 some = some[np.argsort(doc[some], kind="stable")]
-                for i, x in enumerate((bucket, chunk, CONTEXTS + _pack(context=context[some], doc=doc[some]))):
-                    out[i].append(x)
+                out.add(bucket, key, CONTEXTS + _pack(context=context[some], check=check[some], doc=doc[some]))
             for bucket, some in _split(self.bucket(name)):
-                for i, x in enumerate((bucket, chunk, SIDES + _pack(name=name[some], low=low[some], many=many[some], weight=weight[some].astype("<u4")))):
-                    out[i].append(x)
-            yield _rows(*out)
+                out.add(bucket, key, SIDES + _pack(name=name[some], low=low[some], many=many[some], weight=weight[some].astype("<u4")))
+            yield out.batch()
 
     def share_contexts(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Contexts of a chunk that follow another document's, and its sides that several contexts have.
 
         ``weight`` is at least the number of strings that the sides open.
         """
-        for bucket, part in _parts(batches, "bucket"):
-            told, out, opened = list(zip(part["chunk"].to_pylist(), part["body"].to_pylist(), strict=True)), ([], [], []), []
-            got = [(c, *_unpack(x[1:], "<u8", "<i8")) for c, x in told if x[:1] == CONTEXTS]
+        for (bucket,), part in _parts(batches, "bucket"):
+            told, out, opened = list(zip(_senders(part), part["body"].to_pylist(), strict=True)), _Out(), []
+            got = [(key, *_unpack(x[1:], "<u8", "<u8", "<i8")) for key, x in told if x[:1] == CONTEXTS]
             if got:
-                keys, least, _ = _least(np.concatenate([x[1] for x in got]), np.concatenate([x[2] for x in got]))
-            for chunk, name, doc in got:
-                later = name[doc > least[np.searchsorted(keys, name)]]
-                if len(later):
-                    opened.append(0)
-                    for i, x in enumerate((bucket, chunk, CONTEXTS + later.tobytes())):
-                        out[i].append(x)
-            got = [(c, *_unpack(x[1:], "<u8", "<u8", "?", "<u4")) for c, x in told if x[:1] == SIDES]
+                name, check, doc = (np.concatenate([x[i] for x in got]) for i in (1, 2, 3))
+                later = np.split(doc > _by_name(name, check, doc), np.cumsum([len(x[1]) for x in got])[:-1])
+                for (key, name, check, _), hit in zip(got, later, strict=True):
+                    if hit.any():
+                        opened.append(0)
+                        out.add(bucket, key, CONTEXTS + _pack(name=name[hit], check=check[hit]))
+            got = [(key, *_unpack(x[1:], "<u8", "<u8", "?", "<u4")) for key, x in told if x[:1] == SIDES]
             if got:
                 keys, _, several, _ = _extremes(*(np.concatenate(x) for x in list(zip(*got, strict=True))[1:]))
-            for chunk, name, _, _, weight in got:
+            for key, name, _, _, weight in got:
                 shared = several[np.searchsorted(keys, name)]
                 if shared.any():
                     opened.append(int(weight[shared].sum(dtype=np.int64)))
-                    for i, x in enumerate((bucket, chunk, SIDES + name[shared].tobytes())):
-                        out[i].append(x)
-            yield _rows(*out).append_column("weight", pa.array(opened, pa.int64()))
+                    out.add(bucket, key, SIDES + name[shared].tobytes())
+            yield out.batch().append_column("weight", pa.array(opened, pa.int64()))
 
     def _status(self, a: Anchors, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """By anchor: all its strings are repeated; its strings need ranks of their own."""
-        told = lambda kind: np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, "<u8", offset=1) for x in bodies if x[:1] == kind)])
-        keys, least, _ = _least(a.context, a.doc)
-        repeated = _held(a.context, told(CONTEXTS)) | (a.doc > least[np.searchsorted(keys, a.context)] if len(keys) else np.zeros(0, bool))
+        followed = [_unpack(x[1:], "<u8", "<u8") for x in bodies if x[:1] == CONTEXTS]
+        name, check = (np.concatenate([np.zeros(0, np.uint64), *(x[i] for x in followed), own]) for i, own in enumerate((a.context, a.check)))
+        told = np.arange(len(name)) < len(name) - len(a.doc)
+        repeated = _by_name(name, check, told, np.logical_or)[len(name) - len(a.doc) :] | (a.doc > _by_name(a.context, a.check, a.doc))
         some = np.flatnonzero(~repeated)
         name, real = side_ranks(a, some)
         open_ = np.zeros(len(a.doc), dtype=bool)
-        open_[some] = (_held(name, told(SIDES)) & real).any(axis=0)
+        shared = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, "<u8", offset=1) for x in bodies if x[:1] == SIDES)])
+        open_[some] = (_held(name, shared) & real).any(axis=0)
         return repeated, open_
 
-    def _strings(self, a: Anchors, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Anchor, start and rank of all strings of some anchors."""
+    def _strings(self, a: Anchors, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Anchor, start and both halves of the name of all strings of open anchors."""
+        some = np.flatnonzero(open_)
         count = a.high[some] - a.low[some] + 1
         of = np.repeat(some, count)
         start = a.low[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-        return of, start, tb.span_hash(a.prefix, start, start + SPAN)
+        return of, start, tb.span_hash(a.prefix, start, start + SPAN), tb.span_hash(a.second, start, start + SPAN, 1)
+
+    def _sent(self, name: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Distinct strings by bucket, in the order in which they are sent and told of."""
+        for bucket, some in _split(self.bucket(name)):
+            yield bucket, some[np.argsort(doc[some], kind="stable")]
 
     # Round 3: strings of leaders.
     def strings(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, part in _parts(batches, "chunk"):
-            a = anchors(self.load(chunk))
+        for key, part in _parts(batches, "chunk", "piece"):
+            a, out = anchors(self.load(key)), _Out()
             _, open_ = self._status(a, part["body"].to_pylist())
-            of, _, rank = self._strings(a, np.flatnonzero(open_))
-            name, where = np.unique(rank, return_index=True)
-            _, doc, _ = _least(rank, a.doc[of])
-            out = ([], [], [])
-            for bucket, some in _split(self.bucket(name)):
-                some = some[np.argsort(doc[some], kind="stable")]
-                for i, x in enumerate((bucket, chunk, _pack(name=name[some], doc=doc[some]))):
-                    out[i].append(x)
-            yield _rows(*out)
+            of, _, name, check = self._strings(a, open_)
+            where, doc, _ = _distinct(name, check, a.doc[of])
+            name, check = name[where], check[where]
+            for bucket, some in self._sent(name, doc):
+                out.add(bucket, key, _pack(name=name[some], check=check[some], doc=doc[some]))
+            yield out.batch()
 
     def share_strings(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, part in _parts(batches, "bucket"):
-            got = [_unpack(x, "<u8", "<i8") for x in part["body"].to_pylist()]
-            name, doc = (np.concatenate(x) for x in zip(*got, strict=True))
-            keys, least, _ = _least(name, doc)
-            chunks, out = part["chunk"].to_pylist(), ([], [], [])
-            for chunk, (n, d) in zip(chunks, got, strict=True):
-                later = n[d > least[np.searchsorted(keys, n)]]
-                if len(later):
-                    for i, x in enumerate((bucket, chunk, later.tobytes())):
-                        out[i].append(x)
-            yield _rows(*out)
+        """A bit for each string of a chunk: another document with a smaller id has it."""
+        for (bucket,), part in _parts(batches, "bucket"):
+            got, out = [_unpack(x, "<u8", "<u8", "<i8") for x in part["body"].to_pylist()], _Out()
+            name, check, doc = (np.concatenate(x) for x in zip(*got, strict=True))
+            later = np.split(doc > _by_name(name, check, doc), np.cumsum([len(x[0]) for x in got])[:-1])
+            for key, hit in zip(_senders(part), later, strict=True):
+                if hit.any():
+                    out.add(bucket, key, np.packbits(hit).tobytes())
+            yield out.batch()
 
     # Result: what is removed.
+    def _gone(self, c: Chunk, part: pa.Table) -> np.ndarray:
+        """By byte of a chunk: whether a repeated string of it covers the byte."""
+        a = anchors(c)
+        rows = list(zip(part["kind"].to_pylist(), part["bucket"].to_pylist(), part["body"].to_pylist(), strict=True))
+        repeated, open_ = self._status(a, [x for kind, _, x in rows if kind == 2])
+        of, start, name, check = self._strings(a, open_)
+        where, doc, number = _distinct(name, check, a.doc[of])
+        told, later = {bucket: x for kind, bucket, x in rows if kind == 3}, np.zeros(len(where), dtype=bool)
+        for bucket, some in self._sent(name[where], doc):
+            if bucket in told:
+                later[some] = np.unpackbits(np.frombuffer(told[bucket], np.uint8), count=len(some))
+        hit = later[number] | (a.doc[of] > doc[number])
+        low = np.concatenate([a.low[repeated], start[hit]])
+        high = np.concatenate([a.high[repeated], start[hit]]) + SPAN
+        size = len(c.data)
+        return np.cumsum(np.bincount(low, minlength=size + 1) - np.bincount(high, minlength=size + 1))[:size] > 0
+
     def removed(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, part in _parts(batches, "chunk"):
-            c = self.load(chunk)
-            a = anchors(c)
-            kinds, bodies = part["kind"].to_pylist(), part["body"].to_pylist()
-            repeated, open_ = self._status(a, [x for k, x in zip(kinds, bodies, strict=True) if k == 2])
-            of, start, rank = self._strings(a, np.flatnonzero(open_))
-            keys, least, _ = _least(rank, a.doc[of])
-            later = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, "<u8") for k, x in zip(kinds, bodies, strict=True) if k == 3)])
-            hit = np.isin(rank, later)
-            if len(keys):
-                hit |= a.doc[of] > least[np.searchsorted(keys, rank)]
-            low = np.concatenate([a.low[repeated], start[hit]])
-            high = np.concatenate([a.high[repeated], start[hit]]) + SPAN
-            size = len(c.data)
-            gone = np.cumsum(np.bincount(low, minlength=size + 1) - np.bincount(high, minlength=size + 1))[:size] > 0
+        """Per document, whole; of a text in pieces the running counts, digest and overlap are carried from piece to piece."""
+        carried = None
+        for key, part in _parts(batches, "chunk", "piece"):
+            c = self.load(key)
+            gone = self._gone(c, part)
+            if key[1] == 0:
+                carried = None
+            if carried is not None:
+                gone[: len(carried[0])] |= carried[0]
+            over, gone = gone[c.own :], gone[: c.own]
+            offsets = np.minimum(c.offsets, c.own)
             begins = gone.copy()
             begins[1:] &= ~gone[:-1]
-            begins[c.offsets[:-1][c.offsets[:-1] < size]] = gone[c.offsets[:-1][c.offsets[:-1] < size]]
-            total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[c.offsets])
-            digest = [hashlib.sha256(c.data[i:j][~gone[i:j]].tobytes()).hexdigest() for i, j in zip(c.offsets[:-1], c.offsets[1:], strict=True)]
+            heads = offsets[:-1][offsets[:-1] < len(gone)]
+            begins[heads] = gone[heads]
+            total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[offsets]).astype(np.int64)
+            counts = np.stack([np.diff(offsets), total(gone), total(begins)])
+            digests = [hashlib.sha256() for _ in c.ids] if carried is None else [carried[2]]
+            for digest, i, j in zip(digests, offsets[:-1], offsets[1:], strict=True):
+                digest.update(c.data[i:j][~gone[i:j]].tobytes())
+            if carried is not None:
+                counts = counts + carried[1]
+                counts[2] -= bool(len(gone) and gone[0] and carried[3])
+            if len(c.data) > c.own:
+                carried = (over, counts, digests[0], bool(gone[-1]))
+                continue
+            carried = None
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c.ids, pa.int64(), mask=c.ids == _LAST), pa.array(np.diff(c.offsets)), pa.array(total(gone).astype(np.int64)), pa.array(total(begins).astype(np.int64)), pa.array(digest, pa.string())],
+                [pa.array(c.ids, pa.int64(), mask=c.ids == _LAST), *map(pa.array, counts), pa.array([d.hexdigest() for d in digests], pa.string())],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
 
 def _store(docs: DataFrame, folder: str) -> DataFrame:
-    """Pack the texts into chunk files; returns the manifest that Spark commits: chunk, size."""
+    """Pack the texts into chunk files; returns the manifest that Spark commits: chunk, piece, size."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
@@ -375,17 +456,21 @@ def _store(docs: DataFrame, folder: str) -> DataFrame:
         for b in batches:
             ids = b.column(0).fill_null(_LAST).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offsets = tb.flat(b.column(1))
-            names, sizes = [], []
-            for i in np.flatnonzero(np.diff(offsets) >= MOST_BYTES):
-                raise ValueError(f"the text of doc_id {None if ids[i] == _LAST else ids[i]} has {offsets[i + 1] - offsets[i]} bytes; {MOST_BYTES} are too many")
+            found = []
             for lo, hi in tb.slices(offsets, CHUNK_BYTES):
-                names.append(uuid.uuid4().int >> 65)
-                sizes.append(int(offsets[hi] - offsets[lo]))
-                Chunk(ids[lo:hi], offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]).save(fs, f"{base}/{names[-1]:016x}.chunk")
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64())], ["chunk", "size"])
+                name = uuid.uuid4().int >> 65
+                text = data[offsets[lo] : offsets[hi]]
+                for piece, begin in enumerate(range(0, max(1, len(text)), CHUNK_BYTES)):
+                    own = min(CHUNK_BYTES, len(text) - begin)
+                    body = text[begin : begin + CHUNK_BYTES + SPAN - 1]
+                    cuts = offsets[lo : hi + 1] - offsets[lo] if len(text) <= CHUNK_BYTES else np.array([0, len(body)])
+                    Chunk(ids[lo:hi], cuts, body, own).save(fs, f"{base}/{name:016x}-{piece}.chunk")
+                    found.append((name, piece, own))
+            chunk, piece, size = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(piece, pa.int32()), pa.array(size, pa.int64())], ["chunk", "piece", "size"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialise(rows.mapInArrow(pack, "chunk long, size long"), "chunks")
+    return materialise(rows.mapInArrow(pack, "chunk long, piece int, size long"), "chunks")
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
@@ -396,15 +481,16 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     size, count = chunks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     job = _Job(folder, max(1, -(-int(size * DENSITY) // BUCKET_RANKS)))
     tasks = max(1, min(count, 2 * spark.sparkContext.defaultParallelism), -(-count // 16))
+    keys = {"bucket": ["bucket"], "chunk": ["chunk", "piece"]}
 
     def dealt(rows: DataFrame, key: str, step: Callable, schema: str = PAIRS) -> DataFrame:
         n = step.__self__.buckets if key == "bucket" else tasks
-        return rows.repartition(n, key).sortWithinPartitions(key).mapInArrow(step, schema)
+        return rows.repartition(n, *keys[key]).sortWithinPartitions(*keys[key]).mapInArrow(step, schema)
 
     # A row without ranks for every chunk, so that each is seen in every round.
-    every = chunks.select(F.lit(0).cast("long").alias("bucket"), "chunk", F.unhex(F.lit("")).alias("body"))
-    none = chunks.select(F.lit(0).cast("long").alias("bucket"), "chunk", F.unhex(F.lit("00" * 8)).alias("body"))
-    first = chunks.select("chunk").repartition(tasks, "chunk").mapInArrow(job.first_ranks, PAIRS)
+    row = lambda body: chunks.select(F.lit(0).cast("long").alias("bucket"), "chunk", "piece", F.unhex(F.lit(body)).alias("body"))
+    every, none = row(""), row("00" * 8)
+    first = chunks.select("chunk", "piece").repartition(tasks, "chunk", "piece").mapInArrow(job.first_ranks, PAIRS)
     shared = dealt(first, "bucket", job.share_first)
     context = dealt(shared.unionByName(every), "chunk", job.contexts)
     status = materialise(dealt(context, "bucket", job.share_contexts, PAIRS + ", weight long"), "contexts")
@@ -413,5 +499,5 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     last = _Job(folder, max(job.buckets, -(-int(weight) // BUCKET_RANKS)))
     strings = dealt(dealt(status, "chunk", last.strings), "bucket", last.share_strings)
     facts = status.withColumn("kind", F.lit(2)).unionByName(strings.withColumn("kind", F.lit(3)))
-    facts = facts.select("chunk", "kind", "body").repartition(tasks, "chunk").sortWithinPartitions("chunk")
-    return facts.mapInArrow(job.removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    facts = facts.select("chunk", "piece", "kind", "bucket", "body").repartition(tasks, "chunk").sortWithinPartitions("chunk", "piece")
+    return facts.mapInArrow(last.removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

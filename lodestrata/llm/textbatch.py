@@ -10,10 +10,10 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Odd multiplier of the rolling hash, 3 modulo 8, and its inverse modulo 2**64.
-_BASE = 0x9E3779B97F4A7C13
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240131).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+#: Odd multipliers of two rolling hashes, 3 modulo 8, and their inverses modulo 2**64.
+_BASE = (0x9E3779B97F4A7C13, 0xD1B54A32D192ED03)
+_INVERSE = tuple(pow(b, -1, 1 << 64) for b in _BASE)
+_BYTE = [np.random.default_rng(20240131 + i).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1) for i in (0, 1)]
 
 #: Maps A-Z to a-z and every other byte to itself.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -69,16 +69,16 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """H with H[j] - H[i] = sum of byte values times the base's powers over [i, j)."""
+def prefix_hash(data: np.ndarray, kind: int = 0) -> np.ndarray:
+    """H with H[j] - H[i] = sum of byte values times the base's powers over [i, j), by one of two independent hashes."""
     out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * _power("up", _BASE, len(data)), out=out[1:])
+    np.cumsum(_BYTE[kind][data] * _power(f"up{kind}", _BASE[kind], len(data)), out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, kind: int = 0) -> np.ndarray:
     """64-bit hashes of the byte spans [start, end); equal bytes give equal hashes anywhere."""
-    down = _power("down", _INVERSE, len(prefix))
+    down = _power(f"down{kind}", _INVERSE[kind], len(prefix))
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
 
 

@@ -102,17 +102,17 @@ def test_suffix_dedup_spreads_what_surrounds_a_common_line(tmp_path):
     for k in range(6):
         part = made[k::6]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in part])])
-        suffix_dedup.Chunk(np.arange(k, 3000, 6), offsets, np.frombuffer(b"".join(part), np.uint8)).save(fs, f"{base}/{k:016x}.chunk")
+        suffix_dedup.Chunk(np.arange(k, 3000, 6), offsets, np.frombuffer(b"".join(part), np.uint8), int(offsets[-1])).save(fs, f"{base}/{k:016x}-0.chunk")
     table = lambda batches, key: pa.Table.from_batches(list(batches)).sort_by(key).to_batches()
 
     def even(rows):
         held = pa.Table.from_batches(rows).to_pandas().assign(size=lambda t: t.body.str.len()).groupby("bucket")["size"].sum()
         assert held.max() < 2 * held.sum() / 8 and held.sum() > 50_000
 
-    first = table(job.first_ranks(iter([pa.RecordBatch.from_pydict({"chunk": list(range(6))})])), "bucket")
+    first = table(job.first_ranks(iter([pa.RecordBatch.from_pydict({"chunk": list(range(6)), "piece": [0] * 6})])), "bucket")
     contexts = table(job.contexts(iter(table(job.share_first(iter(first)), "chunk"))), "bucket")
     even(contexts)
-    status = pa.Table.from_batches(list(job.share_contexts(iter(contexts)))).select(["bucket", "chunk", "body"]).sort_by("chunk").to_batches()
+    status = pa.Table.from_batches(list(job.share_contexts(iter(contexts)))).select(["bucket", "chunk", "piece", "body"]).sort_by("chunk").to_batches()
     even(table(job.strings(iter(status)), "bucket"))
 
 
@@ -125,10 +125,22 @@ def test_suffix_dedup_common_line(spark):
     assert sorted(map(tuple, got.collect()), key=str) == brute_suffix(made)
 
 
-def test_suffix_dedup_rejects_texts_beyond_its_places(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "MOST_BYTES", 100)
-    with pytest.raises(Exception, match="doc_id 77"):
-        suffix_dedup.suffix_dedup(spark.createDataFrame([(1, "a" * 99), (77, "b" * 100)], "doc_id long, text string"))
+@pytest.mark.parametrize("piece", [100, 173, 1000])
+def test_suffix_dedup_of_texts_in_pieces(spark, monkeypatch, piece):
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", piece)
+    rng = np.random.default_rng(13)
+    pool = bytes(rng.integers(97, 101, 900, dtype=np.uint8)).decode()
+    made = [(i, "".join(pool[a : a + int(rng.integers(20, 400))] for a in rng.integers(0, 900, int(rng.integers(0, 9))))) for i in range(14)]
+    made += [(20, "z" * 1730), (21, "z" * 400), (22, pool + pool), (None, pool), (23, None)]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(made, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, got.collect()), key=str) == brute_suffix(made)
+
+
+def test_suffix_dedup_tells_names_of_equal_halves_apart():
+    name, check, doc = (np.array(x, dtype=t) for x, t in (([7, 7, 7, 3, 7], np.uint64), ([1, 2, 1, 1, 2], np.uint64), ([5, 4, 2, 9, 8], np.int64)))
+    assert suffix_dedup._by_name(name, check, doc).tolist() == [2, 4, 2, 9, 4]
+    where, least, number = suffix_dedup._distinct(name, check, doc)
+    assert sorted(least.tolist()) == [2, 4, 9] and least[number].tolist() == [2, 4, 2, 9, 4] and len(set(zip(name[where].tolist(), check[where].tolist()))) == 3
 
 
 def test_exact_dedup(docs, rows, empty):
