@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm.near_dedup import groups
-from lodestrata.llm.storage import materialise, shared_dir
+from lodestrata.llm.storage import materialise, shared_dir, stable
 
 #: Rank file of the tokenizer and, as fixed values, its split pattern and the two ids that it leaves free.
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -141,9 +141,7 @@ def occurrences(rows: DataFrame) -> tuple[str, int]:
 
 def write_training_order(docs: DataFrame, folder: str, ranks: dict[bytes, int], key: bytes = b"order", length: int = LENGTH) -> DataFrame:
     """Write shards under ``folder``; returns the manifest: MANIFEST's columns and slot."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(None)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
-        rows = materialise(rows, "documents")
+    rows = stable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
     facts = rows.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text")), F.sum(F.octet_length("text").cast("long")), F.count(F.lit(1))).first()
     low, high, longest, total, n = (x or 0 for x in facts)
     rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(low)))

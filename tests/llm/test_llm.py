@@ -201,6 +201,7 @@ def test_near_dedup(docs, rows, empty):
 def test_near_dedup_large_group(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SET_BLOCK", 16)
     monkeypatch.setattr(near_dedup, "LIST_BLOCK", 32)
+    monkeypatch.setattr(near_dedup, "STAR_ROWS", 8)
     rng = np.random.default_rng(3)
     base = [f"t{i}" for i in range(150)]
     made = []
@@ -213,6 +214,34 @@ def test_near_dedup_large_group(spark, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=str) == brute_near(made)
 
 
+def test_near_dedup_chains_within_templates(spark, monkeypatch):
+    """Clusters of one template with several components: chains of links, texts just under the threshold, copies."""
+    monkeypatch.setattr(near_dedup, "SET_BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "LIST_BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "STAR_ROWS", 4)
+    rng = np.random.default_rng(14)
+    made = []
+    for t in range(3):
+        base = [f"t{t}_{i}" for i in range(60)]
+        for k in range(12):
+            own = [f"o{t}_{k}_{i}" for i in range(int(rng.integers(8, 40)))]
+            for c in range(int(rng.integers(1, 6))):
+                cut = int(rng.integers(0, 6))
+                made.append((len(made), " ".join(base[cut:] + own + [f"c{c}"] * int(rng.integers(0, 9)))))
+    got = near_dedup.near_dedup(spark.createDataFrame(made, "doc_id long, text string").repartition(4))
+    want = brute_near(made)
+    assert len({w[2] for w in want}) > 10 and sorted(map(tuple, got.collect()), key=str) == want
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark, docs, clashing):
+    out = near_dedup.deduplicated(clashing)
+    assert out.columns == clashing.columns
+    sets = near_dedup.near_dedup(docs).where("n_shingles > 0").select("component_id").distinct().count()
+    assert out.where("length(trim(text)) > 0").count() == sets
+    hot = spark.createDataFrame([(None, "a b c d e f g")] * 40 + [(3, "a b c d e f g")] * 40 + [(3, "other words of the same id"), (None, ""), (None, None)], "doc_id long, text string")
+    assert sorted(map(str, map(tuple, near_dedup.deduplicated(hot).collect()))) == sorted(map(str, [(3, "a b c d e f g"), (3, "other words of the same id"), (None, ""), (None, None)]))
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     assert {r["label"] for r in graph.components(edges).collect()} == {0}
