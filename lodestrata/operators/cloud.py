@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,55 +87,103 @@ def strided_sample(df: DataFrame, points: int = 20_000) -> DataFrame:
     return df.join(n, F.col("scene_id") == F.col("__scene")).where(F.col("record_no") % F.col("__step") == 0).drop("__scene", "__step")
 
 
-def quantile_at(df: DataFrame, column: str, q: float, by: list[str] | None = None) -> DataFrame:
-    """The element at floor(q * (n - 1)) of the sorted values, by group."""
+#: Steps of the approximate quantiles that bracket an exact one, and their accuracy (ranks are off by a part of this at most).
+STEPS, ACCURACY = 256, 10_000
+
+
+def quantiles(df: DataFrame, wanted: dict[str, list[float]], by: list[str] | None = None) -> DataFrame:
+    """The elements at floor(q * (n - 1)) of the sorted values of several columns: group, column, q, value (as double).
+
+    Nulls sort first and NaN last. Approximate quantiles bracket the exact ones; only the few rows between the brackets
+    are counted by value and ranked, and those below are counted, so no task sorts a group however large it is.
+    """
     by = by or ["scene_id"]
-    rows = df.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(column)))
-    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    return rows.join(n, by).where(F.col("__r") == F.floor(F.lit(q) * (F.col("__n") - 1)) + 1).select(*by, F.col(column).alias("value"))
+    pairs = [(c, q) for c, qs in wanted.items() for q in qs]
+    number = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in wanted}
+    grid = F.array(*(F.lit(i / STEPS) for i in range(STEPS + 1)))
+    facts = df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("__n"),
+        *(F.count_if(F.col(c).isNull()).alias(f"__null{i}") for i, c in enumerate(wanted)), *(F.count(number[c]).alias(f"__some{i}") for i, c in enumerate(wanted)),
+        *(F.percentile_approx(number[c], grid, ACCURACY).alias(f"__grid{i}") for i, c in enumerate(wanted)),
+    )
+    edges = []
+    for k, (c, q) in enumerate(pairs):
+        i = list(wanted).index(c)
+        rank = F.floor(F.lit(q) * (F.col("__n") - 1)) - F.col(f"__null{i}")  # among the numbers, from 0
+        step = F.floor(rank * STEPS / F.nullif(F.col(f"__some{i}"), F.lit(0))).cast("int")
+        low = F.when(step > 2, F.get(f"__grid{i}", step - 2)).otherwise(float("-inf"))
+        high = F.when(step < STEPS - 2, F.get(f"__grid{i}", step + 3)).otherwise(float("inf"))
+        kind = F.when(rank < 0, F.lit(None).cast("double")).when(rank >= F.col(f"__some{i}"), float("nan"))
+        edges.append(F.struct(F.lit(k).alias("k"), F.lit(c).alias("column"), F.lit(q).alias("q"), low.alias("low"), high.alias("high"), rank.alias("rank"), kind.alias("kind"), ((rank < 0) | (rank >= F.col(f"__some{i}"))).alias("known")))
+    facts = persisted(facts.select(*by, F.array(*edges).alias("__edges")), "quantiles")
+    keys = [F.col(c).alias(f"__by{i}") for i, c in enumerate(by)]
+    near = df.select(*keys, *(number[c].alias(f"__v{i}") for i, c in enumerate(wanted)))
+    same = reduce(lambda x, y: x & y, (F.col(f"__by{i}").eqNullSafe(facts[c]) for i, c in enumerate(by)))
+    near = near.join(facts, same)
+    value = [F.col(f"__v{list(wanted).index(c)}") for c, _ in pairs]
+    edge = [F.get("__edges", F.lit(k)) for k in range(len(pairs))]
+    below = near.groupBy(*by).agg(F.array(*(F.count_if(v < e["low"]) for v, e in zip(value, edge, strict=True))).alias("__below"))
+    hit = F.filter(F.array(*(F.when((v >= e["low"]) & (v <= e["high"]), F.struct(F.lit(k).alias("k"), v.alias("v"))) for k, (v, e) in enumerate(zip(value, edge, strict=True)))), lambda x: x.isNotNull())
+    counted = near.select(*by, F.explode(hit).alias("x")).groupBy(*by, F.col("x.k").alias("k"), F.col("x.v").alias("value")).agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*by, "k").orderBy("value"))
+    counted = counted.withColumn("__upto", upto)
+    every = facts.select(*by, F.explode("__edges").alias("e")).select(*by, "e.*")
+    every = _beside(every, below, by).withColumn("__left", F.col("rank") - F.get("__below", F.col("k")))
+    found = _beside(counted.withColumnRenamed("k", "__k"), every, by).where((F.col("__k") == F.col("k")) & ~F.col("known") & (F.col("__left") < F.col("__upto")) & (F.col("__left") >= F.col("__upto") - F.col("c")))
+    return found.select(*by, "column", "q", "value").unionByName(every.where("known").select(*by, "column", "q", F.col("kind").alias("value")))
+
+
+def _beside(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """Join of two tables on the group, where null is a group of its own."""
+    renamed = b.select(*(F.col(c).alias(f"__{c}_") for c in by), *(c for c in b.columns if c not in by))
+    return a.join(renamed, reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"__{c}_")) for c in by))).drop(*(f"__{c}_" for c in by))
+
+
+def quantile_at(df: DataFrame, column: str, q: float, by: list[str] | None = None) -> DataFrame:
+    """The element at floor(q * (n - 1)) of the sorted values, by group, as ``value``."""
+    return quantiles(df, {column: [q]}, by).drop("column", "q")
 
 
 def plan_kd_tiles(sample: DataFrame, totals: DataFrame, max_per_tile: int, max_depth: int = 40) -> DataFrame:
     """kd_node: scene_id, path (L and R), axis (-1: leaf), split, ties_left, tile, est.
 
-    One aggregation and one ranking per depth over the points of nodes that are still open. A node splits its widest
-    axis at the element in the middle; equal elements go right, or left where the right side would get all.
+    A node splits its widest axis at the element in the middle; equal elements go right, or left where the right side
+    would get all. The sample of a scene is bounded by the parameters of ``block_sample`` (48 MB at its defaults), so
+    one task plans a scene; scenes are planned side by side.
     """
-    count = sample.groupBy("scene_id").agg(F.count(F.lit(1)).alias("c"))
-    scale = totals.select("scene_id", "n").join(count, "scene_id").select("scene_id", (F.col("n") / F.col("c")).alias("scale"))
-    points = sample.select("scene_id", *POSITION, F.lit("").alias("path"))
-    nodes = None
-    for depth in range(max_depth + 2):
-        points = persisted(points, "kd-points")
-        extents = [f"max({a}) - min({a})" for a in POSITION]
-        stat = points.groupBy("scene_id", "path").agg(F.count(F.lit(1)).alias("c"), *(F.expr(e).alias(f"e{i}") for i, e in enumerate(extents)))
-        stat = stat.join(F.broadcast(scale), "scene_id").withColumn("est", F.col("c") * F.col("scale"))
-        widest = F.when((F.col("e0") >= F.col("e1")) & (F.col("e0") >= F.col("e2")), 0).when(F.col("e1") >= F.col("e2"), 1).otherwise(2)
-        shut = (F.col("est") <= max_per_tile) | (F.col("c") < 2) | F.lit(depth > max_depth) | (F.greatest("e0", "e1", "e2") <= 0)
-        stat = stat.withColumn("axis", F.when(shut, -1).otherwise(widest)).select("scene_id", "path", "c", "axis", "est")
-        joined = points.join(stat.where("axis >= 0"), ["scene_id", "path"])
-        joined = joined.withColumn("v", F.when(F.col("axis") == 0, F.col("x")).when(F.col("axis") == 1, F.col("y")).otherwise(F.col("z")))
-        ranked = joined.withColumn("r", F.row_number().over(Window.partitionBy("scene_id", "path").orderBy("v")))
-        middle = ranked.where(F.col("r") == F.floor(F.col("c") / 2) + 1).select("scene_id", "path", F.col("v").alias("split"))
-        sides = joined.join(middle, ["scene_id", "path"]).groupBy("scene_id", "path").agg(F.count_if(F.col("v") < F.col("split")).alias("less"), F.count_if(F.col("v") <= F.col("split")).alias("upto"))
-        cut = middle.join(sides, ["scene_id", "path"])
-        level = stat.join(cut, ["scene_id", "path"], "left")
-        stuck = (F.col("axis") >= 0) & (F.col("less") == 0) & (F.col("upto") == F.col("c"))
-        level = level.select(
-            "scene_id", "path", F.when(stuck, -1).otherwise(F.col("axis")).alias("axis"), F.when(~stuck & (F.col("axis") >= 0), F.col("split")).alias("split"),
-            F.when(~stuck & (F.col("axis") >= 0), F.col("less") == 0).alias("ties_left"), S.nearest(F.col("est")).alias("est"),
-        )
-        level = persisted(level, "kd-level")
-        nodes = level if nodes is None else nodes.unionByName(level)
-        going = level.where("axis >= 0")
-        if going.isEmpty():
-            break
-        ahead = points.join(F.broadcast(going), ["scene_id", "path"])  # one row per open node of a bounded sample
-        v = F.when(F.col("axis") == 0, F.col("x")).when(F.col("axis") == 1, F.col("y")).otherwise(F.col("z"))
-        left = F.when(F.col("ties_left"), v <= F.col("split")).otherwise(v < F.col("split"))
-        points = ahead.select("scene_id", *POSITION, F.concat("path", F.when(left, "L").otherwise("R")).alias("path"))
-    tile = F.when(F.col("axis") < 0, F.row_number().over(Window.partitionBy("scene_id", F.col("axis") < 0).orderBy("path")) - 1)
-    return nodes.withColumn("tile", tile)
+    kind = dict(sample.dtypes)["scene_id"]
+    points = sample.select("scene_id", *(F.col(a).cast("double").alias(a) for a in POSITION)).join(totals.select("scene_id", "n"), "scene_id")
+    schema = f"scene_id {kind}, path string, axis int, split double, ties_left boolean, tile int, est long"
+
+    def plan(table: pa.Table) -> pa.Table:
+        xyz = np.column_stack([table[a].to_numpy() for a in POSITION])
+        scale = table["n"][0].as_py() / len(xyz)
+        rows, leaves = [], 0
+        waiting = [("", np.arange(len(xyz)))]
+        while waiting:  # depth first, left before right
+            path, some = waiting.pop()
+            held = xyz[some]
+            extent = held.max(axis=0) - held.min(axis=0)
+            axis, share = int(extent.argmax()), len(some) * scale
+            split = None
+            if share > max_per_tile and len(some) > 1 and len(path) <= max_depth and extent[axis] > 0:
+                v = held[:, axis]
+                split = float(np.partition(v, len(v) // 2)[len(v) // 2])
+                ties_left = not (v < split).any()
+                left = v <= split if ties_left else v < split
+                if left.all():
+                    split = None
+            if split is None:
+                rows.append((path, -1, None, None, leaves, math.floor(share + 0.5)))
+                leaves += 1
+            else:
+                rows.append((path, axis, split, ties_left, None, math.floor(share + 0.5)))
+                waiting += [(path + "R", some[~left]), (path + "L", some[left])]
+        path, axis, split, ties, tile, est = zip(*rows, strict=True)
+        columns = [pa.array([table["scene_id"][0].as_py()] * len(rows), table.schema.field("scene_id").type), pa.array(path), pa.array(axis, pa.int32()), pa.array(split, pa.float64()), pa.array(ties, pa.bool_()), pa.array(tile, pa.int32()), pa.array(est, pa.int64())]
+        return pa.Table.from_arrays(columns, ["scene_id", "path", "axis", "split", "ties_left", "tile", "est"])
+
+    return points.groupBy("scene_id").applyInArrow(plan, schema)
 
 
 def assign_tile(df: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -158,7 +210,8 @@ def assign_tile(df: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _assign_by_level(df: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The same by a join per level; the node table is small beside the rows, AQE picks the strategy."""
+    """The same by a join per level. The nodes of a sample are few beside the rows: written down, they are broadcast up to
+    Spark's limit; beyond it rows are dealt by scene and path, and AQE splits the paths that many rows share."""
     depth = nodes.agg(F.max(F.length("path"))).first()[0]
     out = df.withColumn("__path", F.lit(""))
     inner = nodes.where("axis >= 0").select(F.col("scene_id").alias("__s"), F.col("path").alias("__p"), "axis", "split", "ties_left")
@@ -181,9 +234,13 @@ def repartition_by_tile(df: DataFrame, *more: str) -> DataFrame:
     return df.repartition("scene_id", "tile", *more)
 
 
+# Shifts and masks that put two zero bits after each of ten bits.
+SPREAD = ((16, 0x030000FF), (8, 0x0300F00F), (4, 0x030C30C3), (2, 0x09249249))
+
+
 def _spread(v: Column) -> Column:
     """Ten bits with two zero bits after each."""
-    for shift, mask in ((16, 0x030000FF), (8, 0x0300F00F), (4, 0x030C30C3), (2, 0x09249249)):
+    for shift, mask in SPREAD:
         v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
     return v
 
@@ -209,46 +266,101 @@ def zorder_rows(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return df.withColumn("rank", rank.cast("long"))
 
 
+def _times(a: list[list[Column]], b: list[list[Column]]) -> list[list[Column]]:
+    return [[sum((a[i][k] * b[k][j] for k in range(1, 3)), a[i][0] * b[0][j]) for j in range(3)] for i in range(3)]
+
+
+def axis_turn(axis: int, degrees: Column) -> list[list[Column]]:
+    """The 3x3 rotation about a coordinate axis."""
+    c, s, p, q = F.cos(F.radians(degrees)), F.sin(F.radians(degrees)), (axis + 1) % 3, (axis + 2) % 3
+    m = [[F.lit(float(i == j)) for j in range(3)] for i in range(3)]
+    m[p][p], m[p][q], m[q][p], m[q][q] = c, -s, s, c
+    return m
+
+
 def view_matrix(ex: Column, ey: Column, ez: Column) -> list[list[Column]]:
-    """Rows of the 3x3 rotation of Euler degrees times a half turn about z."""
-    h = math.pi / 360
-    (sx, cx), (sy, cy), (sz, cz) = ((F.sin(e * h), F.cos(e * h)) for e in (ex, ey, ez))
-    x, y = sx * cy * cz - cx * sy * sz, cx * sy * cz + sx * cy * sz
-    z, w = cx * cy * sz - sx * sy * cz, cx * cy * cz + sx * sy * sz
-    r = [
-        [1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)],
-        [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)],
-        [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)],
-    ]
-    return [[-row[0], -row[1], row[2]] for row in r]
+    """The 3x3 rotation about x, then y, then z, all after a half turn about z."""
+    turned = _times(_times(axis_turn(2, ez), axis_turn(1, ey)), axis_turn(0, ex))
+    return [[row[0] * -1, row[1] * -1, row[2]] for row in turned]
+
+
+def hamilton(a: list[Column], b: list[Column]) -> list[Column]:
+    """The product of two quaternions, real part first."""
+    dot = a[1] * b[1] + a[2] * b[2] + a[3] * b[3]
+    cross = [a[1 + (i + 1) % 3] * b[1 + (i + 2) % 3] - a[1 + (i + 2) % 3] * b[1 + (i + 1) % 3] for i in range(3)]
+    return [a[0] * b[0] - dot, *(a[0] * b[1 + i] + b[0] * a[1 + i] + cross[i] for i in range(3))]
+
+
+def view_quaternion(angles: list[Column]) -> list[Column]:
+    """The same rotation as a quaternion, real part first."""
+    about = [[F.cos(F.radians(e) / 2), *(F.sin(F.radians(e) / 2) if i == axis else F.lit(0.0) for i in range(3))] for axis, e in enumerate(angles)]
+    half = [F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)]
+    return hamilton(hamilton(hamilton(about[2], about[1]), about[0]), half)
+
+
+def sh_basis(d: np.ndarray) -> np.ndarray:
+    """Real spherical harmonics of bands 1 to 3 at unit directions (n x 3), as splat files order and sign them."""
+    x, y, z = d.T
+    xx, yy, zz = x * x, y * y, z * z
+    # Normalisation of each function.
+    return np.column_stack([
+        -0.4886025119 * y, 0.4886025119 * z, -0.4886025119 * x,
+        1.0925484306 * x * y, -1.0925484306 * y * z, 0.3153915653 * (2 * zz - xx - yy), -1.0925484306 * x * z, 0.5462742153 * (xx - yy),
+        -0.5900435899 * y * (3 * xx - yy), 2.8906114426 * x * y * z, -0.4570457995 * y * (4 * zz - xx - yy), 0.3731763326 * z * (2 * zz - 3 * xx - 3 * yy),
+        -0.4570457995 * x * (4 * zz - xx - yy), 1.4453057213 * z * (xx - yy), -0.5900435899 * x * (xx - 3 * yy),
+    ])
+
+
+def sh_turn(m: np.ndarray) -> np.ndarray:
+    """15 x 15: what the rotation ``m`` does to the coefficients of bands 1 to 3; bands do not mix."""
+    d = np.random.default_rng(0).normal(size=(64, 3))
+    d /= np.linalg.norm(d, axis=1, keepdims=True)
+    before, after, out = sh_basis(d), sh_basis(d @ m), np.zeros((15, 15))
+    for lo, hi in ((0, 3), (3, 8), (8, 15)):
+        out[lo:hi, lo:hi] = np.linalg.lstsq(before[:, lo:hi], after[:, lo:hi], rcond=None)[0]
+    return out
+
+
+@F.pandas_udf("array<float>")
+def rotate_sh(rest: pd.Series, matrix: pd.Series) -> pd.Series:
+    """f_rest (three channels of 3, 8 or 15 coefficients; other lengths and nulls stay) under a 3x3 rotation by rows."""
+    out = rest.copy()
+    turns = np.array([np.full(9, np.nan) if m is None else m for m in matrix], dtype=float).reshape(-1, 9)
+    size = np.array([-1 if r is None else len(r) for r in rest])
+    kinds, kind = np.unique(turns, axis=0, return_inverse=True)
+    for k, m in enumerate(kinds):
+        turn = sh_turn(m.reshape(3, 3)) if np.isfinite(m).all() else np.eye(15)
+        for n in (9, 24, 45):
+            some = np.flatnonzero((kind.ravel() == k) & (size == n))
+            if len(some):
+                held = np.array([rest.iloc[i] for i in some], dtype=float).reshape(len(some), 3, n // 3)
+                out.iloc[some] = list((held @ turn[: n // 3, : n // 3].T).reshape(len(some), n).astype(np.float32))
+    return out
+
+
+def _turns(scenes: DataFrame) -> DataFrame:
+    """scene_id, __m (nine numbers by rows), __q (four) and __t (three) of scenes; angles that are no numbers count as 0."""
+    angle = [F.when(finite(F.get("rotation", i)), F.get("rotation", i).cast("double")).otherwise(0.0) for i in range(3)]
+    matrix = F.array(*(v for row in view_matrix(*angle) for v in row))
+    return scenes.select("scene_id", matrix.alias("__m"), F.array(*view_quaternion(angle)).alias("__q"), F.col("translation").alias("__t"))
+
+
+def _moved() -> dict[str, Column]:
+    return {a: sum((F.get("__m", 3 * i + j) * F.col(b) for j, b in enumerate(POSITION)), F.lit(0.0)) + F.get("__t", i) for i, a in enumerate(POSITION)}
 
 
 def transform_positions(df: DataFrame, scenes: DataFrame) -> DataFrame:
     """Positions rotated, then moved. scenes: scene_id, rotation (3 degrees), translation (3); angles that are no numbers count as 0."""
-    angle = lambda i: F.when(finite(F.get("rotation", i)), F.get("rotation", i)).otherwise(0.0)
-    m = view_matrix(angle(0), angle(1), angle(2))
-    table = scenes.select("scene_id", *(m[i][j].alias(f"__m{i}{j}") for i in range(3) for j in range(3)), *(F.get("translation", i).alias(f"__t{i}") for i in range(3)))
-    out = df.join(table, "scene_id")
-    moved = {a: sum((F.col(f"__m{i}{j}") * F.col(b) for j, b in enumerate(POSITION)), F.lit(0.0)) + F.col(f"__t{i}") for i, a in enumerate(POSITION)}
-    return out.withColumns(moved).drop(*(f"__m{i}{j}" for i in range(3) for j in range(3)), *(f"__t{i}" for i in range(3)))
+    return df.join(_turns(scenes), "scene_id").withColumns(_moved()).drop("__m", "__q", "__t")
 
 
 def transform_splats(df: DataFrame, scenes: DataFrame) -> DataFrame:
-    """Positions and quaternions (rot_0 is the real part) rotated, then positions moved."""
-    h = math.pi / 360
-    angle = lambda i: F.when(finite(F.get("rotation", i)), F.get("rotation", i)).otherwise(0.0)
-    q = scenes.select("scene_id", *((f(angle(i) * h)).alias(f"__{n}{i}") for i in range(3) for n, f in (("s", F.sin), ("c", F.cos))))
-    sx, cx, sy, cy, sz, cz = (F.col(f"__{n}{i}") for i in range(3) for n in "sc")
-    x, y, z, w = sx * cy * cz - cx * sy * sz, cx * sy * cz + sx * cy * sz, cx * cy * sz - sx * sy * cz, cx * cy * cz + sx * sy * sz
-    # times the half turn about z, (0, 0, 0, 1) as (w, x, y, z)
-    a = (-z, y, -x, w)
-    b = [F.col(f"rot_{i}") for i in range(4)]
-    product = [
-        a[0] * b[0] - a[1] * b[1] - a[2] * b[2] - a[3] * b[3], a[0] * b[1] + a[1] * b[0] + a[2] * b[3] - a[3] * b[2],
-        a[0] * b[2] - a[1] * b[3] + a[2] * b[0] + a[3] * b[1], a[0] * b[3] + a[1] * b[2] - a[2] * b[1] + a[3] * b[0],
-    ]
-    out = transform_positions(df, scenes).join(q, "scene_id")
-    return out.withColumns({f"rot_{i}": p for i, p in enumerate(product)}).drop(*(f"__{n}{i}" for i in range(3) for n in "sc"))
+    """Positions, quaternions (rot_0 is the real part) and spherical harmonics rotated, then positions moved."""
+    turned = hamilton([F.get("__q", i) for i in range(4)], [F.col(f"rot_{i}") for i in range(4)])
+    columns = _moved() | {f"rot_{i}": q for i, q in enumerate(turned)}
+    if "f_rest" in df.columns:
+        columns["f_rest"] = rotate_sh(F.col("f_rest").cast("array<float>"), F.col("__m"))
+    return df.join(_turns(scenes), "scene_id").withColumns(columns).drop("__m", "__q", "__t")
 
 
 def covariance3(df: DataFrame) -> DataFrame:
@@ -261,65 +373,83 @@ def covariance3(df: DataFrame) -> DataFrame:
     )
 
 
+def histogram_peaks(df: DataFrame, edges: DataFrame, columns: list[str], bins: int = 200) -> DataFrame:
+    """edges (scene_id, column, lo, hi) -> scene_id, column, peak, left, right of smoothed histograms, all in one pass."""
+    edges = edges.where(F.col("lo").isNotNull()).withColumn("w", F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins).otherwise(1.0))
+    edges = persisted(edges.select("scene_id", "column", "lo", "w"), "edges")
+    long = df.select("scene_id", F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select("scene_id", "x.column", "x.v")
+    counted = long.join(edges, ["scene_id", "column"]).select("scene_id", "column", F.floor((F.col("v") - F.col("lo")) / F.col("w")).alias("bin"))
+    counted = counted.where(F.col("bin").between(0, bins - 1)).groupBy("scene_id", "column", "bin").agg(F.count(F.lit(1)).alias("h"))
+    grid = edges.select("scene_id", "column", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
+    by = Window.partitionBy("scene_id", "column").orderBy("bin")
+    smooth = grid.join(counted, ["scene_id", "column", "bin"], "left").withColumn("s", F.avg(F.coalesce("h", F.lit(0))).over(by.rowsBetween(-2, 2)))
+    top = F.max(F.struct("s", (-F.col("bin")).alias("back"))).over(Window.partitionBy("scene_id", "column"))
+    smooth = smooth.withColumn("peak", -top["back"]).withColumn("low", F.col("s") <= 0.1 * top["s"])
+    return smooth.groupBy("scene_id", "column", "peak").agg(
+        F.coalesce(F.max(F.when(F.col("low") & (F.col("bin") < F.col("peak")), F.col("bin"))), F.lit(0)).alias("left"),
+        F.coalesce(F.min(F.when(F.col("low") & (F.col("bin") > F.col("peak")), F.col("bin"))), F.lit(bins - 1)).alias("right"),
+    )
+
+
+def _edges(found: DataFrame) -> DataFrame:
+    """The 0.5 % and 99.5 % quantiles by scene and column."""
+    of = lambda q: F.max(F.when(F.col("q") == q, F.col("value")))
+    return found.groupBy("scene_id", "column").agg(of(0.005).alias("lo"), of(0.995).alias("hi"))
+
+
 def histogram_peak(df: DataFrame, column: str, bins: int = 200) -> DataFrame:
     """Smoothed histogram between the 0.5 % and 99.5 % quantile: peak bin, and the bins where it falls to a tenth."""
-    lo, hi = (quantile_at(df, column, q).withColumnRenamed("value", n) for q, n in ((0.005, "lo"), (0.995, "hi")))
-    edge = lo.join(hi, "scene_id").withColumn("w", F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins).otherwise(1.0))
-    counted = df.join(edge, "scene_id").select("scene_id", F.floor((F.col(column) - F.col("lo")) / F.col("w")).alias("bin")).where(F.col("bin").between(0, bins - 1)).groupBy("scene_id", "bin").agg(F.count(F.lit(1)).alias("h"))
-    grid = edge.select("scene_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
-    by = Window.partitionBy("scene_id").orderBy("bin")
-    smooth = grid.join(counted, ["scene_id", "bin"], "left").withColumn("s", F.avg(F.coalesce("h", F.lit(0))).over(by.rowsBetween(-2, 2)))
-    peak = smooth.groupBy("scene_id").agg(F.max(F.struct("s", -F.col("bin"))).alias("top")).select("scene_id", (-F.col("top").getField("col2")).alias("peak"), F.col("top.s").alias("height"))
-    low = F.col("s") <= 0.1 * F.col("height")
-    walked = smooth.join(peak, "scene_id").groupBy("scene_id", "peak").agg(
-        F.coalesce(F.max(F.when(low & (F.col("bin") < F.col("peak")), F.col("bin"))), F.lit(0)).alias("left"),
-        F.coalesce(F.min(F.when(low & (F.col("bin") > F.col("peak")), F.col("bin"))), F.lit(bins - 1)).alias("right"),
-    )
-    return walked
+    return histogram_peaks(df, _edges(quantiles(df, {column: [0.005, 0.995]})), [column], bins).drop("column")
 
 
 def centre_translation(sample: DataFrame, scenes: DataFrame) -> DataFrame:
     """Shift that puts the middle at the origin and the ground at 0, after rotation; zeros under 10 points."""
     turned = transform_positions(sample, scenes.withColumn("translation", F.array(*[F.lit(0.0)] * 3)))
-    out = turned.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"))
-    for a, q in (("x", 0.5), ("y", 0.01), ("z", 0.5)):
-        out = out.join(quantile_at(turned, a, q).withColumnRenamed("value", f"t{a}"), "scene_id")
+    found = quantiles(turned, {"x": [0.5], "y": [0.01], "z": [0.5]}).groupBy("scene_id").agg(*(F.max(F.when(F.col("column") == a, F.col("value"))).alias(f"t{a}") for a in POSITION))
+    out = turned.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n")).join(found, "scene_id")
     return out.select("scene_id", *(F.when(F.col("n") < 10, 0.0).otherwise(S.nearest(-F.col(f"t{a}") * 1000) / 1000).alias(f"t{a}") for a in POSITION))
 
 
+# The turn (degrees about x, y, z) that puts an engine axis upright, by axis and the sign of its longer tail;
+# how far the thinnest direction must be aligned with an axis, how thin it must be, and how many points are needed.
+UPRIGHT = {(0, 1): (0, 0, 90), (0, -1): (0, 0, -90), (1, 1): (0, 0, 0), (1, -1): (180, 0, 0), (2, 1): (-90, 0, 0), (2, -1): (90, 0, 0)}
+ALIGNED, THIN, ENOUGH = 0.85, 0.6, 100
+_TAILS = (0.02, 0.5, 0.98)
+
+
 def auto_orient(sample: DataFrame) -> DataFrame:
-    """scene_id, euler, confident, up_axis: the thinnest axis, turned so that its longer tail points up."""
-    import numpy as np
-    import pandas as pd
-
-    engine = sample.withColumns({"ex": -F.col("x"), "ey": -F.col("y"), "ez": F.col("z")})
-    facts = covariance3(sample)
-    for a in ("ex", "ey", "ez"):
-        for q in (2, 50, 98):
-            facts = facts.join(quantile_at(engine, a, q / 100).withColumnRenamed("value", f"{a}{q}"), "scene_id", "left")
-        h = histogram_peak(engine, a)
-        facts = facts.join(h.select("scene_id", (F.col("right") - F.col("peak") > F.col("peak") - F.col("left")).alias(f"{a}_falls")), "scene_id", "left")
+    """scene_id, euler, confident, up_axis: the thinnest axis, turned so that its longer tail points up.
 
+    Sure only if the thinnest direction lies along an axis, is thin beside the next one, and the side of the histogram
+    that falls more slowly is the one of the longer tail. '?' under ENOUGH points.
+    """
+    engine = sample.select("scene_id", (-F.col("x")).alias("e0"), (-F.col("y")).alias("e1"), F.col("z").cast("double").alias("e2"))
+    axes = ["e0", "e1", "e2"]
+    found = persisted(quantiles(engine, {a: [0.005, *_TAILS, 0.995] for a in axes}), "tails")
+    of = lambda a, q: F.max(F.when((F.col("column") == a) & (F.col("q") == q), F.col("value")))
+    reach = found.groupBy("scene_id").agg(F.array(*(of(a, 0.98) + of(a, 0.02) - 2 * of(a, 0.5) for a in axes)).alias("tail"))
+    peaks = histogram_peaks(engine, _edges(found), axes)
+    longer = lambda a: F.max(F.when(F.col("column") == a, F.col("right") + F.col("left") - 2 * F.col("peak")))
+    falls = peaks.groupBy("scene_id").agg(F.array(*map(longer, axes)).alias("fall"))
+    moments = ["c_xx", "c_xy", "c_xz", "c_xy", "c_yy", "c_yz", "c_xz", "c_yz", "c_zz"]
+    facts = covariance3(sample).select("scene_id", "n", F.array(*moments).alias("scatter")).join(reach, "scene_id", "left").join(falls, "scene_id", "left")
     kind = dict(sample.dtypes)["scene_id"]
-    euler = {(0, 1): [0, 0, 90], (0, -1): [0, 0, -90], (1, 1): [0, 0, 0], (1, -1): [180, 0, 0], (2, 1): [-90, 0, 0], (2, -1): [90, 0, 0]}
 
-    def solve(frames):  # one row per scene
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for r in f.to_dict("records"):
-                if r["n"] < 100:
-                    out.append((r["scene_id"], [0.0, 0.0, 0.0], False, "?"))
-                    continue
-                c = np.array([[r["c_xx"], r["c_xy"], r["c_xz"]], [r["c_xy"], r["c_yy"], r["c_yz"]], [r["c_xz"], r["c_yz"], r["c_zz"]]])
-                values, vectors = np.linalg.eigh(c)
-                thin = np.abs(vectors[:, 0])
-                axis = int(thin.argmax())
-                name = "e" + "xyz"[axis]
-                tail = 1 if r[f"{name}98"] - r[f"{name}50"] >= r[f"{name}50"] - r[f"{name}2"] else -1
-                falls = 1 if r[f"{name}_falls"] else -1
-                ratio = math.sqrt(max(0.0, values[0]) / max(1e-12, values[1]))
-                raw = tail if axis == 2 else -tail
-                out.append((r["scene_id"], [float(e) for e in euler[axis, tail]], bool(thin[axis] > 0.85 and ratio < 0.6 and falls == tail), ("+" if raw > 0 else "-") + "XYZ"[axis]))
-            yield pd.DataFrame(out, columns=["scene_id", "euler", "confident", "up_axis"])
+            if not len(f):
+                continue
+            few = f["n"].to_numpy() < ENOUGH
+            values, vectors = np.linalg.eigh(np.stack(f["scatter"]).reshape(-1, 3, 3).astype(float))
+            share = np.abs(vectors[:, :, 0])
+            axis, row = share.argmax(axis=1), np.arange(len(f))
+            tail = np.where(np.stack(f["tail"])[row, axis] >= 0, 1, -1)
+            fall = np.where(np.stack(f["fall"])[row, axis] > 0, 1, -1)
+            flat = np.maximum(values[:, 0], 0) < THIN**2 * np.maximum(values[:, 1], 1e-12)
+            sure = (share[row, axis] > ALIGNED) & flat & (tail == fall) & ~few
+            turn = [[0.0] * 3 if w else [float(e) for e in UPRIGHT[a, t]] for a, t, w in zip(axis.tolist(), tail.tolist(), few, strict=True)]
+            upward = np.where(axis == 2, tail, -tail)  # x and y are mirrored in engine space
+            name = ["?" if w else ("+" if u > 0 else "-") + "XYZ"[a] for a, u, w in zip(axis.tolist(), upward, few, strict=True)]
+            yield pd.DataFrame({"scene_id": f["scene_id"], "euler": turn, "confident": sure, "up_axis": name})
 
     return facts.mapInPandas(solve, f"scene_id {kind}, euler array<double>, confident boolean, up_axis string")
