@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators.cloud import quantiles
+
 # Files that a unit may hold.
 UNIT_FILES = "meta.json means_l.webp means_u.webp scales.webp quats.webp sh0.webp shN_centroids.webp shN_labels.webp".split()
 GIB, MILLION = 1 << 30, 1_000_000
@@ -80,15 +82,9 @@ def compare_manifests(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def compare_quantiles(a: DataFrame, b: DataFrame, qs: list[float], tolerance: float, columns: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """Quantiles of two clouds by scene and axis, and whether they agree within a tolerance."""
-    from lodestrata.operators.cloud import quantile_at
-
-    out = None
-    for column in columns:
-        for q in qs:
-            pair = quantile_at(a, column, q).withColumnRenamed("value", "a").join(quantile_at(b, column, q).withColumnRenamed("value", "b"), "scene_id", "full_outer")
-            pair = pair.select("scene_id", F.lit(column).alias("axis"), F.lit(q).alias("q"), "a", "b", F.coalesce(F.abs(F.col("a") - F.col("b")) <= tolerance, F.lit(False)).alias("equal"))
-            out = pair if out is None else out.unionByName(pair)
-    return out
+    of = lambda df, name: quantiles(df, {c: qs for c in columns}).select("scene_id", F.col("column").alias("axis"), "q", F.col("value").alias(name))
+    pair = of(a, "a").join(of(b, "b"), ["scene_id", "axis", "q"], "full_outer")
+    return pair.withColumn("equal", F.coalesce(F.abs(F.col("a") - F.col("b")) <= tolerance, F.lit(False)))
 
 
 def diff_snapshots(before: DataFrame, after: DataFrame, allow: list[str], stable: list[DataFrame] | None = None, hash_kind: str = "body") -> DataFrame:

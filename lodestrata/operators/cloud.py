@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from lodestrata.functions import scalars as S
 from lodestrata.sources.tables import persisted
@@ -321,7 +322,7 @@ def sh_turn(m: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def rotate_sh(rest: pd.Series, matrix: pd.Series) -> pd.Series:
     """f_rest (three channels of 3, 8 or 15 coefficients; other lengths and nulls stay) under a 3x3 rotation by rows."""
     out = rest.copy()

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +15,14 @@ from lodestrata.operators.cloud import POSITION, morton_code, zorder_rows
 from lodestrata.operators.folds import pack_groups
 from lodestrata.sources.tables import persisted
 
-MEANS = ["f_dc_0", "f_dc_1", "f_dc_2", "scale_0", "scale_1", "scale_2", "rot_0", "rot_1", "rot_2", "rot_3"]
+COLOUR = ["f_dc_0", "f_dc_1", "f_dc_2"]
+SCALES = ["scale_0", "scale_1", "scale_2"]
+QUATERNION = [f"rot_{i}" for i in range(4)]
 BY = ["scene_id", "tile"]
+PAIRS = [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
+MOMENTS = [f"m_{POSITION[a]}{POSITION[b]}" for a, b in PAIRS]
+#: Most coefficients of f_rest; least variance along an axis of a merged row.
+REST, THINNEST = 45, 1e-12
 
 
 def weight(df: DataFrame) -> Column:
@@ -26,16 +35,40 @@ def target(n: Column, ratio: float) -> Column:
     return F.greatest(F.lit(1).cast("long"), S.nearest(n * F.lit(ratio)))
 
 
+def covariance(df: DataFrame) -> list[Column]:
+    """The six moments of a row about its centre, R S^2 R^T: from its quaternion (zero: no turn) and scales (2D: none along z)."""
+    q = [F.col(c) for c in QUATERNION]
+    size = F.nullif(sum((v * v for v in q[1:]), q[0] * q[0]), F.lit(0.0))
+    w, x, y, z = (F.coalesce(v / F.sqrt(size), F.lit(float(i == 0))) for i, v in enumerate(q))
+    r = [
+        [w * w + x * x - y * y - z * z, 2 * (x * y - w * z), 2 * (x * z + w * y)],
+        [2 * (x * y + w * z), w * w - x * x + y * y - z * z, 2 * (y * z - w * x)],
+        [2 * (x * z - w * y), 2 * (y * z + w * x), w * w - x * x - y * y + z * z],
+    ]
+    s = [F.exp(2 * F.col(c)) for c in SCALES if c in df.columns]
+    return [sum((r[a][k] * r[b][k] * s[k] for k in range(1, len(s))), r[a][0] * r[b][0] * s[0]) for a, b in PAIRS]
+
+
 def merge_groups(df: DataFrame, group: list[str]) -> DataFrame:
-    """Rows of a group become one: weighted means, opacity of the summed weight over the merged volume, second moments."""
+    """Rows of a group become one: weighted means of position, colour and f_rest, and the second moments of the whole.
+
+    ``merged`` counts the rows, ``moments`` (m_xx ... m_zz) are the mean of the rows' own moments and of their distances from
+    the mean. Opacity is the summed weight over the volume of those moments. A row alone keeps its scales, turn and opacity;
+    for others ``merge_moments`` finds scales and turn.
+    """
+    scales = [c for c in SCALES if c in df.columns]
+    rows = df.withColumn("__w", weight(df)).withColumns({f"__{m}": c for m, c in zip(MOMENTS, covariance(df), strict=True)})
     w = F.col("__w")
-    mean = lambda c: (F.sum(w * F.col(c)) / F.sum(w)).alias(c)
-    names = [c for c in (*POSITION, *MEANS) if c in df.columns]
-    moments = [((F.sum(w * F.col(a) * F.col(b)) / F.sum(w)) - F.sum(w * F.col(a)) * F.sum(w * F.col(b)) / F.sum(w) / F.sum(w)).alias(f"m_{a}{b}") for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")]
-    out = df.withColumn("__w", weight(df)).groupBy(*group).agg(*(mean(c) for c in names), F.sum(w).alias("__w"), F.count(F.lit(1)).alias("merged"), *moments)
-    scales = [F.col(c) for c in ("scale_0", "scale_1", "scale_2") if c in df.columns]
-    p = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), F.col("__w") / F.exp(sum(scales[1:], scales[0]))))
-    return out.withColumn("opacity", F.log(p / (1 - p))).drop("__w")
+    mean = lambda c: F.sum(w * c) / F.sum(w)
+    axis = [F.col(a) for a in POSITION]
+    spread = [(mean(F.col(f"__{m}")) + mean(axis[a] * axis[b]) - mean(axis[a]) * mean(axis[b])).alias(m) for m, (a, b) in zip(MOMENTS, PAIRS, strict=True)]
+    rest = [F.array_compact(F.array(*(mean(F.get("f_rest", F.lit(i))) for i in range(REST)))).cast("array<float>").alias("f_rest")] if "f_rest" in df.columns else []
+    own = [F.min(c).alias(c) for c in (*scales, *QUATERNION, "opacity")]  # of use where one row is a group
+    out = rows.groupBy(*group).agg(*(mean(F.col(c)).alias(c) for c in (*POSITION, *COLOUR)), *rest, *own, *spread, F.sum(w).alias("__w"), F.count(F.lit(1)).alias("merged"))
+    xx, xy, xz, yy, yz, zz = (F.col(m) for m in MOMENTS)
+    volume = F.sqrt(F.greatest(xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz), F.lit(THINNEST**3)))
+    p = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), w / volume))
+    return out.withColumn("opacity", F.when(F.col("merged") > 1, F.log(p / (1 - p))).otherwise(F.col("opacity"))).drop("__w")
 
 
 def _ranked(df: DataFrame) -> DataFrame:
@@ -53,7 +86,7 @@ def decimate(df: DataFrame, ratio: float = 0.5, method: str = "uniform") -> Data
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}; known: {', '.join(METHODS)}")
     grouped = METHODS[method](_ranked(df), ratio)
-    merged = merge_groups(grouped, [*BY, "grp"])
+    merged = merge_moments(merge_groups(grouped, [*BY, "grp"]))
     return merged.withColumn("record_no", F.col("grp")).drop("grp")
 
 
@@ -101,29 +134,37 @@ def _adaptive(ranked: DataFrame, ratio: float) -> DataFrame:
 METHODS = {"uniform": _uniform, "adaptive": _adaptive}
 
 
+def _turns(v: np.ndarray) -> np.ndarray:
+    """Quaternions, real part first and not negative, of rotation matrices: the eigenvector that fits each best."""
+    k = np.empty((len(v), 4, 4))
+    k[:, 0, 0] = v[:, 0, 0] + v[:, 1, 1] + v[:, 2, 2]
+    for i in range(3):
+        j, m = (i + 1) % 3, (i + 2) % 3
+        k[:, i + 1, i + 1] = 2 * v[:, i, i] - k[:, 0, 0]
+        k[:, 0, i + 1] = k[:, i + 1, 0] = v[:, m, j] - v[:, j, m]
+        k[:, j + 1, m + 1] = k[:, m + 1, j + 1] = v[:, j, m] + v[:, m, j]
+    q = np.linalg.eigh(k)[1][:, :, 3]
+    return q * np.where(q[:, :1] < 0, -1.0, 1.0)
+
+
 def merge_moments(merged: DataFrame) -> DataFrame:
-    """Scale and rotation of merged splats from their second moments: 3x3 eigenproblems, a whole batch at a time."""
-    names = [f"m_{a}" for a in ("xx", "xy", "xz", "yy", "yz", "zz")]
-    kept = [f for f in merged.schema if f.name not in names]
+    """Scales (the greatest first) and turn of merged rows from their moments, which are dropped: a batch of 3x3 eigenproblems."""
+    scales = [c for c in SCALES if c in merged.columns]
+    kept = [f for f in merged.schema if f.name not in MOMENTS]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
-    def solve(frames):
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            m = f[names].to_numpy()
-            c = m[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3)
-            values, v = np.linalg.eigh(c) if len(f) else (np.zeros((0, 3)), np.zeros((0, 3, 3)))
-            v[np.linalg.det(v) < 0, :, 0] *= -1
-            w = np.sqrt(np.maximum(0, 1 + v[:, 0, 0] + v[:, 1, 1] + v[:, 2, 2])) / 2
-            x = np.copysign(np.sqrt(np.maximum(0, 1 + v[:, 0, 0] - v[:, 1, 1] - v[:, 2, 2])) / 2, v[:, 2, 1] - v[:, 1, 2])
-            y = np.copysign(np.sqrt(np.maximum(0, 1 - v[:, 0, 0] + v[:, 1, 1] - v[:, 2, 2])) / 2, v[:, 0, 2] - v[:, 2, 0])
-            z = np.copysign(np.sqrt(np.maximum(0, 1 - v[:, 0, 0] - v[:, 1, 1] + v[:, 2, 2])) / 2, v[:, 1, 0] - v[:, 0, 1])
-            spread = np.log(np.sqrt(np.maximum(values, 1e-12)))
-            grown = f["merged"].to_numpy() > 1
-            out = f[[k.name for k in kept]].copy()
-            for i, q in enumerate((w, x, y, z)):
-                out[f"rot_{i}"] = np.where(grown, q, out[f"rot_{i}"])
-            for i in range(3):
-                out[f"scale_{i}"] = np.where(grown, np.logaddexp(2 * out[f"scale_{i}"], 2 * spread[:, i]) / 2, out[f"scale_{i}"])
+            out, some = f[[k.name for k in kept]].copy(), np.flatnonzero(f["merged"].to_numpy() > 1)
+            if len(some):
+                values, v = np.linalg.eigh(f[MOMENTS].to_numpy(dtype=float)[some][:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3))
+                values, v = np.maximum(values[:, ::-1], THINNEST), v[:, :, ::-1].copy()
+                v[np.linalg.det(v) < 0, :, 2] *= -1
+                columns = dict(zip([*scales, *QUATERNION], [*(np.log(values[:, i]) / 2 for i in range(len(scales))), *_turns(v).T], strict=True))
+                for name, column in columns.items():
+                    own = out[name].to_numpy(dtype=float, copy=True)
+                    own[some] = column
+                    out[name] = own
             yield out
 
     return merged.mapInPandas(solve, fields)
@@ -131,7 +172,7 @@ def merge_moments(merged: DataFrame) -> DataFrame:
 
 def build_levels(df: DataFrame, levels: int, ratio: float = 0.5, method: str = "uniform") -> DataFrame:
     """All levels stacked with ``lod``; each is built from the one before and written, so no plan grows."""
-    names = [c for c in (*BY, "record_no", *POSITION, *MEANS, "opacity") if c in df.columns]
+    names = [c for c in (*BY, "record_no", *POSITION, *COLOUR, "f_rest", "opacity", *SCALES, *QUATERNION) if c in df.columns]
     now = df.select(*names)
     out = now.withColumn("lod", F.lit(0))
     for lod in range(1, levels):
@@ -151,7 +192,7 @@ def lod_leaves(levels: DataFrame, extent: float, min_count: int, steps: int = 12
     have enough or are the whole tile. scene_id, tile, edge, cx, cy, cz, and by level the count and bounds."""
     cell = [F.floor(F.col(a) / extent).alias(f"c{a}") for a in POSITION]
     bounds = [f(a).alias(f"{n}_{a}") for a in POSITION for n, f in (("min", F.min), ("max", F.max))]
-    base = levels.groupBy(*BY, "lod", *cell).agg(F.count(F.lit(1)).alias("n"), *bounds)
+    base = persisted(levels.groupBy(*BY, "lod", *cell).agg(F.count(F.lit(1)).alias("n"), *bounds), "cells")
     keys = [f"c{a}" for a in POSITION]
     widen = lambda d: d.groupBy(*BY, "lod", *keys).agg(F.sum("n").alias("n"), *(f(f"{k}_{a}").alias(f"{k}_{a}") for a in POSITION for k, f in (("min", F.min), ("max", F.max))))
     done, open_ = None, base
@@ -224,23 +265,31 @@ def quality(df: DataFrame) -> DataFrame:
     return out.withColumn("psnr", F.when(F.col("rmse") > 0, 20 * F.log10(F.col("span") / F.col("rmse"))))
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row, the lowest of equal ones; distances are looked at a slice of rows at a time."""
+    out, square = np.empty(len(x), dtype=np.int32), (centres * centres).sum(axis=1)
+    for lo in range(0, len(x), 4096):
+        out[lo : lo + 4096] = (square - 2 * (x[lo : lo + 4096] @ centres.T)).argmin(axis=1)
+    return out
+
+
 def kmeans_palette(df: DataFrame, vec: str, k: int, iterations: int = 10, row: str = "record_no") -> tuple[DataFrame, DataFrame]:
     """Lloyd's iterations from the k lowest rows: labels (row, label) and centroids (label, vec, n). Ties go to the lowest label.
 
     Only k centroids travel; sums are partial aggregates.
     """
-    start = df.orderBy(row).limit(k).select(vec).collect()
+    rows = persisted(df.select(row, F.col(vec).cast("array<double>").alias(vec)), "vectors")
+    start = rows.orderBy(row).limit(k).select(vec).collect()
     centroids = np.array([r[0] for r in start], dtype=float)
     kind = dict(df.dtypes)[row]
 
     def labelled(centres: np.ndarray) -> DataFrame:
-        def assign(frames):
+        def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                x = np.array(f[vec].tolist(), dtype=float).reshape(len(f), -1)
-                d = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2) if len(f) else np.zeros((0, 1))
-                yield pd.DataFrame({row: f[row], "label": d.argmin(axis=1).astype("int32") if len(f) else [], vec: f[vec]})
+                x = np.array(f[vec].tolist(), dtype=float).reshape(len(f), centres.shape[-1])
+                yield pd.DataFrame({row: f[row], "label": _nearest(x, centres), vec: f[vec]})
 
-        return df.select(row, vec).mapInPandas(assign, f"{row} {kind}, label int, {vec} array<double>")
+        return rows.mapInPandas(assign, f"{row} {kind}, label int, {vec} array<double>")
 
     for _ in range(iterations):
         sums = labelled(centroids).select("label", F.posexplode(vec).alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("v")).collect()  # k x dimensions
@@ -252,8 +301,37 @@ def kmeans_palette(df: DataFrame, vec: str, k: int, iterations: int = 10, row: s
     return labels.select(row, "label"), table.join(sizes, "label", "left").fillna(0, "n")
 
 
-BYTES = ["scale_0", "scale_1", "scale_2", "f_dc_0", "f_dc_1", "f_dc_2", "opacity"]
-QUATERNION = [f"rot_{i}" for i in range(4)]
+def unit_palettes(df: DataFrame, by: list[str], vec: str, k: int, iterations: int = 10, row: str = "record_no") -> tuple[DataFrame, DataFrame]:
+    """A palette for each unit, as ``kmeans_palette`` of its rows: labels (unit, row, label) and centroids (unit, label, vec, n).
+
+    ``pack_units`` bounds the rows of a unit, so a task holds one unit's vectors; units are worked on side by side.
+    """
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*by, row)) + f", label int, `{vec}` array<double>, n long"
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.sort_by(row)
+        x = np.array(table[vec].to_pylist(), dtype=float)
+        centres = x[:k].copy()
+        for _ in range(iterations):
+            label = _nearest(x, centres)
+            size = np.bincount(label, minlength=len(centres))
+            for i in range(x.shape[1]):
+                total = np.bincount(label, x[:, i], len(centres))
+                centres[:, i] = np.where(size > 0, total / np.maximum(size, 1), centres[:, i])
+        label = _nearest(x, centres)
+        n, c = len(x), len(centres)
+        unit = [pa.array([table[b][0].as_py()] * (n + c), table.schema.field(b).type) for b in by]
+        rows = pa.concat_arrays([table[row].combine_chunks(), pa.nulls(c, table.schema.field(row).type)])
+        vectors = pa.array([None] * n + centres.tolist(), pa.list_(pa.float64()))
+        sizes = pa.array([None] * n + np.bincount(label, minlength=c).tolist(), pa.int64())
+        return pa.Table.from_arrays([*unit, rows, pa.array(np.concatenate([label, np.arange(c, dtype=np.int32)])), vectors, sizes], [*by, row, "label", vec, "n"])
+
+    found = persisted(df.select(*by, row, F.col(vec).cast("array<double>").alias(vec)).groupBy(*by).applyInArrow(fit, schema), "palettes")
+    return found.where("n IS NULL").select(*by, row, "label"), found.where("n IS NOT NULL").select(*by, "label", vec, "n")
+
+
+BYTES = [*SCALES, *COLOUR, "opacity"]
 
 
 def quantize_attributes(df: DataFrame, by: list[str]) -> DataFrame:

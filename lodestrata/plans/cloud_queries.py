@@ -183,8 +183,19 @@ def zorder_first_rows(spark: SparkSession, d: str) -> DataFrame:
 RANKED = f"SELECT *, row_number() OVER (PARTITION BY scene_id, tile ORDER BY code, record_no) - 1 AS rank, count(*) OVER (PARTITION BY scene_id, tile) AS n FROM ({MORTON})"
 O["zorder_first_rows"] = f"{KD} SELECT scene_id, CAST(tile AS INT) AS tile, record_no, rank FROM ({RANKED}) WHERE rank < 50"
 
-_W = "(1 / (1 + exp(-opacity))) * exp(scale_0 + scale_1 + scale_2)"
-_MERGED = f"""{KD}, m AS (SELECT *, {_W} AS w, {{grp}} AS grp FROM ({RANKED}))
+
+
+@query
+def zorder_rows(spark: SparkSession, d: str) -> DataFrame:
+    return cloud.zorder_rows(cloud.morton_code(_tiled(spark, d))).select("scene_id", "tile", "record_no", "rank")
+
+
+O["zorder_rows"] = f"{KD} SELECT scene_id, CAST(tile AS INT) AS tile, record_no, rank FROM ({RANKED})"
+
+_W = "(1 / (1 + exp(-opacity))) * vol"
+#: Rows with their moments about their own centre and their volume; the view's quaternions are no turn.
+_OWN = "SELECT *, exp(scale_0 + scale_1 + scale_2) AS vol, exp(2 * scale_0) AS m_xx, 0.0::DOUBLE AS m_xy, 0.0::DOUBLE AS m_xz, exp(2 * scale_1) AS m_yy, 0.0::DOUBLE AS m_yz, exp(2 * scale_2) AS m_zz FROM ({ranked})"
+_MERGED = f"""{KD}, m AS (SELECT *, {_W} AS w, {{grp}} AS grp FROM ({_OWN.format(ranked=RANKED)}))
 SELECT scene_id, CAST(tile AS INT) AS tile, grp AS record_no, count(*) AS merged, {", ".join(f"round(sum(w * {a}) / sum(w) + 1e-7, 4) AS {a}" for a in AXES)} FROM m GROUP BY scene_id, tile, grp"""
 
 
@@ -206,6 +217,25 @@ def decimate_adaptive(spark: SparkSession, d: str) -> DataFrame:
 O["decimate_adaptive"] = f"{KD} SELECT scene_id, CAST(tile AS INT) AS tile, greatest(1, CAST(floor(count(*) * 0.5 + 0.5) AS BIGINT)) AS after, count(*) AS merged, count(*) AS before FROM g GROUP BY ALL"
 
 
+@query
+def adaptive_quotas(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows each cell of 64 keeps."""
+    return lod.cell_targets(lod._ranked(_tiled(spark, d)), 0.5)
+
+
+_ERROR = " + ".join(f"greatest(0, sum(w * {c} * {c}) / sum(w) - pow(sum(w * {c}) / sum(w), 2))" for c in (*AXES, "f_dc_0", "f_dc_1", "f_dc_2"))
+O["adaptive_quotas"] = f"""{KD},
+c AS (SELECT scene_id, CAST(tile AS INT) AS tile, n, rank // 64 AS cell, count(*) AS size, (round({_ERROR}, 6) + 1e-6::DOUBLE) * count(*) AS share FROM (SELECT *, {_W} AS w FROM ({_OWN.format(ranked=RANKED)})) GROUP BY scene_id, tile, n, rank // 64),
+t1 AS (SELECT *, greatest(1, floor(n * 0.5::DOUBLE + 0.5)) AS goal, CASE WHEN count(*) OVER t <= greatest(1, floor(n * 0.5::DOUBLE + 0.5)) THEN 1 ELSE 0 END AS least_one FROM c WINDOW t AS (PARTITION BY scene_id, tile)),
+t2 AS (SELECT *, goal - sum(least_one) OVER t AS spare, size - least_one AS room, sum(share) OVER t AS shares FROM t1 WINDOW t AS (PARTITION BY scene_id, tile)),
+t3 AS (SELECT *, round(least(room, spare * share / shares), 6) AS given FROM t2),
+t4 AS (SELECT *, spare - sum(given) OVER t AS rest, sum(room - given) OVER t AS rooms FROM t3 WINDOW t AS (PARTITION BY scene_id, tile)),
+t5 AS (SELECT *, round(given + CASE WHEN rooms > 0 THEN rest * (room - given) / rooms ELSE 0 END, 6) AS exact FROM t4),
+t6 AS (SELECT *, floor(exact + 1e-9) AS whole FROM t5),
+t7 AS (SELECT *, spare - sum(whole) OVER t AS short, row_number() OVER (PARTITION BY scene_id, tile ORDER BY CASE WHEN whole < room THEN round(exact - whole, 6) ELSE -1.0 END DESC, cell) AS r FROM t6 WINDOW t AS (PARTITION BY scene_id, tile))
+SELECT scene_id, tile, cell, size, CAST(least_one + whole + CASE WHEN r <= short THEN 1 ELSE 0 END AS BIGINT) AS quota FROM t7"""
+
+
 def _levels(spark: SparkSession, d: str) -> DataFrame:
     return lod.build_levels(_tiled(spark, d), 3)
 
@@ -216,10 +246,13 @@ def level_counts(spark: SparkSession, d: str) -> DataFrame:
     return c.select("scene_id", "lod", "tile", "n", *(F.round(f"{k}_{a}", 3).alias(f"{k}_{a}") for a in AXES for k in ("min", "max")))
 
 
-_NAMES = [*AXES, *lod.MEANS]
-_STEP = f"""SELECT scene_id, tile, CAST(grp AS BIGINT) AS record_no, {", ".join(f"sum(w * {c}) / sum(w) AS {c}" for c in _NAMES)}, sum(w) AS sw FROM (
-  SELECT *, {_W} AS w, rank * greatest(1, CAST(floor(n * 0.5 + 0.5) AS BIGINT)) // n AS grp FROM ({{ranked}})) GROUP BY scene_id, tile, grp"""
-_OPAQUE = "SELECT * EXCLUDE (sw), ln(p / (1 - p)) AS opacity FROM (SELECT *, least(1 - 1e-6, greatest(1e-6, sw / exp(scale_0 + scale_1 + scale_2))) AS p FROM ({step}))"
+_PAIRS = [(a, b) for i, a in enumerate(AXES) for b in AXES[i:]]
+_SUMS = ", ".join(f"sum(w * {c}) / sum(w) AS {c}" for c in (*AXES, "f_dc_0", "f_dc_1", "f_dc_2"))
+_MOMENTS = ", ".join(f"sum(w * (m_{a}{b} + {a} * {b})) / sum(w) - (sum(w * {a}) / sum(w)) * (sum(w * {b}) / sum(w)) AS m_{a}{b}" for a, b in _PAIRS)
+_STEP = f"""SELECT scene_id, tile, CAST(grp AS BIGINT) AS record_no, {_SUMS}, {_MOMENTS}, sum(w) AS sw, count(*) AS merged, min(opacity) AS own_opacity, min(vol) AS own_vol FROM (
+  SELECT *, {_W} AS w, rank * greatest(1, CAST(floor(n * 0.5 + 0.5) AS BIGINT)) // n AS grp FROM ({{rows}})) GROUP BY scene_id, tile, grp"""
+_OPAQUE = """SELECT * EXCLUDE (sw, own_opacity, own_vol, det, p), CASE WHEN merged > 1 THEN sqrt(det) ELSE own_vol END AS vol, CASE WHEN merged > 1 THEN ln(p / (1 - p)) ELSE own_opacity END AS opacity FROM (
+  SELECT *, least(1 - 1e-6, greatest(1e-6, sw / sqrt(det))) AS p FROM (SELECT *, greatest(1e-36, m_xx * (m_yy * m_zz - m_yz * m_yz) - m_xy * (m_xy * m_zz - m_yz * m_xz) + m_xz * (m_xy * m_yz - m_yy * m_xz)) AS det FROM ({step})))"""
 
 
 def _rank_sql(source: str) -> str:
@@ -227,7 +260,7 @@ def _rank_sql(source: str) -> str:
 
 
 _BOUNDS = ", ".join(f"round({k}({a}), 3) AS {k}_{a}" for a in AXES for k in ("min", "max"))
-_LEVELS = f"{KD}, lod1 AS ({_OPAQUE.format(step=_STEP.format(ranked=RANKED))}), lod2 AS ({_OPAQUE.format(step=_STEP.format(ranked=_rank_sql('SELECT * EXCLUDE (p) FROM lod1')))})"
+_LEVELS = f"{KD}, lod1 AS ({_OPAQUE.format(step=_STEP.format(rows=_OWN.format(ranked=RANKED)))}), lod2 AS ({_OPAQUE.format(step=_STEP.format(rows=_rank_sql('SELECT * EXCLUDE (merged) FROM lod1')))})"
 O["level_counts"] = _LEVELS + " UNION ALL ".join(f" SELECT scene_id, {i} AS lod, CAST(tile AS INT) AS tile, count(*) AS n, {_BOUNDS} FROM {t} GROUP BY scene_id, tile" for i, t in enumerate(("g", "lod1", "lod2")))
 
 
@@ -418,12 +451,38 @@ def auto_orient(spark: SparkSession, d: str) -> DataFrame:
     return cloud.auto_orient(cloud.block_sample(splats(spark, d), 64, 256))
 
 
+def _moment_means(df: DataFrame) -> DataFrame:
+    """Means over a tile of the moments that scales and turn stand for."""
+    held = df.withColumns(dict(zip(lod.MOMENTS, lod.covariance(df), strict=True)))
+    return held.groupBy("scene_id", "tile").agg(F.count("*").alias("n"), *(F.round(F.avg(m), 4).alias(m) for m in lod.MOMENTS))
+
+
 @query
 def merge_moments(spark: SparkSession, d: str) -> DataFrame:
-    t = _tiled(spark, d)
-    ranked = lod._uniform(lod._ranked(t), 0.5)
-    merged = lod.merge_moments(lod.merge_groups(ranked, ["scene_id", "tile", "grp"]))
-    return merged.groupBy("scene_id", "tile").agg(F.count("*").alias("n"), *(F.round(F.avg(f"scale_{i}"), 4).alias(f"scale_{i}") for i in range(3)))
+    """What the scales and turns of a merged level stand for, against the moments of the rows that were merged."""
+    return _moment_means(lod.decimate(_tiled(spark, d)))
+
+
+O["merge_moments"] = f"{KD} SELECT scene_id, CAST(tile AS INT) AS tile, count(*) AS n, " + ", ".join(f"round(avg(m_{a}{b}), 4) AS m_{a}{b}" for a, b in _PAIRS) + f" FROM ({_STEP.format(rows=_OWN.format(ranked=RANKED))}) GROUP BY scene_id, tile"
+
+
+@query
+def rotate_sh(spark: SparkSession, d: str) -> DataFrame:
+    """Coefficients under a half turn about z, which flips some; under any turn each band keeps its size."""
+    e = load(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 45).alias("f_rest"))
+    turned = lambda x, y, z: cloud.rotate_sh(F.col("f_rest").cast("array<float>"), F.array(*(v for row in cloud.view_matrix(F.lit(x), F.lit(y), F.lit(z)) for v in row)))
+    out = e.select("vec_id", turned(0.0, 0.0, 0.0).alias("half"), turned(25.0, -70.0, 130.0).alias("any"))
+    size = lambda lo, n: F.round(F.aggregate(F.slice("any", lo + 1, n), F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")), 3)
+    return out.select("vec_id", *(F.round(F.get("half", i).cast("double") + 0.0, 4).alias(f"h{i}") for i in _SH_SEEN), *(size(15 * c + lo, n).alias(f"s{c}_{lo}") for c in range(3) for lo, n in _SH_BANDS))
+
+
+_SH_SEEN, _SH_BANDS = (0, 1, 2, 3, 4, 7, 8, 9, 14, 15, 31, 44), ((0, 3), (3, 5), (8, 7))
+#: Coefficients of a channel that a half turn about z flips: functions odd in x and y together.
+_SH_FLIPPED = {0, 2, 4, 6, 8, 10, 12, 14}
+O["rotate_sh"] = (
+    "SELECT vec_id, " + ", ".join(f"round({'-' if i % 15 in _SH_FLIPPED else ''}embedding[{i + 1}]::DOUBLE + 0.0, 4) AS h{i}" for i in _SH_SEEN)
+    + ", " + ", ".join(f"round(list_sum(list_transform(embedding[{15 * c + lo + 1}:{15 * c + lo + n}], lambda v: v::DOUBLE * v::DOUBLE)), 3) AS s{c}_{lo}" for c in range(3) for lo, n in _SH_BANDS) + " FROM embeddings"
+)
 
 
 @query
@@ -443,6 +502,29 @@ def kmeans_palette(spark: SparkSession, d: str) -> DataFrame:
     return lod.kmeans_palette(load(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "v", 8, 5, "vec_id")[1].select("label", "n", F.round(F.get("v", 0), 5).alias("first"))
 
 
+def _palette_sql(rows: str, k: int, steps: int) -> str:
+    """Lloyd's steps by unit: e (rows), c<i> (centres), l<i> (labels)."""
+    parts = [f"e AS ({rows})", f"c0 AS (SELECT u, row_number() OVER (PARTITION BY u ORDER BY vec_id) - 1 AS lab, v AS c FROM e QUALIFY lab < {k})"]
+    for i in range(steps + 1):
+        parts.append(f"l{i} AS MATERIALIZED (SELECT u, vec_id, any_value(v) AS v, arg_min(lab, (d, lab)) AS lab FROM (SELECT e.u, vec_id, v, lab, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM e JOIN c{i} ON e.u = c{i}.u) GROUP BY u, vec_id)")
+        if i < steps:
+            parts.append(f"m{i} AS (SELECT u, lab, list(a ORDER BY j) AS c FROM (SELECT u, lab, j, avg(x) AS a FROM (SELECT u, lab, unnest(v) AS x, unnest(range(len(v))) AS j FROM l{i}) GROUP BY ALL) GROUP BY u, lab)")
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT o.u, o.lab, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN m{i} m ON o.u = m.u AND o.lab = m.lab)")
+    return "WITH " + ", ".join(parts) + f" SELECT c.u AS unit, CAST(c.lab AS INT) AS label, count(l.vec_id) AS n, round(any_value(c.c)[1], 5) AS first FROM c{steps} c LEFT JOIN l{steps} l ON c.u = l.u AND c.lab = l.lab GROUP BY c.u, c.lab"
+
+
+O["kmeans_palette"] = f"SELECT label, n, first FROM ({_palette_sql('SELECT 0 AS u, vec_id, embedding::DOUBLE[] AS v FROM embeddings', 8, 5)})"
+
+
+@query
+def unit_palettes(spark: SparkSession, d: str) -> DataFrame:
+    e = load(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 3).cast("int").alias("unit"), F.col("embedding").cast("array<double>").alias("v"))
+    return lod.unit_palettes(e, ["unit"], "v", 6, 3, "vec_id")[1].select("unit", "label", "n", F.round(F.get("v", 0), 5).alias("first"))
+
+
+O["unit_palettes"] = _palette_sql("SELECT CAST(vec_id % 3 AS INT) AS u, vec_id, embedding::DOUBLE[] AS v FROM embeddings", 6, 3)
+
+
 def _manifest(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     """A manifest of line items (scene: return flag, level: line number), and one fault per scene."""
     li = load(spark, d, "lineitem").where("l_linenumber <= 3").withColumn("lod", F.col("l_linenumber") - 1)
@@ -502,11 +584,12 @@ O["safe_members"] = """SELECT CASE page_id % 4 WHEN 0 THEN length(html) * 1000 <
 def compare_quantiles(spark: SparkSession, d: str) -> DataFrame:
     s = splats(spark, d)
     moved = s.withColumn("x", F.col("x") + F.when(F.col("scene_id") == "A", 5.0).otherwise(0.001))
-    return audit.compare_quantiles(s, moved, [0.1, 0.9], 0.01, ("x",)).select("scene_id", "axis", "q", _r("a"), _r("b"), "equal")
+    return audit.compare_quantiles(s, moved, [0.1, 0.9], 0.01).select("scene_id", "axis", "q", _r("a"), _r("b"), "equal")
 
 
-_PAIR = " UNION ALL ".join(f"SELECT scene_id, 'x' AS axis, {q}::DOUBLE AS q, value AS a, value + CASE WHEN scene_id = 'A' THEN 5.0::DOUBLE ELSE 0.001::DOUBLE END AS b FROM ({_quantile_sql(SPLAT_SQL, 'x', q)})" for q in (0.1, 0.9))
-O["compare_quantiles"] = f"SELECT scene_id, axis, q, round(a, 6) AS a, round(b, 6) AS b, scene_id <> 'A' AS equal FROM ({_PAIR})"
+_SHIFT = {"x": "CASE WHEN scene_id = 'A' THEN 5.0::DOUBLE ELSE 0.001::DOUBLE END", "y": "0.0::DOUBLE", "z": "0.0::DOUBLE"}
+_PAIR = " UNION ALL ".join(f"SELECT scene_id, '{a}' AS axis, {q}::DOUBLE AS q, value AS a, value + {_SHIFT[a]} AS b FROM ({_quantile_sql(SPLAT_SQL, a, q)})" for a in AXES for q in (0.1, 0.9))
+O["compare_quantiles"] = f"SELECT scene_id, axis, q, round(a, 6) AS a, round(b, 6) AS b, scene_id <> 'A' OR axis <> 'x' AS equal FROM ({_PAIR})"
 
 
 @query
