@@ -8,58 +8,79 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+#: step(state, values) -> (state, value); the state starts as None.
+Step = Callable[[tuple | None, tuple], tuple[tuple | None, object]]
 
-def ordered_fold(df: DataFrame, keys: list[str], order: list[str], name: str, kind: str, start: Callable[[], object], step: Callable[[object, tuple], tuple[object, object]], columns: list[str]) -> DataFrame:
-    """``df`` with a column ``name``: step(state, values of ``columns``) -> (state, value), state starting anew by key."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{name}` {kind}"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, state = None, None
-        for f in frames:
+def ordered_fold(df: DataFrame, keys: list[str], order: list[str], name: str, kind: str, step: Step, columns: list[str]) -> DataFrame:
+    """``df`` with a column ``name``: the values of ``step`` on ``columns`` along each key's rows in order.
+
+    Null is a key like any other, and so is NaN; values reach ``step`` as they are, null as None.
+    """
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))  # any name reaches Python workers
+    at = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    schema = StructType([*plain.schema.fields, StructType.fromDDL(f"v {kind}")[0]])
+    by, inputs = [at[k] for k in keys], [at[c] for c in columns]
+
+    def key(values: tuple) -> tuple:
+        return tuple("NaN" if isinstance(v, float) and v != v else v for v in values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for b in batches:
             out = []
-            for key, values in zip(f[keys].itertuples(index=False, name=None), f[columns].itertuples(index=False, name=None), strict=True):
-                if key != at:
-                    at, state = key, start()
+            rows = zip(zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in by), strict=True), zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in inputs), strict=True), strict=True)
+            for k, values in rows:
+                k = key(k)
+                if k != now:
+                    now, state = k, None
                 state, value = step(state, values)
                 out.append(value)
-            yield f.assign(**{name: pd.Series(out, index=f.index, dtype="object")})
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, arrow)], schema.names)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, fields)
+    arrow = {"long": pa.int64(), "boolean": pa.bool_(), "int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind]
+    sorted_rows = plain.repartition(*by).sortWithinPartitions(*by, *(at[c] for c in order))
+    return sorted_rows.mapInArrow(run, schema).toDF(*df.columns, name)
 
 
-def pack_groups(df: DataFrame, keys: list[str], order: list[str], weight: str, budget: float) -> DataFrame:
-    """Next-fit: ``group_no`` goes up when a row would take a group that is not empty over ``budget``."""
+def packing(budget: float) -> Step:
+    """Next-fit: the group goes up when a row would take a group that is not empty over ``budget``. A null weight is 0."""
 
-    def step(state: tuple, values: tuple) -> tuple:
-        group, total, some = state
-        w = values[0]
-        if some and total + w > budget:
-            return (group + 1, w, True), group + 1
-        return (group, total + w, True), group
+    def step(state: tuple | None, values: tuple) -> tuple:
+        w = values[0] or 0
+        if state is None:
+            return (0, w), 0
+        group, total = state
+        return ((group + 1, w), group + 1) if total + w > budget else ((group, total + w), group)
 
-    return ordered_fold(df, keys, order, "group_no", "long", lambda: (0, 0, False), step, [weight])
+    return step
 
 
-def rate_limit(hits: DataFrame, keys: list[str], limit: int, window: float, time: str = "at", order: tuple[str, ...] = ()) -> DataFrame:
-    """Sliding-window estimate per key; ``allowed`` tells whether a hit passes. Refused hits are not counted."""
+def limiting(limit: int, window: float) -> Step:
+    """(now) -> whether a hit passes. The window starts at the key's first hit and moves by whole windows; the one before it
+    counts as far as the sliding window still covers it. Refused hits are not counted; a hit without a time is refused."""
 
     def step(state: tuple | None, values: tuple) -> tuple:
         now = values[0]
+        if now is None:
+            return state, False
         begin, count, before = state or (now, 0, 0)
-        periods = int((now - begin) // window)
-        if periods >= 1:
-            begin, count, before = begin + periods * window, 0, count if periods == 1 else 0
-        allowed = not before * max(0.0, 1.0 - (now - begin) / window) + count + 1 > limit
-        return (begin, count + allowed, before), allowed
+        past = int((now - begin) // window)
+        if past > 0:
+            begin, count, before = begin + past * window, 0, count * (past == 1)
+        used = before * max(0.0, 1.0 - (now - begin) / window) + count
+        return (begin, count + (used + 1 <= limit), before), used + 1 <= limit
 
-    return ordered_fold(hits, keys, [time, *order], "allowed", "boolean", lambda: None, step, [time])
+    return step
 
 
-def dedup_window(reports: DataFrame, keys: list[str], seconds: float, time: str = "at", name: str = "id") -> DataFrame:
-    """``repeat_of``: the first report of the key's current window, null for that first one. Repeats do not extend it."""
+def repeating(seconds: float) -> Step:
+    """(now, own) -> the first report of the current window, None for that first one. Repeats do not extend it."""
 
     def step(state: tuple | None, values: tuple) -> tuple:
         now, own = values
@@ -67,5 +88,32 @@ def dedup_window(reports: DataFrame, keys: list[str], seconds: float, time: str
             return (now, own), None
         return state, state[1]
 
-    kind = dict(reports.dtypes)[name]
-    return ordered_fold(reports, keys, [time, name], "repeat_of", kind, lambda: None, step, [time, name])
+    return step
+
+
+def pack_groups(df: DataFrame, keys: list[str], order: list[str], weight: str, budget: float) -> DataFrame:
+    """``group_no`` by key: see ``packing``."""
+    return ordered_fold(df, keys, order, "group_no", "long", packing(budget), [weight])
+
+
+def rate_limit(hits: DataFrame, keys: list[str], limit: int, window: float, time: str = "at", order: tuple[str, ...] = ()) -> DataFrame:
+    """``allowed`` by key: see ``limiting``."""
+    return ordered_fold(hits, keys, [time, *order], "allowed", "boolean", limiting(limit, window), [time])
+
+
+def rate_limits(hits: DataFrame, client: str, limit: int, everyone: int, window: float, time: str = "at", order: tuple[str, ...] = ()) -> DataFrame:
+    """``allowed`` where a hit passes its client's limit and then that of all clients together; the first is used up by hits
+    that the second refuses, and hits that the first refuses do not reach the second.
+
+    The second limit is one state for all clients by definition: one sorted stream of constant memory, over the hits that
+    the first lets through only.
+    """
+    first = rate_limit(hits, [client], limit, window, time, order).withColumnRenamed("allowed", "__own")
+    passed = first.where("__own").withColumn("__all", F.lit(0))
+    second = rate_limit(passed, ["__all"], everyone, window, time, order).drop("__all")
+    return second.unionByName(first.where(~F.col("__own")).withColumn("allowed", F.lit(False))).drop("__own")
+
+
+def dedup_window(reports: DataFrame, keys: list[str], seconds: float, time: str = "at", name: str = "id") -> DataFrame:
+    """``repeat_of`` by key: see ``repeating``."""
+    return ordered_fold(reports, keys, [time, name], "repeat_of", dict(reports.dtypes)[name], repeating(seconds), [time, name])

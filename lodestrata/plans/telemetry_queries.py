@@ -10,7 +10,7 @@ from lodestrata.operators import audit, folds, jobs, telemetry
 from lodestrata.plans import levels
 from lodestrata.plans.views import ERRORS, EVENTS, errors, events, load
 
-SECONDS = "CAST(epoch(ts) AS BIGINT)"
+SECONDS = "CAST(floor(epoch(ts)) AS BIGINT)"
 Q: dict = {}
 O: dict[str, str] = {}
 
@@ -467,8 +467,39 @@ def scrub_json(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select("event_id", S.scrub_json(diag).alias("diagnostics"))
 
 
+O["scrub_json"] = f"""SELECT event_id, '{{"stage":"' || name || '","input":{{"rows":' || CAST(amount AS VARCHAR) || '}}}}' AS diagnostics FROM ({EVENTS})"""
+
+
 @query
 def client_key(spark: SparkSession, d: str) -> DataFrame:
     ip = F.concat(F.lit("10.0."), (F.col("user_id") % 250).cast("string"), F.lit("."), (F.col("k") % 250).cast("string"))
     six = F.concat(F.lit("2001:db8:"), F.hex("user_id"), F.lit("::"), F.hex("k"))
     return events(spark, d).select("event_id", S.client_key(F.when(F.col("event_id") % 3 == 0, ip).otherwise("bad"), F.when(F.col("event_id") % 3 == 1, F.concat(F.lit("1.1.1.1, "), six)), F.lit("::ffff:192.0.2.7")).alias("client"))
+
+
+O["client_key"] = f"""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '10.0.' || (user_id % 250) || '.' || (k % 250)
+WHEN event_id % 3 = 1 AND user_id < 65536 THEN '2001:db8' || CASE WHEN user_id = 0 THEN '' ELSE ':' || format('{{:x}}', user_id) END || '::/64' ELSE '192.0.2.7' END AS client FROM ({EVENTS})"""
+
+
+@query
+def rate_limits(spark: SparkSession, d: str) -> DataFrame:
+    """A limit for each client and one for all together, the client's first."""
+    hits = events(spark, d).select("event_id", "user_id", _seconds().alias("at"))
+    return folds.rate_limits(hits, "user_id", 2, 60, 21_600, "at", ("event_id",)).select("event_id", "allowed")
+
+
+def _limit_sql(source: str, key: str, limit: int) -> str:
+    """Rows of ``source`` (event_id, k, sec) with allowed, by key ``k``: a step of the limiter per row."""
+    return f"""{key}h AS (SELECT event_id, k, sec, row_number() OVER (PARTITION BY k ORDER BY sec, event_id) AS i FROM ({source})),
+{key}f AS (SELECT event_id, k, i, sec, sec AS b, 1 AS c, 0 AS p, true AS allowed FROM {key}h WHERE i = 1
+  UNION ALL SELECT x.event_id, x.k, x.i, x.sec, x.b2, CASE WHEN x.ok THEN x.c2 + 1 ELSE x.c2 END, x.p2, x.ok FROM (
+    SELECT y.*, NOT (y.p2 * greatest(0, 1 - (y.sec - y.b2) / 21600::DOUBLE) + y.c2 + 1 > {limit}) AS ok FROM (
+      SELECT h.event_id, h.k, h.i, h.sec, f.b + ((h.sec - f.b) // 21600) * 21600 AS b2, CASE WHEN (h.sec - f.b) // 21600 >= 1 THEN 0 ELSE f.c END AS c2,
+             CASE WHEN (h.sec - f.b) // 21600 = 0 THEN f.p WHEN (h.sec - f.b) // 21600 = 1 THEN f.c ELSE 0 END AS p2
+      FROM {key}f f JOIN {key}h h ON h.k = f.k AND h.i = f.i + 1) AS y) AS x)"""
+
+
+O["rate_limits"] = f"""
+WITH RECURSIVE {_limit_sql(f"SELECT event_id, user_id AS k, {SECONDS} AS sec FROM ({EVENTS})", "own", 2)},
+{_limit_sql("SELECT event_id, 0 AS k, sec FROM ownf WHERE allowed", "all", 60)}
+SELECT o.event_id, coalesce(a.allowed, false) AS allowed FROM ownf o LEFT JOIN allf a ON o.event_id = a.event_id"""
