@@ -8,18 +8,24 @@ from pyspark.sql import functions as F
 from lodestrata.operators.cloud import quantiles
 
 # Files that a unit may hold.
-UNIT_FILES = "meta.json means_l.webp means_u.webp scales.webp quats.webp sh0.webp shN_centroids.webp shN_labels.webp".split()
+UNIT_FILES = ["meta.json", "means_l.webp", "means_u.webp", "scales.webp", "quats.webp", "sh0.webp", "shN_centroids.webp", "shN_labels.webp"]
+#: From here on an archive needs its 64-bit form: an offset or size, and a number of entries.
+WIDE, MANY = 0xFFFFFFFF, 0xFFFF
 GIB, MILLION = 1 << 30, 1_000_000
 
 
 def running_offsets(entries: DataFrame, by: str = "path") -> DataFrame:
-    """entries (path, seq, name, size) -> offset of each in its archive, zip64 flag, duplicate and bad names."""
+    """entries (path, seq, name, size, maybe content) -> offset of each in its archive, duplicate and bad names, whether the entry
+    (zip64) and the archive's directory (zip64_directory) need 64 bits, and the CRC of the content (crc)."""
     before = Window.partitionBy(by).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(by)
     need = F.lit(30) + F.octet_length("name") + F.col("size")
     out = entries.withColumn("offset", F.sum(need).over(before) - need)
     out = out.withColumn("duplicate", F.count(F.lit(1)).over(Window.partitionBy(by, "name")) > 1)
     bad = (F.col("name") == "") | F.col("name").startswith("/") | F.col("name").contains("\\") | F.col("name").rlike("(^|/)\\.\\.(/|$)")
-    return out.withColumn("bad_name", bad).withColumn("zip64", (F.col("offset") >= 0xFFFFFFFF) | (F.col("size") >= 0xFFFFFFFF))
+    out = out.withColumn("bad_name", bad).withColumn("zip64", (F.col("offset") >= WIDE) | (F.col("size") >= WIDE))
+    out = out.withColumn("zip64_directory", (F.count(F.lit(1)).over(whole) >= MANY) | (F.sum(need).over(whole) >= WIDE))
+    return out.withColumn("crc", F.crc32(F.col("content").cast("binary"))).drop("content") if "content" in entries.columns else out
 
 
 def _found(rows: DataFrame, level: str, rule: str, subject, detail) -> DataFrame:
@@ -30,7 +36,8 @@ def audit_manifest(manifest: DataFrame, leaves: DataFrame, units: DataFrame, ent
     """Findings: scene_id, level, rule, subject, detail.
 
     manifest (scene_id, version, count, counts, lod_levels), leaves (scene_id, lod, file, offset, n),
-    units (scene_id, file, rows, files), entries (scene_id, name, size), expected (scene_id, lod, n).
+    units (scene_id, file, rows, files), entries (scene_id, name, size, maybe crc as stored and crc_found as counted),
+    expected (scene_id, lod, n). A scene without its root manifest has that finding alone.
     """
     c = F.col
     out = []
@@ -67,10 +74,12 @@ def audit_manifest(manifest: DataFrame, leaves: DataFrame, units: DataFrame, ent
     out.append(_found(size.where(c("size") > 10 * GIB), "warning", "V14", F.lit("size"), c("size")))
     checked = running_offsets(entries.withColumn("seq", F.col("name")), "scene_id")
     out.append(_found(checked.where("duplicate OR bad_name").select("scene_id", "name").distinct(), "error", "V15", c("name"), F.lit("duplicate or bad name")))
+    if {"crc", "crc_found"} <= set(entries.columns):
+        out.append(_found(entries.where(~c("crc").eqNullSafe(c("crc_found"))), "error", "V15", c("name"), F.lit("content differs from its CRC")))
     found = out[0]
     for rows in out[1:]:
         found = found.unionByName(rows)
-    return found
+    return found.join(roots, "scene_id", "left_semi").unionByName(out[1])
 
 
 def compare_manifests(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -87,14 +96,22 @@ def compare_quantiles(a: DataFrame, b: DataFrame, qs: list[float], tolerance: fl
     return pair.withColumn("equal", F.coalesce(F.abs(F.col("a") - F.col("b")) <= tolerance, F.lit(False)))
 
 
-def diff_snapshots(before: DataFrame, after: DataFrame, allow: list[str], stable: list[DataFrame] | None = None, hash_kind: str = "body") -> DataFrame:
-    """Snapshots (kind, key, value) -> kind, key, change (gone, added, changed), keys of ``allow`` left out.
+def diff_snapshots(before: DataFrame, after: DataFrame, allow: list[str], stable: list[DataFrame] | None = None, hash_kind: str = "body", start_kind: str = "started", open_kind: str = "socket") -> DataFrame:
+    """Snapshots (kind, key, value) -> kind, key, change; keys of ``allow`` are left out.
 
-    Values of ``hash_kind`` count only where every stable snapshot has the value of ``before``.
+    gone, added and changed in general. Values of ``hash_kind`` count as changed only where every stable snapshot has the value
+    of ``before``. A value of ``start_kind`` is 'time|restarts': of keys in both, 'restarted' where the time differs and
+    'restart count' where the number does. Of ``open_kind`` the key alone counts, and none is allowed for.
     """
-    pair = before.withColumnRenamed("value", "a").join(after.withColumnRenamed("value", "b"), ["kind", "key"], "full_outer").where(~F.col("key").isin(allow))
-    change = F.when(F.col("b").isNull(), "gone").when(F.col("a").isNull(), "added").when(F.col("a") != F.col("b"), "changed")
-    out = pair.withColumn("change", change).where("change IS NOT NULL")
+    pair = before.withColumnRenamed("value", "a").join(after.withColumnRenamed("value", "b"), ["kind", "key"], "full_outer")
+    pair = pair.where(~F.col("key").isin(allow) | (F.col("kind") == open_kind))
+    part = lambda c, i: F.coalesce(F.get(F.split(c, "\\|"), F.lit(i)), F.lit("?"))
+    differ = lambda i: part(F.col("a"), i) != part(F.col("b"), i)
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    presence = F.when(F.col("b").isNull(), "gone").when(F.col("a").isNull(), "added")
+    plain = F.array(presence.when((F.col("a") != F.col("b")) & (F.col("kind") != open_kind), "changed"))
+    starts = F.when(both, F.array(F.when(differ(0), "restarted"), F.when(differ(1), "restart count")))
+    out = pair.withColumn("change", F.explode(F.when(F.col("kind") == start_kind, starts).otherwise(plain))).where("change IS NOT NULL")
     steady = before.where(F.col("kind") == hash_kind).select("kind", "key", "value")
     for s in stable or []:
         steady = steady.intersect(s.select("kind", "key", "value"))

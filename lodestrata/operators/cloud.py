@@ -230,6 +230,14 @@ def tile_filter(df: DataFrame, tiles: list[int]) -> DataFrame:
     return df.where(F.col("tile").isin(tiles))
 
 
+def reconcile_tiles(tiled: DataFrame, totals: DataFrame) -> DataFrame:
+    """scene_id, n: the rows that have a tile, which must be as many as ``totals`` (scene_id, n) declares; else an error."""
+    have = tiled.where("tile IS NOT NULL").groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"))
+    both = have.join(totals.select("scene_id", F.col("n").alias("declared")), "scene_id", "full_outer")
+    odd = F.raise_error(F.concat_ws(" ", F.lit("rows with a tile and declared rows differ in scene"), F.col("scene_id").cast("string"), F.col("n").cast("string"), F.col("declared").cast("string")))
+    return both.select("scene_id", F.when(F.col("n").eqNullSafe(F.col("declared")), F.col("n")).otherwise(odd).alias("n"))
+
+
 def repartition_by_tile(df: DataFrame, *more: str) -> DataFrame:
     """Each tile's rows together. A scene with one tile too large is for a finer plan, not for a larger task."""
     return df.repartition("scene_id", "tile", *more)

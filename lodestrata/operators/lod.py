@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -187,6 +188,11 @@ def level_counts(levels: DataFrame) -> DataFrame:
     return levels.groupBy("scene_id", "lod", "tile").agg(F.count(F.lit(1)).alias("n"), *bounds)
 
 
+def level_totals(levels: DataFrame) -> DataFrame:
+    """Rows per scene and level, and of all levels together (lod null)."""
+    return levels.groupingSets([["scene_id", "lod"], ["scene_id"]], "scene_id", "lod").agg(F.count(F.lit(1)).alias("n"))
+
+
 def lod_leaves(levels: DataFrame, extent: float, min_count: int, steps: int = 12) -> DataFrame:
     """Cells of each tile at multiples of ``extent``; cells of too few rows merge upwards (the edge doubles) until they
     have enough or are the whole tile. scene_id, tile, edge, cx, cy, cz, and by level the count and bounds."""
@@ -224,6 +230,87 @@ def renumber_units(packed: DataFrame) -> DataFrame:
     return units.withColumn("unit_no", no.cast("long")).withColumn("file_index", index.cast("long"))
 
 
+def parse_units(files: DataFrame) -> DataFrame:
+    """files (scene_id, tile, name, ...) with lod and unit from names like '0_3'; other names and repeated ones are errors."""
+    fine = F.col("name").rlike("\\A[0-9]{1,9}_[0-9]{1,9}\\z")
+    once = F.count(F.lit(1)).over(Window.partitionBy("scene_id", "tile", "name")) == 1
+    checked = F.when(~fine, F.raise_error(F.concat(F.lit("no unit: "), F.col("name")))).when(~once, F.raise_error(F.concat(F.lit("unit twice: "), F.col("name")))).otherwise(F.col("name"))
+    part = lambda i: F.split(checked, "_")[i].cast("int")
+    return files.withColumn("lod", part(0)).withColumn("unit", part(1))
+
+
+def reference_units(packed: DataFrame, units: DataFrame) -> DataFrame:
+    """Leaves (scene_id, tile, lod, unit, ...) with the scene-wide unit_no and file_index of ``units``; a unit that is not there is an error."""
+    keys = ["scene_id", "tile", "lod", "unit"]
+    joined = packed.join(units.select(*keys, "unit_no", "file_index"), keys, "left")
+    missing = F.raise_error(F.concat_ws(" ", F.lit("leaf of an unknown unit:"), *(F.col(k).cast("string") for k in keys)))
+    return joined.withColumn("file_index", F.when(F.col("file_index").isNull(), missing).otherwise(F.col("file_index")))
+
+
+def scene_manifest(leaves: DataFrame, units: DataFrame, nodes: DataFrame, asset: str = "{}") -> DataFrame:
+    """scene_id and its manifest as JSON, numbers to 7 significant digits.
+
+    leaves: a row per cell and level, with bounds and references (scene_id, tile, leaf, lod, n, offset, file_index, min_x ...),
+    units (scene_id, lod, unit_no, file_index), nodes of the k-d plan. The tree follows the plan; a node with one side only is
+    that side; a tile with several cells has them as children. A scene without any leaf is an error. The manifest of a scene is
+    one document, so one task writes it; it has a row per leaf and level, not per splat.
+    """
+    kind = dict(leaves.dtypes)["scene_id"]
+    tree = nodes.where("axis < 0").select("scene_id", "tile", "path")
+    ends = F.struct(*(F.col(f"{k}_{a}").cast("double").alias(f"{k}_{a}") for k in ("min", "max") for a in POSITION))
+    cells = leaves.join(tree, ["scene_id", "tile"]).select("scene_id", F.struct("path", "leaf", F.col("lod").cast("int").alias("lod"), F.col("n").cast("long").alias("n"), F.col("offset").cast("long").alias("offset"), F.col("file_index").cast("long").alias("file"), ends.alias("ends")).alias("cell"))
+    files = units.select("scene_id", F.struct("file_index", F.concat_ws("_", "lod", "unit_no").alias("name")).alias("file"))
+    whole = cells.groupBy("scene_id").agg(F.collect_list("cell").alias("cells")).join(files.groupBy("scene_id").agg(F.array_sort(F.collect_list("file")).alias("files")), "scene_id", "full_outer")
+
+    def number(v: float) -> float | int:
+        short = float(f"{v:.6e}")
+        return int(short) if short.is_integer() else short
+
+    def document(cells: list[dict], files: list[dict]) -> str:
+        levels: dict[int, int] = {}
+        at: dict[tuple[str, str], dict] = {}
+        for c in cells:
+            levels[c["lod"]] = levels.get(c["lod"], 0) + c["n"]
+            leaf = at.setdefault((c["path"], c["leaf"]), {"ends": [], "lods": {}})
+            leaf["ends"].append(c["ends"])
+            leaf["lods"][str(c["lod"])] = {"file": c["file"], "offset": c["offset"], "count": c["n"]}
+        side: dict[str, list[dict]] = {}
+        for (path, _), leaf in sorted(at.items()):
+            bound = {k: [pick(e[f"{k}_{a}"] for e in leaf["ends"]) for a in POSITION] for k, pick in (("min", min), ("max", max))}
+            side.setdefault(path, []).append({"bound": bound, "lods": leaf["lods"]})
+        # from the deepest paths up, what lies under a path becomes one node
+        for depth in range(max(map(len, side)), -1, -1):
+            for path in [x for x in side if len(x) == depth]:
+                under = side.pop(path)
+                node = under[0] if len(under) == 1 else {"bound": {k: [pick(u["bound"][k][i] for u in under) for i in range(3)] for k, pick in (("min", min), ("max", max))}, "children": under}
+                held = side.setdefault(path[:-1], []) if depth else side.setdefault("", [])
+                held.insert(0, node) if depth and path[-1] == "L" else held.append(node)
+        top = side[""][0]
+        waiting = [top]
+        while waiting:
+            node = waiting.pop()
+            node["bound"] = {k: [number(v) for v in ends] for k, ends in node["bound"].items()}
+            waiting += node.get("children", [])
+        counts = [levels.get(i, 0) for i in range(max(levels) + 1)]
+        return json.dumps({"version": 1, "asset": json.loads(asset), "count": sum(counts), "counts": counts, "lodLevels": len(counts), "filenames": [f["name"] for f in files], "tree": top}, separators=(",", ":"))
+
+    def build(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in frames:
+            found = []
+            for scene, cells, files in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not cells:
+                    raise ValueError(f"no rows were written of scene {scene}")
+                found.append(document(cells, files or []))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], ["scene_id", "manifest"])
+
+    return whole.select("scene_id", "cells", "files").mapInArrow(build, f"scene_id {kind}, manifest string")
+
+
+def write_manifest(leaves: DataFrame, units: DataFrame, nodes: DataFrame, path: str, asset: str = "{}") -> None:
+    """A manifest per scene as a text file in the folder scene_id=<scene>."""
+    scene_manifest(leaves, units, nodes, asset).write.partitionBy("scene_id").text(path)
+
+
 def rollup_bounds(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
     """Bounds and counts of every k-d node from its tiles; nodes with one empty side are left out."""
     tiles = leaves.groupBy(*BY).agg(F.sum("n").alias("n"), *(f(f"{k}_{a}").alias(f"{k}_{a}") for a in POSITION for k, f in (("min", F.min), ("max", F.max))))

@@ -50,19 +50,28 @@ def clean_events(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return accepted, joined.where("name IS NULL").drop("name", "prop", "rule")
 
 
-def count_events(events: DataFrame, most: int = MAX_VALUES) -> DataFrame:
-    """events (name, value, ts, ...) -> day, name, value, n: totals (value null) and counts by value.
+def partial_counts(events: DataFrame) -> DataFrame:
+    """events (name, value, ts, event_id) -> day, name, value, n, first: counts that can be added up, null values included."""
+    return events.groupBy(S.utc_day(F.col("ts")).alias("day"), "name", "value").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ts", "event_id")).alias("first"))
+
+
+def folded_counts(partial: DataFrame, most: int = MAX_VALUES) -> DataFrame:
+    """Partial counts added up: day, name, value, n: totals (value null) and counts by value.
 
     Of the values of an event and day the ``most`` first seen keep their name, the rest count as 'other'.
     """
-    daily = events.withColumn("day", S.utc_day(F.col("ts")))
-    seen = daily.where("value IS NOT NULL").groupBy("day", "name", "value").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ts", "event_id")).alias("first"))
-    ranked = seen.withColumn("r", F.row_number().over(Window.partitionBy("day", "name").orderBy("first")))
+    seen = partial.groupBy("day", "name", "value").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    ranked = seen.where("value IS NOT NULL").withColumn("r", F.row_number().over(Window.partitionBy("day", "name").orderBy("first")))
     values = ranked.groupBy("day", "name", F.when(F.col("r") <= most, F.col("value")).otherwise("other").alias("value")).agg(F.sum("n").alias("n"))
-    totals = daily.groupBy("day", "name").agg(F.count(F.lit(1)).alias("n")).select("day", "name", F.lit(None).cast("string").alias("value"), "n")
+    totals = seen.groupBy("day", "name").agg(F.sum("n").alias("n")).select("day", "name", F.lit(None).cast("string").alias("value"), "n")
     return totals.unionByName(values)
 
 
+def count_events(events: DataFrame, most: int = MAX_VALUES) -> DataFrame:
+    """events (name, value, ts, event_id) -> day, name, value, n: see ``folded_counts``."""
+    return folded_counts(partial_counts(events), most)
+
+
 def stats(totals: DataFrame, days: int, last_day: str) -> DataFrame:
     """A row per day with data, one column per event, and a row 'total'."""
     recent = totals.where("value IS NULL").where(F.col("day").between(F.date_format(F.date_sub(F.lit(last_day), days - 1), "yyyy-MM-dd"), F.lit(last_day)))
@@ -84,27 +93,34 @@ def top_values(totals: DataFrame, k: int = 8) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
-def error_digest(reports: DataFrame, k: int = 15) -> DataFrame:
-    """reports (at, key, repeat_of) -> per day the errors repeated most, and a row for how many more there are."""
-    again = reports.where("repeat_of IS NOT NULL").groupBy(S.utc_day("at").alias("day"), "repeat_of").agg(F.count(F.lit(1)).alias("n"))
+def digest(repeats: DataFrame, k: int = 15) -> DataFrame:
+    """repeats (day, repeat_of, n; parts add up) -> day, repeat_of, n, rank: the errors repeated most, and a row for how many more there are."""
+    again = repeats.groupBy("day", "repeat_of").agg(F.sum("n").alias("n"))
     ranked = again.withColumn("rank", F.row_number().over(Window.partitionBy("day").orderBy(F.desc("n"), "repeat_of")))
     rest = ranked.where(F.col("rank") > k).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
     rest = rest.select("day", F.lit(None).cast("long").alias("repeat_of"), "n", F.lit(k + 1).alias("rank"))
     return ranked.where(F.col("rank") <= k).unionByName(rest.select(*ranked.columns))
 
 
+def error_digest(reports: DataFrame, k: int = 15) -> DataFrame:
+    """The digest of reports (at, repeat_of)."""
+    return digest(reports.where("repeat_of IS NOT NULL").groupBy(S.utc_day(F.col("at")).alias("day"), "repeat_of").agg(F.count(F.lit(1)).alias("n")), k)
+
+
 def assign_report_id(reports: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """report_id R-YYYYMMDD-NNNN by UTC day in order of arrival; goes on after the greatest of ``existing`` (report_id)."""
-    day = F.date_format("at", "yyyyMMdd")
-    number = F.row_number().over(Window.partitionBy(day).orderBy("at", "id"))
-    out = reports.withColumn("__n", number).withColumn("__day", day)
+    rows = reports.withColumn("__day", F.date_format("at", "yyyyMMdd")).withColumn("__hour", F.date_trunc("hour", "at"))
+    hours = rows.groupBy("__day", "__hour").agg(F.count(F.lit(1)).alias("__c"))  # numbers run by hour first, then within an hour
+    hours = hours.withColumn("__before", F.sum("__c").over(Window.partitionBy("__day").orderBy("__hour")) - F.col("__c")).drop("__c")
     if existing is not None:
         parts = existing.where(F.col("report_id").rlike("^R-[0-9]{8}-[0-9]{4,}$"))
         last = parts.groupBy(F.substring("report_id", 3, 8).alias("__day")).agg(F.max(F.substring_index("report_id", "-", -1).cast("long")).alias("__last"))
-        out = out.join(F.broadcast(last), "__day", "left").withColumn("__n", F.col("__n") + F.coalesce("__last", F.lit(0))).drop("__last")
+        hours = hours.join(last, "__day", "left").withColumn("__before", F.col("__before") + F.coalesce("__last", F.lit(0))).drop("__last")
+    inside = F.row_number().over(Window.partitionBy("__day", "__hour").orderBy("at", "id"))
+    out = rows.withColumn("__n", inside).join(hours, ["__day", "__hour"]).withColumn("__n", F.col("__n") + F.col("__before"))
     text = F.col("__n").cast("string")
     padded = F.when(F.length(text) < 4, F.lpad(text, 4, "0")).otherwise(text)
-    return out.withColumn("report_id", F.concat(F.lit("R-"), "__day", F.lit("-"), padded)).drop("__n", "__day")
+    return out.withColumn("report_id", F.concat(F.lit("R-"), "__day", F.lit("-"), padded)).select(*reports.columns, "report_id")
 
 
 def inbox(reports: DataFrame, statuses: DataFrame, kind: str | None = None, everything: bool = False, repeats: bool = False, suspect: bool = False) -> DataFrame:
@@ -125,12 +141,40 @@ def inbox(reports: DataFrame, statuses: DataFrame, kind: str | None = None, ever
     return rows.select("id", "kind", "state", F.coalesce("folded", F.lit(0)).cast("long").alias("folded"), F.substring(F.substring_index(F.coalesce("message", F.lit("")), "\n", 1), 1, 80).alias("headline"))
 
 
-def store_policy(reports: DataFrame, cap: int) -> DataFrame:
-    """reports (id, at, suspect, bytes or null) -> diag_state: kept, skipped (the day's kept bytes would pass the cap) or absent."""
+def show(reports: DataFrame, report_id: str | None = None) -> DataFrame:
+    """reports (id, diagnostics as JSON) -> id, section, no, line: what a reader sees of the diagnostics of one report (or of all).
+
+    Of ``errors`` and ``log`` the last 30 entries (300 characters each), of ``stack`` the first 20 lines (200 each), of other
+    keys their value (300). ``no`` counts from 0 within what is shown.
+    """
+    rows = reports if report_id is None else reports.where(F.col("id") == report_id)
+    held = rows.select("id", F.from_json("diagnostics", "map<string,string>").alias("d"))
+    last = lambda a: F.transform(F.slice(a, F.greatest(F.lit(1), F.size(a) - 29), F.lit(30)), lambda x: F.substring(x, 1, 300))
+    entries = lambda k: last(F.from_json(F.get(F.map_values(F.map_filter("d", lambda n, _: n == k)), F.lit(0)), "array<string>"))
+    stack = F.transform(F.slice(F.split(F.get(F.map_values(F.map_filter("d", lambda n, _: n == "stack")), F.lit(0)), "\\r?\\n"), 1, 20), lambda x: F.substring(x, 1, 200))
+    rest = F.transform(F.map_entries(F.map_filter("d", lambda n, _: ~n.isin("errors", "log", "stack"))), lambda e: F.struct(e["key"].alias("section"), F.array(F.substring(e["value"], 1, 300)).alias("lines")))
+    named = F.array(*(F.struct(F.lit(k).alias("section"), lines.alias("lines")) for k, lines in (("errors", entries("errors")), ("log", entries("log")), ("stack", stack))))
+    parts = held.select("id", F.explode(F.concat(named, rest)).alias("x"))
+    return parts.select("id", "x.section", F.posexplode("x.lines").alias("no", "line"))
+
+
+def store_policy(reports: DataFrame, cap: int, stored: DataFrame | None = None) -> DataFrame:
+    """reports (id, at, suspect, bytes or null) -> diag_state: kept, skipped (the day's bytes would pass the cap) or absent.
+
+    ``stored`` (day as yyyy-MM-dd, bytes) is what earlier batches hold of a day. Sums run by hour first and then within an
+    hour, so no task orders a whole day.
+    """
     due = F.when(~F.col("suspect") & F.col("bytes").isNotNull(), F.col("bytes")).otherwise(F.lit(0))
-    running = F.sum(due).over(Window.partitionBy(S.utc_day("at")).orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0))
-    state = F.when(F.col("suspect") | F.col("bytes").isNull(), "absent").when(running > cap, "skipped").otherwise("kept")
-    return reports.withColumn("diag_state", state)
+    rows = reports.withColumn("__due", due).withColumn("__day", S.utc_day(F.col("at"))).withColumn("__hour", F.date_trunc("hour", "at"))
+    hours = rows.groupBy("__day", "__hour").agg(F.sum("__due").alias("__sum"))
+    hours = hours.withColumn("__before", F.sum("__sum").over(Window.partitionBy("__day").orderBy("__hour")) - F.col("__sum")).drop("__sum")
+    if stored is not None:
+        old = stored.groupBy(F.col("day").alias("__day")).agg(F.sum("bytes").alias("__old"))
+        hours = hours.join(old, "__day", "left").withColumn("__before", F.col("__before") + F.coalesce("__old", F.lit(0))).drop("__old")
+    inside = F.sum("__due").over(Window.partitionBy("__day", "__hour").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("__inside", inside).join(hours, ["__day", "__hour"])
+    state = F.when(F.col("suspect") | F.col("bytes").isNull(), "absent").when(F.col("__before") + F.col("__inside") > cap, "skipped").otherwise("kept")
+    return rows.withColumn("diag_state", state).select(*reports.columns, "diag_state")
 
 
 def retention_prune(rows: DataFrame, day: str, today: str, days: int) -> DataFrame:

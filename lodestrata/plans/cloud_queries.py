@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.operators import audit, cloud, folds, lod
 from lodestrata.plans.views import SPLATS, load, splats
 from lodestrata.sources import logs, ply
-from lodestrata.sources.tables import persisted
+from lodestrata.sources.files import located
+from lodestrata.sources.tables import persisted, shared_path
 
 Q: dict = {}
 O: dict[str, str] = {}
@@ -264,6 +269,31 @@ _LEVELS = f"{KD}, lod1 AS ({_OPAQUE.format(step=_STEP.format(rows=_OWN.format(ra
 O["level_counts"] = _LEVELS + " UNION ALL ".join(f" SELECT scene_id, {i} AS lod, CAST(tile AS INT) AS tile, count(*) AS n, {_BOUNDS} FROM {t} GROUP BY scene_id, tile" for i, t in enumerate(("g", "lod1", "lod2")))
 
 
+@query
+def level_totals(spark: SparkSession, d: str) -> DataFrame:
+    return lod.level_totals(_levels(spark, d))
+
+
+O["level_totals"] = _LEVELS + " SELECT scene_id, lod, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT scene_id, {i} AS lod FROM {t}" for i, t in enumerate(("g", "lod1", "lod2"))) + ") GROUP BY GROUPING SETS ((scene_id, lod), (scene_id))"
+
+
+@query
+def tile_filter(spark: SparkSession, d: str) -> DataFrame:
+    return cloud.tile_filter(_tiled(spark, d), [0, 2]).select("scene_id", "record_no", "tile")
+
+
+O["tile_filter"] = f"{KD} SELECT scene_id, record_no, CAST(tile AS INT) AS tile FROM g WHERE tile IN (0, 2)"
+
+
+@query
+def reconcile_tiles(spark: SparkSession, d: str) -> DataFrame:
+    s = splats(spark, d)
+    return cloud.reconcile_tiles(cloud.repartition_by_tile(_tiled(spark, d)), s.groupBy("scene_id").agg(F.count("*").alias("n")))
+
+
+O["reconcile_tiles"] = "SELECT l_returnflag AS scene_id, count(*) AS n FROM lineitem GROUP BY 1"
+
+
 def _leaves(spark: SparkSession, d: str) -> DataFrame:
     leaves = lod.lod_leaves(_levels(spark, d), 8.0, 60)
     leaf = F.format_string("%012.3f/%08d/%08d/%08d", "edge", "cx", "cy", "cz")
@@ -326,6 +356,43 @@ WITH u AS (SELECT l_returnflag AS scene_id, l_suppkey % 5 AS tile, l_linenumber
 SELECT *, row_number() OVER (PARTITION BY scene_id, lod ORDER BY tile, unit) - 1 AS unit_no, row_number() OVER (PARTITION BY scene_id ORDER BY tile, lod, unit) - 1 AS file_index FROM u"""
 
 
+@query
+def leaf_references(spark: SparkSession, d: str) -> DataFrame:
+    """Leaves by line item with the numbers of their units, whose tile-local names are parsed."""
+    li = load(spark, d, "lineitem").select(F.col("l_returnflag").alias("scene_id"), (F.col("l_suppkey") % 5).alias("tile"), F.concat_ws("_", F.col("l_linenumber") % 3, F.col("l_partkey") % 7).alias("name"), F.lit(1).alias("n"))
+    units = lod.parse_units(li.groupBy("scene_id", "tile", "name").agg(F.sum("n").alias("n")))
+    leaves = li.withColumn("lod", F.split("name", "_")[0].cast("int")).withColumn("unit", F.split("name", "_")[1].cast("int"))
+    found = lod.reference_units(leaves, lod.renumber_units(units))
+    return found.groupBy("scene_id", "lod", "unit_no", "file_index").agg(F.sum("n").alias("n"))
+
+
+O["leaf_references"] = """
+WITH u AS (SELECT l_returnflag AS scene_id, l_suppkey % 5 AS tile, CAST(l_linenumber % 3 AS INT) AS lod, l_partkey % 7 AS unit, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT scene_id, lod, row_number() OVER (PARTITION BY scene_id, lod ORDER BY tile, unit) - 1 AS unit_no, row_number() OVER (PARTITION BY scene_id ORDER BY tile, lod, unit) - 1 AS file_index, n FROM u"""
+
+
+@query
+def scene_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Manifests of two levels, read back from their JSON: counts, numbers of files and leaves, sums over the leaves, root bounds."""
+    nodes = _nodes(spark, d)
+    levels = lod.build_levels(cloud.assign_tile(splats(spark, d), nodes), 2)
+    leaves = lod.lod_leaves(levels, 8.0, 60).withColumn("leaf", F.format_string("%012.3f/%08d/%08d/%08d", "edge", "cx", "cy", "cz"))
+    packed = persisted(lod.pack_units(leaves, 1_000), "packed")
+    units = lod.renumber_units(packed)
+    made = lod.scene_manifest(lod.reference_units(packed, units), units, nodes)
+    counts = F.from_json(F.get_json_object("manifest", "$.counts"), "array<long>")
+    held = F.aggregate(F.regexp_extract_all("manifest", F.lit('"offset":[0-9]+,"count":([0-9]+)'), 1), F.lit(0).cast("long"), lambda a, b: a + b.cast("long"))
+    root = [F.get_json_object("manifest", f"$.tree.bound.{k}[{i}]").cast("double").alias(f"{k}_{a}") for i, a in enumerate(AXES) for k in ("min", "max")]
+    files = F.size(F.from_json(F.get_json_object("manifest", "$.filenames"), "array<string>")).cast("long").alias("files")
+    facts = made.select("scene_id", F.get_json_object("manifest", "$.count").cast("long").alias("n"), F.array_join(counts.cast("array<string>"), ",").alias("counts"), held.alias("held"), files, *root)
+    listed = units.groupBy("scene_id").agg(F.count("*").alias("units"))
+    return facts.join(listed, "scene_id").select("*", (F.col("files") == F.col("units")).alias("all_files")).drop("files", "units")
+
+
+O["scene_manifest"] = f"""{_LEVELS} SELECT scene_id, n0 + n1 AS n, n0 || ',' || n1 AS counts, n0 + n1 AS held, true AS all_files, {", ".join(f"CASE WHEN {k}_{a} = 0 THEN 0 ELSE round({k}_{a}, 6 - CAST(floor(log10(abs(CASE WHEN {k}_{a} = 0 THEN 1 ELSE {k}_{a} END))) AS INT)) END AS {k}_{a}" for a in AXES for k in ("min", "max"))}
+FROM (SELECT scene_id, count(*) AS n0, {", ".join(f"{k}({a}) AS {k}_{a}" for a in AXES for k in ("min", "max"))} FROM g GROUP BY 1) JOIN (SELECT scene_id, count(*) AS n1 FROM lod1 GROUP BY 1) USING (scene_id)"""
+
+
 @query
 def rollup_bounds(spark: SparkSession, d: str) -> DataFrame:
     nodes = _nodes(spark, d)
@@ -371,14 +438,10 @@ def quantize_attributes(spark: SparkSession, d: str) -> DataFrame:
     back = lod.dequantize_attributes(lod.quantize_attributes(turned, ["scene_id"]))
     off = F.greatest(*(F.abs(F.col(f"d_{c}") - F.col(c)) for c in ("scale_0", "scale_2", "f_dc_0", "f_dc_2")))
     dot = F.abs(sum((F.col(f"d_rot_{i}") * F.col(f"rot_{i}") for i in range(4)), F.lit(0.0)))
-    return back.select("scene_id", "record_no", "b_scale_0", "b_f_dc_2", "b_rot_at", (off < 0.01).alias("near"), (dot > 0.999).alias("same_turn"))
+    return back.select("scene_id", "record_no", "b_scale_0", "b_f_dc_2", "b_rot_at", *(f"b_rot_{i}" for i in range(3)), (off < 0.01).alias("near"), (dot > 0.999).alias("same_turn"))
 
 
 _BYTE_OF = "CAST(floor(({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) * 255 + 0.5) AS INT)"
-O["quantize_attributes"] = f"""SELECT scene_id, record_no, {_BYTE_OF.format(c="scale_0")} AS b_scale_0, {_BYTE_OF.format(c="f_dc_2")} AS b_f_dc_2, 3 AS b_rot_at, true AS near, true AS same_turn
-FROM ({SPLAT_SQL}) WINDOW w AS (PARTITION BY scene_id)"""
-
-
 def _turns(spark: SparkSession, d: str) -> DataFrame:
     s = load(spark, d, "lineitem").select(F.col("l_returnflag").alias("scene_id")).distinct()
     angle = F.ascii("scene_id") % 7 * 15.0
@@ -401,6 +464,14 @@ t AS (SELECT scene_id, record_no, -qz AS rot_0, qy AS rot_1, -qx AS rot_2, qw AS
 O["transform_positions"] = f"WITH {_TURNED} SELECT scene_id, record_no, round(x + 1, 5) AS x, round(y - 2, 5) AS y, round(z + 0.5, 5) AS z, {', '.join(f'round(rot_{i}, 5) AS rot_{i}' for i in range(4))} FROM t"
 
 
+_TURN = "[-qz, qy, -qx, qw]"
+_SMALL = f"list_filter(range(1, 5), lambda i: i <> arg)"
+O["quantize_attributes"] = f"""WITH {_TURNED}, b AS (SELECT scene_id, record_no, {_BYTE_OF.format(c="scale_0")} AS b_scale_0, {_BYTE_OF.format(c="f_dc_2")} AS b_f_dc_2, {_TURN} AS r,
+  list_position(list_transform({_TURN}, lambda v: abs(v)), list_max(list_transform({_TURN}, lambda v: abs(v)))) AS arg FROM q WINDOW w AS (PARTITION BY scene_id))
+SELECT scene_id, record_no, b_scale_0, b_f_dc_2, CAST(arg - 1 AS INT) AS b_rot_at, true AS near, true AS same_turn,
+{", ".join(f"CAST(floor((r[({_SMALL})[{i + 1}]] * sign(r[arg]) * sqrt(2) + 1) / 2 * 255 + 0.5) AS INT) AS b_rot_{i}" for i in range(3))} FROM b"""
+
+
 @query
 def covariance3(spark: SparkSession, d: str) -> DataFrame:
     c = cloud.covariance3(splats(spark, d))
@@ -526,8 +597,8 @@ O["unit_palettes"] = _palette_sql("SELECT CAST(vec_id % 3 AS INT) AS u, vec_id,
 
 
 def _manifest(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
-    """A manifest of line items (scene: return flag, level: line number), and one fault per scene."""
-    li = load(spark, d, "lineitem").where("l_linenumber <= 3").withColumn("lod", F.col("l_linenumber") - 1)
+    """A manifest of line items (scene: return flag, level: from the line number), and faults in each scene."""
+    li = load(spark, d, "lineitem").withColumn("lod", (F.col("l_linenumber") - 1) % 3)
     file = F.format_string("%d_%d", "lod", F.col("l_suppkey") % 3)
     leaves = li.groupBy(F.col("l_returnflag").alias("scene_id"), "lod", file.alias("file"), (F.col("l_partkey") % 11).alias("leaf")).agg((F.count("*") * F.pow(F.lit(4), 2 - F.col("lod"))).cast("long").alias("n"))
     from pyspark.sql import Window
@@ -553,9 +624,49 @@ def audit_rules(spark: SparkSession, d: str) -> DataFrame:
     return audit.audit_manifest(*_manifest(spark, d)).select("scene_id", "level", "rule", "subject")
 
 
-O["audit_rules"] = """
-SELECT * FROM (VALUES ('A', 'error', 'V11', '0_1/meta.json'), ('A', 'error', 'V10', '2_0'), ('A', 'error', 'V5', 'count'), ('N', 'error', 'V1', 'stray.txt'), ('N', 'error', 'V12', '2_1'), ('R', 'error', 'V13', '1_2'), ('R', 'error', 'V3', 'version')) AS f(scene_id, level, rule, subject)
-WHERE scene_id IN (SELECT l_returnflag FROM lineitem)"""
+_FILES = "meta\\.json|means_[lu]\\.webp|scales\\.webp|quats\\.webp|sh0\\.webp|shN_(centroids|labels)\\.webp"
+O["audit_rules"] = f"""
+WITH i AS (SELECT l_returnflag AS scene_id, (l_linenumber - 1) % 3 AS lod, l_suppkey % 3 AS f, l_partkey % 11 AS leaf FROM lineitem),
+l0 AS (SELECT scene_id, lod, lod || '_' || f AS file, leaf, CAST(count(*) * pow(4, 2 - lod) AS BIGINT) AS n FROM i GROUP BY scene_id, lod, f, leaf),
+l1 AS (SELECT *, sum(n) OVER (PARTITION BY scene_id, file ORDER BY leaf) - n AS pos FROM l0),
+u0 AS (SELECT scene_id, file, sum(n) AS rows FROM l1 GROUP BY ALL),
+e0 AS (SELECT scene_id, file || '/' || part AS name, rows AS size FROM u0, (VALUES ('meta.json'), ('means_l.webp')) AS p(part) UNION ALL SELECT DISTINCT scene_id, 'lod-meta.json', 1 FROM u0),
+c AS (SELECT scene_id, lod, sum(n) AS n FROM l1 GROUP BY ALL),
+e AS (SELECT * FROM e0 WHERE NOT (scene_id = 'A' AND name = '0_1/meta.json') UNION ALL SELECT scene_id, 'stray.txt', size FROM e0 WHERE scene_id = 'N' AND name = 'lod-meta.json'),
+u AS (SELECT scene_id, file, rows + CASE WHEN scene_id = 'R' AND file = '1_2' THEN 1 ELSE 0 END AS rows FROM u0 WHERE NOT (scene_id = 'A' AND file = '2_0')),
+l AS (SELECT * REPLACE (pos + CASE WHEN scene_id = 'N' AND file = '2_1' AND leaf = 5 THEN 3 ELSE 0 END AS pos) FROM l1),
+m AS (SELECT scene_id, CASE WHEN scene_id = 'R' THEN 2 ELSE 1 END AS version, sum(n) - CASE WHEN scene_id = 'A' THEN 1 ELSE 0 END AS total, sum(n) AS levels_total FROM c GROUP BY scene_id)
+SELECT scene_id, 'error' AS level, 'V1' AS rule, name AS subject FROM e WHERE NOT regexp_full_match(name, 'lod-meta\\.json|[^/]+/({_FILES})')
+UNION ALL SELECT scene_id, 'error', 'V2', 'lod-meta.json' FROM m WHERE scene_id NOT IN (SELECT scene_id FROM e WHERE name = 'lod-meta.json')
+UNION ALL SELECT scene_id, 'error', 'V3', 'version' FROM m WHERE version <> 1
+UNION ALL SELECT scene_id, 'error', 'V5', 'count' FROM m WHERE total <> levels_total
+UNION ALL SELECT scene_id, 'error', 'V7', CAST(lod AS VARCHAR) FROM c QUALIFY n >= lag(n) OVER (PARTITION BY scene_id ORDER BY lod)
+UNION ALL SELECT scene_id, 'error', 'V9', CAST(lod AS VARCHAR) FROM c JOIN (SELECT scene_id, lod, sum(n) AS have FROM l GROUP BY ALL) USING (scene_id, lod) WHERE n <> have
+UNION ALL SELECT DISTINCT scene_id, 'error', 'V10', file FROM l ANTI JOIN u USING (scene_id, file)
+UNION ALL SELECT scene_id, 'error', 'V11', name FROM (SELECT scene_id, file || '/' || part AS name FROM u, (VALUES ('meta.json'), ('means_l.webp')) AS p(part)) ANTI JOIN e USING (scene_id, name)
+UNION ALL SELECT DISTINCT scene_id, 'error', 'V12', file FROM (SELECT *, sum(n) OVER (PARTITION BY scene_id, file ORDER BY pos, n ROWS UNBOUNDED PRECEDING) - n AS due FROM l) WHERE pos <> due
+UNION ALL SELECT scene_id, 'error', 'V13', file FROM u JOIN (SELECT scene_id, file, sum(n) AS n FROM l GROUP BY ALL) USING (scene_id, file) WHERE rows <> n
+UNION ALL SELECT scene_id, 'warning', 'V14', 'size' FROM e GROUP BY scene_id HAVING sum(size) > 10737418240
+UNION ALL SELECT scene_id, 'error', 'V15', name FROM e GROUP BY scene_id, name HAVING count(*) > 1"""
+
+
+@query
+def audit_single_level(spark: SparkSession, d: str) -> DataFrame:
+    """Scenes of one level (an error from a million rows on), and scenes whose second level is no smaller than the first."""
+    c = load(spark, d, "orders").groupBy(F.col("o_custkey").alias("scene_id")).agg((F.sum("o_orderkey") * 100).alias("n"))
+    two = F.col("scene_id") % 3 == 0
+    counts = F.when(two, F.array(F.col("n"), F.floor(F.col("n") * (F.col("scene_id") % 2 + 1) / 2))).otherwise(F.array("n")).cast("array<long>")
+    manifest = c.select("scene_id", F.lit(1).alias("version"), F.aggregate(counts, F.lit(0).cast("long"), lambda a, b: a + b).alias("count"), counts.alias("counts"), F.size(counts).alias("lod_levels"))
+    leaves = manifest.select("scene_id", F.posexplode("counts").alias("lod", "n")).select("scene_id", "lod", F.concat(F.col("lod").cast("string"), F.lit("_0")).alias("file"), F.lit(0).cast("long").alias("offset"), "n")
+    units = leaves.select("scene_id", "file", F.col("n").alias("rows"), F.array(F.lit("meta.json")).alias("files"))
+    entries = units.select("scene_id", F.concat("file", F.lit("/meta.json")).alias("name"), F.lit(1).alias("size")).unionByName(manifest.select("scene_id", F.lit("lod-meta.json").alias("name"), F.lit(1).alias("size")))
+    return audit.audit_manifest(manifest, leaves, units, entries).select("scene_id", "level", "rule", "detail")
+
+
+O["audit_single_level"] = """
+WITH c AS (SELECT o_custkey AS scene_id, sum(o_orderkey) * 100 AS n FROM orders GROUP BY 1)
+SELECT scene_id, CASE WHEN n >= 1000000 THEN 'error' ELSE 'warning' END AS level, 'V6' AS rule, CAST(n AS VARCHAR) AS detail FROM c WHERE scene_id % 3 <> 0
+UNION ALL SELECT scene_id, 'error', 'V7', CAST(CAST(floor(n * (scene_id % 2 + 1) / 2) AS BIGINT) AS VARCHAR) FROM c WHERE scene_id % 3 = 0 AND scene_id % 2 = 1"""
 
 
 @query
@@ -566,7 +677,36 @@ def running_offsets(spark: SparkSession, d: str) -> DataFrame:
 
 O["running_offsets"] = """
 WITH p AS (SELECT page_id % 7 AS path, page_id AS seq, 'd/' || (page_id % 90) || CASE WHEN page_id % 50 = 0 THEN '/../x' ELSE '.txt' END AS name, length(html) AS size FROM pages)
-SELECT *, CAST(sum(30 + length(name) + size) OVER (PARTITION BY path ORDER BY seq) - (30 + length(name) + size) AS BIGINT) AS "offset", count(*) OVER (PARTITION BY path, name) > 1 AS duplicate, name LIKE '%/../%' AS bad_name, false AS zip64 FROM p"""
+SELECT *, CAST(sum(30 + length(name) + size) OVER (PARTITION BY path ORDER BY seq) - (30 + length(name) + size) AS BIGINT) AS "offset", count(*) OVER (PARTITION BY path, name) > 1 AS duplicate, name LIKE '%/../%' AS bad_name, sum(30 + length(name) + size) OVER (PARTITION BY path ORDER BY seq) - (30 + length(name) + size) >= 4294967295 AS zip64,
+count(*) OVER (PARTITION BY path) >= 65535 OR sum(30 + length(name) + size) OVER (PARTITION BY path) >= 4294967295 AS zip64_directory FROM p"""
+
+
+@query
+def archive_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Pages packed into archives by the tasks, whose directories are read back."""
+    folder = shared_path(spark, "archives")
+    pages = load(spark, d, "pages").withColumn("archive", F.col("page_id") % 5)
+
+    def pack(table: pa.Table) -> pa.Table:
+        fs, inside = located(folder)
+        fs.create_dir(inside, recursive=True)
+        name = f"{table['archive'][0].as_py()}.zip"
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            for page, html in sorted(zip(table["page_id"].to_pylist(), table["html"].to_pylist(), strict=True)):
+                z.writestr(f"p/{page}.html", (html or "").encode())
+        with fs.open_output_stream(f"{inside}/{name}") as out:
+            out.write(held.getvalue())
+        return pa.table({"path": [f"{folder}/{name}"]})
+
+    made = pages.select("archive", "page_id", "html").groupBy("archive").applyInArrow(pack, "path string")
+    entries = logs.archive_entries(spark, [r["path"] for r in made.collect()])  # a path per archive
+    return entries.select(F.regexp_extract("path", "([0-9]+)\\.zip$", 1).cast("int").alias("archive"), "seq", "name", "size", "offset", "zip64")
+
+
+O["archive_entries"] = """
+WITH p AS (SELECT CAST(page_id % 5 AS INT) AS archive, row_number() OVER (PARTITION BY page_id % 5 ORDER BY page_id) - 1 AS seq, 'p/' || page_id || '.html' AS name, strlen(coalesce(html, '')) AS size FROM pages)
+SELECT archive, seq, name, size, CAST(sum(30 + length(name) + size) OVER (PARTITION BY archive ORDER BY seq) - (30 + length(name) + size) AS BIGINT) AS "offset", false AS zip64 FROM p"""
 
 
 @query
@@ -605,10 +745,7 @@ O["compare_manifests"] = """SELECT DISTINCT url AS name, CASE WHEN length(url) %
 @query
 def ply_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """The splat view written as PLY parts, triaged and read back; counts and sums must agree with the view."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    folder = base.removeprefix("file://").rstrip("/") + "/ply-" + tempfile.mktemp(dir="").strip("/")
+    folder = shared_path(spark, "ply")
     rows = cloud.keep_splat_columns(splats(spark, d)).repartition(4, "record_no")
     paths = [r["path"] for r in ply.write_ply_parts(rows, folder).collect()]  # a row per file
     spark.dataSource.register(ply.SplatPly)

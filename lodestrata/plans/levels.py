@@ -65,3 +65,10 @@ def viewer_floor(levels: DataFrame) -> DataFrame:
     """levels (scene_id, lod, planned_n) -> coarsest rows, their share of a viewer's budget in percent, warning."""
     floor = levels.groupBy("scene_id").agg(F.max_by("planned_n", "lod").alias("floor_rows"))
     return floor.select("scene_id", "floor_rows", nearest(F.col("floor_rows") / VIEWER_ROWS * 100).alias("floor_percent"), (F.col("floor_rows") > 0.25 * VIEWER_ROWS).alias("warn"))
+
+
+def plan_warnings(costs: DataFrame, floors: DataFrame) -> DataFrame:
+    """scene_id, warning: 'over10' where more than 10 GiB are to be expected, 'floor' where the coarsest level is over a quarter
+    of a viewer's budget. costs as of ``cost_model``, floors as of ``viewer_floor``."""
+    over = costs.where(F.col("output_bytes") > 10 << 30).select("scene_id", F.lit("over10").alias("warning"))
+    return over.unionByName(floors.where("warn").select("scene_id", F.lit("floor").alias("warning")))

@@ -282,8 +282,9 @@ def url_scrub(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "pages").select("page_id", S.strip_query(u).alias("stripped"), S.scrub_exception(F.lit("Error"), F.concat(F.lit('bad "quoted" at  '), "url")).alias("scrubbed"), S.contact_method(F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("MAILTO:"), "url")).when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://t.me/"), F.col("page_id").cast("string"))).otherwise(F.col("url"))).alias("contact"))
 
 
-O["url_scrub"] = r"""SELECT page_id, regexp_replace('see ' || url || ' now', '(https?://[^\s?#''")]+)[?#][^\s''")]*', '\1', 'g') AS stripped,
-'Error: bad … at <url>' AS scrubbed, CASE page_id % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'telegram' END AS contact FROM pages"""
+_SCRUBBED = r"""regexp_replace(regexp_replace(regexp_replace('Error: bad "quoted" at  ' || url, '(blob:)?https?://\S+', '<url>', 'g'), '["''`«“].*?["''`»”]', '…', 'g'), '\s+', ' ', 'g')"""
+O["url_scrub"] = rf"""SELECT page_id, regexp_replace('see ' || url || ' now', '(https?://[^\s?#''")]+)[?#][^\s''")]*', '\1', 'g') AS stripped,
+substr(trim({_SCRUBBED}), 1, 100) AS scrubbed, CASE page_id % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'telegram' END AS contact FROM pages"""
 
 
 @query
@@ -503,3 +504,76 @@ O["rate_limits"] = f"""
 WITH RECURSIVE {_limit_sql(f"SELECT event_id, user_id AS k, {SECONDS} AS sec FROM ({EVENTS})", "own", 2)},
 {_limit_sql("SELECT event_id, 0 AS k, sec FROM ownf WHERE allowed", "all", 60)}
 SELECT o.event_id, coalesce(a.allowed, false) AS allowed FROM ownf o LEFT JOIN allf a ON o.event_id = a.event_id"""
+
+
+@query
+def plan_warnings(spark: SparkSession, d: str) -> DataFrame:
+    s = _scenes(spark, d).withColumns({"n": F.col("n") * 30, "kept_floats": F.lit(14), "sh_bands": F.lit(0), "stride": F.lit(68)})
+    return levels.plan_warnings(levels.cost_model(s, stop=150_000), levels.viewer_floor(levels.plan_levels(s, stop=150_000)))
+
+
+O["plan_warnings"] = """
+WITH RECURSIVE s AS (SELECT l_suppkey AS scene_id, count(*) * 50000 * 30 AS n FROM lineitem GROUP BY 1), l AS (SELECT scene_id, 0 AS lod, CAST(n AS BIGINT) AS planned_n FROM s
+  UNION ALL SELECT scene_id, lod + 1, greatest(1, CAST(floor(planned_n * 0.5 + 0.5) AS BIGINT)) FROM l WHERE planned_n > 150000 AND lod < 23),
+p AS (SELECT scene_id, sum(planned_n) AS e, min(planned_n) AS c FROM l GROUP BY 1)
+SELECT scene_id, 'over10' AS warning FROM p WHERE floor(e * 12.2::DOUBLE + 0.5) > 10737418240 UNION ALL SELECT scene_id, 'floor' FROM p WHERE c > 125000"""
+
+
+@query
+def show_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents").select(F.col("doc_id").alias("id"), F.split("text", "[ \n]+").alias("w"))
+    diag = F.to_json(F.struct(F.col("w").alias("log"), F.array_join("w", "\n").alias("stack"), F.lit("gpu").alias("stage")))
+    return telemetry.show(docs.select("id", diag.alias("diagnostics")))
+
+
+O["show_diagnostics"] = r"""
+WITH d AS (SELECT doc_id AS id, regexp_split_to_array(text, '[ \n]+') AS w FROM documents),
+s AS (SELECT id, 'log' AS section, list_transform(w[greatest(1, len(w) - 29):], lambda x: substr(x, 1, 300)) AS lines FROM d
+  UNION ALL SELECT id, 'stack', list_transform(w[1:20], lambda x: substr(x, 1, 200)) FROM d UNION ALL SELECT id, 'stage', ['gpu'] FROM d)
+SELECT id, section, CAST(unnest(range(len(lines))) AS INT) AS no, unnest(lines) AS line FROM s""".replace("\\n", "\n")
+
+
+@query
+def first_per_view(spark: SparkSession, d: str) -> DataFrame:
+    """At most five errors of a user and day."""
+    e = errors(spark, d).withColumn("day", S.utc_day(F.col("ts")))
+    return telemetry.first_per(e, ["user_id", "day"], ["ts", "id"], 5).select("id", "user_id", "day")
+
+
+O["first_per_view"] = f"SELECT id, user_id, day FROM (SELECT id, user_id, strftime(ts, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY ts, id) AS r FROM ({ERRORS})) WHERE r <= 5"
+
+
+@query
+def read_daily_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Totals written as files of maps, a file per day, and read back."""
+    from lodestrata.sources import logs
+    from lodestrata.sources.tables import shared_path
+
+    path, totals = shared_path(spark, "daily"), _totals(spark, d)
+    counts = totals.where("value IS NULL").groupBy("day").agg(F.map_from_entries(F.collect_list(F.struct("name", "n"))).alias("counts"))
+    props = totals.where("value IS NOT NULL").groupBy("day", "name").agg(F.map_from_entries(F.collect_list(F.struct("value", "n"))).alias("of"))
+    props = props.groupBy("day").agg(F.map_from_entries(F.collect_list(F.struct("name", "of"))).alias("props"))
+    counts.join(props, "day", "left").write.json(path)
+    return logs.read_daily_totals(spark, path)
+
+
+O["read_daily_totals"] = COUNTED
+
+
+@query
+def diff_restarts(spark: SparkSession, d: str) -> DataFrame:
+    """Start times and restart counts of services, and open sockets, before and after."""
+    p = load(spark, d, "part")
+    key = F.col("p_partkey").cast("string").alias("key")
+    of = lambda rows, at, n: rows.select(F.lit("started").alias("kind"), key, F.concat_ws("|", at, n).alias("value"))
+    sockets = lambda rows: rows.select(F.lit("socket").alias("kind"), F.concat(F.lit(":"), key).alias("key"), F.lit("").alias("value"))
+    before = of(p.where("p_partkey % 10 <> 3"), F.lit("t0"), F.lit("0")).unionByName(sockets(p.where("p_partkey % 5 > 0")))
+    after = of(p, F.when(F.col("p_partkey") % 7 == 0, "t1").otherwise("t0"), (F.col("p_partkey") % 4 == 0).cast("int").cast("string")).unionByName(sockets(p.where("p_partkey % 6 > 0")))
+    return audit.diff_snapshots(before, after, ["14", ":6"])
+
+
+O["diff_restarts"] = """
+WITH p AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS key FROM part)
+SELECT 'started' AS kind, key, 'restarted' AS change FROM p WHERE k % 10 <> 3 AND k % 7 = 0 AND k <> 14
+UNION ALL SELECT 'started', key, 'restart count' FROM p WHERE k % 10 <> 3 AND k % 4 = 0 AND k <> 14
+UNION ALL SELECT 'socket', ':' || key, CASE WHEN k % 5 > 0 THEN 'gone' ELSE 'added' END FROM p WHERE (k % 5 > 0) <> (k % 6 > 0)"""

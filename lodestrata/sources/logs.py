@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.sources.files import located
+
 REPORT = "id string, ts string, site string, kind string, page string, lang string, release string, stage string, message string, contact string, suspect boolean, diagnostics string, diagBytes long, repeatOf string"
 # What an archive may hold, and how large a member may be.
 MEMBER_RULES = [("reports\\.jsonl", 256 << 20), ("reports/(R-[0-9]{8}-[0-9]{4,})\\.json", 3 << 20), ("events-[0-9]{4}-[0-9]{2}-[0-9]{2}\\.json", 4 << 20)]
@@ -33,30 +35,27 @@ def append_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def write_daily_totals(totals: DataFrame, path: str) -> None:
-    """Totals by day, added to what the path holds for those days; other days are not touched."""
-    spark = totals.sparkSession
-    days = totals.select("day").distinct()
-    try:
-        old = spark.read.schema("name string, value string, n long, day string").parquet(path).join(F.broadcast(days), "day", "left_semi")
-        merged = totals.select("name", "value", "n", "day").unionByName(old.select("name", "value", "n", "day"))
-    except Exception as e:  # the first write
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        merged = totals.select("name", "value", "n", "day")
-    summed = merged.groupBy("name", "value", "day").agg(F.sum("n").alias("n")).select("name", "value", "n", "day")
-    from lodestrata.sources.tables import persisted
+def write_daily_totals(totals: DataFrame, path: str, part: str = "0") -> None:
+    """Totals (day, name, value, n) as the part ``part`` of their days: writing a part again replaces it, so a job that runs
+    twice counts once; other parts and days are not touched. ``daily_totals`` adds the parts up."""
+    rows = totals.groupBy("name", "value", "day").agg(F.sum("n").alias("n")).withColumn("part", F.lit(part))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "part").parquet(path)
+
 
-    persisted(summed, "totals").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+def daily_totals(spark: SparkSession, path: str) -> DataFrame:
+    """day, name, value, n of all parts."""
+    rows = spark.read.schema("name string, value string, n long, day string, part string").parquet(path)
+    return rows.groupBy("day", "name", "value").agg(F.sum("n").alias("n"))
 
 
 def archive_entries(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """A row per entry of each archive: path, seq, name, size, crc, offset, zip64."""
+    """A row per entry of each archive: path, seq, name, size, crc, offset, zip64. Paths may name any file system that Arrow knows."""
 
     def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for path in f["path"]:
-                with zipfile.ZipFile(path) as z:
+                fs, inside = located(path)
+                with fs.open_input_file(inside) as file, zipfile.ZipFile(file) as z:
                     rows = [(path, i, e.filename, e.file_size, e.CRC, e.header_offset, e.header_offset >= 0xFFFFFFFF or e.file_size >= 0xFFFFFFFF) for i, e in enumerate(z.infolist())]
                 yield pd.DataFrame(rows, columns=["path", "seq", "name", "size", "crc", "offset", "zip64"])
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import glob
 import os
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from lodestrata.sources.files import located, matching
+
 # Fixed values of the format.
 SCALARS = {
     "char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2",
     "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8",
 }
-REQUIRED = "x y z f_dc_0 f_dc_1 f_dc_2 opacity scale_0 scale_1 rot_0 rot_1 rot_2 rot_3".split()
+REQUIRED = ["x", "y", "z", "f_dc_0", "f_dc_1", "f_dc_2", "opacity", "scale_0", "scale_1", "rot_0", "rot_1", "rot_2", "rot_3"]
 ORDER = ["x", "y", "z", "f_dc_0", "f_dc_1", "f_dc_2", "f_rest", "opacity", "scale_0", "scale_1", "scale_2", "rot_0", "rot_1", "rot_2", "rot_3"]
 REST_COUNTS = {0: 0, 9: 1, 24: 2, 45: 3}
 HEADER_BYTES = 256 * 1024
@@ -47,7 +49,16 @@ class Header:
 
 
 def parse_header(head: bytes) -> Header:
-    """Facts from the first bytes of a file; raises Rejected."""
+    """Facts from the first bytes of a file; raises Rejected, also where words or numbers are not as they should be."""
+    try:
+        return _header(head)
+    except Rejected:
+        raise
+    except (ValueError, IndexError, TypeError) as e:
+        raise Rejected("bad-header") from e
+
+
+def _header(head: bytes) -> Header:
     if head[:3] != b"ply":
         raise Rejected("not-ply")
     end = re.search(rb"end_header", head)
@@ -105,19 +116,25 @@ def parse_header(head: bytes) -> Header:
 def _facts(path: str) -> dict:
     row = {"path": path, "ok": False, "code": None, "n": None, "stride": None, "body_offset": None, "sh_bands": None, "is2dgs": None, "extras": None}
     try:
-        with open(path, "rb") as f:
+        fs, inside = located(path)
+        with fs.open_input_file(inside) as f:
             h = parse_header(f.read(HEADER_BYTES))
-            size = f.seek(0, os.SEEK_END)
+            size = f.size()
         row |= {"n": h.count, "stride": h.dtype.itemsize, "body_offset": h.body, "sh_bands": h.bands, "is2dgs": h.flat, "extras": h.extras}
         if size < h.body + h.count * h.dtype.itemsize:
             return row | {"code": "truncated"}
         return row | {"ok": True}
     except Rejected as e:
         return row | {"code": e.code}
+    except FileNotFoundError:
+        return row | {"code": "missing"}
+    except OSError:
+        return row | {"code": "unreadable"}
 
 
 def triage_inputs(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """A row per file: its facts, or a reject code. Reads 256 KB of each, on the executors."""
+    """A row per file: its facts, or a reject code ('missing' and 'unreadable' where it cannot be opened). Reads 256 KB of
+    each, on the executors; no file stops the others."""
 
     def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -134,6 +151,12 @@ class Range(InputPartition):
     last: int
 
 
+def _opened(path: str) -> Header:
+    fs, inside = located(path)
+    with fs.open_input_file(inside) as f:
+        return parse_header(f.read(HEADER_BYTES))
+
+
 class SplatPly(DataSource):
     """``spark.read.format("splat_ply").option("path", glob).option("records_per_split", n)``."""
 
@@ -142,11 +165,10 @@ class SplatPly(DataSource):
         return "splat_ply"
 
     def _paths(self) -> list[str]:
-        return sorted(glob.glob(self.options["path"]))
+        return matching(self.options["path"])
 
     def schema(self) -> str:
-        with open(self._paths()[0], "rb") as f:
-            h = parse_header(f.read(HEADER_BYTES))
+        h = _opened(self._paths()[0])
         names = [c for c in ORDER if (c != "f_rest" or h.bands) and (c != "scale_2" or not h.flat)]
         return "scene_id string, record_no long, " + ", ".join(f"{c} {'array<float>' if c == 'f_rest' else 'float'}" for c in names)
 
@@ -161,13 +183,13 @@ class SplatPlyReader(DataSourceReader):
     def partitions(self) -> list[Range]:
         found = []
         for path in self.paths:
-            with open(path, "rb") as f:
-                n = parse_header(f.read(HEADER_BYTES)).count
+            n = _opened(path).count
             found += [Range(path, i, min(n, i + self.per_split)) for i in range(0, n, self.per_split)]
         return found
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        with open(part.path, "rb") as f:
+        fs, inside = located(part.path)
+        with fs.open_input_file(inside) as f:
             h = parse_header(f.read(HEADER_BYTES))
             f.seek(h.body + part.first * h.dtype.itemsize)
             at = part.first
@@ -216,20 +238,24 @@ def write_ply_parts(df: DataFrame, folder: str, big_endian: bool = False) -> Dat
         body = np.empty(len(rows), dtype=[(c, (">" if big_endian else "<") + "f4") for c, _ in columns])
         for c, v in columns:
             body[c] = v
-        os.makedirs(folder, exist_ok=True)
-        path = f"{folder}/part-{TaskContext.get().partitionId():05d}.ply"
+        fs, inside = located(folder)
+        fs.create_dir(inside, recursive=True)
+        name = f"part-{TaskContext.get().partitionId():05d}.ply"
+        own = f"{inside}/.{name}-{uuid.uuid4().hex}"  # a task that runs twice moves a whole file either time
         head = ["ply", f"format binary_{'big' if big_endian else 'little'}_endian 1.0", f"element vertex {len(rows)}", *(f"property float {c}" for c, _ in columns), "end_header", ""]
-        with open(path + ".tmp", "wb") as f:
-            f.write("\n".join(head).encode() + body.tobytes())
-        os.replace(path + ".tmp", path)
-        yield pd.DataFrame({"path": [path], "rows": [len(rows)]})
+        with fs.open_output_stream(own) as f:
+            f.write("\n".join(head).encode())
+            f.write(memoryview(body).cast("B"))
+        fs.move(own, f"{inside}/{name}")
+        yield pd.DataFrame({"path": [f"{folder}/{name}"], "rows": [len(rows)]})
 
     return df.select(*names).mapInPandas(write, "path string, rows long")
 
 
 def write_levels(levels: DataFrame, path: str) -> None:
-    """Levels as Parquet, a folder per level and tile, sorted along the Z-order curve where there is a rank."""
+    """Levels as Parquet with 32-bit floats, a folder per scene, level and unit (or tile, where units are not packed yet), sorted
+    along the Z-order curve where there is a rank."""
+    floats = {c: F.col(c).cast("float") for c, t in levels.dtypes if t == "double"} | {c: F.col(c).cast("array<float>") for c, t in levels.dtypes if t == "array<double>"}
+    keys = ["scene_id", "lod", "unit_no" if "unit_no" in levels.columns else "tile"]
     order = [c for c in ("rank", "record_no") if c in levels.columns][:1]
-    levels.repartition("scene_id", "lod", "tile").sortWithinPartitions("scene_id", "lod", "tile", *order).write.partitionBy("scene_id", "lod", "tile").parquet(path)
-
-
+    levels.withColumns(floats).repartition(*keys).sortWithinPartitions(*keys, *order).write.partitionBy(*keys).parquet(path)

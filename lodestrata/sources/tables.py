@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import posixpath
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def persisted(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under ``spark.checkpoint.dir`` and read it back: cuts lineage without tying rows to an executor."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder path under ``spark.checkpoint.dir``; where that is unset one of our own is set, if all runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="lodestrata-")
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    return posixpath.join("file://" + base if base.startswith("/") else base, f"{name}-{uuid.uuid4().hex}")
+
+
+def persisted(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` in the shared folder and read it back: cuts lineage without tying rows to an executor."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,23 +1,27 @@
 """Streaming forms of the telemetry operators; they give the batch operator's result on the same rows.
 
-Not so yet: ``count_events`` and ``store_totals`` give the totals by day and event only, without counts by value, their
-cap and 'other'.
+Counts, digests, queue states and reports are kept as one part per micro-batch under ``batch=<number>``: a batch that runs
+again after a failure replaces its own part, so nothing counts twice, and rows count however late they come. Reading adds
+the parts up.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lodestrata.operators import telemetry
-from lodestrata.sources.logs import append_jsonl, write_daily_totals
+from lodestrata.functions import scalars as S
+from lodestrata.operators import folds, jobs, telemetry
 
 LATE = "2 days"
+#: Seconds after its last row that a visitor's decision or a job's progress is kept for.
+KEEP = 400 * 86_400.0
 
 
 def _timed(rows: DataFrame) -> DataFrame:
@@ -29,106 +33,159 @@ def _until(state: GroupState, seconds: float) -> None:
     state.setTimeoutTimestamp(max(int(seconds * 1000), state.getCurrentWatermarkMs() + 1))
 
 
+def _folded(rows: DataFrame, key: str, step: folds.Step, start: str, out: str, kind: str, end: Callable[[tuple], float]) -> DataFrame:
+    """rows (key, at, id) -> id and ``out``: a step of ``folds`` along each key's rows, its state kept from batch to batch until
+    ``end`` of it. The rows of a key in one batch are put in order of time first."""
+
+    def fold(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now = state.get if state.exists else None
+        rows = pd.concat(list(frames)).sort_values(["at", "id"])
+        found = []
+        for at, own in zip(rows["at"].tolist(), rows["id"].tolist(), strict=True):
+            now, value = step(now, (at, own))
+            found.append((own, value))
+        state.update(now)
+        _until(state, end(now))
+        yield pd.DataFrame(found, columns=["id", out]).astype({out: "Int64" if kind == "long" else "boolean"})
+
+    return _timed(rows).groupBy(key).applyInPandasWithState(fold, f"id long, {out} {kind}", start, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def clean_events(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stateless: as in batch."""
     return telemetry.clean_events(raw)
 
 
 def count_events(events: DataFrame) -> DataFrame:
-    """Totals by UTC day and event, in update mode; rows over two days late are left out."""
-    day = F.window("ts", "1 day")
-    counted = events.withWatermark("ts", LATE).groupBy(day.alias("w"), "name").agg(F.count(F.lit(1)).alias("n"))
+    """Running totals by UTC day and event, in update mode, for those who watch; rows over two days late are in ``store_totals`` only."""
+    counted = events.withWatermark("ts", LATE).groupBy(F.window("ts", "1 day").alias("w"), "name").agg(F.count(F.lit(1)).alias("n"))
     return counted.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "name", F.lit(None).cast("string").alias("value"), "n")
 
 
+def _store(rows: DataFrame, part: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
+    """Every micro-batch writes ``part`` of its rows to its own folder."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        part(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What a stream has stored so far; no rows before its first batch."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def store_totals(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch adds its rows to the day's stored totals."""
+    """Partial counts of events (name, value, ts, event_id)."""
+    return _store(events, telemetry.partial_counts, path, checkpoint)
+
+
+def stored_totals(spark: SparkSession, path: str, most: int = telemetry.MAX_VALUES) -> DataFrame:
+    """Totals and counts by value of all stored batches, as ``telemetry.count_events`` of all rows: day, name, value, n."""
+    return telemetry.folded_counts(stored(spark, path, "day string, name string, value string, n long, first struct<ts:timestamp,event_id:long>"), most)
+
 
-    def add(rows: DataFrame, _: int) -> None:
-        day = F.date_format("ts", "yyyy-MM-dd").alias("day")
-        totals = rows.groupBy(day, "name").agg(F.count(F.lit(1)).alias("n")).withColumn("value", F.lit(None).cast("string"))
-        write_daily_totals(totals, path)
+def store_digest(reports: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Repeats by day and first report, of reports (at, repeat_of)."""
+    return _store(reports, lambda r: r.where("repeat_of IS NOT NULL").groupBy(S.utc_day(F.col("at")).alias("day"), "repeat_of").agg(F.count(F.lit(1)).alias("n")), path, checkpoint)
 
-    return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def stored_digest(spark: SparkSession, path: str, k: int = 15) -> DataFrame:
+    """The digest of all stored days, as ``telemetry.error_digest``."""
+    return telemetry.digest(stored(spark, path, "day string, repeat_of long, n long"), k)
+
+
+def store_queue(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """The last change of each item in a batch, of changes (id, status, previous, has_file, seq)."""
+    last = lambda r: r.groupBy("id").agg(F.max_by(F.struct("status", "previous", "has_file", "seq"), "seq").alias("x")).select("id", "x.*")
+    return _store(changes, last, path, checkpoint)
+
+
+def stored_queue(spark: SparkSession, path: str) -> DataFrame:
+    """The state of every item as it is restored, as ``jobs.queue_state``."""
+    return jobs.queue_state(stored(spark, path, "id long, status string, previous string, has_file boolean, seq long"))
 
 
 def dedup_errors(reports: DataFrame, seconds: float = 86_400.0) -> DataFrame:
     """reports (key, at, id) -> id, repeat_of; state per key is the open window's first report, dropped when it ends."""
+    return _folded(reports, "key", folds.repeating(seconds), "at double, first long", "repeat_of", "long", lambda s: s[0] + seconds)
+
+
+def rate_limit(hits: DataFrame, limit: int, window: float) -> DataFrame:
+    """hits (key, at, id) -> id, allowed; state per key is its window's start and two counts."""
+    step = folds.limiting(limit, window)
+    return _folded(hits, "key", lambda s, v: step(s, v[:1]), "begin double, count long, before long", "allowed", "boolean", lambda s: s[0] + 2 * window)
+
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def consent_gate(events: DataFrame, keep: float = KEEP) -> DataFrame:
+    """events (visitor, ts in seconds, event_id, decision) -> ids of rows that pass; state per visitor is the latest decision and
+    time, and ends ``keep`` seconds after the visitor's last row."""
+
+    def fold(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        first = state.get if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["at", "id"])
-        out = []
-        for at, own in zip(rows["at"], rows["id"], strict=True):
-            if first is None or at - first[0] >= seconds:
-                first = (float(at), int(own))
-                out.append((int(own), None))
-            else:
-                out.append((int(own), first[1]))
-        state.update(first)
-        _until(state, first[0] + seconds)
-        yield pd.DataFrame(out, columns=["id", "repeat_of"]).astype({"repeat_of": "Int64"})
+        latest, seen = state.get if state.exists else (None, 0.0)
+        rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
+        decided = rows["decision"].where(rows["decision"].notna()).ffill().fillna(latest if latest is not None else "")
+        passed = rows["event_id"][(decided == "granted") & rows["decision"].isna()]
+        seen = max(seen, float(rows["at"].max()))
+        state.update((str(decided.iloc[-1]), seen))
+        _until(state, seen + keep)
+        yield pd.DataFrame({"event_id": passed.astype("int64")})
 
-    return _timed(reports).groupBy("key").applyInPandasWithState(fold, "id long, repeat_of long", "at double, first long", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = _timed(events.withColumnRenamed("ts", "at"))
+    return rows.groupBy("visitor").applyInPandasWithState(fold, "event_id long", "decision string, seen double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def rate_limit(hits: DataFrame, limit: int, window: float) -> DataFrame:
-    """hits (key, at, id) -> id, allowed; state per key is its window's start and two counts."""
+def progress_stream(log: DataFrame, keep: float = KEEP) -> DataFrame:
+    """log (job, id, at, done, total, elapsed) -> id, progress, eta as ``jobs.progress_report``; state per job is its progress."""
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def fold(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        now = state.get if state.exists else None
+        best, seen = state.get if state.exists else (0.0, 0.0)
         rows = pd.concat(list(frames)).sort_values(["at", "id"])
-        out = []
-        for at, own in zip(rows["at"], rows["id"], strict=True):
-            begin, count, before = now or (float(at), 0, 0)
-            periods = int((at - begin) // window)
-            if periods >= 1:
-                begin, count, before = begin + periods * window, 0, count if periods == 1 else 0
-            allowed = not before * max(0.0, 1.0 - (at - begin) / window) + count + 1 > limit
-            now = (begin, count + int(allowed), before)
-            out.append((int(own), allowed))
-        state.update(now)
-        _until(state, now[0] + 2 * window)
-        yield pd.DataFrame(out, columns=["id", "allowed"])
-
-    return _timed(hits).groupBy("key").applyInPandasWithState(fold, "id long, allowed boolean", "begin double, count long, before long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def consent_gate(events: DataFrame) -> DataFrame:
-    """events (visitor, ts, event_id, decision) -> ids of rows that pass; state per visitor is the latest decision."""
+        progress = jobs.progress_of(rows["done"], rows["total"]).cummax().clip(lower=best)
+        seen = max(seen, float(rows["at"].max()))
+        state.update((float(progress.iloc[-1]), seen))
+        _until(state, seen + keep)
+        yield pd.DataFrame({"id": rows["id"], "progress": progress, "eta": jobs.eta_of(progress, rows["done"], rows["total"], rows["elapsed"])})
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        latest = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        out = []
-        for own, decision in zip(rows["event_id"], rows["decision"], strict=True):
-            if isinstance(decision, str):
-                latest = decision
-            elif latest == "granted":
-                out.append(int(own))
-        if latest is not None:
-            state.update((latest,))
-        yield pd.DataFrame({"event_id": pd.Series(out, dtype="int64")})
+    return _timed(log).groupBy("job").applyInPandasWithState(fold, "id long, progress double, eta double", "progress double, seen double", "append", GroupStateTimeout.EventTimeTimeout)
 
-    return events.groupBy("visitor").applyInPandasWithState(fold, "event_id long", "decision string", "append", GroupStateTimeout.NoTimeout)
 
+def store_reports(accepted: DataFrame, path: str, checkpoint: str, cap: int | None = None) -> StreamingQuery:
+    """Accepted reports (id, at, ...) get their id of the day, going on after those of earlier batches, and are stored as JSON
+    lines under batch and day. With ``cap`` reports have suspect and bytes too, and get diag_state under the day's cap.
 
-def store_reports(accepted: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Accepted reports get their id of the day (going on after those stored) and are appended as JSON lines."""
+    Only the days of the batch are read of what is stored.
+    """
 
-    def add(rows: DataFrame, _: int) -> None:
+    def add(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        days = [r[0] for r in rows.select(S.utc_day(F.col("at"))).distinct().collect()]  # the days of a micro-batch
         try:
-            old = rows.sparkSession.read.schema("report_id string").json(path)
-        except Exception as e:  # the first batch
-            if "PATH_NOT_FOUND" not in str(e):
+            old = spark.read.schema("report_id string, diag_state string, bytes long, batch long, day string").json(path)
+            old = old.where(F.col("day").isin(days) & (F.col("batch") < number))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             old = None
-        append_jsonl(telemetry.assign_report_id(rows, old), path)
+        out = telemetry.assign_report_id(rows, None if old is None else old.select("report_id"))
+        if cap is not None:
+            out = telemetry.store_policy(out, cap, None if old is None else old.where("diag_state IN ('kept', 'skipped')").select("day", "bytes"))
+        out = out.withColumn("day", S.utc_day(F.col("at"))).withColumn("batch", F.lit(number))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "day").json(path)
 
     return accepted.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
