@@ -154,12 +154,13 @@ def test_audit_is_clean_without_faults(spark):
     assert rules(e=entries.union(entries.where("name = '1_0/meta.json'"))) == {"V15"}
 
 
-def test_daily_totals_add_up(spark, tmp_path):
+def test_daily_totals_add_up_and_parts_are_replaced(spark, tmp_path):
     path = str(tmp_path / "totals")
     one = spark.createDataFrame([("2024-01-01", "a", None, 2), ("2024-01-02", "a", "x", 1)], "day string, name string, value string, n long")
-    logs.write_daily_totals(one, path)
-    logs.write_daily_totals(one.where("day = '2024-01-01'"), path)
-    assert sorted((str(r["day"]), r["n"]) for r in spark.read.parquet(path).collect()) == [("2024-01-01", 4), ("2024-01-02", 1)]
+    logs.write_daily_totals(one, path, "0")
+    for _ in range(2):  # the second time replaces the first
+        logs.write_daily_totals(one.where("day = '2024-01-01'"), path, "1")
+    assert sorted((str(r["day"]), r["n"]) for r in logs.daily_totals(spark, path).collect()) == [("2024-01-01", 4), ("2024-01-02", 1)]
 
 
 def test_read_jsonl_drops_bad_lines(spark, tmp_path):
@@ -193,10 +194,189 @@ def test_streams_equal_batches(spark, tmp_path):
     assert {r["event_id"] for r in spark.table("gated").collect()} == want
 
 
-def test_streamed_totals_equal_batch(spark, tmp_path):
-    rows = spark.range(100).select((F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(hours=F.col("id").cast("int"))).alias("ts"), F.concat(F.lit("e"), (F.col("id") % 3).cast("string")).alias("name"))
-    q = streams.store_totals(_stream(spark, rows, str(tmp_path / "in")), str(tmp_path / "totals"), str(tmp_path / "cp"))
+def _finish(q):
     q.awaitTermination(120)
-    got = {(str(r["day"]), r["name"]): r["n"] for r in spark.read.parquet(str(tmp_path / "totals")).collect()}
-    want = {(r["day"], r["name"]): r["n"] for r in rows.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "name").agg(F.count("*").alias("n")).collect()}
-    assert got == want
+    return q
+
+
+def test_stored_streams_equal_batches(spark, tmp_path):
+    at = lambda p: str(tmp_path / p)
+    stamp = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(hours=F.col("id").cast("int"))
+    events = spark.range(200).select(stamp.alias("ts"), F.col("id").alias("event_id"), F.concat(F.lit("e"), (F.col("id") % 2).cast("string")).alias("name"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("v"), (F.col("id") % 7).cast("string"))).alias("value"))
+    src = _stream(spark, events, at("events"))
+    _finish(streams.store_totals(src, at("totals"), at("cp1")))
+    assert {tuple(r) for r in streams.stored_totals(spark, at("totals"), 3).collect()} == {tuple(r) for r in telemetry.count_events(events, 3).collect()}
+    part = sorted(p for p in (tmp_path / "totals").iterdir() if p.name.startswith("batch="))[0]
+    telemetry.partial_counts(spark.read.parquet(at("events")).limit(0)).write.mode("overwrite").parquet(str(part))  # a batch that runs again replaces its part
+    assert streams.stored_totals(spark, at("totals")).where("value IS NULL").agg(F.sum("n")).first()[0] < 200
+    reports = events.select(F.col("ts").alias("at"), F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 9).alias("repeat_of"))
+    _finish(streams.store_digest(_stream(spark, reports, at("reports")), at("digest"), at("cp2")))
+    assert {tuple(r) for r in streams.stored_digest(spark, at("digest"), 2).collect()} == {tuple(r) for r in telemetry.error_digest(reports, 2).select("day", "repeat_of", "n", "rank").collect()}
+    changes = spark.range(120).select((F.col("id") % 11).alias("id"), F.element_at(F.array(*map(F.lit, ("running", "editing", "done"))), (F.col("id") % 3 + 1).cast("int")).alias("status"), F.lit("waiting").alias("previous"), (F.col("id") % 2 == 0).alias("has_file"), F.col("id").alias("seq"))
+    _finish(streams.store_queue(_stream(spark, changes, at("changes")), at("queue"), at("cp3")))
+    assert {tuple(r) for r in streams.stored_queue(spark, at("queue")).collect()} == {tuple(r) for r in jobs.queue_state(changes).collect()}
+    assert streams.stored_totals(spark, at("nothing")).count() == 0
+
+
+def test_stored_reports_go_on_numbering_under_the_cap(spark, tmp_path):
+    at = lambda p: str(tmp_path / p)
+    stamp = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=(F.col("id") * 20).cast("int"))
+    rows = spark.range(120).select("id", stamp.alias("at"), (F.col("id") % 10 == 3).alias("suspect"), F.lit(10).cast("long").alias("bytes"))
+    src = _stream(spark, rows.repartitionByRange(3, "at").sortWithinPartitions("at"), at("in"))
+    _finish(streams.store_reports(src, at("out"), at("cp"), cap=200))
+    out = spark.read.json(at("out")).toPandas()
+    assert len(out) == out["report_id"].nunique() == 120
+    assert {d: sorted(int(i.split("-")[2]) for i in g) for d, g in out.groupby("day")["report_id"]} == {d: list(range(1, len(g) + 1)) for d, g in out.groupby("day")["report_id"]}
+    held = out.groupby(["day", "diag_state"])["bytes"].sum()
+    assert all(held.get((d, "kept"), 0) <= 200 for d in set(out["day"])) and set(out["diag_state"]) == {"kept", "skipped", "absent"}
+
+
+def test_progress_stream_equals_batch(spark, tmp_path):
+    log = spark.range(90).select((F.col("id") % 4).alias("job"), F.col("id"), (F.col("id") * 50 + 1_700_000_000).cast("double").alias("at"), (F.col("id") * 17 % 101).cast("double").alias("done"), F.lit(100.0).alias("total"), F.col("id").cast("double").alias("elapsed"))
+    _run(streams.progress_stream(_stream(spark, log.coalesce(1), str(tmp_path / "in"), 1)), "progressing", tmp_path)
+    got = {r["id"]: (round(r["progress"], 9), round(r["eta"], 9)) for r in spark.table("progressing").collect()}
+    assert got == {r["id"]: (round(r["progress"], 9), round(r["eta"], 9)) for r in jobs.progress_report(log).collect()}
+
+
+def test_folds_keep_null_keys_and_whole_longs(spark):
+    big = 9_007_199_254_740_993
+    rows = [(None, 1, 0, big), (None, 2, 5, big + 2), (None, 3, 9, None), (7.0, 4, 1, big), (float("nan"), 5, 2, big), (float("nan"), 6, 3, big)]
+    table = spark.createDataFrame(rows, "key double, id long, at long, `a.b` long").repartition(3)
+    out = folds.dedup_window(table, ["key"], 100).collect()
+    assert {r["id"]: r["repeat_of"] for r in out} == {1: None, 2: 1, 3: 1, 4: None, 5: None, 6: 5}
+    assert {r["id"]: r["a.b"] for r in out} == {r[1]: r[3] for r in rows}
+    assert {r["id"]: r["allowed"] for r in folds.rate_limit(table, ["key"], 1, 100).collect()} == {1: True, 2: False, 3: False, 4: True, 5: True, 6: False}
+    packed = folds.pack_groups(table.withColumn("w", F.lit(2.0)), ["key"], ["id"], "w", 4).collect()
+    assert {r["id"]: r["group_no"] for r in packed} == {1: 0, 2: 0, 3: 1, 4: 0, 5: 0, 6: 0}
+
+
+def test_joint_limits_use_up_the_client_first(spark):
+    hits = [(i, c, float(i)) for i, c in enumerate("aaabbbccc")]
+    out = folds.rate_limits(spark.createDataFrame(hits, "id long, client string, at double"), "client", 2, 3, 3600, "at", ("id",))
+    assert {r["id"] for r in out.where("allowed").collect()} == {0, 1, 3}
+
+
+def _splats(spark, rows):
+    names = "scene_id string, tile int, record_no long, x double, y double, z double, f_dc_0 double, f_dc_1 double, f_dc_2 double, opacity double, scale_0 double, scale_1 double, scale_2 double, rot_0 double, rot_1 double, rot_2 double, rot_3 double, f_rest array<float>"
+    return spark.createDataFrame([("s", 0, i, *r) for i, r in enumerate(rows)], names)
+
+
+def _moments(scale, q):
+    w, x, y, z = np.array(q) / np.linalg.norm(q)
+    r = np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)], [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]])
+    return r @ np.diag(np.exp(2 * np.array(scale))) @ r.T
+
+
+@pytest.mark.parametrize("turns", [([1, 0, 0, 0], [-1, 0, 0, 0]), ([0.6, 0.2, -0.7, 0.1], [-0.6, -0.2, 0.7, -0.1]), ([0, 1, 0, 0], [0, 0.6, 0.8, 0]), ([0.9, 0.1, 0.3, -0.2], [0.1, -0.9, 0.3, 0.2])])
+def test_merged_rows_have_the_moments_of_the_whole(spark, turns):
+    scales, at = [[-1.0, -2.0, 0.0], [-1.0, -2.0, 0.0]], np.array([[0.0, 1.0, 2.0], [3.0, 1.0, 2.5]])
+    rows = [(*map(float, at[i]), 0.1, 0.2, 0.3, 1.0, *scales[i], *map(float, turns[i]), [float(i)] * 9) for i in (0, 1)]
+    out = lod.decimate(_splats(spark, rows), 0.5).first()
+    assert out["merged"] == 2 and np.allclose([out[a] for a in "xyz"], at.mean(axis=0)) and out["f_rest"] == [0.5] * 9
+    off = at - at.mean(axis=0)
+    want = sum(_moments(scales[i], turns[i]) + np.outer(off[i], off[i]) for i in (0, 1)) / 2
+    assert np.allclose(_moments([out[f"scale_{i}"] for i in range(3)], [out[f"rot_{i}"] for i in range(4)]), want, atol=1e-9)
+    built = lod.build_levels(_splats(spark, rows * 3), 2)
+    assert {len(r["f_rest"]) for r in built.collect()} == {9}
+
+
+def test_a_row_alone_keeps_its_scales_and_turn(spark):
+    row = (1.0, 2.0, 3.0, 0.1, 0.2, 0.3, 1.5, -1.0, -4.0, -2.0, 0.6, 0.2, -0.7, 0.1, [1.0] * 9)
+    out = lod.decimate(_splats(spark, [row]), 0.5).first()
+    assert [out[c] for c in ("opacity", "scale_0", "scale_1", "scale_2", "rot_0", "rot_1", "rot_2", "rot_3")] == list(row[6:14])
+
+
+def test_sh_turns_colour_with_the_directions():
+    rng = np.random.default_rng(3)
+    q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+    m = q * np.sign(np.linalg.det(q))
+    d = rng.normal(size=(50, 3))
+    d /= np.linalg.norm(d, axis=1, keepdims=True)
+    c = rng.normal(size=15)
+    turn = cloud.sh_turn(m)
+    assert np.allclose(cloud.sh_basis(d @ m.T) @ (turn @ c), cloud.sh_basis(d) @ c, atol=1e-8) and np.allclose(turn @ turn.T, np.eye(15), atol=1e-8)
+
+
+@pytest.mark.parametrize(("up", "euler", "name"), [(1, [180.0, 0.0, 0.0], "+Y"), (-1, [0.0, 0.0, 0.0], "-Y")])
+def test_auto_orient_of_a_flat_cloud_and_its_mirror(spark, up, euler, name):
+    rng = np.random.default_rng(4)
+    n = 4000
+    xyz = np.column_stack([rng.uniform(-50, 50, n), up * np.concatenate([rng.normal(0, 0.2, n // 2), rng.exponential(1.5, n - n // 2)]), rng.uniform(-50, 50, n)])
+    table = spark.createDataFrame([("s", *map(float, p)) for p in xyz], "scene_id string, x double, y double, z double")
+    got = cloud.auto_orient(table).first()
+    assert (got["euler"], got["up_axis"], got["confident"]) == (euler, name, True)
+    # a tilt of more than the snapping allows is not called sure
+    t = np.radians(40)
+    tilted = xyz @ np.array([[1, 0, 0], [0, np.cos(t), -np.sin(t)], [0, np.sin(t), np.cos(t)]])
+    assert not cloud.auto_orient(spark.createDataFrame([("s", *map(float, p)) for p in tilted], "scene_id string, x double, y double, z double")).first()["confident"]
+    assert cloud.auto_orient(table.limit(50)).first()["up_axis"] == "?"
+
+
+def test_quantiles_of_nulls_ties_and_nan(spark):
+    rng = np.random.default_rng(5)
+    values = [None] * 3 + [float("nan")] * 4 + [1.5] * 700 + rng.normal(size=2000).tolist() + [float("inf"), float("-inf")]
+    table = spark.createDataFrame([(g, v) for g in ("a", None) for v in values] + [("b", None), ("c", 2.0)], "scene_id string, v double").repartition(4)
+    order = sorted(values, key=lambda v: (v is not None, v is not None and v != v, 0 if v is None or v != v else v))
+    qs = [0.0, 0.0005, 0.25, 0.5, 0.61, 0.9, 0.999, 1.0]
+    got = {(r["scene_id"], r["q"]): r["value"] for r in cloud.quantiles(table, {"v": qs}).collect()}
+    for g in ("a", None):
+        assert [str(got[g, q]) for q in qs] == [str(order[math.floor(q * (len(order) - 1))]) for q in qs]
+    assert got["b", 0.5] is None and got["c", 0.5] == 2.0
+
+
+def test_routing_and_references_find_what_is_wrong(spark):
+    c = _cloud(spark, 50).withColumn("tile", F.lit(0))
+    totals = c.groupBy("scene_id").agg(F.count("*").alias("n"))
+    assert cloud.reconcile_tiles(c, totals).first()["n"] == 50
+    with pytest.raises(Exception, match="differ in scene s"):
+        cloud.reconcile_tiles(c.limit(49), totals).collect()
+    units = spark.createDataFrame([("s", 0, 0, 0, 0, 0)], "scene_id string, tile int, lod int, unit int, unit_no long, file_index long")
+    leaves = spark.createDataFrame([("s", 0, 0, 0, 5), ("s", 0, 0, 1, 5)], "scene_id string, tile int, lod int, unit int, n long")
+    assert lod.reference_units(leaves.where("unit = 0"), units).first()["file_index"] == 0
+    with pytest.raises(Exception, match="unknown unit: s 0 0 1"):
+        lod.reference_units(leaves, units).collect()
+    for names, said in ((["0_0", "0_0"], "unit twice"), (["0_0", "x_1"], "no unit")):
+        with pytest.raises(Exception, match=said):
+            lod.parse_units(spark.createDataFrame([("s", 0, n) for n in names], "scene_id string, tile int, name string")).collect()
+    nodes = spark.createDataFrame([("s", "", -1, 0)], "scene_id string, path string, axis int, tile int")
+    with pytest.raises(Exception, match="no rows were written of scene s"):
+        lod.scene_manifest(leaves.where("false").withColumns({a: F.lit(0.0) for k in ("min", "max") for a in (f"{k}_x", f"{k}_y", f"{k}_z")} | {"leaf": F.lit(""), "offset": F.lit(0), "file_index": F.lit(0)}), units, nodes).collect()
+
+
+def test_archives_of_many_entries_need_a_wide_directory(spark):
+    many = spark.range(70_000).select(F.lit("a").alias("path"), F.col("id").alias("seq"), F.col("id").cast("string").alias("name"), F.lit(1).cast("long").alias("size"))
+    few = spark.createDataFrame([("b", 0, "123456789", 9)], "path string, seq long, name string, size long")
+    flags = {r["path"]: r["w"] for r in audit.running_offsets(many.union(few)).groupBy("path").agg(F.max(F.col("zip64_directory").cast("int")).alias("w")).collect()}
+    assert flags == {"a": 1, "b": 0}
+    assert audit.running_offsets(few.withColumn("content", F.col("name"))).first()["crc"] == 0xCBF43926
+
+
+def test_triage_names_what_is_wrong_with_each_file(spark, tmp_path):
+    (tmp_path / "odd.ply").write_bytes(b"ply\nformat binary_little_endian 1.0\nelement vertex many\nend_header\n")
+    (tmp_path / "bare.ply").write_bytes(b"ply\nformat binary_little_endian 1.0\nelement\nend_header\n")
+    got = {r["path"].rsplit("/")[-1]: r["code"] for r in ply.triage_inputs(spark, [str(tmp_path / n) for n in ("odd.ply", "bare.ply", "gone.ply")]).collect()}
+    assert got == {"odd.ply": "bad-header", "bare.ply": "bad-header", "gone.ply": "missing"}
+
+
+def test_written_levels_are_floats_by_unit(spark, tmp_path):
+    c = _cloud(spark, 60).withColumns({"lod": F.lit(0), "unit_no": (F.col("record_no") % 3).cast("int"), "f_rest": F.array(F.col("x"))})
+    ply.write_levels(c, str(tmp_path / "levels"))
+    back = spark.read.parquet(str(tmp_path / "levels"))
+    kinds = dict(back.dtypes)
+    assert (kinds["x"], kinds["f_rest"], back.select("unit_no").distinct().count(), back.count()) == ("float", "array<float>", 3, 60)
+
+
+def test_a_shared_folder_is_asked_for_off_this_machine():
+    from lodestrata.sources.tables import shared_path
+
+    class Conf:
+        def get(self, name, default=None):
+            return {"spark.master": "spark://host:7077"}.get(name, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_path(Session(), "x")
+
+
