@@ -587,3 +587,17 @@ def test_pipeline(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = stage(spark, docs, SF)
         assert after.columns == docs.columns, name
+
+
+def test_pipeline_stages_of_awkward_rows(spark, clashing, empty):
+    """Nulls, empty and very long texts, repeated rows, clashing names and empty tables, stage by stage."""
+    longer = clashing.withColumn("text", F.when(F.col("doc_id") == 12, F.repeat("text", 20_000)).otherwise(F.col("text")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, longer, SF)
+        assert after.dtypes == longer.dtypes, name
+        ids = {r["doc_id"] for r in after.select("doc_id").collect()}
+        assert ids <= {r["doc_id"] for r in longer.select("doc_id").collect()}, name
+        assert stage(spark, empty, SF).count() == 0, name
+    out = corpus_pipeline.STAGES[-1][1](spark, longer, SF)
+    assert out.select("slot").distinct().count() == out.count() >= longer.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, SF).count() == 0
