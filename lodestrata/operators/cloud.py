@@ -255,11 +255,15 @@ def _spread(v: Column) -> Column:
 
 
 def morton_code(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """30-bit Z-order code of positions within each group's bounds of finite values; 0 where there is no extent."""
+    """30-bit Z-order code of positions within each group's bounds of finite values; 0 where there is no extent.
+
+    Bounds come from windows over the groups, which a plan keeps to a tile's size: rows are dealt by group once, and ranks
+    and merging inside the groups need no other exchange.
+    """
     by = by or ["scene_id", "tile"]
+    whole = Window.partitionBy(*by)
     good = {a: F.when(finite(F.col(a)), F.col(a)) for a in POSITION}
-    bounds = df.groupBy(*by).agg(*(f(good[a]).alias(f"__{k}{a}") for a in POSITION for k, f in (("lo", F.min), ("hi", F.max))))
-    out = df.join(bounds, by)
+    out = df.withColumns({f"__{k}{a}": f(good[a]).over(whole) for a in POSITION for k, f in (("lo", F.min), ("hi", F.max))})
     code = F.lit(0)
     for i, a in enumerate(POSITION):
         extent = F.col(f"__hi{a}") - F.col(f"__lo{a}")
@@ -432,6 +436,7 @@ def auto_orient(sample: DataFrame) -> DataFrame:
     Sure only if the thinnest direction lies along an axis, is thin beside the next one, and the side of the histogram
     that falls more slowly is the one of the longer tail. '?' under ENOUGH points.
     """
+    sample = persisted(sample.select("scene_id", *POSITION), "points")
     engine = sample.select("scene_id", (-F.col("x")).alias("e0"), (-F.col("y")).alias("e1"), F.col("z").cast("double").alias("e2"))
     axes = ["e0", "e1", "e2"]
     found = persisted(quantiles(engine, {a: [0.005, *_TAILS, 0.995] for a in axes}), "tails")

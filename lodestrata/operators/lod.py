@@ -74,8 +74,7 @@ def merge_groups(df: DataFrame, group: list[str]) -> DataFrame:
 
 def _ranked(df: DataFrame) -> DataFrame:
     ranked = zorder_rows(morton_code(df, BY), BY)
-    n = df.groupBy(*BY).agg(F.count(F.lit(1)).alias("n"))
-    return ranked.join(n, BY)
+    return ranked.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*BY)))
 
 
 def decimate(df: DataFrame, ratio: float = 0.5, method: str = "uniform") -> DataFrame:
@@ -174,7 +173,7 @@ def merge_moments(merged: DataFrame) -> DataFrame:
 def build_levels(df: DataFrame, levels: int, ratio: float = 0.5, method: str = "uniform") -> DataFrame:
     """All levels stacked with ``lod``; each is built from the one before and written, so no plan grows."""
     names = [c for c in (*BY, "record_no", *POSITION, *COLOUR, "f_rest", "opacity", *SCALES, *QUATERNION) if c in df.columns]
-    now = df.select(*names)
+    now = persisted(df.select(*names), "lod0")
     out = now.withColumn("lod", F.lit(0))
     for lod in range(1, levels):
         now = persisted(decimate(now, ratio, method).select(*names), f"lod{lod}")

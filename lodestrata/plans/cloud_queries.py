@@ -97,15 +97,19 @@ SELECT s.scene_id, count(*) AS n, {", ".join(f"{k}(s.{a}) AS {k}_{a}" for a in A
 FROM s JOIN q g ON g.scene_id = s.scene_id AND g.r = CAST(floor(0.02 * (g.n - 1)) AS BIGINT) + 1 GROUP BY 1"""
 
 
-def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    s = splats(spark, d)
+def _once(spark: SparkSession, d: str) -> DataFrame:
+    """The splat view written down: it numbers rows by a window, which the operators would otherwise do again each time."""
+    return persisted(splats(spark, d), "splats")
+
+
+def _nodes(s: DataFrame) -> DataFrame:
     sample = cloud.block_sample(s, 64, 64)
     return persisted(cloud.plan_kd_tiles(sample, s.groupBy("scene_id").agg(F.count("*").alias("n")), TILE_ROWS), "kd")
 
 
 @query
 def plan_kd_tiles(spark: SparkSession, d: str) -> DataFrame:
-    return _nodes(spark, d).select("scene_id", "path", "axis", _r("split"), "ties_left", "tile", "est")
+    return _nodes(_once(spark, d)).select("scene_id", "path", "axis", _r("split"), "ties_left", "tile", "est")
 
 
 def _kd_sql() -> str:
@@ -145,7 +149,8 @@ O["plan_kd_tiles"] = f"{KD} SELECT scene_id, path, axis, round(split, 6) AS spli
 
 
 def _tiled(spark: SparkSession, d: str) -> DataFrame:
-    return cloud.assign_tile(splats(spark, d), _nodes(spark, d))
+    s = _once(spark, d)
+    return cloud.assign_tile(s, _nodes(s))
 
 
 @query
@@ -287,7 +292,7 @@ O["tile_filter"] = f"{KD} SELECT scene_id, record_no, CAST(tile AS INT) AS tile
 
 @query
 def reconcile_tiles(spark: SparkSession, d: str) -> DataFrame:
-    s = splats(spark, d)
+    s = load(spark, d, "lineitem").select(F.col("l_returnflag").alias("scene_id"))
     return cloud.reconcile_tiles(cloud.repartition_by_tile(_tiled(spark, d)), s.groupBy("scene_id").agg(F.count("*").alias("n")))
 
 
@@ -374,8 +379,9 @@ SELECT scene_id, lod, row_number() OVER (PARTITION BY scene_id, lod ORDER BY til
 @query
 def scene_manifest(spark: SparkSession, d: str) -> DataFrame:
     """Manifests of two levels, read back from their JSON: counts, numbers of files and leaves, sums over the leaves, root bounds."""
-    nodes = _nodes(spark, d)
-    levels = lod.build_levels(cloud.assign_tile(splats(spark, d), nodes), 2)
+    s = _once(spark, d)
+    nodes = _nodes(s)
+    levels = lod.build_levels(cloud.assign_tile(s, nodes), 2)
     leaves = lod.lod_leaves(levels, 8.0, 60).withColumn("leaf", F.format_string("%012.3f/%08d/%08d/%08d", "edge", "cx", "cy", "cz"))
     packed = persisted(lod.pack_units(leaves, 1_000), "packed")
     units = lod.renumber_units(packed)
@@ -395,8 +401,9 @@ FROM (SELECT scene_id, count(*) AS n0, {", ".join(f"{k}({a}) AS {k}_{a}" for a i
 
 @query
 def rollup_bounds(spark: SparkSession, d: str) -> DataFrame:
-    nodes = _nodes(spark, d)
-    tiles = lod.level_counts(cloud.assign_tile(splats(spark, d), nodes).withColumn("lod", F.lit(0)))
+    s = _once(spark, d)
+    nodes = _nodes(s)
+    tiles = lod.level_counts(cloud.assign_tile(s, nodes).withColumn("lod", F.lit(0)))
     return lod.rollup_bounds(tiles, nodes)
 
 
@@ -484,8 +491,8 @@ O["covariance3"] = f"SELECT scene_id, count(*) AS n, {', '.join(f'round(avg({_E[
 
 @query
 def quantile_at(spark: SparkSession, d: str) -> DataFrame:
-    s = splats(spark, d)
-    return cloud.quantile_at(s, "x", 0.98).withColumn("axis", F.lit("x")).unionByName(cloud.quantile_at(s, "z", 0.5).withColumn("axis", F.lit("z")))
+    found = cloud.quantiles(_once(spark, d), {"x": [0.98], "z": [0.5]})
+    return found.select("scene_id", "value", F.col("column").alias("axis"))
 
 
 def _quantile_sql(source: str, column: str, q: float) -> str:
@@ -497,7 +504,7 @@ O["quantile_at"] = f"SELECT *, 'x' AS axis FROM ({_quantile_sql(SPLAT_SQL, 'x',
 
 @query
 def histogram_peak(spark: SparkSession, d: str) -> DataFrame:
-    return cloud.histogram_peak(splats(spark, d), "x").select("scene_id", "peak", "left", "right")
+    return cloud.histogram_peak(_once(spark, d), "x").select("scene_id", "peak", "left", "right")
 
 
 O["histogram_peak"] = f"""
@@ -511,7 +518,7 @@ SELECT m.scene_id, peak, coalesce(max(bin) FILTER (s <= 0.1 * height AND bin < p
 
 @query
 def centre_translation(spark: SparkSession, d: str) -> DataFrame:
-    return cloud.centre_translation(splats(spark, d), _turns(spark, d))
+    return cloud.centre_translation(_once(spark, d), _turns(spark, d))
 
 
 O["centre_translation"] = f"WITH {_TURNED}" + " SELECT scene_id, " + ", ".join(f"floor(-t{a}.value * 1000 + 0.5) / 1000 AS t{a}" for a in AXES) + f" FROM ({_quantile_sql('SELECT * FROM t', 'x', 0.5)}) tx JOIN ({_quantile_sql('SELECT * FROM t', 'y', 0.01)}) ty USING (scene_id) JOIN ({_quantile_sql('SELECT * FROM t', 'z', 0.5)}) tz USING (scene_id)"
@@ -519,7 +526,7 @@ O["centre_translation"] = f"WITH {_TURNED}" + " SELECT scene_id, " + ", ".join(f
 
 @query
 def auto_orient(spark: SparkSession, d: str) -> DataFrame:
-    return cloud.auto_orient(cloud.block_sample(splats(spark, d), 64, 256))
+    return cloud.auto_orient(cloud.block_sample(_once(spark, d), 64, 256))
 
 
 def _moment_means(df: DataFrame) -> DataFrame:
@@ -722,7 +729,7 @@ O["safe_members"] = """SELECT CASE page_id % 4 WHEN 0 THEN length(html) * 1000 <
 
 @query
 def compare_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    s = splats(spark, d)
+    s = _once(spark, d)
     moved = s.withColumn("x", F.col("x") + F.when(F.col("scene_id") == "A", 5.0).otherwise(0.001))
     return audit.compare_quantiles(s, moved, [0.1, 0.9], 0.01).select("scene_id", "axis", "q", _r("a"), _r("b"), "equal")
 
