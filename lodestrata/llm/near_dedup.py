@@ -42,6 +42,8 @@ WORDS, PERCENT = 5, 75
 HASHES, AGREE = 64, 26
 #: Rows of a block in the count of collisions and in the exact comparison; partners of a centre in a group.
 LIST_BLOCK, SET_BLOCK, STAR_ROWS = 256, 256, 64
+#: Tasks that the rows of one list of a shingle are dealt to.
+LIST_SALTS = 32
 #: Bytes of text that are worked on at once.
 SLICE = 4_000_000
 
@@ -323,7 +325,10 @@ def prefix_links(members: DataFrame, sets: DataFrame, sure: DataFrame) -> DataFr
     lists = ranked.where(F.col("r") <= ahead).where("n > 1").select("label", "shingle", "cid").join(roles.drop("label"), "cid")
     lists = materialise(lists, "shingle-lists")
     held = lists.groupBy("label", "shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.collect_set("own").alias("all"), F.collect_set(F.when(~F.col("main"), F.col("own"))).alias("minor"))
-    met = lists.join(held.where("lo < hi"), ["label", "shingle"]).select("label", "cid", "comp", "own", F.explode(F.when(F.col("main"), F.col("minor")).otherwise(F.col("all"))).alias("other"))
+    # a shingle that a whole cluster shares is one list: its rows are dealt to LIST_SALTS tasks
+    held = held.where("lo < hi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(LIST_SALTS - 1))))
+    salted = lists.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(LIST_SALTS)).cast("int"))
+    met = salted.join(held, ["label", "shingle", "salt"]).select("label", "cid", "comp", "own", F.explode(F.when(F.col("main"), F.col("minor")).otherwise(F.col("all"))).alias("other"))
     met = met.select("label", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "cid", "comp").distinct()
     rows = met.join(sets.select("cid", "shingles"), "cid").select("label", "left", "right", "cid", "comp", "shingles")
     return rows.repartition("label", "left", "right").sortWithinPartitions("label", "left", "right").mapInArrow(_confirm_blocks, EDGES)
