@@ -45,7 +45,7 @@ LIST_BLOCK, SET_BLOCK, STAR_ROWS = 256, 256, 64
 #: Tasks that the rows of one list of a shingle are dealt to.
 LIST_SALTS = 32
 #: Bytes of text that are worked on at once.
-SLICE = 4_000_000
+SLICE = 1_000_000
 
 _rng = np.random.default_rng(9)
 _MUL = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -29,7 +29,7 @@ TRAIN_ROWS, FOLDS, HELD_OUT = 20_000, 5, 0
 TREES, DEPTH, BINS, STEP, PENALTY, LEAST = 80, 4, 32, 0.15, 1.0, 2.0
 #: Scores of at least this are predicted as 1.
 THRESHOLD = 0.3
-SLICE = 4_000_000
+SLICE = 1_000_000
 
 # Byte classes; a byte belongs to the last that names it.
 _KINDS = ["other", "lower", "upper", "digit", "blank", "newline", "stop", "comma", "bang", "bar", "symbol", "bracket", "slash", "high"]
