@@ -105,3 +105,17 @@ def per_doc(values: np.ndarray, bounds: np.ndarray, ufunc: np.ufunc, empty) -> n
     if full.any():
         out[full] = ufunc.reduceat(values, bounds[:-1][full], axis=0)
     return out
+
+
+def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray, salt: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of the byte spans [start, end): the index of one of each kind, and each span's kind. Spans of different ``salt`` differ.
+
+    Kinds go by one hash of 64 bits; where a second one tells spans of a kind apart, by both.
+    """
+    names = span_hash(prefix_hash(data), start, end), span_hash(prefix_hash(data, 1), start, end, 1)
+    if salt is not None:
+        names = tuple(mix(x ^ (salt.astype(np.uint64) + U64(1)) * U64(0x9E3779B97F4A7C15)) for x in names)
+    _, where, kind = np.unique(names[0], return_index=True, return_inverse=True)
+    if (names[1] != names[1][where][kind]).any():
+        _, where, kind = np.unique(np.stack(names, axis=1), axis=0, return_index=True, return_inverse=True)
+    return where, kind.reshape(-1)
