@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import quality, toxicity
+from lodestrata.llm import conversations, packing, quality, toxicity
+from lodestrata.llm.collocations import LEAST, LONGEST, SHARE, TOP, collocations
 from lodestrata.llm.decontaminate import decontaminate
 from lodestrata.llm.exact_dedup import exact_dedup
 from lodestrata.llm.licenses import AGREE, BASE, INDEX_WORDS, SLACK, TEMPLATES, scan_licenses
@@ -68,6 +69,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).drop("origin")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(_table(spark, sf_dir, "conversations")), "present")
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), ids=False)
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_training_order": op2_training_order,
@@ -79,6 +92,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_near_dedup": op9_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_collocations": op11_collocations,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 
 
@@ -112,7 +128,65 @@ SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi
 FROM d LEFT JOIN g USING (doc_id) LEFT JOIN a USING (doc_id)"""
 
 
+def _collocation_sql() -> str:
+    grams = " UNION ALL ".join(f"SELECT lang, p[i:i + {n - 1}] AS g FROM p, LATERAL (SELECT unnest(range(1, len(p) - {n - 2})) AS i)" for n in range(1, LONGEST + 1))
+    return rf"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWERED}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS p FROM t),
+totals AS (SELECT lang, sum(len(p)) AS n FROM p GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, g, count(*) AS f FROM ({grams}) GROUP BY lang, g HAVING count(*) >= {LEAST}),
+cuts AS (SELECT c.lang, c.g, c.f AS a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.f) // (x.f + y.f) AS score
+         FROM (SELECT *, unnest(range(1, len(g))) AS k FROM f WHERE len(g) > 1) AS c
+         JOIN f AS x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN f AS y ON y.lang = c.lang AND y.g = c.g[k + 1:]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+spans AS (SELECT lang, f, g[i:j] AS g FROM f, LATERAL (SELECT unnest(range(1, len(g))) AS i), LATERAL (SELECT unnest(range(i + 1, len(g) + 1)) AS j) WHERE j - i + 1 < len(g)),
+longer AS (SELECT lang, g, max(f) AS longer FROM spans GROUP BY lang, g)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase,
+       a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM best LEFT JOIN longer USING (lang, g) JOIN totals USING (lang) WHERE coalesce(longer, 0) * 100 < a * {SHARE} QUALIFY rank <= {TOP}"""
+
+
+def _repair_sql() -> str:
+    edit = lambda state, cost, letter, line="''": f"{{'c': {state}.c + {cost}, 'a': '{letter}' || {state}.a, 'b': {line} || {state}.b}}"
+    far = "{'c': 1000000000, 'a': '', 'b': ''}"
+    nl, text = "chr(10)", "d.role || ':' || d.text"
+    role = ("user", "user", "assistant", "user")
+    add = (2, 2, 3, 2)
+    keep = {0: (("s", 1), ("u", 2)), 1: (("u", 2),), 2: (("a", 3),), 3: (("u", 2),)}
+
+    def before(q: int) -> str:
+        choices = [edit(f"s{q}", 3, "D"), f"CASE WHEN must THEN {far} ELSE {edit(f's{add[q]}', '2 + cut', 'R', f'{nl} || {chr(39)}{role[q]}:{chr(39)} || d.text')} END"]
+        choices += [f"CASE WHEN NOT must AND d.role[1] = '{x}' THEN {edit(f's{to}', 'cut', 'K', f'{nl} || {text}')} ELSE {far} END" for x, to in keep[q]]
+        return f"list_min([{', '.join(choices)}])"
+
+    added = lambda own, other, q: f"list_min([{own}, {edit(other, 2, 'I', f'{nl} || {chr(39)}{role[q]}:{chr(39)}')}])"
+    closing = f"SELECT conv_id, i, {added('b0', 't2', 0)} AS s0, {added('b1', 't2', 1)} AS s1, t2 AS s2, t3 AS s3 FROM (SELECT *, {added('b2', 'b3', 2)} AS t2, {added('b3', 'b2', 3)} AS t3 FROM"
+    crc = "list_transform(range(256), lambda x: list_reduce([x, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END))"
+    nothing = "{'c': 0, 'a': '', 'b': ''}"
+    return rf"""
+WITH RECURSIVE k AS MATERIALIZED (SELECT {crc} AS crc),
+x AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda s: ord(s)::BIGINT)),
+                                         lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]))) % 20 AS kind FROM conversations, k),
+g AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+             unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM x WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text), copy) AS i FROM g),
+m AS (SELECT *, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS mark, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+             role[1] || lead(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS pair FROM o),
+d AS MATERIALIZED (SELECT conv_id, turn, role, text, i, pair, mark = '' AS blank, mark <> '' AND again AS duplicate, mark = '' OR again AS must,
+                          CASE WHEN mark <> '' AND NOT again AND mark NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS cut FROM m),
+r AS ({closing} (SELECT conv_id, max(i) + 1 AS i, {nothing} AS b0, {far} AS b1, {far} AS b2, {nothing} AS b3 FROM d GROUP BY conv_id))
+      UNION ALL {closing} (SELECT r.conv_id, d.i, {before(0)} AS b0, {before(1)} AS b1, {before(2)} AS b2, {before(3)} AS b3 FROM r JOIN d ON d.conv_id IS NOT DISTINCT FROM r.conv_id AND d.i = r.i - 1))),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+             CAST(sum(cut) AS BIGINT) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM d GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(s0.c, 0) AS BIGINT) AS cost, coalesce(s0.a, '') AS audit, sha256(coalesce(s0.b[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM a.conv_id AND r.i = 1"""
+
+
 ORACLES = {
+    "op11_collocations": _collocation_sql(),
+    "op12_conversation_repair": _repair_sql(),
     "op7_license_scan": _license_sql(),
     "op8_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
