@@ -37,14 +37,15 @@ def audit_manifest(manifest: DataFrame, leaves: DataFrame, units: DataFrame, ent
 
     manifest (scene_id, version, count, counts, lod_levels), leaves (scene_id, lod, file, offset, n),
     units (scene_id, file, rows, files), entries (scene_id, name, size, maybe crc as stored and crc_found as counted),
-    expected (scene_id, lod, n). A scene without its root manifest has that finding alone.
+    expected (scene_id, lod, n). Of a scene without its root manifest only that and unexpected names are found.
     """
     c = F.col
     out = []
     pattern = "\\A(lod-meta\\.json|[^/]+/(" + "|".join(f.replace(".", "\\.") for f in UNIT_FILES) + "))\\z"
     out.append(_found(entries.where(~c("name").rlike(pattern)), "error", "V1", c("name"), F.lit("unexpected name")))
     roots = entries.where("name = 'lod-meta.json'").select("scene_id").distinct()
-    out.append(_found(manifest.join(roots, "scene_id", "left_anti"), "error", "V2", F.lit("lod-meta.json"), F.lit("missing")))
+    scenes = entries.select("scene_id").union(manifest.select("scene_id")).distinct()
+    out.append(_found(scenes.join(roots, "scene_id", "left_anti"), "error", "V2", F.lit("lod-meta.json"), F.lit("missing")))
     out.append(_found(manifest.where("version <> 1"), "error", "V3", F.lit("version"), c("version")))
     out.append(_found(manifest.where(F.size("counts") != c("lod_levels")), "error", "V4", F.lit("counts"), F.size("counts")))
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)
@@ -69,17 +70,18 @@ def audit_manifest(manifest: DataFrame, leaves: DataFrame, units: DataFrame, ent
     gaps = leaves.withColumn("due", F.sum("n").over(run) - c("n")).where("offset <> due").groupBy("scene_id", "file").agg(F.min("offset").alias("at"))
     out.append(_found(gaps, "error", "V12", c("file"), c("at")))
     referenced = leaves.groupBy("scene_id", "file").agg(F.sum("n").alias("n"))
-    out.append(_found(units.join(referenced, ["scene_id", "file"]).where("rows <> n"), "error", "V13", c("file"), c("rows")))
+    held = units.join(referenced, ["scene_id", "file"], "left").where(c("rows") != F.coalesce("n", F.lit(0)))
+    out.append(_found(held, "error", "V13", c("file"), c("rows")))
     size = entries.groupBy("scene_id").agg(F.sum("size").alias("size"))
     out.append(_found(size.where(c("size") > 10 * GIB), "warning", "V14", F.lit("size"), c("size")))
     checked = running_offsets(entries.withColumn("seq", F.col("name")), "scene_id")
     out.append(_found(checked.where("duplicate OR bad_name").select("scene_id", "name").distinct(), "error", "V15", c("name"), F.lit("duplicate or bad name")))
     if {"crc", "crc_found"} <= set(entries.columns):
         out.append(_found(entries.where(~c("crc").eqNullSafe(c("crc_found"))), "error", "V15", c("name"), F.lit("content differs from its CRC")))
-    found = out[0]
-    for rows in out[1:]:
+    found = out[2]
+    for rows in out[3:]:
         found = found.unionByName(rows)
-    return found.join(roots, "scene_id", "left_semi").unionByName(out[1])
+    return found.join(roots, "scene_id", "left_semi").unionByName(out[0]).unionByName(out[1])
 
 
 def compare_manifests(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -80,10 +80,13 @@ def limiting(limit: int, window: float) -> Step:
 
 
 def repeating(seconds: float) -> Step:
-    """(now, own) -> the first report of the current window, None for that first one. Repeats do not extend it."""
+    """(now, own) -> the first report of the current window, None for that first one. Repeats do not extend it. A report
+    without a time repeats none and opens no window."""
 
     def step(state: tuple | None, values: tuple) -> tuple:
         now, own = values
+        if now is None:
+            return state, None
         if state is None or now - state[0] >= seconds:
             return (now, own), None
         return state, state[1]

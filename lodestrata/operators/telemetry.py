@@ -41,9 +41,14 @@ def clean_events(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     p is a string or an object that holds the event's property; any other value is dropped, the event counts.
     """
     joined = raw.join(F.broadcast(event_rules(raw)), raw["e"] == F.col("name"), "left")
-    text = F.when(F.col("p").rlike("^\\s*\\{"), F.col("p")).otherwise(F.concat(F.lit('{"'), F.col("prop"), F.lit('":'), F.col("p"), F.lit("}")))
-    typed = F.regexp_like(text, F.concat(F.lit('"'), F.col("prop"), F.lit('"\\s*:\\s*"')))
-    value = F.when(typed, F.get(F.map_values(F.map_filter(F.from_json(text, "map<string,string>"), lambda k, _: k == F.col("prop"))), 0))
+    parsed = joined.withColumn("p", F.try_parse_json("p"))
+    kind = lambda v: F.schema_of_variant(v)
+    own = F.lit(None).cast("variant")
+    for prop in PROPERTIES:
+        own = F.when(F.col("prop") == prop, F.try_variant_get("p", f"$.{prop}", "variant")).otherwise(own)
+    held = F.when(kind(F.col("p")).startswith("OBJECT"), own).otherwise(F.col("p"))
+    value = F.when(F.col("prop").isNotNull() & (kind(held) == "STRING"), F.try_variant_get(held, "$", "string"))
+    joined = parsed
     accepted = joined.where("name IS NOT NULL").withColumn("value", value)
     fits = F.regexp_like(F.col("value"), F.concat(F.lit("\\A(?:"), F.col("rule"), F.lit(")\\z")))
     accepted = accepted.withColumn("value", F.when(fits, F.col("value"))).drop("e", "p", "prop", "rule")
