@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import math
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -14,14 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from lodestrata.functions import scalars as S
-from lodestrata.sources.tables import persisted
+from lodestrata.sources.files import located
+from lodestrata.sources.tables import persisted, shared_path
 
 POSITION = ["x", "y", "z"]
 COLUMNS = ["x", "y", "z", "f_dc_0", "f_dc_1", "f_dc_2", "f_rest", "opacity", "scale_0", "scale_1", "scale_2", "rot_0", "rot_1", "rot_2", "rot_3"]
 #: Coefficients that a colour channel keeps, by number of bands.
 BAND_SIZES = [0, 3, 8, 15]
-#: A tree of at most this many leaves is compiled into one expression; above it rows are joined level by level.
-COMPILED_LEAVES = 200
 
 
 def keep_splat_columns(df: DataFrame) -> DataFrame:
@@ -187,43 +189,99 @@ def plan_kd_tiles(sample: DataFrame, totals: DataFrame, max_per_tile: int, max_d
     return points.groupBy("scene_id").applyInArrow(plan, schema)
 
 
+#: Columns of a flattened tree: by node the split axis (-1: leaf), the split, whether equal values go left, children, tile.
+TREE = {"axis": np.int8, "split": np.float64, "ties": np.bool_, "left": np.int32, "right": np.int32, "tile": np.int32}
+
+
+def flatten_tree(nodes: pa.Table) -> dict[str, np.ndarray]:
+    """The tree of a scene (path, axis, split, ties_left, tile) as arrays; node 0 is the root, children point at nodes."""
+    path = nodes["path"].to_pylist()
+    order = sorted(range(len(path)), key=path.__getitem__)
+    number = {path[k]: i for i, k in enumerate(order)}
+    take = lambda name, empty: nodes[name].fill_null(empty).to_numpy()[order]
+    child = lambda side: [number.get(path[k] + side, -1) for k in order]
+    columns = take("axis", -1), take("split", 0.0), take("ties_left", False), child("L"), child("R"), take("tile", -1)
+    return {name: np.asarray(c, dtype=kind) for (name, kind), c in zip(TREE.items(), columns, strict=True)}
+
+
+def descend(tree: dict[str, np.ndarray], xyz: np.ndarray) -> np.ndarray:
+    """The tile of each row of a batch: all rows go down one level at a time. NaN goes right; -1 where the tree ends early."""
+    at, row = np.zeros(len(xyz), dtype=np.int32), np.arange(len(xyz))
+    while len(row):
+        node = at[row]
+        axis = tree["axis"][node]
+        row, node, axis = (v[axis >= 0] for v in (row, node, axis))
+        v, split = xyz[row, axis], tree["split"][node]
+        left = (v < split) | (tree["ties"][node] & (v == split))
+        at[row] = np.where(left, tree["left"][node], tree["right"][node])
+        row = row[at[row] >= 0]
+    return np.where(at >= 0, tree["tile"][at], -1)
+
+
+def _tree_name(scene: object) -> str:
+    return hashlib.sha256(f"{type(scene).__name__}:{scene}".encode()).hexdigest()
+
+
+def write_trees(nodes: DataFrame) -> str:
+    """Write each scene's flattened tree as one file in the shared folder; returns the folder. Scenes are written side by side."""
+    folder = shared_path(nodes.sparkSession, "trees")
+
+    def write(table: pa.Table) -> pa.Table:
+        fs, inside = located(folder)
+        fs.create_dir(inside, recursive=True)
+        body, name = io.BytesIO(), _tree_name(table["scene_id"][0].as_py())
+        np.savez(body, **flatten_tree(table))
+        own = f"{inside}/.{uuid.uuid4().hex}"  # a task that runs twice moves the same tree either time
+        with fs.open_output_stream(own) as out:
+            out.write(body.getvalue())
+        fs.move(own, f"{inside}/{name}")
+        return pa.table({"n": pa.array([table.num_rows])})
+
+    nodes.select("scene_id", "path", "axis", "split", "ties_left", "tile").groupBy("scene_id").applyInArrow(write, "n long").agg(F.sum("n")).first()
+    return folder
+
+
+#: Trees that a task keeps at hand.
+TREES_HELD = 64
+
+
 def assign_tile(df: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``df`` with its tile: below the split left, else right (NaN goes right)."""
-    rows = [r.asDict() for r in nodes.limit(2 * COMPILED_LEAVES + 1).collect()]
-    if len(rows) > 2 * COMPILED_LEAVES:
-        return _assign_by_level(df, nodes)
-    trees: dict = {}
-    for r in rows:
-        trees.setdefault(r["scene_id"], {})[r["path"]] = r
-
-    def compiled(tree: dict, path: str) -> Column:
-        r = tree[path]
-        if r["axis"] < 0:
-            return F.lit(int(r["tile"]))
-        v, split = F.col(POSITION[r["axis"]]), F.lit(float(r["split"]))
-        side = v <= split if r["ties_left"] else v < split
-        return F.when(side, compiled(tree, path + "L")).otherwise(compiled(tree, path + "R"))
-
-    tile = F.lit(None).cast("int")
-    for scene, tree in trees.items():
-        tile = F.when(F.col("scene_id") == scene, compiled(tree, "")).otherwise(tile)
-    return df.withColumn("tile", tile)
-
-
-def _assign_by_level(df: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The same by a join per level. The nodes of a sample are few beside the rows: written down, they are broadcast up to
-    Spark's limit; beyond it rows are dealt by scene and path, and AQE splits the paths that many rows share."""
-    depth = nodes.agg(F.max(F.length("path"))).first()[0]
-    out = df.withColumn("__path", F.lit(""))
-    inner = nodes.where("axis >= 0").select(F.col("scene_id").alias("__s"), F.col("path").alias("__p"), "axis", "split", "ties_left")
-    for _ in range(depth):
-        out = out.join(inner, (F.col("scene_id") == F.col("__s")) & (F.col("__path") == F.col("__p")), "left")
-        v = F.when(F.col("axis") == 0, F.col("x")).when(F.col("axis") == 1, F.col("y")).otherwise(F.col("z"))
-        left = F.when(F.col("ties_left"), v <= F.col("split")).otherwise(v < F.col("split"))
-        step = F.when(F.col("__p").isNull(), "").when(left, "L").otherwise("R")
-        out = out.withColumn("__path", F.concat("__path", step)).drop("__s", "__p", "axis", "split", "ties_left")
-    leaf = nodes.where("axis < 0").select(F.col("scene_id").alias("__s"), F.col("path").alias("__p"), "tile")
-    return out.join(leaf, (F.col("scene_id") == F.col("__s")) & (F.col("__path") == F.col("__p"))).drop("__s", "__p", "__path")
+    """``df`` with its tile: below the split left, else right (NaN and null go right); null for a scene without a tree.
+
+    Trees are written once as arrays and read by the tasks that meet their scene; a whole Arrow batch of positions goes down
+    a tree at once. No row is joined or moved, and the plan holds one function, however many leaves there are.
+    """
+    folder = write_trees(nodes)
+
+    @F.pandas_udf("int")
+    def tile(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        fs, inside = located(folder)
+        held: dict[str, dict[str, np.ndarray] | None] = {}
+
+        def tree(scene: object) -> dict[str, np.ndarray] | None:
+            name = _tree_name(scene)
+            if name not in held:
+                while len(held) >= TREES_HELD:
+                    del held[next(iter(held))]
+                held[name] = None
+                if fs.get_file_info(f"{inside}/{name}").is_file:
+                    with fs.open_input_file(f"{inside}/{name}") as file:
+                        held[name] = dict(np.load(io.BytesIO(file.read())))
+            return held[name]
+
+        for scene, *axes in batches:
+            xyz = np.column_stack([a.to_numpy(dtype=float, na_value=np.nan) for a in axes])
+            out, (number, kinds) = np.full(len(xyz), -1, dtype=np.int32), pd.factorize(scene)
+            order = np.argsort(number, kind="stable")
+            cuts = np.searchsorted(number[order], np.arange(len(kinds) + 1))
+            for k, kind in enumerate(kinds):
+                found = tree(kind.item() if isinstance(kind, np.generic) else kind)
+                if found is not None:
+                    some = order[cuts[k] : cuts[k + 1]]
+                    out[some] = descend(found, xyz[some])
+            yield pd.Series(out, dtype="Int32").mask(out < 0)
+
+    return df.withColumn("tile", tile("scene_id", *POSITION))
 
 
 def tile_filter(df: DataFrame, tiles: list[int]) -> DataFrame:
@@ -434,9 +492,10 @@ def auto_orient(sample: DataFrame) -> DataFrame:
     """scene_id, euler, confident, up_axis: the thinnest axis, turned so that its longer tail points up.
 
     Sure only if the thinnest direction lies along an axis, is thin beside the next one, and the side of the histogram
-    that falls more slowly is the one of the longer tail. '?' under ENOUGH points.
+    that falls more slowly is the one of the longer tail. '?' under ENOUGH points; only finite ones count.
     """
-    sample = persisted(sample.select("scene_id", *POSITION), "points")
+    scenes = sample.select(F.col("scene_id").alias("__scene")).distinct()
+    sample = persisted(filter_finite(sample.select("scene_id", *POSITION), POSITION), "points")
     engine = sample.select("scene_id", (-F.col("x")).alias("e0"), (-F.col("y")).alias("e1"), F.col("z").cast("double").alias("e2"))
     axes = ["e0", "e1", "e2"]
     found = persisted(quantiles(engine, {a: [0.005, *_TAILS, 0.995] for a in axes}), "tails")
@@ -447,14 +506,21 @@ def auto_orient(sample: DataFrame) -> DataFrame:
     falls = peaks.groupBy("scene_id").agg(F.array(*map(longer, axes)).alias("fall"))
     moments = ["c_xx", "c_xy", "c_xz", "c_xy", "c_yy", "c_yz", "c_xz", "c_yz", "c_zz"]
     facts = covariance3(sample).select("scene_id", "n", F.array(*moments).alias("scatter")).join(reach, "scene_id", "left").join(falls, "scene_id", "left")
+    nothing = F.array(*[F.lit(0.0)] * 9)
+    facts = scenes.join(facts, F.col("__scene").eqNullSafe(F.col("scene_id")), "left").select(
+        F.col("__scene").alias("scene_id"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("scatter", nothing).alias("scatter"),
+        *(F.coalesce(c, F.array(*[F.lit(0).cast(k)] * 3)).alias(c) for c, k in (("tail", "double"), ("fall", "long"))),
+    )
     kind = dict(sample.dtypes)["scene_id"]
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if not len(f):
                 continue
-            few = f["n"].to_numpy() < ENOUGH
-            values, vectors = np.linalg.eigh(np.stack(f["scatter"]).reshape(-1, 3, 3).astype(float))
+            scatter = np.stack(f["scatter"]).reshape(-1, 3, 3).astype(float)
+            broad = ~np.isfinite(scatter).all(axis=(1, 2))  # squares beyond a double
+            few = (f["n"].to_numpy() < ENOUGH) | broad
+            values, vectors = np.linalg.eigh(np.where(broad[:, None, None], 0.0, scatter))
             share = np.abs(vectors[:, :, 0])
             axis, row = share.argmax(axis=1), np.arange(len(f))
             tail = np.where(np.stack(f["tail"])[row, axis] >= 0, 1, -1)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import scalars as S
-from lodestrata.operators.cloud import POSITION, morton_code, zorder_rows
+from lodestrata.operators.cloud import POSITION, finite, morton_code, zorder_rows
 from lodestrata.operators.folds import pack_groups
 from lodestrata.sources.tables import persisted
 
@@ -22,14 +22,22 @@ QUATERNION = [f"rot_{i}" for i in range(4)]
 BY = ["scene_id", "tile"]
 PAIRS = [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
 MOMENTS = [f"m_{POSITION[a]}{POSITION[b]}" for a, b in PAIRS]
-#: Most coefficients of f_rest; least variance along an axis of a merged row.
+#: Most coefficients of f_rest; least variance along an axis of a merged row; weights beyond these bounds count as the bound.
 REST, THINNEST = 45, 1e-12
+LIGHTEST, HEAVIEST = 1e-200, 1e100
 
 
 def weight(df: DataFrame) -> Column:
-    """Visible volume: opacity times the product of the axes."""
+    """Visible volume: opacity times the product of the axes, above 0: rows too faint for a double weigh alike."""
     scales = [F.col(c) for c in ("scale_0", "scale_1", "scale_2") if c in df.columns]
-    return S.decode_opacity(F.col("opacity")) * F.exp(sum(scales[1:], scales[0]))
+    w = S.decode_opacity(F.col("opacity")) * F.exp(sum(scales[1:], scales[0]))
+    return F.when(w > LIGHTEST, F.least(w, F.lit(HEAVIEST))).otherwise(F.lit(LIGHTEST))
+
+
+def origin(df: DataFrame) -> DataFrame:
+    """``df`` with a place of each tile (o_x, o_y, o_z) from which distances are counted, so that their squares keep their digits."""
+    low = lambda a: F.min(F.when(finite(F.col(a)), F.col(a).cast("double"))).over(Window.partitionBy(*BY))
+    return df.withColumns({f"o_{a}": F.coalesce(low(a), F.lit(0.0)) for a in POSITION})
 
 
 def target(n: Column, ratio: float) -> Column:
@@ -58,14 +66,15 @@ def merge_groups(df: DataFrame, group: list[str]) -> DataFrame:
     for others ``merge_moments`` finds scales and turn.
     """
     scales = [c for c in SCALES if c in df.columns]
-    rows = df.withColumn("__w", weight(df)).withColumns({f"__{m}": c for m, c in zip(MOMENTS, covariance(df), strict=True)})
+    rows = origin(df).withColumn("__w", weight(df)).withColumns({f"__{m}": c for m, c in zip(MOMENTS, covariance(df), strict=True)})
     w = F.col("__w")
     mean = lambda c: F.sum(w * c) / F.sum(w)
-    axis = [F.col(a) for a in POSITION]
+    axis = [F.col(a) - F.col(f"o_{a}") for a in POSITION]
+    places = [(F.min(f"o_{a}") + mean(axis[i])).alias(a) for i, a in enumerate(POSITION)]
     spread = [(mean(F.col(f"__{m}")) + mean(axis[a] * axis[b]) - mean(axis[a]) * mean(axis[b])).alias(m) for m, (a, b) in zip(MOMENTS, PAIRS, strict=True)]
     rest = [F.array_compact(F.array(*(mean(F.get("f_rest", F.lit(i))) for i in range(REST)))).cast("array<float>").alias("f_rest")] if "f_rest" in df.columns else []
     own = [F.min(c).alias(c) for c in (*scales, *QUATERNION, "opacity")]  # of use where one row is a group
-    out = rows.groupBy(*group).agg(*(mean(F.col(c)).alias(c) for c in (*POSITION, *COLOUR)), *rest, *own, *spread, F.sum(w).alias("__w"), F.count(F.lit(1)).alias("merged"))
+    out = rows.groupBy(*group).agg(*places, *(mean(F.col(c)).alias(c) for c in COLOUR), *rest, *own, *spread, F.sum(w).alias("__w"), F.count(F.lit(1)).alias("merged"))
     xx, xy, xz, yy, yz, zz = (F.col(m) for m in MOMENTS)
     volume = F.sqrt(F.greatest(xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz), F.lit(THINNEST**3)))
     p = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), w / volume))
@@ -96,10 +105,10 @@ def _uniform(ranked: DataFrame, ratio: float) -> DataFrame:
 
 def cell_targets(ranked: DataFrame, ratio: float) -> DataFrame:
     """scene_id, tile, cell, size, quota: quotas sum to the tile's target, each between one and the cell's size where that fits."""
-    cells = ranked.withColumn("cell", F.floor(F.col("rank") / 64))
+    cells = origin(ranked).withColumn("cell", F.floor(F.col("rank") / 64))
     w = weight(ranked)
-    var = lambda c: F.sum(w * F.col(c) * F.col(c)) / F.sum(w) - F.pow(F.sum(w * F.col(c)) / F.sum(w), 2)
-    error = sum((F.greatest(F.lit(0.0), var(c)) for c in (*POSITION, "f_dc_0", "f_dc_1", "f_dc_2")), F.lit(0.0))
+    var = lambda c: F.sum(w * c * c) / F.sum(w) - F.pow(F.sum(w * c) / F.sum(w), 2)
+    error = sum((F.greatest(F.lit(0.0), var(c)) for c in (*(F.col(a) - F.col(f"o_{a}") for a in POSITION), *map(F.col, COLOUR))), F.lit(0.0))
     stat = cells.groupBy(*BY, "n", "cell").agg(F.count(F.lit(1)).alias("size"), F.round(error, 6).alias("error"))
     by, tile = Window.partitionBy(*BY), target(F.col("n"), ratio)
     share = (F.col("error") + F.lit(1e-6)) * F.col("size")
@@ -155,7 +164,8 @@ def merge_moments(merged: DataFrame) -> DataFrame:
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out, some = f[[k.name for k in kept]].copy(), np.flatnonzero(f["merged"].to_numpy() > 1)
+            whole = np.isfinite(f[MOMENTS].to_numpy(dtype=float)).all(axis=1)  # beyond a double: scales and turn of one row stay
+            out, some = f[[k.name for k in kept]].copy(), np.flatnonzero((f["merged"].to_numpy() > 1) & whole)
             if len(some):
                 values, v = np.linalg.eigh(f[MOMENTS].to_numpy(dtype=float)[some][:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3))
                 values, v = np.maximum(values[:, ::-1], THINNEST), v[:, :, ::-1].copy()

@@ -2,6 +2,7 @@
 
 import json
 import math
+import time
 
 import numpy as np
 import pytest
@@ -72,11 +73,20 @@ def _cloud(spark, n=400):
     )
 
 
+def _down(tree, row):
+    path = ""
+    while tree[path]["axis"] >= 0:
+        n, v = tree[path], row["xyz"[tree[path]["axis"]]]
+        path += "L" if v is not None and (v < n["split"] or n["ties_left"] and v == n["split"]) else "R"
+    return tree[path]["tile"]
+
+
 def test_levels_are_exact_and_leaves_cover_all(spark):
     c = _cloud(spark)
     nodes = cloud.plan_kd_tiles(c, c.groupBy("scene_id").agg(F.count("*").alias("n")), 120)
     tiled = cloud.assign_tile(c, nodes)
-    assert {(r["scene_id"], r["record_no"]): r["tile"] for r in tiled.collect()} == {(r["scene_id"], r["record_no"]): r["tile"] for r in cloud._assign_by_level(c, nodes).collect()}
+    tree = {r["path"]: r for r in nodes.collect()}
+    assert all(r["tile"] == _down(tree, r) for r in tiled.collect())
     for method in ("uniform", "adaptive"):
         built = lod.build_levels(tiled, 3, method=method)
         n = {(r["lod"], r["tile"]): r["count"] for r in built.groupBy("lod", "tile").count().collect()}
@@ -380,3 +390,87 @@ def test_a_shared_folder_is_asked_for_off_this_machine():
         shared_path(Session(), "x")
 
 
+
+
+def test_ten_thousand_leaves_are_one_function_of_the_plan(spark):
+    c = spark.range(40_000).select(F.lit("s").alias("scene_id"), F.col("id").alias("record_no"), *((F.xxhash64("id", F.lit(i)) % 100_000).cast("double").alias(a) for i, a in enumerate("xyz")))
+    c = c.withColumn("x", F.when(F.col("record_no") == 7, float("nan")).when(F.col("record_no") != 8, F.col("x"))).union(c.limit(5).withColumn("scene_id", F.lit("no tree")))
+    nodes = cloud.plan_kd_tiles(c.where("scene_id = 's'").na.fill(0.0), c.where("scene_id = 's'").groupBy("scene_id").agg(F.count("*").alias("n")), 4)
+    tiled = cloud.assign_tile(c, nodes)
+    plan = tiled._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and len(plan) < 4_000
+    tree, rows = {r["path"]: r for r in nodes.collect()}, tiled.collect()
+    assert sum(r["axis"] < 0 for r in tree.values()) >= 10_000
+    assert all(r["tile"] == (_down(tree, r) if r["scene_id"] == "s" else None) for r in rows)
+
+
+def test_a_join_of_decimated_tiles_is_planned_at_once(spark):
+    c = _cloud(spark)
+    nodes = cloud.plan_kd_tiles(c, c.groupBy("scene_id").agg(F.count("*").alias("n")), 6)
+    tiled = cloud.assign_tile(c, nodes)
+    n = tiled.groupBy("scene_id", "tile").agg(F.count("*").alias("before"))
+    joined = lod.decimate(tiled, 0.5, "adaptive").groupBy("scene_id", "tile").agg(F.count("*").alias("after")).join(n, ["scene_id", "tile"])
+    began = time.time()
+    joined._jdf.queryExecution().executedPlan()
+    assert time.time() - began < 4
+
+
+@pytest.mark.parametrize("faint", [{"opacity": -800.0}, {"scale_0": -260.0, "scale_1": -260.0, "scale_2": -260.0}])
+def test_rows_too_faint_for_a_double_weigh_alike(spark, faint):
+    c = _cloud(spark, 40).withColumns({"tile": F.lit(0), **{k: F.lit(v) for k, v in faint.items()}})
+    for method in ("uniform", "adaptive"):
+        out = lod.decimate(c, 0.1, method).collect()
+        assert sum(r["merged"] for r in out) == 40 and all(math.isfinite(r[k]) for r in out for k in ("x", "y", "z", "opacity", "scale_0", "rot_0"))
+    assert lod.decimate(c, 1e-9).first()["x"] == pytest.approx(9.5)
+
+
+def test_moments_far_from_the_origin_keep_their_digits(spark):
+    rows = [(1e6 + i * 1e-3, -3e6 + i * 2e-3, 5e5, 0.1, 0.1, 0.1, 1.0, -12.0, -12.0, -12.0, 1.0, 0.0, 0.0, 0.0, [0.0] * 9) for i in range(4)]
+    near = [(i * 1e-3, i * 2e-3, 0.0, *r[3:]) for i, r in enumerate(rows)]
+    far, close = (lod.decimate(_splats(spark, r), 0.25).first() for r in (rows, near))
+    assert all(far[k] == pytest.approx(close[k], abs=1e-4) for k in ("scale_0", "scale_1", "scale_2", "opacity"))
+    quotas = [[tuple(r) for r in lod.cell_targets(lod._ranked(_splats(spark, [(x + shift, y, z, *rest) for x, y, z, *rest in near * 40])), 0.5).orderBy("cell").collect()] for shift in (0.0, 1e6)]
+    assert quotas[0] == quotas[1]
+
+
+def test_moments_beyond_a_double_stop_nothing(spark):
+    c = _cloud(spark, 4).withColumns({"tile": F.lit(0), "scale_0": F.lit(800.0)})
+    assert lod.decimate(c, 0.5).count() == 2
+
+
+def test_scrubbed_json_is_json_whatever_comes_in(spark):
+    deep = '{"stage":' + "[" * 100_000 + "]" * 100_000 + "}"
+    rows = [('{"stage":"\\ud800x","input":{"\\udfff":1}}',), (deep,), ('{"stage":NaN,"input":[1e999,-Infinity,1.5]}',), ('{"stage":"ok"}',)]
+    got = [r[0] for r in spark.createDataFrame(rows, "d string").select(S.scrub_json("d")).collect()]
+    assert got == ['{"stage":"\ufffdx","input":{"\ufffd":1}}', None, '{"stage":null,"input":[null,null,1.5]}', '{"stage":"ok"}']
+
+
+def test_event_values_are_strings_of_their_own_property(spark):
+    given = ['{"a":{"count":"1"},"count":7}', '{"count":"7"}', '"12"', "7", '{"count":null}', "{broken", None, '[{"count":"7"}]', '{"count":{"count":"7"}}', '{"x":"\\"count\\":\\"9\\"","count":8}', '{"count":"1234"}']
+    raw = spark.createDataFrame([("queue_add", p) for p in given] + [("lead_submit", '"7"'), ("page_view", '{"lang":"en"}'), ("unknown", None)], "e string, p string")
+    accepted, rejected = telemetry.clean_events(raw.withColumn("i", F.monotonically_increasing_id()).coalesce(1))
+    assert [r["value"] for r in accepted.orderBy("i").collect()] == [None, "7", "12", *[None] * 8, None, "en"] and rejected.count() == 1
+
+
+def test_reports_without_a_time_repeat_none(spark):
+    rows = [("k", 1, 10.0), ("k", 2, None), ("k", 3, 20.0), ("j", 4, None)]
+    out = folds.dedup_window(spark.createDataFrame(rows, "key string, id long, at double"), ["key"], 100)
+    assert {r["id"]: r["repeat_of"] for r in out.collect()} == {1: None, 2: None, 3: 1, 4: None}
+
+
+def test_audit_finds_units_and_scenes_that_nothing_names(spark):
+    entries = spark.createDataFrame([("a", "lod-meta.json", 1), ("a", "0_0/meta.json", 1), ("b", "0_0/meta.json", 1), ("b", "odd.txt", 1)], "scene_id string, name string, size long")
+    units = spark.createDataFrame([("a", "0_0", 5, ["meta.json"])], "scene_id string, file string, rows long, files array<string>")
+    leaves = spark.createDataFrame([], "scene_id string, lod int, file string, offset long, n long")
+    manifest = spark.createDataFrame([("a", 1, 0, [], 0)], "scene_id string, version int, count long, counts array<long>, lod_levels int")
+    found = {(r["scene_id"], r["rule"], r["subject"]) for r in audit.audit_manifest(manifest, leaves, units, entries).collect()}
+    assert found == {("a", "V13", "0_0"), ("b", "V2", "lod-meta.json"), ("b", "V1", "odd.txt")}
+
+
+def test_orientation_of_scenes_with_points_that_are_none(spark):
+    rng = np.random.default_rng(4)
+    flat = [("s", *map(float, p)) for p in np.column_stack([rng.uniform(-50, 50, 900), rng.exponential(1.5, 900), rng.uniform(-50, 50, 900)])]
+    odd = [("s", float("nan"), 0.0, 0.0), ("s", None, 1.0, 2.0), ("s", float("inf"), 1.0, 2.0), ("none", float("nan"), 1.0, 1.0), *(("far", 1e200 * i, 1.0 * i, -1e190 * i) for i in range(200))]
+    schema = "scene_id string, x double, y double, z double"
+    got = {r["scene_id"]: tuple(r) for r in cloud.auto_orient(spark.createDataFrame(flat + odd, schema)).collect()}
+    assert got["s"] == tuple(cloud.auto_orient(spark.createDataFrame(flat, schema)).first()) and got["none"][3] == "?" and got["far"][3] == "?"
