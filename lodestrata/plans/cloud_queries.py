@@ -753,12 +753,38 @@ O["compare_manifests"] = """SELECT DISTINCT url AS name, CASE WHEN length(url) %
 def ply_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """The splat view written as PLY parts, triaged and read back; counts and sums must agree with the view."""
     folder = shared_path(spark, "ply")
-    rows = cloud.keep_splat_columns(splats(spark, d)).repartition(4, "record_no")
-    paths = [r["path"] for r in ply.write_ply_parts(rows, folder).collect()]  # a row per file
-    spark.dataSource.register(ply.SplatPly)
-    back = spark.read.format("splat_ply").option("path", folder + "/*.ply").option("records_per_split", 20_000).load()
+    ply.write_splats(cloud.keep_splat_columns(splats(spark, d)).repartition(4, "record_no").drop("scene_id"), folder)
+    paths = [f"{folder}/{f['name']}" for f in ply.committed(folder)]
+    back = ply.read_splats(spark, folder, 20_000)
     checked = ply.triage_inputs(spark, paths).agg(F.count_if("ok").alias("files"), F.sum("n").alias("declared"))
     return back.agg(F.count("*").alias("n"), F.round(F.sum(F.col("y").cast("double")), 1).alias("y"), F.round(F.sum(F.col("z").cast("double")), 1).alias("z")).crossJoin(checked)
 
 
 O["ply_round_trip"] = "SELECT count(*) AS n, round(sum(l_quantity), 1) AS y, round(sum(l_partkey % 1000)::DOUBLE, 1) AS z, CAST(4 AS BIGINT) AS files, count(*) AS declared FROM lineitem"
+
+
+def _stored_splats(spark: SparkSession, d: str) -> str:
+    """The splat view as a committed set of PLY files, in record order, large scenes in several files."""
+    folder = shared_path(spark, "splats")
+    rows = cloud.keep_splat_columns(splats(spark, d))
+    ply.write_splats(rows.repartitionByRange(6, "scene_id", "record_no").sortWithinPartitions("scene_id", "record_no"), folder)
+    return folder
+
+
+@query
+def ply_block_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The block sample, read from files of which only the blocks are opened."""
+    return ply.read_splats(spark, _stored_splats(spark, d), blocks=64, block_records=256).select("scene_id", "record_no", "block")
+
+
+O["ply_block_sample"] = O["block_sample"]
+
+
+@query
+def ply_record_range(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of one scene and range of records: the filters reach the files."""
+    rows = ply.read_splats(spark, _stored_splats(spark, d), 500).where("scene_id = 'N' AND record_no >= 1000 AND record_no < 3000")
+    return rows.select("scene_id", "record_no", F.round(F.col("x").cast("double"), 3).alias("x"), F.col("y").cast("double").alias("y"))
+
+
+O["ply_record_range"] = f"SELECT scene_id, record_no, round(CAST(x AS FLOAT)::DOUBLE, 3) AS x, y FROM ({SPLAT_SQL}) WHERE scene_id = 'N' AND record_no BETWEEN 1000 AND 2999"

@@ -141,10 +141,9 @@ def test_truncated_and_big_endian(spark, tmp_path):
     (tmp_path / "short.ply").write_bytes("\n".join(HEAD).encode() + b"\n1234")
     assert ply.triage_inputs(spark, [str(tmp_path / "short.ply")]).first()["code"] == "truncated"
     c = cloud.keep_splat_columns(_cloud(spark, 100)).withColumn("f_rest", F.array_repeat(F.col("x").cast("float"), 9))
-    paths = [r["path"] for r in ply.write_ply_parts(c.repartition(2), str(tmp_path / "out"), big_endian=True).collect()]
-    assert len(paths) == 2
-    spark.dataSource.register(ply.SplatPly)
-    back = spark.read.format("splat_ply").option("path", str(tmp_path / "out/*.ply")).option("records_per_split", 7).load()
+    ply.write_splats(c.repartition(2), str(tmp_path / "out"), big_endian=True)
+    assert len(ply.committed(str(tmp_path / "out"))) == 2
+    back = ply.read_splats(spark, str(tmp_path / "out"), 7)
     assert back.agg(F.count("*"), F.sum("x"), F.sum(F.get("f_rest", 8))).first() == c.agg(F.count("*"), F.sum("x"), F.sum(F.get("f_rest", 8))).first()
 
 
@@ -474,3 +473,99 @@ def test_orientation_of_scenes_with_points_that_are_none(spark):
     schema = "scene_id string, x double, y double, z double"
     got = {r["scene_id"]: tuple(r) for r in cloud.auto_orient(spark.createDataFrame(flat + odd, schema)).collect()}
     assert got["s"] == tuple(cloud.auto_orient(spark.createDataFrame(flat, schema)).first()) and got["none"][3] == "?" and got["far"][3] == "?"
+
+
+def _stored(spark, path, n=30_000, parts=3):
+    c = cloud.keep_splat_columns(_cloud(spark, n)).union(cloud.keep_splat_columns(_cloud(spark, 500).withColumn("scene_id", F.lit("t"))))
+    ply.write_splats(c.repartitionByRange(parts, "scene_id", "record_no").sortWithinPartitions("scene_id", "record_no"), path)
+    return c
+
+
+class _Counted:
+    """A file system whose reads are counted."""
+
+    def __init__(self, fs, seen):
+        self.fs, self.seen = fs, seen
+
+    def __getattr__(self, name):
+        return getattr(self.fs, name)
+
+    def open_input_file(self, path):
+        fs = self
+
+        class File:
+            def __init__(self):
+                self.file = fs.fs.open_input_file(path)
+
+            def __enter__(self):
+                return self
+
+            def __exit__(self, *_):
+                self.file.close()
+
+            def seek(self, at):
+                self.file.seek(at)
+
+            def read(self, n):
+                out = self.file.read(n)
+                fs.seen.append((path, len(out)))
+                return out
+
+        return File()
+
+
+def test_a_block_sample_opens_only_its_blocks(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "out")
+    c = _stored(spark, path, 60_000)
+    blocks, size = 5, 20
+    want = {(r["scene_id"], r["record_no"], r["block"]) for r in cloud.block_sample(c, blocks, size).collect()}
+    got = ply.read_splats(spark, path, blocks=blocks, block_records=size)
+    assert {(r["scene_id"], r["record_no"], r["block"]) for r in got.collect()} == want
+    seen, plain = [], ply.located
+    monkeypatch.setattr(ply, "located", lambda p: (_Counted(plain(p)[0], seen), plain(p)[1]))
+    reader = ply.SplatPly({"path": path, "blocks": str(blocks), "block_records": str(size)}).reader(got.schema)
+    rows = sum(b.num_rows for part in reader.partitions() for b in reader.read(part))
+    total = sum(f.stat().st_size for f in (tmp_path / "out").rglob("*.ply"))
+    assert rows == len(want) and sum(n for _, n in seen) < 0.01 * total
+
+
+def test_filters_leave_out_files_and_ranges(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "out")
+    c = _stored(spark, path, 9_000, 4)
+    seen, plain = [], ply.located
+    for where in ("scene_id = 't'", "record_no = 77", "record_no > 8990 AND scene_id = 's'", "record_no IN (1, 8000, 99999, NULL)", "record_no <= 3 AND record_no >= 2", "scene_id IN ('s', 'q') AND record_no < 5", "record_no < 0", "scene_id <=> 't' AND y < 3"):
+        df = ply.read_splats(spark, path, 500).where(where)
+        assert {(r["scene_id"], r["record_no"]) for r in df.collect()} == {(r["scene_id"], r["record_no"]) for r in c.where(where).collect()}, where
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual
+
+    monkeypatch.setattr(ply, "located", lambda p: (_Counted(plain(p)[0], seen), plain(p)[1]))
+    reader = ply.SplatPly({"path": path, "push_filters": "true", "records_per_split": "500"}).reader(df.schema)
+    given = [EqualTo(("scene_id",), "s"), GreaterThanOrEqual(("record_no",), 8_990)]
+    assert list(reader.pushFilters(given)) == given
+    parts = reader.partitions()
+    assert len(parts) == 1 and sum(b.num_rows for b in reader.read(parts[0])) == 10
+    assert not any("-00000-" in p and n > 5000 for p, n in seen)
+
+
+def test_a_set_of_files_is_seen_whole_or_not_at_all(spark, tmp_path):
+    path, c = str(tmp_path / "out"), cloud.keep_splat_columns(_cloud(spark, 300))
+    write = lambda df, **k: ply.write_splats(df, path, **k)
+    write(c.repartition(3))
+    before = ply.committed(path)
+    odd = c.withColumn("x", F.when(F.col("record_no") == 250, F.raise_error(F.lit("late"))).otherwise(F.col("x")))
+    with pytest.raises(Exception, match="late"):
+        write(odd.repartition(3))
+    assert ply.committed(path) == before and ply.read_splats(spark, path).count() == 300
+    assert len([d for d in (tmp_path / "out").iterdir() if d.is_dir()]) == 1
+    # a task that runs twice: only the files of the message that Spark commits count
+    sink = ply.SplatPlyWriter(path, c.columns, False, True)
+    message = ply.Written(0, [(before[0]["name"].replace("part", "other"), "s", 5)])
+    assert message.files and sink.folder not in {f["name"].split("/")[0] for f in before}
+    reader = ply.read_splats(spark, path)  # planned before the next set replaces this one
+    write(c.limit(10).coalesce(1))
+    assert ply.read_splats(spark, path).count() == 10 and len(ply.committed(path)) == 1 and reader.limit(0).count() == 0
+    write(c.limit(7).coalesce(1), mode="append")
+    assert sorted(r["record_no"] for r in ply.read_splats(spark, path).collect()) == list(range(17))
+    assert len([d for d in (tmp_path / "out").iterdir() if d.is_dir()]) == 2
+    with pytest.raises(Exception, match="one length"):
+        write(c.withColumn("f_rest", F.array_repeat(F.lit(1.0), F.when(F.col("record_no") > 5, 9).otherwise(24))).coalesce(1))
