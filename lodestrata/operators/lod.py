@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lodestrata.functions import scalars as S
 from lodestrata.operators.cloud import POSITION, finite, morton_code, zorder_rows
@@ -91,6 +92,7 @@ def decimate(df: DataFrame, ratio: float = 0.5, method: str = "uniform") -> Data
 
     uniform: groups of equal size along the curve. adaptive: cells of about 64 rows get rows by their local error
     (weighted variance of position and colour) with largest remainders, then groups of equal size inside a cell.
+    pairs: neighbours are merged two by two, each time those whose merging adds least to the square error.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}; known: {', '.join(METHODS)}")
@@ -140,7 +142,97 @@ def _adaptive(ranked: DataFrame, ratio: float) -> DataFrame:
     return cells.withColumn("grp", group)
 
 
-METHODS = {"uniform": _uniform, "adaptive": _adaptive}
+#: Rows of a tile that one task pairs at most: longer tiles are paired in stretches of the Z-order curve.
+STRETCH = 200_000
+#: Neighbours along a curve that a row may be paired with, and the shifts (in cells) of the curves that are looked at.
+NEAR, SHIFTS = 8, (0, 341)
+
+
+def _curve(p: np.ndarray, shift: int) -> np.ndarray:
+    """The order of points along a Z-order curve over their bounds, moved by some of its 1024 cells."""
+    low, extent = p.min(axis=0), np.ptp(p, axis=0)
+    cell = ((p - low) * (1023.0 / np.where(extent > 0, extent, 1.0))).astype(np.int64) + shift
+    code = np.zeros(len(p), dtype=np.int64)
+    for i in range(3):
+        for bit in range(11):
+            code |= (cell[:, i] >> bit & 1) << (3 * bit + i)
+    return np.argsort(code, kind="stable")
+
+
+def pair_merge(features: np.ndarray, weights: np.ndarray, goal: int) -> np.ndarray:
+    """Cluster numbers (0 .. goal - 1, in order of their first row) of rows merged pair by pair.
+
+    Merging two clusters costs w1 w2 / (w1 + w2) times the square of their distance, which is what the weighted square error
+    grows by. In a round each cluster looks at its neighbours along shifted curves through the first three features; pairs that
+    are each other's cheapest merge, the cheapest of them only where the goal is near. Ties go to the lower rows.
+    """
+    n = len(features)
+    label, x, w = np.arange(n), features.astype(float).copy(), weights.astype(float).copy()
+    while len(x) > goal:
+        m = len(x)
+        best, price = np.full(m, m), np.full(m, np.inf)
+        for shift in SHIFTS:
+            order = _curve(x[:, :3], shift)
+            for step in range(1, min(NEAR, m - 1) + 1):
+                i, j = order[:-step], order[step:]
+                cost = w[i] * w[j] / (w[i] + w[j]) * ((x[i] - x[j]) ** 2).sum(axis=1)
+                for own, other in ((i, j), (j, i)):  # no row twice among them
+                    less = (cost < price[own]) | (cost == price[own]) & (other < best[own])
+                    price[own[less]], best[own[less]] = cost[less], other[less]
+        mutual = np.flatnonzero((best[best] == np.arange(m)) & (np.arange(m) < best))
+        if not len(mutual):  # equal costs in a ring: the cheapest pair of all
+            mutual = np.array([np.lexsort((best, np.arange(m), price))[0]])
+        mutual = mutual[np.lexsort((mutual, price[mutual]))][: m - goal]
+        a, b = np.minimum(mutual, best[mutual]), np.maximum(mutual, best[mutual])
+        share = (w[b] / (w[a] + w[b]))[:, None]
+        x[a] += share * (x[b] - x[a])
+        w[a] += w[b]
+        keep = np.ones(m, dtype=bool)
+        keep[b] = False
+        new = np.cumsum(keep) - 1
+        new[b] = new[a]
+        label, x, w = new[label], x[keep], w[keep]
+    return label
+
+
+def _pairs(ranked: DataFrame, ratio: float) -> DataFrame:
+    """Groups of rows that are merged pair by pair: see ``pair_merge``. The cost counts position (in parts of the tile's extent)
+    and colour. A tile is one task's work up to STRETCH rows; of longer ones each stretch gets its share of the target."""
+    goal = target(F.col("n"), ratio)
+    stretch = F.floor(F.col("rank") / STRETCH)
+    upto = lambda r: F.floor(F.least(r, F.col("n")) * goal / F.col("n"))
+    begin = upto(stretch * STRETCH)
+    rows = ranked.withColumns({"__stretch": stretch, "__w": weight(ranked), "__begin": begin, "__goal": upto((stretch + 1) * STRETCH) - begin})
+    schema = StructType([*ranked.schema.fields, StructField("grp", LongType())])
+    names = ranked.columns
+
+    def merge(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rank")
+        p = np.column_stack([table[c].to_numpy() for c in POSITION]).astype(float)
+        colour = np.column_stack([table[c].to_numpy() for c in COLOUR]).astype(float)
+        p, colour = np.nan_to_num(p, posinf=0.0, neginf=0.0), np.nan_to_num(colour, posinf=0.0, neginf=0.0)
+        scale = max(float(np.ptp(p, axis=0).max()), 1e-30)
+        label = pair_merge(np.hstack([(p - p.min(axis=0)) / scale, colour / 16]), table["__w"].to_numpy(), max(1, table["__goal"][0].as_py()))
+        return pa.Table.from_arrays([*(table[c] for c in names), pa.array(label + table["__begin"][0].as_py(), pa.int64())], [*names, "grp"])
+
+    return rows.groupBy(*BY, "__stretch").applyInArrow(merge, schema)
+
+
+METHODS = {"uniform": _uniform, "adaptive": _adaptive, "pairs": _pairs}
+
+
+def decimation_error(df: DataFrame, ratio: float = 0.5, method: str = "uniform") -> DataFrame:
+    """Per scene: rows, groups, weighted root mean square distance of the rows from what they merge into, and its PSNR over the
+    largest extent, in dB."""
+    grouped = origin(METHODS[method](_ranked(df), ratio)).withColumn("__w", weight(df))
+    w = F.col("__w")
+    place = [F.col(a) - F.col(f"o_{a}") for a in POSITION]
+    spread = sum((F.sum(w * v * v) - F.sum(w * v) * F.sum(w * v) / F.sum(w) for v in place), F.lit(0.0))
+    ends = [f(a).alias(f"{k}_{a}") for a in POSITION for k, f in (("lo", F.min), ("hi", F.max))]
+    groups = grouped.groupBy(*BY, "grp").agg(F.greatest(spread, F.lit(0.0)).alias("e"), F.sum(w).alias("w"), F.count(F.lit(1)).alias("n"), *ends)
+    extent = F.greatest(*(F.max(f"hi_{a}") - F.min(f"lo_{a}") for a in POSITION))
+    out = groups.groupBy("scene_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"), F.sqrt(F.sum("e") / F.sum("w")).alias("rmse"), extent.alias("span"))
+    return out.withColumn("psnr", F.when(F.col("rmse") > 0, 20 * F.log10(F.col("span") / F.col("rmse"))))
 
 
 def _turns(v: np.ndarray) -> np.ndarray:
@@ -427,6 +519,109 @@ def unit_palettes(df: DataFrame, by: list[str], vec: str, k: int, iterations: in
     return found.where("n IS NULL").select(*by, row, "label"), found.where("n IS NOT NULL").select(*by, "label", vec, "n")
 
 
+#: Entries of a palette, and least cells of the histogram that it is found on.
+PALETTE, LEAST_CELLS = 256, 2048
+
+
+def optimal_palette(values: np.ndarray, k: int = PALETTE) -> np.ndarray:
+    """At most ``k`` centres that leave the least square error of all choices of cuts between cells.
+
+    Cells are the distinct values, or the cells of a histogram where there are more; each knows its count and sum exactly. The
+    bounds of k equal steps are bounds of cells, so the palette leaves no more error than they do. The best last cut of the first cells never moves back as cells are added, so a layer of the dynamic programme halves its ranges
+    level by level, all of a level in one numpy step.
+    """
+    values = values[np.isfinite(values)]
+    if not len(values):
+        return np.zeros(0)
+    steps = max(1, k - 1)
+    cells = steps * 2 * -(-LEAST_CELLS // (2 * steps))
+    distinct, number = np.unique(values, return_inverse=True)
+    if len(distinct) > cells:
+        low, high = distinct[0], distinct[-1]
+        number = np.minimum(((values - low) * (cells / (high - low))).astype(np.int64), cells - 1)
+        number = np.unique(number, return_inverse=True)[1]
+    count = np.bincount(number).astype(float)
+    middle = np.median(distinct)
+    total, square = np.bincount(number, values - middle), np.bincount(number, (values - middle) ** 2)
+    if len(count) <= k:
+        return total / count + middle
+    c, t, s = (np.concatenate([[0.0], np.cumsum(v)]) for v in (count, total, square))
+    error = lambda i, j: s[j] - s[i] - (t[j] - t[i]) ** 2 / np.maximum(c[j] - c[i], 1)  # noqa: E731  of cells i .. j - 1
+    n = len(count)
+    cost, cuts = error(np.zeros(n + 1, np.int64), np.arange(n + 1)), []
+    for layer in range(1, k):
+        now, cut = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=np.int64)
+        low, high, first, last = (np.array([v]) for v in (layer + 1, n, layer, n))  # ranges of ends, and of their best cuts
+        while len(low):
+            mid = (low + high) // 2
+            top = np.minimum(last, mid - 1)
+            size = np.maximum(top - first + 1, 1)
+            begin = np.cumsum(size) - size
+            at = np.repeat(first - begin, size) + np.arange(int(size.sum()))
+            price = cost[at] + error(at, np.repeat(mid, size))
+            now[mid] = np.minimum.reduceat(price, begin)
+            hit = np.flatnonzero(price == np.repeat(now[mid], size))
+            cut[mid] = at[hit[np.searchsorted(hit, begin)]]
+            left, right = low <= mid - 1, mid + 1 <= high
+            low, high, first, last = (np.concatenate(v) for v in ((low[left], mid[right] + 1), (mid[left] - 1, high[right]), (first[left], cut[mid][right]), (cut[mid][left], last[right])))
+        cost = now
+        cuts.append(cut)
+    bounds = [n]
+    for cut in reversed(cuts):
+        bounds.append(int(cut[bounds[-1]]))
+    edges = np.array([0, *bounds[::-1]])
+    return (t[edges[1:]] - t[edges[:-1]]) / (c[edges[1:]] - c[edges[:-1]]) + middle
+
+
+#: Columns that share a palette.
+SHARED = {"scale": SCALES, "colour": COLOUR}
+
+
+def attribute_palettes(df: DataFrame, by: list[str], groups: dict[str, list[str]] | None = None, k: int = PALETTE, row: str = "record_no") -> tuple[DataFrame, DataFrame]:
+    """Palettes of a unit for its scales and its colours, each the best for all columns of its group together.
+
+    Returns labels (unit, row, p_<column>; null for values that are no numbers) and palettes (unit, name, label, centre, n).
+    ``pack_units`` bounds the rows of a unit; units are worked on side by side.
+    """
+    groups = {name: [c for c in columns if c in df.columns] for name, columns in (groups or SHARED).items()}
+    kinds, columns = dict(df.dtypes), [c for held in groups.values() for c in held]
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*by, row)) + "".join(f", `p_{c}` int" for c in columns) + ", name string, label int, centre double, n long"
+
+    def fit(table: pa.Table) -> pa.Table:
+        labels, rows = {}, []
+        for name, held in groups.items():
+            x = np.column_stack([table[c].to_numpy().astype(float) for c in held])
+            centres = optimal_palette(x.ravel(), k)
+            good = np.isfinite(x)
+            label = np.searchsorted((centres[1:] + centres[:-1]) / 2, np.where(good, x, 0.0), side="right") if len(centres) else np.zeros(x.shape, np.int64)
+            size = np.bincount(label[good], minlength=len(centres))
+            rows += [(name, i, float(v), int(size[i])) for i, v in enumerate(centres)]
+            for i, c in enumerate(held):
+                labels[c] = pa.array(label[:, i].astype(np.int32), mask=~good[:, i])
+        n, m = table.num_rows, len(rows)
+        unit = [pa.array([table[b][0].as_py()] * (n + m), table.schema.field(b).type) for b in by]
+        blank = lambda kind, many: pa.nulls(many, kind)
+        own = [pa.concat_arrays([table[row].combine_chunks(), blank(table.schema.field(row).type, m)]), *(pa.concat_arrays([labels[c], blank(pa.int32(), m)]) for c in columns)]
+        named = [pa.concat_arrays([blank(t, n), pa.array([r[i] for r in rows], t)]) for i, t in enumerate((pa.string(), pa.int32(), pa.float64(), pa.int64()))]
+        return pa.Table.from_arrays([*unit, *own, *named], [*by, row, *(f"p_{c}" for c in columns), "name", "label", "centre", "n"])
+
+    found = persisted(df.select(*by, row, *columns).groupBy(*by).applyInArrow(fit, schema), "palettes")
+    return found.where("name IS NULL").select(*by, row, *(f"p_{c}" for c in columns)), found.where("name IS NOT NULL").select(*by, "name", "label", "centre", "n")
+
+
+def palette_error(df: DataFrame, by: list[str], labels: DataFrame, palettes: DataFrame, groups: dict[str, list[str]] | None = None, row: str = "record_no") -> DataFrame:
+    """Per unit and palette: root mean square error of its palette (rmse) and of PALETTE equal steps over the same values (rmse_steps)."""
+    groups = {name: [c for c in columns if c in df.columns] for name, columns in (groups or SHARED).items()}
+    parts = [F.struct(F.lit(name).alias("name"), F.lit(c).alias("column"), F.col(c).cast("double").alias("v"), F.col(f"p_{c}").alias("label")) for name, held in groups.items() for c in held]
+    long = df.join(labels, [*by, row]).select(*by, F.explode(F.array(*parts)).alias("x")).select(*by, "x.*").where(finite(F.col("v")))
+    ends = long.groupBy(*by, "name").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    step = (F.col("hi") - F.col("lo")) / (PALETTE - 1)
+    stepped = F.when(step > 0, F.col("lo") + S.nearest((F.col("v") - F.col("lo")) / step) * step).otherwise(F.col("lo"))
+    all_ = long.join(palettes.select(*by, "name", "label", "centre"), [*by, "name", "label"]).join(ends, [*by, "name"])
+    root = lambda e: F.sqrt(F.avg(F.pow(F.col("v") - e, 2)))
+    return all_.groupBy(*by, "name").agg(F.count(F.lit(1)).alias("n"), root(F.col("centre")).alias("rmse"), root(stepped).alias("rmse_steps"))
+
+
 BYTES = [*SCALES, *COLOUR, "opacity"]
 
 

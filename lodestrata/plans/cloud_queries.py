@@ -788,3 +788,60 @@ def ply_record_range(spark: SparkSession, d: str) -> DataFrame:
 
 
 O["ply_record_range"] = f"SELECT scene_id, record_no, round(CAST(x AS FLOAT)::DOUBLE, 3) AS x, y FROM ({SPLAT_SQL}) WHERE scene_id = 'N' AND record_no BETWEEN 1000 AND 2999"
+
+
+def _in_units(spark: SparkSession, d: str) -> DataFrame:
+    """The splat view in units of 500 records."""
+    return _once(spark, d).withColumn("unit", F.floor(F.col("record_no") / 500))
+
+
+@query
+def attribute_palettes(spark: SparkSession, d: str) -> DataFrame:
+    """The error that the best palettes of four leave in scales and colours, and how many values each has."""
+    units = _in_units(spark, d)
+    labels, palettes = lod.attribute_palettes(units, ["scene_id", "unit"], k=4)
+    error = lod.palette_error(units, ["scene_id", "unit"], labels, palettes)
+    size = palettes.groupBy("scene_id", "unit", "name").agg(F.sum("n").alias("labelled"))
+    return error.join(size, ["scene_id", "unit", "name"]).select("scene_id", "unit", "name", "n", "labelled", F.round("rmse", 5).alias("rmse"))
+
+
+def _palette_sql(k: int) -> str:
+    """The dynamic programme over distinct values, a layer at a time."""
+    values = " UNION ALL ".join(f"SELECT scene_id, record_no // 500 AS unit, '{name}' AS name, {c}::DOUBLE AS v FROM ({SPLAT_SQL})" for name, held in lod.SHARED.items() for c in held)
+    parts = [
+        f"x AS MATERIALIZED (SELECT scene_id, unit, name, v, count(*) AS c FROM ({values}) GROUP BY ALL)",
+        """d AS MATERIALIZED (SELECT scene_id, unit, name, row_number() OVER w AS i, sum(c) OVER w AS c, sum(c * (v - m)) OVER w AS t, sum(c * (v - m) * (v - m)) OVER w AS s
+           FROM (SELECT *, avg(v) OVER (PARTITION BY scene_id, unit, name) AS m FROM x) WINDOW w AS (PARTITION BY scene_id, unit, name ORDER BY v))""",
+        "z AS MATERIALIZED (SELECT * FROM d UNION ALL SELECT DISTINCT scene_id, unit, name, 0, 0, 0, 0 FROM d)",
+        """e AS MATERIALIZED (SELECT a.scene_id, a.unit, a.name, a.i AS i, b.i AS j, (b.s - a.s) - (b.t - a.t) * (b.t - a.t) / (b.c - a.c) AS e
+           FROM z AS a JOIN z AS b ON a.scene_id = b.scene_id AND a.unit = b.unit AND a.name = b.name AND a.i < b.i)""",
+        "l1 AS MATERIALIZED (SELECT scene_id, unit, name, j, e FROM e WHERE i = 0)",
+    ]
+    for n in range(2, k + 1):
+        parts.append(f"l{n} AS MATERIALIZED (SELECT scene_id, unit, name, j, min(e) AS e FROM (SELECT * FROM l{n - 1} UNION ALL SELECT e.scene_id, e.unit, e.name, e.j, l.e + e.e FROM l{n - 1} AS l JOIN e ON l.scene_id = e.scene_id AND l.unit = e.unit AND l.name = e.name AND l.j = e.i) GROUP BY ALL)")
+    return f"WITH {', '.join(parts)} SELECT scene_id, unit, name, CAST(c AS BIGINT) AS n, CAST(c AS BIGINT) AS labelled, round(sqrt(greatest(0, e) / c), 5) AS rmse FROM l{k} JOIN d USING (scene_id, unit, name) WHERE d.i = l{k}.j QUALIFY row_number() OVER (PARTITION BY scene_id, unit, name ORDER BY d.i DESC) = 1"
+
+
+O["attribute_palettes"] = _palette_sql(4)
+
+
+@query
+def decimate_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that pair merging leaves of each tile, those that went into them, and their greatest number."""
+    return lod.decimate(_tiled(spark, d), 0.5, "pairs").groupBy("scene_id", "tile").agg(F.count("*").alias("after"), F.sum("merged").alias("merged"), F.max("record_no").alias("last"))
+
+
+O["decimate_pairs"] = f"{KD} SELECT scene_id, CAST(tile AS INT) AS tile, greatest(1, CAST(floor(count(*) * 0.5 + 0.5) AS BIGINT)) AS after, count(*) AS merged, greatest(1, CAST(floor(count(*) * 0.5 + 0.5) AS BIGINT)) - 1 AS last FROM g GROUP BY ALL"
+
+
+@query
+def decimation_error(spark: SparkSession, d: str) -> DataFrame:
+    """What merging along the curve costs: rows, groups and the distance of rows from what they merge into, by scene."""
+    return lod.decimation_error(_tiled(spark, d)).select("scene_id", "n", "groups", F.round("rmse", 4).alias("rmse"), F.round("psnr", 3).alias("psnr"))
+
+
+_APART = " + ".join(f"greatest(0, sum(w * {a} * {a}) - sum(w * {a}) * sum(w * {a}) / sum(w))" for a in AXES)
+O["decimation_error"] = f"""{KD}, m AS (SELECT *, {_W} AS w, rank * greatest(1, CAST(floor(n * 0.5 + 0.5) AS BIGINT)) // n AS grp FROM ({_OWN.format(ranked=RANKED)})),
+e AS (SELECT scene_id, tile, grp, count(*) AS n, sum(w) AS w, {_APART} AS e, {", ".join(f"{k}({a}) AS {k}_{a}" for a in AXES for k in ("min", "max"))} FROM m GROUP BY scene_id, tile, grp),
+s AS (SELECT scene_id, CAST(sum(n) AS BIGINT) AS n, count(*) AS groups, sqrt(sum(e) / sum(w)) AS rmse, greatest({", ".join(f"max(max_{a}) - min(min_{a})" for a in AXES)}) AS span FROM e GROUP BY scene_id)
+SELECT scene_id, n, groups, round(rmse, 4) AS rmse, round(20 * log10(span / rmse), 3) AS psnr FROM s"""

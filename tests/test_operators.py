@@ -1,5 +1,6 @@
 """Golden numbers, negative controls, round trips, and streams against batches."""
 
+import itertools
 import json
 import math
 import time
@@ -569,3 +570,74 @@ def test_a_set_of_files_is_seen_whole_or_not_at_all(spark, tmp_path):
     assert len([d for d in (tmp_path / "out").iterdir() if d.is_dir()]) == 2
     with pytest.raises(Exception, match="one length"):
         write(c.withColumn("f_rest", F.array_repeat(F.lit(1.0), F.when(F.col("record_no") > 5, 9).otherwise(24))).coalesce(1))
+
+
+@pytest.mark.parametrize(("n", "k"), [(1, 4), (3, 4), (9, 3), (14, 4), (20, 2), (12, 1), (11, 5)])
+def test_palettes_are_the_best_of_all_cuts(n, k):
+    rng = np.random.default_rng(n * k)
+    v = np.sort(np.round(rng.normal(size=n), 1)) if n % 2 else np.sort(rng.normal(size=n))
+    squared = lambda cut: sum(((v[a:b] - v[a:b].mean()) ** 2).sum() for a, b in zip((0, *cut), (*cut, n)))
+    want = min(squared(cut) for j in range(min(k, n)) for cut in itertools.combinations(range(1, n), j))
+    centres = lod.optimal_palette(rng.permutation(v), k)
+    assert len(centres) <= k and np.all(np.diff(centres) > 0) and ((v - centres[np.abs(v[:, None] - centres).argmin(axis=1)]) ** 2).sum() == pytest.approx(want, abs=1e-12)
+
+
+def test_palettes_leave_no_more_error_than_equal_steps(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for unit in range(4):
+        scale = [rng.normal(size=3000), rng.exponential(size=3000), rng.uniform(-1e6, 1e6, 3000), np.concatenate([rng.normal(size=2999), [1e5]])][unit]
+        rows += [("s", unit, i, *(float(scale[(i + j) % 3000]) for j in range(3)), 0.5, float(i % 7), None if i == 5 else float("nan") if i == 6 else 1.0) for i in range(3000)]
+    table = spark.createDataFrame(rows, "scene_id string, unit int, record_no long, scale_0 double, scale_1 double, scale_2 double, f_dc_0 double, f_dc_1 double, f_dc_2 double").repartition(3)
+    by = ["scene_id", "unit"]
+    for groups in (None, {c: [c] for c in (*lod.SCALES, *lod.COLOUR)}):
+        labels, palettes = lod.attribute_palettes(table, by, groups)
+        errors = lod.palette_error(table, by, labels, palettes, groups).collect()
+        assert len(errors) == 4 * len(groups or lod.SHARED) and all(r["rmse"] <= r["rmse_steps"] + 1e-12 for r in errors)
+        assert labels.count() == 12_000 and labels.where("p_f_dc_2 IS NULL").count() == 8 and palettes.groupBy(*by, "name").count().agg(F.max("count")).first()[0] <= 256
+
+
+def test_pair_merging_hits_its_goal_and_loses_less_than_runs(spark):
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=(300, 3)) * 30
+    xyz = centre[rng.integers(0, 300, 4000)] + rng.normal(size=(4000, 3)) * rng.exponential(0.5, (4000, 1))
+    rows = [(*map(float, p), 0.1, 0.2, 0.3, 1.0, -3.0, -3.0, -3.0, 1.0, 0.0, 0.0, 0.0, [0.0] * 9) for p in xyz]
+    rows += [rows[0]] * 50 + [(float("nan"), *rows[0][1:]), (float("inf"), *rows[1][1:])]
+    c = _splats(spark, rows)
+    psnr = {}
+    for method in ("uniform", "adaptive", "pairs"):
+        out = lod.decimation_error(c.where("x < 1e9"), 0.5, method).first()
+        assert (out["n"], out["groups"]) == (4050, 2025)
+        psnr[method] = out["psnr"]
+    assert psnr["pairs"] > psnr["adaptive"] + 3 and psnr["pairs"] > psnr["uniform"] + 3
+    for ratio in (0.5, 0.1, 1e-9, 1.0):
+        merged = lod.decimate(c, ratio, "pairs").collect()
+        assert len(merged) == max(1, math.floor(4052 * ratio + 0.5)) and sum(r["merged"] for r in merged) == 4052 and {r["record_no"] for r in merged} == set(range(len(merged)))
+
+
+def test_pairs_are_merged_as_by_looking_at_all_of_them(monkeypatch):
+    monkeypatch.setattr(lod, "NEAR", 10**6)
+    rng = np.random.default_rng(8)
+    for n, goal in ((2, 1), (7, 3), (30, 15), (25, 24), (12, 12)):
+        x, w = rng.integers(0, 5, (n, 4)).astype(float), rng.uniform(0.1, 2, n)
+        members, at, weight = [[i] for i in range(n)], [v.copy() for v in x], list(w)
+        while len(members) > goal:
+            price = lambda i, j: weight[i] * weight[j] / (weight[i] + weight[j]) * ((at[i] - at[j]) ** 2).sum()
+            best = [min((price(*sorted((i, j))), j) for j in range(len(members)) if j != i) for i in range(len(members))]
+            pairs = sorted((best[i][0], i, best[i][1]) for i in range(len(members)) if i < best[i][1] and best[best[i][1]][1] == i)[: len(members) - goal]
+            for _, i, j in pairs:
+                at[i] += weight[j] / (weight[i] + weight[j]) * (at[j] - at[i])
+                weight[i] += weight[j]
+                members[i] += members[j]
+            for j in sorted((p[2] for p in pairs), reverse=True):
+                del members[j], at[j], weight[j]
+        want = {i: k for k, held in enumerate(members) for i in held}
+        assert lod.pair_merge(x, w, goal).tolist() == [want[i] for i in range(n)]
+
+
+def test_long_tiles_are_paired_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(lod, "STRETCH", 70)
+    c = _cloud(spark, 1001).withColumn("tile", F.lit(0))
+    for ratio in (0.5, 0.013):
+        out = lod.decimate(c, ratio, "pairs").collect()
+        assert sum(r["merged"] for r in out) == 1001 and len(out) == max(1, math.floor(1001 * ratio + 0.5)) and {r["record_no"] for r in out} == set(range(len(out)))
