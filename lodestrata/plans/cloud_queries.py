@@ -841,7 +841,7 @@ def decimation_error(spark: SparkSession, d: str) -> DataFrame:
 
 
 _APART = " + ".join(f"greatest(0, sum(w * {a} * {a}) - sum(w * {a}) * sum(w * {a}) / sum(w))" for a in AXES)
-O["decimation_error"] = f"""{KD}, m AS (SELECT *, {_W} AS w, rank * greatest(1, CAST(floor(n * 0.5 + 0.5) AS BIGINT)) // n AS grp FROM ({_OWN.format(ranked=RANKED)})),
-e AS (SELECT scene_id, tile, grp, count(*) AS n, sum(w) AS w, {_APART} AS e, {", ".join(f"{k}({a}) AS {k}_{a}" for a in AXES for k in ("min", "max"))} FROM m GROUP BY scene_id, tile, grp),
-s AS (SELECT scene_id, CAST(sum(n) AS BIGINT) AS n, count(*) AS groups, sqrt(sum(e) / sum(w)) AS rmse, greatest({", ".join(f"max(max_{a}) - min(min_{a})" for a in AXES)}) AS span FROM e GROUP BY scene_id)
-SELECT scene_id, n, groups, round(rmse, 4) AS rmse, round(20 * log10(span / rmse), 3) AS psnr FROM s"""
+O["decimation_error"] = f"""{KD}, q1 AS (SELECT *, {_W} AS w, rank * greatest(1, CAST(floor(n * 0.5 + 0.5) AS BIGINT)) // n AS grp FROM ({_OWN.format(ranked=RANKED)})),
+q2 AS (SELECT scene_id, tile, grp, count(*) AS n, sum(w) AS w, {_APART} AS e, {", ".join(f"{k}({a}) AS {k}_{a}" for a in AXES for k in ("min", "max"))} FROM q1 GROUP BY scene_id, tile, grp),
+q3 AS (SELECT scene_id, CAST(sum(n) AS BIGINT) AS n, count(*) AS groups, sqrt(sum(e) / sum(w)) AS rmse, greatest({", ".join(f"max(max_{a}) - min(min_{a})" for a in AXES)}) AS span FROM q2 GROUP BY scene_id)
+SELECT scene_id, n, groups, round(rmse, 4) AS rmse, round(20 * log10(span / rmse), 3) AS psnr FROM q3"""
