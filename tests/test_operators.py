@@ -6,6 +6,7 @@ import math
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -641,3 +642,63 @@ def test_long_tiles_are_paired_in_stretches(spark, monkeypatch):
     for ratio in (0.5, 0.013):
         out = lod.decimate(c, ratio, "pairs").collect()
         assert sum(r["merged"] for r in out) == 1001 and len(out) == max(1, math.floor(1001 * ratio + 0.5)) and {r["record_no"] for r in out} == set(range(len(out)))
+
+
+def _folded(step, stretch, key, columns, size):
+    """Values of a fold with and without stretches, and the seconds that each takes."""
+    names = [f"c{i}" for i in range(len(columns))]
+    table = pa.table([key, *columns], names=["key", *names])
+    out = []
+    for way in (stretch, None):
+        began = time.time()
+        kind = {"p": pa.int64(), "l": pa.bool_(), "r": pa.string()}[step[0]]
+        values = [v for _, v in folds.fold_batches(iter(table.to_batches(size)), ["key"], names, kind, step[1], way)]
+        out.append((pa.concat_arrays(values).to_pylist(), time.time() - began))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_stretches_give_what_steps_give(seed):
+    rng = np.random.default_rng(seed)
+    n, size = 3000, int(rng.choice([70, 500, 3000]))
+    key = pa.array(np.sort(rng.choice([0.5, 1.0, np.nan], n, p=[0.7, 0.2, 0.1])), pa.float64())
+    gap = rng.exponential(1.0, n) * (rng.random(n) < 0.8) if seed % 2 else rng.integers(0, 3, n)
+    base = np.zeros(n) + (1.7e9 if seed % 3 else 0)
+    t = np.cumsum(gap) + base
+    for k in (0.5, 1.0):  # times begin anew with each key
+        at = np.flatnonzero(np.array([v == k for v in key.to_pylist()]))
+        t[at] = np.cumsum(gap[at]) + base[at]
+    times = pa.array(t if seed % 2 else t.astype(np.int64))
+    ids = pa.array([None if i % 50 == 3 else f"r{i}" for i in range(n)])
+    for weights in (rng.integers(0, 30, n), rng.integers(0, 3, n) * 40, rng.random(n), rng.integers(-3, 9, n), np.where(rng.random(n) < 0.01, 1 << 60, 5)):
+        weight = pa.array([None if i % 97 == 5 else v for i, v in enumerate(weights.tolist())])
+        for budget in (50, 0, 12.5):
+            got, want = _folded(("p", folds.packing(budget)), folds.packing_stretch(budget), key, [weight], size)
+            assert got[0] == want[0]
+    for limit, window in ((3, 10.0), (40, 60.0), (500, 900.0), (1, 0.1), (100, 100), (7, 1e6)):
+        got, want = _folded(("l", folds.limiting(limit, window)), folds.limiting_stretch(limit, window), key, [times], size)
+        assert got[0] == want[0]
+    for seconds in (0.5, 7.0, 200.0, 1e9):
+        got, want = _folded(("r", folds.repeating(seconds)), folds.repeating_stretch(seconds), key, [times, ids], size)
+        assert got[0] == want[0]
+
+
+def test_stretches_of_one_key_are_ten_times_faster():
+    n = 400_000
+    rng = np.random.default_rng(9)
+    key, t = pa.array(np.zeros(n, np.int64)), pa.array(np.cumsum(rng.exponential(1.0, n)))
+    ways = [(("p", folds.packing(50_000)), folds.packing_stretch(50_000), [pa.array(rng.integers(1, 100, n))]), (("l", folds.limiting(2000, 3600.0)), folds.limiting_stretch(2000, 3600.0), [t]), (("r", folds.repeating(86_400.0)), folds.repeating_stretch(86_400.0), [t, pa.array(np.arange(n).astype(str))])]
+    for step, stretch, columns in ways:
+        took = [min(x) for x in zip(*([a[1] for a in _timed(step, stretch, key, columns)] for _ in range(3)))]
+        assert took[1] > 8 * took[0], (step[0], took)
+
+
+def _timed(step, stretch, key, columns):
+    names = [f"c{i}" for i in range(len(columns))]
+    batches = pa.table([key, *columns], names=["key", *names]).to_batches(100_000)
+    kind = {"p": pa.int64(), "l": pa.bool_(), "r": pa.string()}[step[0]]
+    for way in (stretch, None):
+        began = time.time()
+        for _ in folds.fold_batches(iter(batches), ["key"], names, kind, step[1], way):
+            pass
+        yield None, time.time() - began
