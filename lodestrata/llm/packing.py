@@ -24,9 +24,12 @@ ignored.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +37,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm import textbatch as tb
 from lodestrata.llm.storage import materialise
 
 #: Tokens of a sequence; the end mark.
 CAPACITY, END = 2048, 0
-#: Bytes of text that are tokenised at once, and distinct words that a task remembers at most.
-SLICE_BYTES, WORDS = 4_000_000, 300_000
+#: Bytes of text that are tokenised at once; words of a generation of those remembered.
+SLICE_BYTES, WORDS = 1_000_000, 200_000
+#: Bytes of ids that a task holds before it hands them on.
+HELD_BYTES = 4_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, part long, number long"
 PLACES = "sequence_id long, offset long"
 
@@ -55,72 +59,103 @@ def tokenizer_json(path: str | None = None) -> str:
         return file.read()
 
 
+def _byte_letters() -> dict[int, str]:
+    """How byte-level models write bytes, for str.translate of Latin-1: printable ones as they are, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
+#: Words of letters only that every normalisation leaves alone, but for the case; marks that end a word; places to cut a text.
+_LATIN = re.compile("[a-zà-öø-ÿ]+")
+_MARKS, _BLANK = b".,;:!?", re.compile(rb"[\t-\r ]")
+
+
 class WordTokens:
-    """Token ids of texts, word by word."""
+    """Token ids of texts, word by word, as little-endian unsigned 32-bit numbers.
+
+    Distinct words are remembered in two generations of ``WORDS`` words: what is met again moves to the newer one. Marks behind a
+    letter or digit are words of their own to the tokenizer, so a word is put together from what is before them and the marks.
+    Plain words of Latin letters go to the model alone; all others through the whole tokenizer.
+    """
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_str(model).encode_batch_fast
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def _of(self, words: list[bytes]) -> list[np.ndarray]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tokenizer = Tokenizer.from_str(model)
+        self.plain = self.tokenizer.model.tokenize
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _learn(self, words: Iterable[bytes]) -> None:
+        pairs, odd = [], []
+        for w in words:
+            core = w.rstrip(_MARKS)
+            whole = len(core) == len(w) or not core or not (core[-1:].isalnum() and core[-1] < 128)
+            parts = (w,) if whole else (core, w[len(core) :])
+            pairs.append((w, parts))
+            odd += [x for x in parts if x not in self.known and not self._simple(x)]
+        for lo in range(0, len(odd), 5_000):
+            some = list(dict.fromkeys(odd[lo : lo + 5_000]))
+            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
+            for w, e in zip(some, found, strict=True):
+                self.known[w] = array("I", e.ids).tobytes()
+        for w, parts in pairs:
+            if len(parts) > 1:
+                self.known[w] = b"".join(self.known[x] for x in parts)
+
+    def _simple(self, word: bytes) -> bool:
+        """Whether the word is known now: it was before, or is of Latin letters."""
+        if word in self.older:
+            self.known[word] = self.older[word]
+            return True
+        text = word.decode("utf-8", "replace")
+        if not _LATIN.fullmatch(text):
+            return False
+        self.known[word] = array("I", [t.id for t in self.plain(word.decode("latin-1").translate(_LETTERS))]).tobytes()
+        return True
+
+    def of(self, text: bytes) -> bytes:
+        words = (text if b"<|" in text else text.lower()).split()  # names of special tokens keep their case
+        new = [w for w in set(words) if w not in self.known]
+        if new:
+            self._learn(new)
+        out = b"".join(map(self.known.__getitem__, words))
         if len(self.known) > WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for lo in range(0, len(new), 10_000):
-            part = new[lo : lo + 10_000]
-            for w, e in zip(part, self.encode([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype="<u4")
-        return [self.known[w] for w in words]
-
-    def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all documents of a byte array one after another, and how many each has."""
-        starts, ends, first = tb.words(data, offsets, tb.NOT_SPACE)
-        if not len(starts):
-            return np.zeros(0, "<u4"), np.zeros(len(offsets) - 1, np.int64)
-        where, kind = tb.distinct(data, starts, ends)
-        raw = data.tobytes()
-        ids = self._of([raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
-        size = np.array([len(x) for x in ids], dtype=np.int64)
-        begin, count = (np.cumsum(size) - size)[kind], size[kind]
-        before = np.cumsum(count) - count
-        out = np.concatenate(ids)[np.repeat(begin - before, count) + np.arange(int(count.sum()))]
-        total = np.concatenate([[0], np.cumsum(count)])
-        return out, total[first[1:]] - total[first[:-1]]
-
-
-def _between_words(data: np.ndarray, most: int) -> list[int]:
-    """Cuts of a long text at white space, about ``most`` bytes apart; a word is never cut."""
-    cuts, space = [0], np.flatnonzero(~tb.NOT_SPACE[data])
-    while len(data) - cuts[-1] > most:
-        at = np.searchsorted(space, cuts[-1] + most)
-        if at == len(space):
-            break
-        cuts.append(int(space[at]) + 1)
-    return [*cuts, len(data)]
+            self.known, self.older = {}, self.known
+        return out
+
+
+_AT_HAND: dict[str, WordTokens] = {}
 
 
-def documents(words: WordTokens, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-    """The ids of each document with its end mark."""
-    for lo, hi in tb.slices(offsets, SLICE_BYTES):
-        text = data[offsets[lo] : offsets[hi]]
-        if hi - lo == 1 and len(text) > SLICE_BYTES:
-            cuts = _between_words(text, SLICE_BYTES)
-            yield np.concatenate([*(words.of(text[a:b], np.array([0, b - a]))[0] for a, b in zip(cuts, cuts[1:], strict=False)), [END]]).astype("<u4")
-            continue
-        ids, count = words.of(text, offsets[lo : hi + 1] - offsets[lo])
-        at = 0
-        for n in count.tolist():
-            yield np.append(ids[at : at + n], np.uint32(END)).astype("<u4")
-            at += n
+def at_hand(model: str) -> WordTokens:
+    """The words that this process has met so far: its tasks follow one another."""
+    if model not in _AT_HAND:
+        _AT_HAND.clear()
+        _AT_HAND[model] = WordTokens(model)
+    return _AT_HAND[model]
+
+
+def document(words: WordTokens, text: bytes, end: int = END) -> bytes:
+    """The ids of a whole text and the end mark; a long text is read some megabytes at a time, a word is never cut."""
+    parts, at = [], 0
+    while len(text) - at > SLICE_BYTES:
+        cut = _BLANK.search(text, at + SLICE_BYTES)
+        if cut is None:
+            break
+        parts.append(words.of(text[at : cut.start()]))
+        at = cut.end()
+    return b"".join([*parts, words.of(text[at:] if at else text), end.to_bytes(4, "little")])
 
 
 def cut(docs: DataFrame, model: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of all documents, with the writing task (``part``) and their number in it among those of their length."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part = WordTokens(model), TaskContext.get().partitionId()
+        words, part = at_hand(model), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         names = [x.split()[0] for x in PIECES.split(",")]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
@@ -133,17 +168,17 @@ def cut(docs: DataFrame, model: str, capacity: int = CAPACITY) -> DataFrame:
             return out
 
         for b in batches:
-            data, offsets = tb.flat(b.column(1))
             held = 0
-            for doc_id, ids in zip(b.column(0).to_pylist(), documents(words, data, offsets), strict=True):
-                for piece, start in enumerate(range(0, len(ids), capacity)):
-                    body = ids[start : start + capacity].tobytes()
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
+                ids = document(words, text.as_py() or b"")
+                for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
+                    body = ids[4 * start : 4 * (start + capacity)]
                     length = len(body) // 4
                     for x, v in zip(found, (doc_id, piece, start, length, zlib.crc32(body), body, part, int(seen[length])), strict=True):
                         x.append(v)
                     seen[length] += 1
                     held += len(body)
-                    if held > 2 * SLICE_BYTES:
+                    if held > HELD_BYTES:
                         yield flush()
                         held = 0
             yield flush()

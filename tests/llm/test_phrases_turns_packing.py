@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.llm import collocations, conversations, packing, textbatch
+from lodestrata.llm import collocations, conversations, packing
 
 DOCS = "doc_id long, text string, lang string, source string, n long, rank long, w1 string, id long, length int, part string"
 LONG = " ".join(f"w{i * 7919 % 1009}" for i in range(3000))
@@ -42,9 +42,20 @@ def test_words_tokenise_like_whole_texts(tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "SLICE_BYTES", 700)
     monkeypatch.setattr(packing, "WORDS", 50)
     words = packing.WordTokens(packing.tokenizer_json())
-    data, offsets = textbatch.flat(pa.array(TEXTS))
-    got = [x.tolist() for x in packing.documents(words, data, offsets)]
-    assert got == [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for t in TEXTS]
+    more = ["Don't. stop! a's, b.c e.g., (x). «Été», naïve; ÀÉÎ! İstanbul ıI ŒUVRE œuvre. ß. ½. ²x. x²! ﬁn.", "A\u0301 a\u0301. I\u0307 K \u212b \u1e9e .,;: !? .5 5. 5.5", "<|ENDOFTEXT|> <|endoftext|>. X<|startoftext|>Y.", "\x1ca\x1fb\u00a0c\u3000d\u2028e", "\u4e2d\u6587\u3002 \u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35 \U0001f600! \u00ad\u200b", "'S 'LL x'VE. ''re"]
+    for t in [*TEXTS, *more, *TEXTS]:
+        got = np.frombuffer(packing.document(words, (t or "").encode()), "<u4").tolist()
+        assert got == [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], t
+    assert len(words.known) <= 1100
+
+
+def test_words_of_real_texts_tokenise_alike(tokenizer):
+    words = packing.at_hand(packing.tokenizer_json())
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()
+    for t, e in zip(texts, tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)):
+        assert np.frombuffer(packing.document(words, (t or "").encode()), "<u4").tolist() == [*e.ids, 0]
 
 
 @pytest.mark.parametrize("capacity", [2048, 50, 7])
