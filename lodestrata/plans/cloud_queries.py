@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.operators import audit, cloud, folds, lod
+from lodestrata.operators import audit, cloud, folds, lod, sketches
 from lodestrata.plans.views import SPLATS, load, splats
 from lodestrata.sources import logs, ply
 from lodestrata.sources.files import located
@@ -845,3 +845,20 @@ O["decimation_error"] = f"""{KD}, q1 AS (SELECT *, {_W} AS w, rank * greatest(1,
 q2 AS (SELECT scene_id, tile, grp, count(*) AS n, sum(w) AS w, {_APART} AS e, {", ".join(f"{k}({a}) AS {k}_{a}" for a in AXES for k in ("min", "max"))} FROM q1 GROUP BY scene_id, tile, grp),
 q3 AS (SELECT scene_id, CAST(sum(n) AS BIGINT) AS n, count(*) AS groups, sqrt(sum(e) / sum(w)) AS rmse, greatest({", ".join(f"max(max_{a}) - min(min_{a})" for a in AXES)}) AS span FROM q2 GROUP BY scene_id)
 SELECT scene_id, n, groups, round(rmse, 4) AS rmse, round(20 * log10(span / rmse), 3) AS psnr FROM q3"""
+
+
+@query
+def sketch_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Quantiles from sketches of eight stored batches: the rows that each covers, and whether its rank is right within the bound."""
+    rows, path, qs = _once(spark, d), shared_path(spark, "sketches"), [0.01, 0.5, 0.98]
+    for batch in range(8):
+        sketches.store_sketches(rows.where(F.col("record_no") % 8 == batch), list(AXES), path, str(batch))
+    merged = sketches.stored_sketches(spark, path)
+    found = sketches.sketch_quantiles(merged, {a: qs for a in AXES})
+    values = rows.select("scene_id", F.explode(F.array(*(F.struct(F.lit(a).alias("column"), F.col(a).alias("v")) for a in AXES))).alias("r")).select("scene_id", "r.*")
+    ranks = values.join(F.broadcast(found), ["scene_id", "column"]).groupBy("scene_id", "column", "q").agg(F.count("*").alias("n"), F.avg((F.col("v") < F.col("value")).cast("int")).alias("below"), F.avg((F.col("v") <= F.col("value")).cast("int")).alias("upto"))
+    fits = (F.col("below") <= F.col("q") + 2 * sketches.RANK_ERROR) & (F.col("upto") >= F.col("q") - 2 * sketches.RANK_ERROR)
+    return ranks.select("scene_id", F.col("column").alias("axis"), "q", "n", fits.alias("fits"))
+
+
+O["sketch_quantiles"] = f"SELECT scene_id, axis, q, count(*) AS n, true AS fits FROM ({SPLAT_SQL}), (SELECT unnest(['x', 'y', 'z']) AS axis), (SELECT unnest([0.01::DOUBLE, 0.5::DOUBLE, 0.98::DOUBLE]) AS q) GROUP BY ALL"

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import scalars as S
-from lodestrata.operators import audit, cloud, folds, jobs, lod, telemetry
+from lodestrata.operators import audit, cloud, folds, jobs, lod, sketches, telemetry
 from lodestrata.plans import levels
 from lodestrata.sources import logs, ply
 from lodestrata.streaming import telemetry as streams
@@ -702,3 +702,26 @@ def _timed(step, stretch, key, columns):
         for _ in folds.fold_batches(iter(batches), ["key"], names, kind, step[1], way):
             pass
         yield None, time.time() - began
+
+
+def test_merged_sketches_are_right_within_their_bound(spark, tmp_path):
+    rng = np.random.default_rng(10)
+    kinds = {"s": rng.normal(size=60_000), "t": rng.integers(0, 50, 20_000).astype(float), "u": np.sort(rng.exponential(size=30_000))}
+    rows = [(g, i % 5, float(v)) for g, held in kinds.items() for i, v in enumerate(held)] + [("s", 0, float("nan")), ("t", 1, None), ("none", 2, None)]
+    table = spark.createDataFrame(rows, "scene_id string, batch int, v double").repartition(4)
+    path = str(tmp_path / "sketches")
+    for batch in (0, 1, 2, 3, 4, 2):  # a batch that is written again replaces itself
+        sketches.store_sketches(table.where(F.col("batch") == batch).withColumn("w", -F.col("v")), ["v", "w"], path, str(batch))
+    merged = sketches.stored_sketches(spark, path)
+    qs = [0.0, 0.001, 0.02, 0.25, 0.5, 0.75, 0.98, 1.0]
+    got = {(r["scene_id"], r["column"], r["q"]): r["value"] for r in sketches.sketch_quantiles(merged, {"v": qs, "w": [0.5]}).collect()}
+    for g, held in kinds.items():
+        for q in qs:
+            v = got[g, "v", q]
+            assert (held < v).mean() - 2 * sketches.RANK_ERROR <= q <= (held <= v).mean() + 2 * sketches.RANK_ERROR
+        assert got[g, "v", 0.0] == held.min() and got[g, "v", 1.0] == held.max()
+    assert got["none", "v", 0.5] is None and {r["scene_id"]: r["n_v"] for r in merged.collect()} == {"s": 60_000, "t": 20_000, "u": 30_000, "none": 0}
+    sizes = merged.select(F.octet_length("sketch_v").alias("b")).where("b IS NOT NULL").collect()
+    assert max(r["b"] for r in sizes) < 60_000
+    whole = sketches.quantile_sketches(table.select("scene_id", F.col("v").alias("x"), F.col("v").alias("y"), F.col("v").alias("z")), ["x", "y", "z"])
+    assert sketches.compare_sketches(whole, whole, [0.5], 0.0).where("equal").count() == 9
