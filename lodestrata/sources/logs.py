@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.sources.files import located
+from lodestrata.sources.parts import PartStore, add_up
 
 REPORT = "id string, ts string, site string, kind string, page string, lang string, release string, stage string, message string, contact string, suspect boolean, diagnostics string, diagBytes long, repeatOf string"
 # What an archive may hold, and how large a member may be.
@@ -35,17 +36,24 @@ def append_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+TOTALS = "day string, name string, value string, n long"
+
+
 def write_daily_totals(totals: DataFrame, path: str, part: str = "0") -> None:
-    """Totals (day, name, value, n) as the part ``part`` of their days: writing a part again replaces it, so a job that runs
-    twice counts once; other parts and days are not touched. ``daily_totals`` adds the parts up."""
-    rows = totals.groupBy("name", "value", "day").agg(F.sum("n").alias("n")).withColumn("part", F.lit(part))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "part").parquet(path)
+    """Totals (day, name, value, n) as the part ``part``: writing a part again replaces it, so a job that runs twice counts
+    once; other parts are not touched. ``daily_totals`` adds the parts up."""
+    rows = totals.groupBy(F.col("day").cast("string").alias("day"), "name", "value").agg(F.sum("n").alias("n"))
+    PartStore(totals.sparkSession, path, TOTALS).add(rows, part)
+
+
+def daily_totals(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
+    """day, name, value, n of all parts (of days from ``since`` on)."""
+    return PartStore(spark, path, TOTALS).read(since).groupBy("day", "name", "value").agg(F.sum("n").alias("n"))
 
 
-def daily_totals(spark: SparkSession, path: str) -> DataFrame:
-    """day, name, value, n of all parts."""
-    rows = spark.read.schema("name string, value string, n long, day string, part string").parquet(path)
-    return rows.groupBy("day", "name", "value").agg(F.sum("n").alias("n"))
+def merge_daily_totals(spark: SparkSession, path: str) -> int:
+    """Make one part of the parts of each day, but for the newest part; how many were merged."""
+    return PartStore(spark, path, TOTALS).merge(add_up(["day", "name", "value"], ["n"]))
 
 
 def archive_entries(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -1,16 +1,16 @@
 """Streaming forms of the telemetry operators; they give the batch operator's result on the same rows.
 
-Counts, digests, queue states and reports are kept as one part per micro-batch under ``batch=<number>``: a batch that runs
-again after a failure replaces its own part, so nothing counts twice, and rows count however late they come. Reading adds
-the parts up.
+Counts, digests, queue states and reports are kept as one part per micro-batch in a ``PartStore``: a batch that runs again
+after a failure replaces its own part, so nothing counts twice, and rows count however late they come. Reading adds the
+parts up; ``tidy`` drops old days and merges small parts, and readers see the parts before or after it.
 """
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestrata.functions import scalars as S
 from lodestrata.operators import folds, jobs, telemetry
+from lodestrata.sources.parts import PartStore, add_up
 
 LATE = "2 days"
 #: Seconds after its last row that a visitor's decision or a job's progress is kept for.
@@ -65,54 +66,73 @@ def count_events(events: DataFrame) -> DataFrame:
     return counted.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "name", F.lit(None).cast("string").alias("value"), "n")
 
 
-def _store(rows: DataFrame, part: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """Every micro-batch writes ``part`` of its rows to its own folder."""
+#: What is stored of each stream, and how its parts become one.
+TOTALS = "day string, name string, value string, n long, first struct<ts:timestamp,event_id:long>"
+DIGEST = "day string, repeat_of long, n long"
+QUEUE = "day string, id long, status string, previous string, has_file boolean, seq long"
+REPORTS = "day string, id long, at timestamp, suspect boolean, bytes long, report_id string, diag_state string"
+_LAST = "max_by(struct(status, previous, has_file, seq), seq)"
+
+
+def _last(changes: DataFrame) -> DataFrame:
+    """The last change of each item. A state has no day: all parts are of the day 'now'."""
+    return changes.groupBy("id").agg(F.expr(_LAST).alias("x")).select(F.lit("now").alias("day"), "id", "x.*")
+
+
+FOLDS = {TOTALS: add_up(["day", "name", "value"], ["n"], first="min(first)"), DIGEST: add_up(["day", "repeat_of"], ["n"]), QUEUE: _last}
+
+
+def _store(rows: DataFrame, part: Callable[[DataFrame], DataFrame], path: str, schema: str, checkpoint: str) -> StreamingQuery:
+    """Every micro-batch adds ``part`` of its rows."""
 
     def add(batch: DataFrame, number: int) -> None:
-        part(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        PartStore(batch.sparkSession, path, schema).add(part(batch), str(number))
 
     return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """What a stream has stored so far; no rows before its first batch."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+def stored(spark: SparkSession, path: str, schema: str, since: str | None = None) -> DataFrame:
+    """What a stream has stored so far (of days from ``since`` on); no rows before its first batch."""
+    return PartStore(spark, path, schema).read(since)
+
+
+def tidy(spark: SparkSession, path: str, schema: str, since: str | None = None) -> None:
+    """Take days before ``since`` away and merge what several batches have stored of a day."""
+    store = PartStore(spark, path, schema)
+    if since is not None:
+        store.prune(since)
+    store.merge(FOLDS[schema])
 
 
 def store_totals(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Partial counts of events (name, value, ts, event_id)."""
-    return _store(events, telemetry.partial_counts, path, checkpoint)
+    return _store(events, telemetry.partial_counts, path, TOTALS, checkpoint)
 
 
 def stored_totals(spark: SparkSession, path: str, most: int = telemetry.MAX_VALUES) -> DataFrame:
     """Totals and counts by value of all stored batches, as ``telemetry.count_events`` of all rows: day, name, value, n."""
-    return telemetry.folded_counts(stored(spark, path, "day string, name string, value string, n long, first struct<ts:timestamp,event_id:long>"), most)
+    return telemetry.folded_counts(stored(spark, path, TOTALS), most)
 
 
 def store_digest(reports: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Repeats by day and first report, of reports (at, repeat_of)."""
-    return _store(reports, lambda r: r.where("repeat_of IS NOT NULL").groupBy(S.utc_day(F.col("at")).alias("day"), "repeat_of").agg(F.count(F.lit(1)).alias("n")), path, checkpoint)
+    counted = lambda r: r.where("repeat_of IS NOT NULL").groupBy(S.utc_day(F.col("at")).alias("day"), "repeat_of").agg(F.count(F.lit(1)).alias("n"))
+    return _store(reports, counted, path, DIGEST, checkpoint)
 
 
 def stored_digest(spark: SparkSession, path: str, k: int = 15) -> DataFrame:
     """The digest of all stored days, as ``telemetry.error_digest``."""
-    return telemetry.digest(stored(spark, path, "day string, repeat_of long, n long"), k)
+    return telemetry.digest(stored(spark, path, DIGEST), k)
 
 
 def store_queue(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """The last change of each item in a batch, of changes (id, status, previous, has_file, seq)."""
-    last = lambda r: r.groupBy("id").agg(F.max_by(F.struct("status", "previous", "has_file", "seq"), "seq").alias("x")).select("id", "x.*")
-    return _store(changes, last, path, checkpoint)
+    return _store(changes, _last, path, QUEUE, checkpoint)
 
 
 def stored_queue(spark: SparkSession, path: str) -> DataFrame:
     """The state of every item as it is restored, as ``jobs.queue_state``."""
-    return jobs.queue_state(stored(spark, path, "id long, status string, previous string, has_file boolean, seq long"))
+    return jobs.queue_state(stored(spark, path, QUEUE).drop("day"))
 
 
 def dedup_errors(reports: DataFrame, seconds: float = 86_400.0) -> DataFrame:
@@ -167,25 +187,39 @@ def progress_stream(log: DataFrame, keep: float = KEEP) -> DataFrame:
 
 def store_reports(accepted: DataFrame, path: str, checkpoint: str, cap: int | None = None) -> StreamingQuery:
     """Accepted reports (id, at, ...) get their id of the day, going on after those of earlier batches, and are stored as JSON
-    lines under batch and day. With ``cap`` reports have suspect and bytes too, and get diag_state under the day's cap.
+    lines by day. With ``cap`` reports have suspect and bytes too, and get diag_state under the day's cap.
 
-    Only the days of the batch are read of what is stored.
+    The last number and the bytes of each day go along with the list of parts, so a batch reads nothing of what is stored.
     """
 
     def add(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        days = [r[0] for r in rows.select(S.utc_day(F.col("at"))).distinct().collect()]  # the days of a micro-batch
-        try:
-            old = spark.read.schema("report_id string, diag_state string, bytes long, batch long, day string").json(path)
-            old = old.where(F.col("day").isin(days) & (F.col("batch") < number))
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            old = None
-        out = telemetry.assign_report_id(rows, None if old is None else old.select("report_id"))
+        store = PartStore(spark, path, REPORTS, kind="json")
+        before = store.counters(str(number))
+        last = [(f"R-{day.replace('-', '')}-{c['last']:04d}",) for day, c in before.items()]
+        out = telemetry.assign_report_id(rows, spark.createDataFrame(last, "report_id string") if last else None)
         if cap is not None:
-            out = telemetry.store_policy(out, cap, None if old is None else old.where("diag_state IN ('kept', 'skipped')").select("day", "bytes"))
-        out = out.withColumn("day", S.utc_day(F.col("at"))).withColumn("batch", F.lit(number))
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "day").json(path)
+            held = [(day, c["bytes"]) for day, c in before.items()]
+            out = telemetry.store_policy(out, cap, spark.createDataFrame(held, "day string, bytes long") if held else None)
+        columns = ["day string", *(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)]
+        store.schema = ", ".join(columns)
+
+        def count(written: DataFrame) -> dict:
+            due = F.sum(F.when(F.col("diag_state").isin("kept", "skipped"), F.col("bytes"))) if cap is not None else F.lit(0)
+            days = written.groupBy("day").agg(F.max(F.substring_index("report_id", "-", -1).cast("long")).alias("last"), F.coalesce(due, F.lit(0)).alias("bytes")).collect()  # the days of a micro-batch
+            return {r["day"]: {"last": r["last"], "bytes": r["bytes"] + before.get(r["day"], {"bytes": 0})["bytes"]} for r in days}
+
+        store.add(out.withColumn("day", S.utc_day(F.col("at"))), str(number), count)
 
     return accepted.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stored_reports(spark: SparkSession, path: str, schema: str = REPORTS, since: str | None = None, days: list[str] | None = None) -> DataFrame:
+    """Stored reports, of days from ``since`` on or of some days; only their files are opened."""
+    return PartStore(spark, path, schema, kind="json").read(since, days)
+
+
+def prune_reports(spark: SparkSession, path: str, today: str, keep: int = telemetry.KEEP_DIAGNOSTICS) -> int:
+    """Take away the days that are more than ``keep`` days before ``today``, without reading them; how many parts that were."""
+    since = (datetime.date.fromisoformat(today) - datetime.timedelta(days=keep)).isoformat()
+    return PartStore(spark, path, REPORTS, kind="json").prune(since)

@@ -3,6 +3,7 @@
 import itertools
 import json
 import math
+import os
 import time
 
 import numpy as np
@@ -14,6 +15,7 @@ from lodestrata.functions import scalars as S
 from lodestrata.operators import audit, cloud, folds, jobs, lod, sketches, telemetry
 from lodestrata.plans import levels
 from lodestrata.sources import logs, ply
+from lodestrata.sources.parts import PartStore, add_up
 from lodestrata.streaming import telemetry as streams
 
 
@@ -217,8 +219,9 @@ def test_stored_streams_equal_batches(spark, tmp_path):
     src = _stream(spark, events, at("events"))
     _finish(streams.store_totals(src, at("totals"), at("cp1")))
     assert {tuple(r) for r in streams.stored_totals(spark, at("totals"), 3).collect()} == {tuple(r) for r in telemetry.count_events(events, 3).collect()}
-    part = sorted(p for p in (tmp_path / "totals").iterdir() if p.name.startswith("batch="))[0]
-    telemetry.partial_counts(spark.read.parquet(at("events")).limit(0)).write.mode("overwrite").parquet(str(part))  # a batch that runs again replaces its part
+    store = PartStore(spark, at("totals"), streams.TOTALS)
+    last = store.state()["batch"]
+    store.add(telemetry.partial_counts(spark.read.parquet(at("events")).limit(0)), last)  # a batch that runs again replaces its part
     assert streams.stored_totals(spark, at("totals")).where("value IS NULL").agg(F.sum("n")).first()[0] < 200
     reports = events.select(F.col("ts").alias("at"), F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 9).alias("repeat_of"))
     _finish(streams.store_digest(_stream(spark, reports, at("reports")), at("digest"), at("cp2")))
@@ -235,7 +238,7 @@ def test_stored_reports_go_on_numbering_under_the_cap(spark, tmp_path):
     rows = spark.range(120).select("id", stamp.alias("at"), (F.col("id") % 10 == 3).alias("suspect"), F.lit(10).cast("long").alias("bytes"))
     src = _stream(spark, rows.repartitionByRange(3, "at").sortWithinPartitions("at"), at("in"))
     _finish(streams.store_reports(src, at("out"), at("cp"), cap=200))
-    out = spark.read.json(at("out")).toPandas()
+    out = streams.stored_reports(spark, at("out")).toPandas()
     assert len(out) == out["report_id"].nunique() == 120
     assert {d: sorted(int(i.split("-")[2]) for i in g) for d, g in out.groupby("day")["report_id"]} == {d: list(range(1, len(g) + 1)) for d, g in out.groupby("day")["report_id"]}
     held = out.groupby(["day", "diag_state"])["bytes"].sum()
@@ -725,3 +728,68 @@ def test_merged_sketches_are_right_within_their_bound(spark, tmp_path):
     assert max(r["b"] for r in sizes) < 60_000
     whole = sketches.quantile_sketches(table.select("scene_id", F.col("v").alias("x"), F.col("v").alias("y"), F.col("v").alias("z")), ["x", "y", "z"])
     assert sketches.compare_sketches(whole, whole, [0.5], 0.0).where("equal").count() == 9
+
+
+def test_parts_are_pruned_merged_and_swapped_as_a_whole(spark, tmp_path):
+    path, schema = str(tmp_path / "store"), "day string, k string, n long"
+    store, rows = PartStore(spark, path, schema), lambda *r: spark.createDataFrame(list(r), schema)
+    assert store.read().count() == 0 and store.merge() == 0 and store.prune("2024-01-01") == 0
+    for batch in range(6):
+        store.add(rows(("2024-01-01", "a", 1), (f"2024-01-0{2 + batch % 2}", "b", batch), ("x/y=1", "c", 1)), str(batch), lambda w: {r["day"]: {"n": r["n"]} for r in w.groupBy("day").agg(F.sum("n").alias("n")).collect()})
+    total = lambda s=store, **k: {(r["day"], r["k"]): r["n"] for r in s.read(**k).groupBy("day", "k").agg(F.sum("n").alias("n")).collect()}
+    want = {("2024-01-01", "a"): 6, ("2024-01-02", "b"): 6, ("2024-01-03", "b"): 9, ("x/y=1", "c"): 6}
+    assert total() == want and total(days=["2024-01-03"]) == {("2024-01-03", "b"): 9}
+    begun = store.read()  # a reader that has its list before the swap
+    assert store.merge(add_up(["day", "k"], ["n"])) == 15 and total() == want
+    assert sorted(sum(p["day"] == d for p in store.state()["parts"]) for d in ("2024-01-01", "2024-01-02", "2024-01-03")) == [1, 2, 2]
+    assert begun.count() == 18
+    store.add(rows(("2024-01-01", "a", 100)), "5", lambda w: {"2024-01-01": {"n": 7}})  # the newest batch runs again
+    assert total()["2024-01-01", "a"] == 105 and total()["2024-01-03", "b"] == 4
+    assert store.counters("5") == {"2024-01-01": {"n": 1}, "2024-01-02": {"n": 4}, "2024-01-03": {"n": 3}, "x/y=1": {"n": 1}} and store.counters("6")["2024-01-01"] == {"n": 7}
+    opened = [r[0] for r in store.read(since="2024-01-03").select(F.input_file_name()).distinct().collect()]
+    assert opened and not any("2024-01-01" in f or "2024-01-02" in f for f in opened)
+    assert store.prune("2024-01-02") == 2 and ("2024-01-01", "a") not in total()
+    # two writers at once: the second one's swap starts from the first one's list
+    swapped, other = store.state(), PartStore(spark, path, schema)
+    plain, calls = PartStore.state, []
+
+    def stale(self):
+        calls.append(1)
+        if len(calls) == 1:
+            found = plain(self)
+            other.add(rows(("2024-01-09", "d", 1)), "77")
+            return found
+        return plain(self)
+
+    store.state = lambda: stale(store)
+    store.add(rows(("2024-01-09", "e", 1)), "78")
+    del store.state
+    assert {("2024-01-09", "d"), ("2024-01-09", "e")} <= set(total()) and swapped["number"] < store.state()["number"]
+    # a list that its writer never finished is passed over
+    torn = tmp_path / "store" / "_lists" / f"{store.state()['number'] + 1:012d}"
+    torn.write_text('{"parts": [')
+    os.utime(torn, (1, 1))
+    store.add(rows(("2024-01-10", "f", 1)), "79")
+    before = total()
+    assert ("2024-01-10", "f") in before and ("2024-01-09", "e") in before
+    assert store.vacuum(1) > 0 and total() == before and len(list((tmp_path / "store" / "data").iterdir())) == len({p["name"].split("/")[1] for p in store.state()["parts"]})
+
+
+def test_stored_streams_are_tidied(spark, tmp_path):
+    at = lambda p: str(tmp_path / p)
+    stamp = F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(hours=F.col("id").cast("int"))
+    events = spark.range(96).select(stamp.alias("ts"), F.col("id").alias("event_id"), F.lit("e").alias("name"), F.concat(F.lit("v"), (F.col("id") % 7).cast("string")).alias("value"))
+    _finish(streams.store_totals(_stream(spark, events, at("events"), 4), at("totals"), at("cp")))
+    want = {tuple(r) for r in streams.stored_totals(spark, at("totals"), 3).collect()}
+    streams.tidy(spark, at("totals"), streams.TOTALS)
+    assert {tuple(r) for r in streams.stored_totals(spark, at("totals"), 3).collect()} == want and len(PartStore(spark, at("totals"), streams.TOTALS).state()["parts"]) <= 8
+    streams.tidy(spark, at("totals"), streams.TOTALS, "2024-01-03")
+    assert {r["day"] for r in streams.stored_totals(spark, at("totals")).collect()} == {"2024-01-03", "2024-01-04"}
+    path = at("daily")
+    for part in "0123":
+        logs.write_daily_totals(spark.createDataFrame([("2024-01-01", "a", None, 2)], "day string, name string, value string, n long"), path, part)
+    assert logs.merge_daily_totals(spark, path) == 3 and [r["n"] for r in logs.daily_totals(spark, path).collect()] == [8]
+    rows = spark.range(90).select("id", (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(hours=F.col("id").cast("int"))).alias("at"))
+    _finish(streams.store_reports(_stream(spark, rows, at("reports")), at("out"), at("cp2")))
+    assert streams.prune_reports(spark, at("out"), "2024-01-10", 7) > 0
+    assert {r["day"] for r in streams.stored_reports(spark, at("out")).collect()} == {"2024-01-03", "2024-01-04"}
