@@ -5,9 +5,37 @@ from __future__ import annotations
 import posixpath
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """A scope for intermediates: what operators write in the shared folder within it is deleted at its end.
+
+    Write a result down inside the scope; a DataFrame that is read later finds its intermediates gone. Scopes nest.
+    """
+    held: list[str] = []
+    _scopes.append(held)
+    try:
+        yield
+    finally:
+        _scopes.remove(held)
+        for name in held:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def noted(path: str) -> str:
+    """``path``, which belongs to the innermost scope from now on."""
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder path under ``spark.checkpoint.dir``; where that is unset one of our own is set, if all runs on this machine."""
@@ -17,7 +45,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return posixpath.join("file://" + base if base.startswith("/") else base, f"{name}-{uuid.uuid4().hex}")
+    return noted(posixpath.join("file://" + base if base.startswith("/") else base, f"{name}-{uuid.uuid4().hex}"))
 
 
 def persisted(df: DataFrame, name: str) -> DataFrame:

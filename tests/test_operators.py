@@ -793,3 +793,22 @@ def test_stored_streams_are_tidied(spark, tmp_path):
     _finish(streams.store_reports(_stream(spark, rows, at("reports")), at("out"), at("cp2")))
     assert streams.prune_reports(spark, at("out"), "2024-01-10", 7) > 0
     assert {r["day"] for r in streams.stored_reports(spark, at("out")).collect()} == {"2024-01-03", "2024-01-04"}
+
+
+def test_a_finished_query_leaves_only_its_result(spark, tmp_path):
+    from lodestrata.sources.tables import temporary
+
+    before = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
+    try:
+        c = _cloud(spark)
+        with temporary(spark):
+            nodes = cloud.plan_kd_tiles(c, c.groupBy("scene_id").agg(F.count("*").alias("n")), 100)
+            built = lod.build_levels(cloud.assign_tile(c, nodes), 3)
+            with temporary(spark):
+                cloud.quantiles(c, {"x": [0.5]}).collect()
+            assert len([p for p in (tmp_path / "shared").iterdir() if p.is_dir()]) == 4
+            built.write.parquet(str(tmp_path / "result"))
+        assert not list((tmp_path / "shared").iterdir()) and spark.read.parquet(str(tmp_path / "result")).count() == 700
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)
