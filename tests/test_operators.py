@@ -4,6 +4,7 @@ import itertools
 import json
 import math
 import os
+import pathlib
 import time
 
 import numpy as np
@@ -798,17 +799,14 @@ def test_stored_streams_are_tidied(spark, tmp_path):
 def test_a_finished_query_leaves_only_its_result(spark, tmp_path):
     from lodestrata.sources.tables import temporary
 
-    before = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
-    try:
-        c = _cloud(spark)
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    held = lambda: {p.name for p in shared.iterdir()} if shared.exists() else set()
+    c, before = _cloud(spark), held()
+    with temporary(spark):
+        nodes = cloud.plan_kd_tiles(c, c.groupBy("scene_id").agg(F.count("*").alias("n")), 100)
+        built = lod.build_levels(cloud.assign_tile(c, nodes), 3)
         with temporary(spark):
-            nodes = cloud.plan_kd_tiles(c, c.groupBy("scene_id").agg(F.count("*").alias("n")), 100)
-            built = lod.build_levels(cloud.assign_tile(c, nodes), 3)
-            with temporary(spark):
-                cloud.quantiles(c, {"x": [0.5]}).collect()
-            assert len([p for p in (tmp_path / "shared").iterdir() if p.is_dir()]) == 4
-            built.write.parquet(str(tmp_path / "result"))
-        assert not list((tmp_path / "shared").iterdir()) and spark.read.parquet(str(tmp_path / "result")).count() == 700
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+            cloud.quantiles(c, {"x": [0.5]}).collect()
+        assert len(held() - before) == 4
+        built.write.parquet(str(tmp_path / "result"))
+    assert held() == before and spark.read.parquet(str(tmp_path / "result")).count() == 700
