@@ -7,7 +7,9 @@ Spark commits says which of them count, so a task that is run again leaves nothi
 
 Defined results: null html is an empty payload; of equal payloads of at least ``revisit_min`` bytes the largest
 page_id is the response (all rows that repeat that id are), a null page_id never wins unless alone, when it stays
-a response; an empty table gives no records. Extra columns are ignored.
+a response; an empty table gives no records. Extra columns are ignored. Payloads are equal if their SHA-256 and lengths are;
+the SHA-1 of the format only names them. The join of pages and winners is an equi-join by that key, of which AQE splits the
+partition that a very common page fills.
 """
 
 from __future__ import annotations
@@ -68,7 +70,10 @@ def _headers(raw: bytes, first: bytes) -> tuple[dict[str, str], int]:
     end = raw.find(b"\r\n\r\n")
     if end < 0 or not raw.startswith(first):
         raise WarcError("no header block")
-    lines = raw[:end].decode("utf-8").split("\r\n")
+    try:
+        lines = raw[:end].decode("utf-8").split("\r\n")
+    except UnicodeDecodeError as e:
+        raise WarcError("a header is no UTF-8") from e
     out = {}
     for line in lines[1:]:
         name, colon, value = line.partition(":")
@@ -82,20 +87,34 @@ def _page(urn: str) -> int | None:
     if not urn.startswith(f"<{RECORD}") or not urn.endswith(">"):
         raise WarcError(f"unknown record id {urn[:80]!r}")
     number = urn[len(RECORD) + 1 : -1]
-    return int(number) if number else None
+    return _whole(number, "record id", signed=True) if number else None
+
+
+def _whole(text: str | None, what: str, signed: bool = False) -> int:
+    """A whole number as the format writes it."""
+    digits = (text or "").removeprefix("-") if signed else text or ""
+    if not (digits.isascii() and digits.isdigit()):
+        raise WarcError(f"no {what}: {(text or '')[:80]!r}")
+    return int(text)
+
+
+def _header(head: dict[str, str], name: str) -> str:
+    if name not in head:
+        raise WarcError(f"no {name}")
+    return head[name]
 
 
 def decode_record(raw: bytes) -> dict:
     """Fields of one record; raises WarcError if a header, a length or a digest is wrong."""
     head, at = _headers(raw, b"WARC/1.1\r\n")
-    size = int(head.get("content-length", "-1"))
-    if size < 0 or len(raw) != at + size + 4 or raw[-4:] != b"\r\n\r\n":
+    size = _whole(head.get("content-length"), "Content-Length")
+    if len(raw) != at + size + 4 or raw[-4:] != b"\r\n\r\n":
         raise WarcError("Content-Length does not fit the record")
     block = raw[at : at + size]
     if head.get("warc-block-digest") != f"sha1:{_digest(block)}":
         raise WarcError("block digest differs")
     http, start = _headers(block, b"HTTP/1.1 ")
-    kind, payload, length = head.get("warc-type"), block[start:], int(http["content-length"])
+    kind, payload, length = head.get("warc-type"), block[start:], _whole(http.get("content-length"), "Content-Length of the response")
     algorithm, _, digest = head.get("warc-payload-digest", "").partition(":")
     if algorithm != "sha1":
         raise WarcError("no payload digest")
@@ -106,8 +125,8 @@ def decode_record(raw: bytes) -> dict:
     if kind not in ("response", "revisit"):
         raise WarcError(f"unknown type {kind!r}")
     return {
-        "page_id": _page(head["warc-record-id"]), "payload_bytes": length, "payload_digest": digest, "record_type": kind,
-        "refers_to": _page(head["warc-refers-to"]) if kind == "revisit" else None, "target_uri": head.get("warc-target-uri"), "payload": payload,
+        "page_id": _page(_header(head, "warc-record-id")), "payload_bytes": length, "payload_digest": digest, "record_type": kind,
+        "refers_to": _page(_header(head, "warc-refers-to")) if kind == "revisit" else None, "target_uri": head.get("warc-target-uri"), "payload": payload,
     }
 
 
@@ -162,7 +181,7 @@ def train_dictionary(pages: DataFrame) -> bytes:
 def with_winners(pages: DataFrame, revisit_min: int = 0) -> DataFrame:
     """page_id, url, html and the page_id whose response a record revisits (null for responses)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("key", F.unhex(F.sha1(F.col("html").cast("binary"))))
+    rows = rows.withColumn("key", F.concat(F.unhex(F.sha2(F.col("html").cast("binary"), 256)), F.unhex(F.lpad(F.hex(F.octet_length("html").cast("long")), 16, "0"))))
     best = rows.groupBy("key").agg(F.max("page_id").alias("best"))
     again = (F.octet_length("html") >= revisit_min) & F.col("best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best"))
     return rows.join(best, "key").select("page_id", "url", "html", F.when(again, F.col("best")).alias("refers_to"))
