@@ -10,6 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestrata.sources.tables import noted
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder path under ``spark.checkpoint.dir``; only where that is unset and all runs on this machine, one of our own is set."""
@@ -21,7 +23,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         spark.conf.set("spark.checkpoint.dir", base)
     if "://" not in base:
         base = "file://" + posixpath.abspath(base) if base.startswith("/") else base
-    return posixpath.join(base, f"{name}-{uuid.uuid4().hex}")
+    return noted(posixpath.join(base, f"{name}-{uuid.uuid4().hex}"))
 
 
 def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

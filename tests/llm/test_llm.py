@@ -601,3 +601,26 @@ def test_pipeline_stages_of_awkward_rows(spark, clashing, empty):
     out = corpus_pipeline.STAGES[-1][1](spark, longer, SF)
     assert out.select("slot").distinct().count() == out.count() >= longer.count()
     assert corpus_pipeline.STAGES[-1][1](spark, empty, SF).count() == 0
+
+
+def test_a_long_text_scores_alike_in_pieces(monkeypatch):
+    rng = np.random.default_rng(21)
+    docs = [rng.integers(0, toxicity.BUCKETS, (int(n), 1 + len(toxicity.STARTS))).astype(np.int32) for n in rng.integers(3, 30, 60)]
+    net = toxicity.fit(docs, (np.arange(60) % 3 == 0).astype(float))
+    for size in (1, 7, 40, 10_000):
+        monkeypatch.setattr(toxicity, "SLICE", size)
+        for text in ("", "  . ", "one", "bad words here. And more Ünïcode, 123 " * 9, "x" * 200, " a b" * 30 + "...", "two. words"):
+            data = np.frombuffer(text.encode(), np.uint8)
+            whole = net.score(*toxicity.tokens(data, np.array([0, len(data)])))
+            assert net.score_long(data) == pytest.approx(whole, abs=1e-6)
+
+
+def test_records_that_break_the_format_say_so():
+    good = warc.encode_record(5, "http://a/", b"hello", None)
+    assert warc.decode_record(good)["page_id"] == 5
+    revisit = warc.encode_record(6, None, b"hello", 5)
+    assert warc.decode_record(revisit)["refers_to"] == 5
+    cases = [good.replace(b"Content-Length: 5\r\n", b""), good.replace(b"WARC-Record-ID", b"X-Record-ID"), good.replace(b"page:5>", b"page:five>"), good.replace(b"http://a/", b"http://\xff/"), good.replace(b"Content-Length: ", b"Content-Length: +"), revisit.replace(b"WARC-Refers-To", b"X-Refers-To"), good[:-3], b"", good.replace(b"WARC/1.1", b"WARC/9.9")]
+    for raw in cases:
+        with pytest.raises(warc.WarcError):
+            warc.decode_record(raw)
