@@ -26,10 +26,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 import pyarrow.parquet as pq
@@ -39,6 +40,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.near_dedup import groups
 from lodestrata.llm.storage import materialise, shared_dir, stable
+from lodestrata.llm.textbatch import slices
 
 #: Rank file of the tokenizer and, as fixed values, its split pattern and the two ids that it leaves free.
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -48,6 +50,8 @@ END, PAD = 50256, 50257
 LENGTH, SHARD_BYTES, DENSITY = 512, 32_000_000, 0.5
 ROUNDS = 6
 MANIFEST = "shard long, pos long, doc_id long, piece int, n_tokens int, place_high long, place_low long, sha256 string, file string"
+#: Bytes of text that are tokenised at once; records that are put in order at once.
+SLICE_BYTES, ROWS_WRITTEN = 4_000_000, 4_096
 #: Tasks that write shards at most; beyond it a task writes several, one after another.
 MOST_TASKS = 100_000
 
@@ -91,6 +95,18 @@ def _encoder(ranks: dict[bytes, int]):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+_held: dict = {}
+
+
+def _at_hand(ranks: dict[bytes, int]):
+    """The encoder of these ranks, made once in a worker: its tasks follow one another."""
+    key = hash(frozenset(ranks.items()))
+    if key not in _held:
+        _held.clear()
+        _held[key] = _encoder(ranks)
+    return _held[key]
+
+
 def load_ranks(path: str = RANKS) -> dict[bytes, int]:
     """The rank file's tokens; read on the driver and sent along, so executors need no copy of it."""
     with open(path, "rb") as lines:
@@ -156,29 +172,35 @@ def write_training_order(docs: DataFrame, folder: str, ranks: dict[bytes, int],
         share = (at[0].astype(float) + at[1].astype(float) / lows) / highs
         return *at, np.minimum((share * shards).astype(np.int64), shards - 1)
 
+    def part(ids: pa.Array, texts: pa.Array, encode: Callable, pack: Callable, seen: Occurrences) -> pa.RecordBatch:
+        """Sequences of some texts, packed by shard."""
+        ids = ids.to_numpy(zero_copy_only=False).astype(np.int64)
+        occurrence = seen.of(ids)
+        lists = [np.array([*encode(x), END], dtype="<u2") for x in texts.to_pylist()]
+        size = np.array([len(x) for x in lists], dtype=np.int64)
+        count = -(-size // length)
+        doc = np.repeat(np.arange(len(lists)), count)
+        piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+        held = np.minimum(size[doc] - piece * length, length)
+        above, below, shard = place(ids[doc], occurrence[doc], piece)
+        order = np.argsort(shard, kind="stable")
+        found = {"shard": [], "head": [], "body": []}
+        cuts = np.flatnonzero(np.diff(shard[order])) + 1
+        for some in np.split(order, cuts) if len(order) else []:
+            head = np.stack([above[some].view(np.int64), below[some].view(np.int64), ids[doc[some]], piece[some], held[some]])
+            body = np.concatenate([lists[doc[i]][piece[i] * length : piece[i] * length + held[i]] for i in some])
+            found["shard"].append(int(shard[some[0]]))
+            found["head"].append(pack(head.astype("<i8").tobytes()))
+            found["body"].append(pack(body.tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(found["shard"], pa.int64()), pa.array(found["head"], pa.binary()), pa.array(found["body"], pa.binary())], ["shard", "head", "body"])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pack = _encoder(ranks).encode_ordinary, zstandard.ZstdCompressor(level=3).compress
+        encode, pack = _at_hand(ranks).encode_ordinary, zstandard.ZstdCompressor(level=3).compress
         seen = Occurrences(firsts, TaskContext.get().partitionId())
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            occurrence = seen.of(ids)
-            lists = [np.array([*encode(x), END], dtype="<u2") for x in b.column(1).to_pylist()]
-            size = np.array([len(x) for x in lists], dtype=np.int64)
-            count = -(-size // length)
-            doc = np.repeat(np.arange(len(lists)), count)
-            piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-            held = np.minimum(size[doc] - piece * length, length)
-            above, below, shard = place(ids[doc], occurrence[doc], piece)
-            order = np.argsort(shard, kind="stable")
-            found = {"shard": [], "head": [], "body": []}
-            cuts = np.flatnonzero(np.diff(shard[order])) + 1
-            for part in np.split(order, cuts) if len(order) else []:
-                head = np.stack([above[part].view(np.int64), below[part].view(np.int64), ids[doc[part]], piece[part], held[part]])
-                body = np.concatenate([lists[doc[i]][piece[i] * length : piece[i] * length + held[i]] for i in part])
-                found["shard"].append(int(shard[part[0]]))
-                found["head"].append(pack(head.astype("<i8").tobytes()))
-                found["body"].append(pack(body.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(found["shard"], pa.int64()), pa.array(found["head"], pa.binary()), pa.array(found["body"], pa.binary())], ["shard", "head", "body"])
+            bounds = np.concatenate([[0], np.cumsum(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64)])
+            for lo, hi in slices(bounds, SLICE_BYTES):
+                yield part(b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), encode, pack, seen)
         seen.finish()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,13 +214,13 @@ def write_training_order(docs: DataFrame, folder: str, ranks: dict[bytes, int],
                 body = np.concatenate([np.frombuffer(unpack(x), "<u2") for x in part["body"].to_pylist()])
                 held = head[4]
                 fixed = np.full((len(held), length), PAD, dtype="<u2")
-                row = np.repeat(np.arange(len(held)), held)
-                fixed[row, np.arange(len(body)) - np.repeat(np.cumsum(held) - held, held)] = body
+                fixed[np.arange(length) < held[:, None]] = body  # by rows
                 digest = np.array([hashlib.sha256(fixed[i, : held[i]].tobytes()).hexdigest() for i in range(len(held))])
                 order = np.lexsort([head[1].view(np.uint64), head[0].view(np.uint64)])
                 name = f"shard-{part['shard'][0].as_py():08d}-{uuid.uuid4().hex}.bin"
                 with fs.open_output_stream(f"{base}/{name}") as out:
-                    out.write(memoryview(np.ascontiguousarray(fixed[order])).cast("B"))
+                    for some in np.array_split(order, max(1, len(order) // ROWS_WRITTEN)):
+                        out.write(memoryview(np.ascontiguousarray(fixed[some])).cast("B"))
                 many = len(order)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(many, part["shard"][0].as_py())), pa.array(np.arange(many)), pa.array(head[2][order]), pa.array(head[3][order].astype(np.int32)),
