@@ -132,6 +132,7 @@ def cell_targets(ranked: DataFrame, ratio: float) -> DataFrame:
 
 
 def _adaptive(ranked: DataFrame, ratio: float) -> DataFrame:
+    ranked = persisted(ranked, "ranked")  # for the quotas and for the rows
     quotas = cell_targets(ranked, ratio)
     start = F.sum("quota").over(Window.partitionBy(*BY).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("quota")
     quotas = quotas.withColumn("start", start)

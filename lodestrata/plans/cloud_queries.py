@@ -805,7 +805,7 @@ def attribute_palettes(spark: SparkSession, d: str) -> DataFrame:
     return error.join(size, ["scene_id", "unit", "name"]).select("scene_id", "unit", "name", "n", "labelled", F.round("rmse", 5).alias("rmse"))
 
 
-def _palette_sql(k: int) -> str:
+def _codebook_sql(k: int) -> str:
     """The dynamic programme over distinct values, a layer at a time."""
     values = " UNION ALL ".join(f"SELECT scene_id, record_no // 500 AS unit, '{name}' AS name, {c}::DOUBLE AS v FROM ({SPLAT_SQL})" for name, held in lod.SHARED.items() for c in held)
     parts = [
@@ -822,7 +822,7 @@ def _palette_sql(k: int) -> str:
     return f"WITH {', '.join(parts)} SELECT scene_id, unit, name, CAST(c AS BIGINT) AS n, CAST(c AS BIGINT) AS labelled, round(sqrt(greatest(0, e) / c), 5) AS rmse FROM l{k} JOIN d USING (scene_id, unit, name) WHERE d.i = l{k}.j QUALIFY row_number() OVER (PARTITION BY scene_id, unit, name ORDER BY d.i DESC) = 1"
 
 
-O["attribute_palettes"] = _palette_sql(4)
+O["attribute_palettes"] = _codebook_sql(4)
 
 
 @query
@@ -862,3 +862,57 @@ def sketch_quantiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 O["sketch_quantiles"] = f"SELECT scene_id, axis, q, count(*) AS n, true AS fits FROM ({SPLAT_SQL}), (SELECT unnest(['x', 'y', 'z']) AS axis), (SELECT unnest([0.01::DOUBLE, 0.5::DOUBLE, 0.98::DOUBLE]) AS q) GROUP BY ALL"
+
+
+@query
+def decimate_adaptive_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Where the rows of adaptive decimation lie, and how many went into each."""
+    return lod.decimate(_tiled(spark, d), 0.5, "adaptive").select("scene_id", "tile", "record_no", "merged", *(F.round(F.col(a) + 1e-7, 4).alias(a) for a in AXES))
+
+
+_QUOTAS, _, _ = O["adaptive_quotas"].rpartition("\nSELECT scene_id, tile, cell")
+O["decimate_adaptive_rows"] = f"""{_QUOTAS},
+u1 AS (SELECT scene_id, tile, cell, size, CAST(least_one + whole + CASE WHEN r <= short THEN 1 ELSE 0 END AS BIGINT) AS quota FROM t7),
+u2 AS (SELECT *, CAST(sum(quota) OVER (PARTITION BY scene_id, tile ORDER BY cell) - quota AS BIGINT) AS start FROM u1),
+u3 AS (SELECT h.*, {_W} AS w, CASE WHEN quota > 0 THEN start + (rank - cell * 64) * quota // size ELSE greatest(0, start - 1) END AS grp
+       FROM (SELECT * FROM ({_OWN.format(ranked=RANKED)})) AS h JOIN u2 ON u2.scene_id = h.scene_id AND u2.tile = h.tile AND u2.cell = h.rank // 64)
+SELECT scene_id, CAST(tile AS INT) AS tile, grp AS record_no, count(*) AS merged, {", ".join(f"round(sum(w * {a}) / sum(w) + 1e-7, 4) AS {a}" for a in AXES)} FROM u3 GROUP BY scene_id, tile, grp"""
+
+
+@query
+def written_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Levels written as 32-bit floats by scene, level and tile, and read back: rows and their last number."""
+    path = shared_path(spark, "levels")
+    ply.write_levels(lod.build_levels(_tiled(spark, d), 2), path)
+    back = spark.read.parquet(path)
+    if dict(back.dtypes)["x"] != "float":
+        raise ValueError("positions are not 32-bit floats")
+    return back.groupBy("scene_id", F.col("lod").cast("int").alias("lod"), F.col("tile").cast("int").alias("tile")).agg(F.count("*").alias("n"), F.max("record_no").alias("last"))
+
+
+O["written_levels"] = _LEVELS + " UNION ALL ".join(f" SELECT scene_id, {i} AS lod, CAST(tile AS INT) AS tile, count(*) AS n, max(record_no) AS last FROM {t} GROUP BY scene_id, tile" for i, t in enumerate(("g", "lod1")))
+
+
+@query
+def audit_odd_scenes(spark: SparkSession, d: str) -> DataFrame:
+    """A scene per supplier, each with the fault of its number: no root and no manifest, a unit that nothing names, and others."""
+    k = F.col("k")
+    base = load(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("scene_id"), (F.col("s_suppkey") % 8).alias("k"))
+    of = lambda rows, names: base.select("scene_id", "k", F.inline(F.array(*(F.struct(*(v.alias(n) for v, n in zip(map(lambda v: v if not isinstance(v, (int, str)) else F.lit(v), r), names, strict=True))) for r in rows))))
+    manifest = base.where(k != 1).select("scene_id", F.lit(1).alias("version"), F.lit(15).cast("long").alias("count"), F.array(F.lit(10), F.lit(5)).cast("array<long>").alias("counts"), F.when(k == 3, 3).otherwise(2).alias("lod_levels"))
+    second = F.when(k == 5, 4).otherwise(5).cast("long")
+    leaves = of([(0, "0_0", 0, F.lit(10).cast("long")), (1, "1_0", 0, second)], ["lod", "file", "offset", "n"]).drop("k")
+    units = of([("0_0", F.lit(10).cast("long"), F.array(F.lit("meta.json"))), ("1_0", second, F.array(F.lit("meta.json"))), ("1_1", F.lit(7).cast("long"), F.array().cast("array<string>"))], ["file", "rows", "files"])
+    units = units.where((k == 2) | (F.col("file") != "1_1")).drop("k")
+    entries = of([("lod-meta.json", F.lit(1).cast("long")), ("0_0/meta.json", F.when(k == 6, 11 << 30).otherwise(1).cast("long")), ("1_0/meta.json", F.lit(1).cast("long"))], ["name", "size"])
+    entries = entries.where((k != 1) | (F.col("name") != "lod-meta.json"))
+    entries = entries.unionByName(entries.where((k == 7) & (F.col("name") == "1_0/meta.json"))).drop("k")
+    expected = of([(0, F.lit(10) + (k == 4).cast("int")), (1, F.lit(5) + (k == 4).cast("int"))], ["lod", "n"]).drop("k")
+    return audit.audit_manifest(manifest, leaves, units, entries, expected).select("scene_id", "level", "rule", "subject")
+
+
+O["audit_odd_scenes"] = """
+WITH s AS (SELECT CAST(s_suppkey AS VARCHAR) AS scene_id, s_suppkey % 8 AS k FROM supplier)
+SELECT scene_id, CASE WHEN k = 6 THEN 'warning' ELSE 'error' END AS level, CASE k WHEN 1 THEN 'V2' WHEN 2 THEN 'V13' WHEN 3 THEN 'V4' WHEN 4 THEN 'V8' WHEN 5 THEN 'V9' WHEN 6 THEN 'V14' ELSE 'V15' END AS rule,
+       unnest(CASE k WHEN 1 THEN ['lod-meta.json'] WHEN 2 THEN ['1_1'] WHEN 3 THEN ['counts'] WHEN 4 THEN ['0', '1'] WHEN 5 THEN ['1'] WHEN 6 THEN ['size'] ELSE ['1_0/meta.json'] END) AS subject
+FROM s WHERE k > 0"""

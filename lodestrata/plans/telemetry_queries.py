@@ -577,3 +577,59 @@ WITH p AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS key FROM part)
 SELECT 'started' AS kind, key, 'restarted' AS change FROM p WHERE k % 10 <> 3 AND k % 7 = 0 AND k <> 14
 UNION ALL SELECT 'started', key, 'restart count' FROM p WHERE k % 10 <> 3 AND k % 4 = 0 AND k <> 14
 UNION ALL SELECT 'socket', ':' || key, CASE WHEN k % 5 > 0 THEN 'gone' ELSE 'added' END FROM p WHERE (k % 5 > 0) <> (k % 6 > 0)"""
+
+
+@query
+def event_value_types(spark: SparkSession, d: str) -> DataFrame:
+    """Values count only as strings of the event's own property: not nested ones, not numbers, not text that looks like one."""
+    given = ['"en"', '{"lang":"en"}', '{"a":{"lang":"en"},"lang":7}', '{"x":"\\"lang\\":\\"en\\""}', '{"lang":"EN"}', "{broken", '["en"]']
+    kind = (F.col("event_id") % (len(given) + 1)).cast("int")
+    raw = load(spark, d, "events").select("event_id", F.lit("page_view").alias("e"), F.get(F.array(*map(F.lit, given)), kind).alias("p"))
+    return telemetry.clean_events(raw)[0].select("event_id", "name", "value")
+
+
+O["event_value_types"] = "SELECT event_id, 'page_view' AS name, CASE WHEN event_id % 8 <= 1 THEN 'en' END AS value FROM events"
+
+
+@query
+def scrub_odd_json(spark: SparkSession, d: str) -> DataFrame:
+    """Half surrogates, numbers that JSON does not have, and brackets without end among whole reports."""
+    kind, key = F.col("p_partkey") % 5, F.col("p_partkey").cast("string")
+    raw = F.when(kind == 0, F.concat(F.lit('{"stage":"\\ud800'), key, F.lit('"}'))).when(kind == 1, F.concat(F.lit('{"stage":NaN,"input":[1e999,'), key, F.lit("]}")))
+    raw = raw.when(kind == 2, F.concat(F.lit('{"stage":'), F.repeat(F.lit("["), 20_000), key)).when(kind == 3, F.concat(F.lit('{"stage":'), F.repeat(F.lit("["), 20_000), key, F.repeat(F.lit("]"), 20_000), F.lit("}")))
+    return load(spark, d, "part").select(F.col("p_partkey").alias("id"), S.scrub_json(raw.otherwise(F.concat(F.lit('{"stage":"'), key, F.lit('"}')))).alias("diagnostics"))
+
+
+O["scrub_odd_json"] = """SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN '{"stage":"' || chr(65533) || p_partkey || '"}' WHEN 1 THEN '{"stage":null,"input":[null,' || p_partkey || ']}' WHEN 4 THEN '{"stage":"' || p_partkey || '"}' END AS diagnostics FROM part"""
+
+
+@query
+def read_jsonl(spark: SparkSession, d: str) -> DataFrame:
+    """Report lines of the orders, some broken and some without a valid id."""
+    from lodestrata.sources import logs
+    from lodestrata.sources.tables import shared_path
+
+    path, key = shared_path(spark, "lines"), F.col("o_orderkey")
+    line = F.to_json(F.struct(F.when(key % 5 == 0, F.concat(F.lit("X-"), key)).otherwise(F.concat(F.lit("R-20240101-"), F.lpad(key.cast("string"), 9, "0"))).alias("id"), F.lit("bug").alias("kind"), F.col("o_orderpriority").alias("message")))
+    load(spark, d, "orders").select(F.when(key % 7 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value")).write.text(path)
+    return logs.read_jsonl(spark, path).select("id", "kind", F.length("message").alias("size"))
+
+
+O["read_jsonl"] = "SELECT 'R-20240101-' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS id, 'bug' AS kind, length(o_orderpriority) AS size FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0"
+
+
+@query
+def stored_daily_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Totals in three parts, one of them written twice, merged into one and read back from a day on."""
+    from lodestrata.sources import logs
+    from lodestrata.sources.tables import shared_path
+
+    path, rows = shared_path(spark, "totals"), events(spark, d)
+    for part in (0, 1, 2, 1):
+        some = telemetry.count_events(rows.where(F.col("event_id") % 3 == part).withColumn("value", F.lit(None).cast("string")))
+        logs.write_daily_totals(some, path, str(part))
+    logs.merge_daily_totals(spark, path)
+    return logs.daily_totals(spark, path, "2024-01-03").select("day", "name", "n")
+
+
+O["stored_daily_totals"] = f"SELECT strftime(ts, '%Y-%m-%d') AS day, name, count(*) AS n FROM ({EVENTS}) WHERE strftime(ts, '%Y-%m-%d') >= '2024-01-03' GROUP BY ALL"
