@@ -94,6 +94,11 @@ def decimate(df: DataFrame, ratio: float = 0.5, method: str = "uniform") -> Data
     (weighted variance of position and colour) with largest remainders, then groups of equal size inside a cell.
     pairs: neighbours are merged two by two, each time those whose merging adds least to the square error.
     """
+    merged = _decimated(df, ratio, method)
+    return merged if method == "uniform" else persisted(merged, "decimated")  # else plans of joins with it take long
+
+
+def _decimated(df: DataFrame, ratio: float, method: str) -> DataFrame:
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}; known: {', '.join(METHODS)}")
     grouped = METHODS[method](_ranked(df), ratio)
@@ -133,7 +138,7 @@ def cell_targets(ranked: DataFrame, ratio: float) -> DataFrame:
 
 def _adaptive(ranked: DataFrame, ratio: float) -> DataFrame:
     ranked = persisted(ranked, "ranked")  # for the quotas and for the rows
-    quotas = cell_targets(ranked, ratio)
+    quotas = persisted(cell_targets(ranked, ratio), "quotas")  # their long expressions stay out of the plans of what is joined later
     start = F.sum("quota").over(Window.partitionBy(*BY).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("quota")
     quotas = quotas.withColumn("start", start)
     cells = ranked.withColumn("cell", F.floor(F.col("rank") / 64)).join(quotas, [*BY, "cell"])
@@ -279,7 +284,7 @@ def build_levels(df: DataFrame, levels: int, ratio: float = 0.5, method: str = "
     now = persisted(df.select(*names), "lod0")
     out = now.withColumn("lod", F.lit(0))
     for lod in range(1, levels):
-        now = persisted(decimate(now, ratio, method).select(*names), f"lod{lod}")
+        now = persisted(_decimated(now, ratio, method).select(*names), f"lod{lod}")
         out = out.unionByName(now.withColumn("lod", F.lit(lod)))
     return out
 
