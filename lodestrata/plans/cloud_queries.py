@@ -524,9 +524,73 @@ def centre_translation(spark: SparkSession, d: str) -> DataFrame:
 O["centre_translation"] = f"WITH {_TURNED}" + " SELECT scene_id, " + ", ".join(f"floor(-t{a}.value * 1000 + 0.5) / 1000 AS t{a}" for a in AXES) + f" FROM ({_quantile_sql('SELECT * FROM t', 'x', 0.5)}) tx JOIN ({_quantile_sql('SELECT * FROM t', 'y', 0.01)}) ty USING (scene_id) JOIN ({_quantile_sql('SELECT * FROM t', 'z', 0.5)}) tz USING (scene_id)"
 
 
+def _orientation(sample: DataFrame) -> DataFrame:
+    return cloud.auto_orient(sample).select("scene_id", "up_axis", "confident", *(F.get("euler", i).alias(f"turn_{a}") for i, a in enumerate(AXES)))
+
+
 @query
 def auto_orient(spark: SparkSession, d: str) -> DataFrame:
-    return cloud.auto_orient(cloud.block_sample(_once(spark, d), 64, 256))
+    return _orientation(cloud.block_sample(_once(spark, d), 64, 256))
+
+
+def _orient_sql(rows: str) -> str:
+    """Orientation of rows (scene_id, x, y, z): the least eigenvalue in closed form, its direction as the longest cross product of
+    two rows of the shifted matrix, tails by quantile and slopes by smoothed histogram on that axis."""
+    quantile = lambda q: f"max(v) FILTER (r = CAST(floor({q}::DOUBLE * (n - 1)) AS BIGINT) + 1)"
+    cross = lambda i, j: f"[r{i}[2] * r{j}[3] - r{i}[3] * r{j}[2], r{i}[3] * r{j}[1] - r{i}[1] * r{j}[3], r{i}[1] * r{j}[2] - r{i}[2] * r{j}[1]]"
+    size = lambda v: f"({v}[1] * {v}[1] + {v}[2] * {v}[2] + {v}[3] * {v}[3])"
+    moments = ", ".join(f"covar_pop({a}, {b}) * count(*) AS {n}" for n, a, b in (("a", "-x", "-x"), ("b", "-x", "-y"), ("c", "-x", "z"), ("d", "-y", "-y"), ("e", "-y", "z"), ("f", "z", "z")))
+    return f"""
+WITH p AS ({rows}),
+m AS (SELECT scene_id, count(*) AS n, {moments} FROM p GROUP BY scene_id),
+m1 AS (SELECT *, (a + d + f) / 3 AS q FROM m),
+m2 AS (SELECT *, sqrt(((a - q) * (a - q) + (d - q) * (d - q) + (f - q) * (f - q) + 2 * (b * b + c * c + e * e)) / 6) AS s FROM m1),
+m3 AS (SELECT *, acos(greatest(-1, least(1, ((a - q) * ((d - q) * (f - q) - e * e) - b * (b * (f - q) - c * e) + c * (b * e - c * (d - q))) / (2 * s * s * s)))) / 3 AS turn FROM m2),
+m4 AS (SELECT *, q + 2 * s * cos(turn + 2 * pi() / 3) AS low, q + 2 * s * cos(turn) AS high FROM m3),
+m5 AS (SELECT *, 3 * q - low - high AS middle, [a - low, b, c] AS r1, [b, d - low, e] AS r2, [c, e, f - low] AS r3 FROM m4),
+m6 AS (SELECT *, {cross(1, 2)} AS c1, {cross(1, 3)} AS c2, {cross(2, 3)} AS c3 FROM m5),
+m7 AS (SELECT *, CASE WHEN {size("c1")} >= {size("c2")} AND {size("c1")} >= {size("c3")} THEN c1 WHEN {size("c2")} >= {size("c3")} THEN c2 ELSE c3 END AS way FROM m6),
+m8 AS (SELECT *, list_transform(way, lambda v: abs(v) / sqrt({size("way")})) AS share FROM m7),
+thin AS (SELECT *, list_position(share, list_max(share)) - 1 AS axis, greatest(low, 0) < {cloud.THIN}::DOUBLE * {cloud.THIN}::DOUBLE * greatest(middle, 1e-12) AND list_max(share) > {cloud.ALIGNED} AS lies FROM m8),
+v AS (SELECT scene_id, CASE axis WHEN 0 THEN -x WHEN 1 THEN -y ELSE z END AS v FROM p JOIN thin USING (scene_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY v) AS r, count(*) OVER (PARTITION BY scene_id) AS n FROM v),
+t AS (SELECT scene_id, {quantile(0.98)} + {quantile(0.02)} - 2 * {quantile(0.5)} AS tail, {quantile(0.005)} AS lo, {quantile(0.995)} AS hi FROM o GROUP BY scene_id),
+w AS (SELECT *, CASE WHEN hi > lo THEN (hi - lo) / 200 ELSE 1.0::DOUBLE END AS w FROM t),
+h AS (SELECT scene_id, CAST(floor((v - lo) / w) AS BIGINT) AS bin, count(*) AS h FROM v JOIN w USING (scene_id) GROUP BY ALL),
+g AS (SELECT scene_id, unnest(range(0, 200)) AS bin FROM w),
+k AS (SELECT g.scene_id, g.bin, avg(coalesce(h, 0)) OVER (PARTITION BY g.scene_id ORDER BY g.bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM g LEFT JOIN h ON h.scene_id = g.scene_id AND h.bin = g.bin),
+top AS (SELECT scene_id, bin AS peak, s AS height FROM k QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY s DESC, bin) = 1),
+fall AS (SELECT k.scene_id, coalesce(max(bin) FILTER (s <= 0.1 * height AND bin < peak), 0) + coalesce(min(bin) FILTER (s <= 0.1 * height AND bin > peak), 199) - 2 * any_value(peak) AS fall FROM k JOIN top USING (scene_id) GROUP BY k.scene_id),
+u AS (SELECT scene_id, thin.n < {cloud.ENOUGH} AS few, axis, lies, tail >= 0 AS up, fall > 0 AS slow FROM thin JOIN w USING (scene_id) JOIN fall USING (scene_id))
+SELECT scene_id, CASE WHEN few THEN '?' ELSE (CASE WHEN up = (axis = 2) THEN '+' ELSE '-' END) || substr('XYZ', axis + 1, 1) END AS up_axis,
+    NOT few AND lies AND up = slow AS confident,
+    CASE WHEN few THEN 0.0::DOUBLE WHEN axis = 1 AND NOT up THEN 180.0::DOUBLE WHEN axis = 2 THEN (CASE WHEN up THEN -90.0 ELSE 90.0 END)::DOUBLE ELSE 0.0::DOUBLE END AS turn_x,
+    0.0::DOUBLE AS turn_y, CASE WHEN few OR axis > 0 THEN 0.0 WHEN up THEN 90.0 ELSE -90.0 END::DOUBLE AS turn_z
+FROM u"""
+
+
+O["auto_orient"] = _orient_sql(SAMPLE)
+
+# Six placements of a cloud: which of its axes lies where, the last three mirrored; and one whose thin axis is tilted.
+_PLACED = ("x, y, z", "y, z, x", "z, x, y", "-x, -y, -z", "-y, -z, -x", "-z, -x, -y", "x, y + z / 25, z / 25 - y")
+_PLACED_SQL = " UNION ALL ".join(
+    f"SELECT concat(s_nation, '/{k}') AS scene_id, {', '.join(f'{v} AS {a}' for v, a in zip(place.split(', '), AXES, strict=True))} FROM rows WHERE part = {k}" for k, place in enumerate(_PLACED)
+)
+
+
+@query
+def auto_orient_placed(spark: SparkSession, d: str) -> DataFrame:
+    """A cloud per nation of suppliers and placement, thin where quantities are squared and shrunk, in every direction and tilted; few have too few rows."""
+    s = load(spark, d, "supplier").select(F.col("s_suppkey").alias("suppkey"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("s_nation"))
+    rows = load(spark, d, "lineitem").join(s, F.col("l_suppkey") == F.col("suppkey"))
+    thin = F.col("l_quantity") * F.col("l_quantity") / 100
+    rows = rows.select("s_nation", (F.col("l_orderkey") % 7).alias("part"), (F.col("l_extendedprice") / 1000).alias("x"), thin.alias("y"), (F.col("l_partkey") % 1000).cast("double").alias("z"))
+    return _orientation(spark.sql(_PLACED_SQL.replace("FROM rows", "FROM {rows}"), rows=rows))
+
+
+O["auto_orient_placed"] = _orient_sql(
+    "WITH rows AS (SELECT concat('n', s_nationkey) AS s_nation, l_orderkey % 7 AS part, l_extendedprice / 1000 AS x, l_quantity * l_quantity / 100 AS y, (l_partkey % 1000)::DOUBLE AS z FROM lineitem JOIN supplier ON l_suppkey = s_suppkey) " + _PLACED_SQL
+)
 
 
 def _moment_means(df: DataFrame) -> DataFrame:
