@@ -28,6 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node reachable) of every node that has an edge; ``edges`` has two long columns.
 
     The number of rounds grows with the logarithm of the longest chain; each round is a written table.
+    A node with very many edges is one key of the joins with ``least``, which has a row a node: the least neighbour is
+    aggregated before the shuffle, and AQE splits such a key's partition on the side of the edges.
     """
     first, second = edges.columns
     a, b = F.greatest(first, second), F.least(first, second)

@@ -6,7 +6,8 @@ tree has the children 2i + 1 and 2i + 2, so scoring is one vectorised step per l
 
 Defined results: null and empty texts are scored from all-zero statistics; each repeated row is scored alike;
 without labels of both kinds every score is the share of ones (0.5 without any); an empty table gives an empty
-result; extra columns pass or are ignored, whatever they are called.
+result; extra columns pass or are ignored, whatever they are called; a long text goes through in pieces, with only its
+words and lines as numbers held at once.
 """
 
 from __future__ import annotations
@@ -57,21 +58,24 @@ def _distinct(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One row of statistics per document (float32)."""
     n, size = len(offsets) - 1, np.diff(offsets).astype(float)
-    kinds = np.bincount(np.repeat(np.arange(n), np.diff(offsets)) * len(_KINDS) + _KIND[data], minlength=n * len(_KINDS)).reshape(n, -1)
+    doc, step = (np.repeat(np.arange(n), np.diff(offsets)) * len(_KINDS), max(len(data), 1)) if n > 1 else (0, tb.PIECE)
+    kinds = np.zeros((n, len(_KINDS)), dtype=np.int64)
+    for lo in range(0, len(data), step):
+        kinds += np.bincount(doc + _KIND[data[lo : lo + step]], minlength=n * len(_KINDS)).reshape(n, -1)
     some = np.maximum(size, 1)
-    prefix = tb.prefix_hash(data)
-    starts, ends, first = tb.words(data, offsets, tb.NOT_SPACE)
+    starts, ends, h, first = tb.runs(data, offsets, tb.NOT_SPACE)
     count = np.diff(first).astype(float)
-    h, long = tb.span_hash(prefix, starts, ends), (ends - starts).astype(float)
+    long = (ends - starts).astype(float)
     word_share, word_top = _distinct(h, first)
     again = np.zeros(len(h))
     again[1:] = h[1:] == h[:-1]
+    again[first[:-1][count > 0]] = 0  # the word before is another document's
     odd = ((_KIND[data[ends - 1]] == _KINDS.index("symbol")) | (_KIND[data[ends - 1]] == _KINDS.index("bang"))).astype(float) if len(ends) else long
     not_newline = np.ones(256, dtype=bool)
     not_newline[[10, 13]] = False
-    ls, le, lf = tb.words(data, offsets, not_newline)
+    _, _, lh, lf = tb.runs(data, offsets, not_newline)
     lines = np.diff(lf).astype(float)
-    line_share, line_top = _distinct(tb.span_hash(prefix, ls, le), lf)
+    line_share, line_top = _distinct(lh, lf)
     total = lambda x, b: tb.per_doc(x, b, np.add, 0)
     words = np.maximum(count, 1)
     columns = [

@@ -22,6 +22,9 @@ LOWER[65:91] += 32
 NOT_SPACE = np.ones(256, dtype=bool)
 NOT_SPACE[[32, *range(9, 14)]] = False
 
+#: Bytes of a long text that are worked on at once.
+PIECE = 1_000_000
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -97,6 +100,40 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     return first, np.flatnonzero(ends), np.searchsorted(first, offsets)
 
 
+def _joined(data: np.ndarray, inside: np.ndarray, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of one text's runs, ``piece`` bytes at a time; runs that go on in the next piece are put together."""
+    found = []
+    for lo in range(0, len(data), piece):
+        part = data[lo : lo + piece]
+        prefix = prefix_hash(part)
+        starts, ends, _ = words(part, np.array([0, len(part)]), inside)
+        found.append((starts + lo, ends + lo, (prefix[ends] - prefix[starts]) * _power("down0", _INVERSE[0], len(prefix))[starts]))
+    starts, ends, raw = map(np.concatenate, zip(*found, strict=True))
+    del found
+    opens = np.ones(len(starts), dtype=bool)
+    opens[1:] = starts[1:] != ends[:-1]  # runs of one piece never touch
+    head = np.flatnonzero(opens)
+    for i in np.flatnonzero(~opens):  # at most one a piece
+        first = head[np.searchsorted(head, i) - 1]
+        raw[i : i + 1] *= U64(pow(_BASE[0], int(starts[i] - starts[first]), 1 << 64))
+    if not len(head):
+        return starts, ends, raw
+    starts, ends = starts[head], ends[np.append(head[1:], len(ends)) - 1]
+    return starts, ends, mix(np.add.reduceat(raw, head) + (ends - starts).astype(np.uint64))
+
+
+def runs(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the runs of ``inside`` bytes, and each document's first run.
+
+    A text longer than ``piece`` bytes that comes alone is gone through in pieces, so that memory beside the runs does not grow with it.
+    """
+    if len(offsets) == 2 and len(data) > piece:
+        starts, ends, h = _joined(data, inside, piece)
+        return starts, ends, h, np.array([0, len(starts)])
+    starts, ends, first = words(data, offsets, inside)
+    return starts, ends, span_hash(prefix_hash(data), starts, ends), first
+
+
 def per_doc(values: np.ndarray, bounds: np.ndarray, ufunc: np.ufunc, empty) -> np.ndarray:
     """``ufunc.reduceat`` over the ranges of ``bounds``; empty ranges give ``empty``."""
     n = len(bounds) - 1
