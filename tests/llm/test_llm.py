@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 from collections import defaultdict
 
 import duckdb
@@ -219,6 +220,7 @@ def test_near_dedup_chains_within_templates(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "SET_BLOCK", 8)
     monkeypatch.setattr(near_dedup, "LIST_BLOCK", 16)
     monkeypatch.setattr(near_dedup, "STAR_ROWS", 4)
+    monkeypatch.setattr(near_dedup, "LIST_ROWS", 4)
     rng = np.random.default_rng(14)
     made = []
     for t in range(3):
@@ -615,6 +617,41 @@ def test_a_long_text_scores_alike_in_pieces(monkeypatch):
             assert net.score_long(data) == pytest.approx(whole, abs=1e-6)
 
 
+def test_runs_of_a_long_text_in_pieces():
+    rng = np.random.default_rng(22)
+    for _ in range(200):
+        data = rng.choice(np.frombuffer(b"ab \n", np.uint8), int(rng.integers(1, 60)), p=rng.dirichlet([1] * 4))
+        at = np.array([0, len(data)])
+        whole = textbatch.runs(data, at, textbatch.NOT_SPACE)
+        for piece in (1, 2, 3, 7):
+            assert all(map(np.array_equal, textbatch.runs(data, at, textbatch.NOT_SPACE, piece), whole))
+
+
+def test_shingles_of_a_long_text_in_pieces(monkeypatch):
+    words = np.random.default_rng(23).integers(0, 40, 500)
+    data = np.frombuffer(" ".join(f"w{w}" for w in words).encode(), np.uint8)
+    whole = near_dedup.shingle_sets(data, np.array([0, len(data)]))[0]
+    for size in (1, 3, 100, 496, 499):
+        monkeypatch.setattr(near_dedup, "SLICE", size)
+        assert np.array_equal(near_dedup.shingle_sets(data, np.array([0, len(data)]))[0], whole)
+
+
+def test_a_text_of_50_mb_takes_bounded_memory():
+    data = np.frombuffer(" ".join(map(str, np.random.default_rng(24).integers(0, 1 << 30, 5_000_000).tolist())).encode(), np.uint8)
+    assert len(data) > 48_000_000
+    for work in (near_dedup.shingle_sets, quality.statistics):
+        tracemalloc.start()
+        work(data, np.array([0, len(data)]))
+        assert tracemalloc.get_traced_memory()[1] < 10 * len(data)
+        tracemalloc.stop()
+
+
+def test_a_word_does_not_repeat_another_documents():
+    one, two = (np.frombuffer(x, np.uint8) for x in (b"spam", b"spamspamspam"))
+    alone = quality.statistics(one, np.array([0, 4]))[0]
+    assert (quality.statistics(two, np.array([0, 4, 8, 8, 12]))[[0, 1, 3]] == alone).all()
+
+
 def test_records_that_break_the_format_say_so():
     good = warc.encode_record(5, "http://a/", b"hello", None)
     assert warc.decode_record(good)["page_id"] == 5
