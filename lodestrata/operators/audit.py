@@ -86,9 +86,10 @@ def audit_manifest(manifest: DataFrame, leaves: DataFrame, units: DataFrame, ent
 
 def compare_manifests(a: DataFrame, b: DataFrame) -> DataFrame:
     """Entries (name, crc) that differ: added, gone or changed."""
-    pair = a.select("name", F.col("crc").alias("crc_a")).join(b.select("name", F.col("crc").alias("crc_b")), "name", "full_outer")
-    kind = F.when(F.col("crc_a").isNull(), "added").when(F.col("crc_b").isNull(), "gone").otherwise("changed")
-    return pair.where(~F.col("crc_a").eqNullSafe(F.col("crc_b"))).select("name", kind.alias("change"))
+    held = lambda m, side: m.select("name", F.struct("crc").alias(side))
+    pair = held(a, "a").join(held(b, "b"), "name", "full_outer")  # an entry may lack its CRC
+    kind = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "gone").when(~F.col("a.crc").eqNullSafe(F.col("b.crc")), "changed")
+    return pair.select("name", kind.alias("change")).where("change IS NOT NULL")
 
 
 def compare_quantiles(a: DataFrame, b: DataFrame, qs: list[float], tolerance: float, columns: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
