@@ -276,30 +276,35 @@ class _Job:
         """Write chunks with words numbered from 1; their distinct words and counts."""
         for data, offsets, langs in _pieces(batches):
             data = tb.LOWER[data]
-            starts, ends, first = tb.words(data, offsets, INSIDE)
-            if not len(starts):
-                continue
             names = sorted(set(langs))
-            code = np.array([names.index(x) for x in langs], dtype=np.int64)
-            doc = np.repeat(np.arange(len(langs)), np.diff(first))
-            where, kind = tb.distinct(data, starts, ends, code[doc])
-            piece = np.cumsum(STOPS[data])[starts] + np.arange(len(langs))[doc]
-            gap = np.zeros(len(starts), dtype=np.int64)
-            gap[1:] = piece[1:] != piece[:-1]
-            place = np.arange(len(starts)) + np.cumsum(gap)
-            ids = np.zeros(place[-1] + 2, dtype=np.uint32)
-            ids[place] = kind + 1
-            part = Chunk(ids, ids > 0).save(self.folder)
-            raw, count = data.tobytes(), np.bincount(kind, minlength=len(where))
-            words = [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
-            for lo in range(0, len(words), 50_000):
-                some = slice(lo, min(len(words), lo + 50_000))
+            part, starts, ends, code, count = self._write(data, offsets, np.array([names.index(x) for x in langs], dtype=np.int32))
+            for lo in range(0, len(starts), 50_000):
+                some = slice(lo, min(len(starts), lo + 50_000))
                 many = some.stop - lo
+                words = [data[a:b].tobytes() for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([part] * many, pa.string()), pa.array(np.arange(lo, some.stop, dtype=np.int32) + 1), pa.array([names[c] for c in code[doc[where[some]]].tolist()], pa.string()),
-                    pa.array(words[some], pa.binary()).cast(pa.string()), pa.array(count[some].astype(np.int64)),
+                    pa.array([part] * many, pa.string()), pa.array(np.arange(lo, some.stop, dtype=np.int32) + 1), pa.array([names[c] for c in code[some].tolist()], pa.string()),
+                    pa.array(words, pa.binary()).cast(pa.string()), pa.array(count[some].astype(np.int64)),
                 ], names=[x.split()[0] for x in WORDS.split(", ")])
 
+    def _write(self, data: np.ndarray, offsets: np.ndarray, code: np.ndarray) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Write one chunk; its name, and of its distinct words start and end, language and count. What is as long as the text goes before any of them leave."""
+        starts, ends, first = tb.words(data, offsets, INSIDE)
+        if not len(starts):
+            return "", starts, ends, code[:0], starts
+        doc = np.repeat(np.arange(len(code), dtype=np.int32), np.diff(first))
+        where, kind = tb.distinct(data, starts, ends, code[doc])
+        found = starts[where], ends[where], code[doc[where]], np.bincount(kind, minlength=len(where))
+        piece = np.searchsorted(np.flatnonzero(STOPS[data]), starts) + doc
+        gap = piece[1:] != piece[:-1]
+        del starts, ends, doc, piece
+        place = np.arange(len(kind))
+        place[1:] += np.cumsum(gap)
+        ids = np.zeros(place[-1] + 2, dtype=np.uint32)
+        ids[place] = kind + 1
+        del place, kind
+        return Chunk(ids, ids > 0).save(self.folder), *found
+
     def _send(self, chunk: Chunk) -> pa.Table:
         """Write a chunk and filters of its phrases of the job's length, one for each shard."""
         h, s = half_bits(self.n, self.bits), self.shard_bits

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.llm import collocations, conversations, packing
+from lodestrata.llm import collocations, conversations, packing, textbatch
 
 DOCS = "doc_id long, text string, lang string, source string, n long, rank long, w1 string, id long, length int, part string"
 LONG = " ".join(f"w{i * 7919 % 1009}" for i in range(3000))
@@ -319,3 +320,32 @@ def test_counts_of_words_are_whole(spark, docs):
     for r in docs.select(F.coalesce("lang", F.lit("und")), "text").collect():
         want[r[0]] += len(re.findall(r"[^\x20\x09.,;:!?\x0A-\x0D]+", r[1] or ""))
     assert {r["lang"]: r["n"] for r in totals.collect()} == dict(want) and words.where("f < 30").count() == 0
+
+
+def test_a_chunk_is_encoded_in_bounded_memory(tmp_path):
+    words = [f"w{i * 7919 % 300_007}" for i in range(150_000)]
+    texts = [" ".join(words[lo : lo + 10_000]) + "." for lo in range(0, len(words), 10_000)] * 9
+    size = sum(map(len, texts))
+    assert collocations.CHUNK_BYTES < size < 1.3 * collocations.CHUNK_BYTES
+    batch = pa.RecordBatch.from_pydict({"lang": ["a"] * len(texts), "text": texts})
+    tracemalloc.start()
+    try:
+        counts = Counter()
+        for b in collocations._Job(f"file://{tmp_path}").encode(iter([batch])):
+            counts.update(dict(zip(zip(b["part"].to_pylist(), b["word"].to_pylist()), b["n"].to_pylist())))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(counts.values()) == 9 * len(words) and {w for _, w in counts} == set(words)
+    assert peak < 22 * collocations.CHUNK_BYTES
+
+
+@pytest.mark.parametrize("block", [1, 9, 40, 1 << 17])
+def test_words_are_hashed_alike_in_any_blocks(monkeypatch, block):
+    monkeypatch.setattr(textbatch, "BLOCK", block)
+    data, offsets = textbatch.flat(pa.array(["b a b", None, "", "a" * 60 + " b " + "a" * 60, " a\tb "]))
+    starts, ends, _ = textbatch.words(data, offsets, textbatch.NOT_SPACE)
+    salt = np.array([0, 0, 0, 1, 1, 1, 0, 1])
+    where, kind = textbatch.distinct(data, starts, ends, salt)
+    spelled = [(int(s), data[a:b].tobytes()) for s, a, b in zip(salt, starts, ends)]
+    assert [spelled[i] for i in where[kind]] == spelled and len(where) == len(set(spelled))
