@@ -14,8 +14,8 @@ them side by side from ``offset``. Ranks within a length come from the written p
 each length, and running sums over the tasks' counts give the first rank of each task. No text or token moves for it.
 
 A text is tokenised by its words (runs without ASCII white space), each distinct one once while it is remembered: no
-normalisation, split or merge of the tokenizer reaches across white space, which it drops. Long texts are read some
-megabytes at a time, between words.
+normalisation, split or merge of the tokenizer reaches across white space, which it drops. Short texts are read together,
+long ones some megabytes at a time, between words.
 
 Defined results: null and empty texts are the end mark alone; a null doc_id and repeated rows are documents like any
 other; ties of equal lengths go in the order of the ranks; an empty table gives an empty result; extra columns are
@@ -24,6 +24,7 @@ ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -42,7 +43,7 @@ from lodestrata.llm.storage import materialise
 #: Tokens of a sequence; the end mark.
 CAPACITY, END = 2048, 0
 #: Bytes of text that are tokenised at once; words of a generation of those remembered.
-SLICE_BYTES, WORDS = 1_000_000, 200_000
+SLICE_BYTES, WORDS = 1_000_000, 300_000
 #: Bytes of ids that a task holds before it hands them on.
 HELD_BYTES = 4_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, part long, number long"
@@ -59,74 +60,119 @@ def tokenizer_json(path: str | None = None) -> str:
         return file.read()
 
 
-def _byte_letters() -> dict[int, str]:
-    """How byte-level models write bytes, for str.translate of Latin-1: printable ones as they are, the others from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
-
-
-_LETTERS = _byte_letters()
-#: Words of letters only that every normalisation leaves alone, but for the case; marks that end a word; places to cut a text.
-_LATIN = re.compile("[a-zà-öø-ÿ]+")
-_MARKS, _BLANK = b".,;:!?", re.compile(rb"[\t-\r ]")
+_BLANK = re.compile(rb"[\t-\r ]")  # places to cut a text
+#: How the tokenizer cuts words, and how its model ends a part of one.
+_CUTS, _LAST = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "</w>"
+#: Kinds of bytes of the words whose normalisation is known: visible ASCII without capitals, Latin letters (0xC3 and a second byte,
+#: capitals 32 before small ones); 0 is between words, other bytes are of other words.
+_LETTER, _DIGIT, _MARK, _OTHER = 1, 2, 3, 4
+_KIND = np.full(256, _OTHER, dtype=np.uint8)
+_KIND[33:127], _KIND[48:58], _KIND[65:91], _KIND[97:123], _KIND[32] = _MARK, _DIGIT, _OTHER, _LETTER, 0
+_SECOND = np.zeros(256, dtype=bool)
+_SECOND[128:192], _SECOND[[151, 183]] = True, False
+_SMALL = np.arange(256, dtype=np.uint8)
+_SMALL[128:159] += 32
+#: The bytes of those that a byte-level model writes as other letters than Latin-1 does.
+_WRITTEN = {"\x9f": "\u0141", "\xa0": "\u0142", "\xad": "\u0143"}
+
+
+def _parts_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words with a blank behind each: their bytes in small letters, where a part begins, where a word ends, and whether the tokenizer's own cuts are known."""
+    data = np.frombuffer(bytearray(b" ".join([*words, b""])), dtype=np.uint8)
+    kind, blank = _KIND[data], np.flatnonzero(data == 32)
+    lead = np.flatnonzero(data == 0xC3)
+    lead = lead[_SECOND[data[lead + 1]]]
+    kind[lead] = kind[lead + 1] = _LETTER
+    data[lead + 1] = _SMALL[data[lead + 1]]
+    before = np.zeros_like(kind)
+    before[1:] = kind[:-1]
+    begins = ((kind != before) | (kind == _DIGIT)) & (kind > 0)
+    quote = np.flatnonzero((data == 39) & (before != _MARK))
+    one, two = data[quote + 1], data[np.minimum(quote + 2, len(data) - 1)]
+    short = np.isin(one, list(b"stmd"))
+    long = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)
+    for ending, n in ((quote[short], 2), (quote[long], 3)):
+        begins[ending + 1] = False
+        begins[ending + n] = kind[ending + n] > 0
+    odd = np.zeros(len(words), dtype=bool)
+    special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+    odd[np.searchsorted(blank, np.append(np.flatnonzero(kind == _OTHER), special))] = True
+    return data, begins, blank, odd
 
 
 class WordTokens:
     """Token ids of texts, word by word, as little-endian unsigned 32-bit numbers.
 
-    Distinct words are remembered in two generations of ``WORDS`` words: what is met again moves to the newer one. Marks behind a
-    letter or digit are words of their own to the tokenizer, so a word is put together from what is before them and the marks.
-    Plain words of Latin letters go to the model alone; all others through the whole tokenizer.
+    Distinct words are remembered in two generations of ``WORDS`` words: what is met again moves to the newer one. Simple new words
+    are cut here as the tokenizer cuts them, and go to its model together: the last token of a part ends with a mark, so their ids
+    are told apart. All others go through the whole tokenizer one by one, and so do all words of a tokenizer of another make.
     """
 
     def __init__(self, model: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(model)
-        self.plain = self.tokenizer.model.tokenize
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-
-    def _learn(self, words: Iterable[bytes]) -> None:
-        pairs, odd = [], []
-        for w in words:
-            core = w.rstrip(_MARKS)
-            whole = len(core) == len(w) or not core or not (core[-1:].isalnum() and core[-1] < 128)
-            parts = (w,) if whole else (core, w[len(core) :])
-            pairs.append((w, parts))
-            odd += [x for x in parts if x not in self.known and not self._simple(x)]
-        for lo in range(0, len(odd), 5_000):
-            some = list(dict.fromkeys(odd[lo : lo + 5_000]))
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            for w, e in zip(some, found, strict=True):
-                self.known[w] = array("I", e.ids).tobytes()
-        for w, parts in pairs:
-            if len(parts) > 1:
-                self.known[w] = b"".join(self.known[x] for x in parts)
-
-    def _simple(self, word: bytes) -> bool:
-        """Whether the word is known now: it was before, or is of Latin letters."""
-        if word in self.older:
-            self.known[word] = self.older[word]
-            return True
-        text = word.decode("utf-8", "replace")
-        if not _LATIN.fullmatch(text):
-            return False
-        self.known[word] = array("I", [t.id for t in self.plain(word.decode("latin-1").translate(_LETTERS))]).tobytes()
-        return True
-
-    def of(self, text: bytes) -> bytes:
-        words = (text if b"<|" in text else text.lower()).split()  # names of special tokens keep their case
-        new = [w for w in set(words) if w not in self.known]
-        if new:
-            self._learn(new)
-        out = b"".join(map(self.known.__getitem__, words))
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.last[[i for word, i in vocabulary.items() if word.endswith(_LAST)]] = True
+        made = json.loads(model)
+        cuts = [x.get("pattern", {}).get("Regex") for x in (made.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.cuts = made["model"].get("end_of_word_suffix") == _LAST and cuts == [_CUTS, None]
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+
+    def _learn(self, words: list[bytes]) -> None:
+        odd = words
+        if self.cuts:
+            data, begins, blank, other = _parts_of(words)
+            odd = [words[i] for i in np.flatnonzero(other).tolist()]
+            if odd:
+                words = [words[i] for i in np.flatnonzero(~other).tolist()]
+                data, begins, blank, other = _parts_of(words)
+            self._learn_simple(words, data, begins, blank)
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in odd], add_special_tokens=False)
+        for w, e in zip(odd, found, strict=True):
+            self.known[w] = array("I", e.ids).tobytes()
+
+    def _learn_simple(self, words: list[bytes], data: np.ndarray, begins: np.ndarray, blank: np.ndarray) -> None:
+        place = np.arange(len(data)) + np.cumsum(begins)
+        spread = np.full(len(data) + int(begins.sum()), 32, dtype=np.uint8)
+        spread[place] = data
+        text = spread.tobytes().decode("latin-1")
+        for byte, letter in _WRITTEN.items():
+            text = text.replace(byte, letter)
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        parts = np.flatnonzero(self.last[ids]) + 1  # ends of the parts
+        upto = np.cumsum(begins)[blank]  # parts before each word's end
+        if len(words) and upto[-1] != len(parts):
+            raise ValueError(f"{upto[-1]} parts of words gave the ids of {len(parts)}")
+        raw, at = ids.tobytes(), 0
+        for w, end in zip(words, (4 * parts[upto - 1]).tolist(), strict=True):
+            self.known[w] = raw[at:end]
+            at = end
+
+    def of_all(self, texts: list[bytes]) -> list[bytes]:
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]  # names of special tokens keep their case
+        new = []
+        for w in set().union(*split).difference(self.known):
+            if w in self.older:
+                self.known[w] = self.older[w]
+            else:
+                new.append(w)
+        for lo in range(0, len(new), 1_000):
+            self._learn(new[lo : lo + 1_000])
+        ids = self.known.__getitem__
+        out = [b"".join(map(ids, words)) for words in split]
         if len(self.known) > WORDS:
             self.known, self.older = {}, self.known
         return out
 
+    def of(self, text: bytes) -> bytes:
+        return self.of_all([text])[0]
+
 
 _AT_HAND: dict[str, WordTokens] = {}
 
@@ -151,6 +197,21 @@ def document(words: WordTokens, text: bytes, end: int = END) -> bytes:
     return b"".join([*parts, words.of(text[at:] if at else text), end.to_bytes(4, "little")])
 
 
+def documents(words: WordTokens, texts: Iterable[bytes], end: int = END) -> Iterator[bytes]:
+    """The ids of whole texts, each with the end mark; short texts are read together."""
+    some, size, mark = [], 0, end.to_bytes(4, "little")
+    for text in texts:
+        if some and size + len(text) > SLICE_BYTES:
+            yield from (ids + mark for ids in words.of_all(some))
+            some, size = [], 0
+        if len(text) > SLICE_BYTES:
+            yield document(words, text, end)
+        else:
+            some.append(text)
+            size += len(text)
+    yield from (ids + mark for ids in words.of_all(some))
+
+
 def cut(docs: DataFrame, model: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of all documents, with the writing task (``part``) and their number in it among those of their length."""
 
@@ -169,8 +230,8 @@ def cut(docs: DataFrame, model: str, capacity: int = CAPACITY) -> DataFrame:
 
         for b in batches:
             held = 0
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
-                ids = document(words, text.as_py() or b"")
+            texts = (text.as_py() or b"" for text in b.column(1).cast(pa.binary()))
+            for doc_id, ids in zip(b.column(0).to_pylist(), documents(words, texts), strict=True):
                 for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
                     body = ids[4 * start : 4 * (start + capacity)]
                     length = len(body) // 4

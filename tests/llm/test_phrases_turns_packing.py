@@ -59,6 +59,30 @@ def test_words_of_real_texts_tokenise_alike(tokenizer):
         assert np.frombuffer(packing.document(words, (t or "").encode()), "<u4").tolist() == [*e.ids, 0]
 
 
+def test_words_of_many_texts_are_learnt_together(tokenizer, monkeypatch):
+    pieces = ["'", "s", "t", "re", "ve", "m", "ll", "d", "a", "é", "É", "ß", "ÿ", "Ÿ", "à", "í", "×", "÷", "Þ", "1", "5", ".", ",", "<", "|", "-", "Q", "µ", "ª", "\u0301", "İ", "日", "\x7f", "\x1c", "\xa0", "~", "`", "@", "ﬁ", "<|endoftext|>"]
+    draw = np.random.default_rng(13)
+    texts = [" ".join("".join(draw.choice(pieces, draw.integers(1, 7))) for _ in range(20)) for _ in range(400)]
+    texts += [None, "", "日本 İ", "plain words only", "x " * 5000, "it's l'été 'tis ''s"]
+    words, calls = packing.WordTokens(packing.tokenizer_json()), []
+    learn = words._learn
+    monkeypatch.setattr(words, "_learn", lambda new: calls.append(len(new)) or learn(new))
+    monkeypatch.setattr(packing, "SLICE_BYTES", 9_000)
+    found = list(packing.documents(words, ((t or "").encode() for t in texts)))
+    for t, ids in zip(texts, found, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], t
+    assert len(calls) < len(texts) / 10 and words.cuts
+
+
+def test_words_of_another_tokenizer_go_through_it_whole(tokenizer):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    other = Tokenizer.from_str(packing.tokenizer_json())
+    other.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Punctuation(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    words, text = packing.WordTokens(other.to_str()), "ab12 don't, x. 7-up"
+    assert np.frombuffer(words.of(text.encode()), "<u4").tolist() == [i for w in text.split() for i in other.encode(w, add_special_tokens=False).ids] and not words.cuts
+
+
 @pytest.mark.parametrize("capacity", [2048, 50, 7])
 def test_packing(docs, tokenizer, capacity):
     rows = [r.asDict() for r in packing.pack(docs, capacity=capacity).collect()]
